@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, media, url_filter
+from tessera.llm import exact_dedup, media, packing, token_counts, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,17 +18,27 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored, ["doc_id", "n_bytes"])
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_documents(spark, sf_dir))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id"])
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op4_token_counts": op4_token_counts,
     "op6_url_filter": op6_url_filter,
+    "op8_packing": op8_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
