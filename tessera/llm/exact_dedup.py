@@ -111,6 +111,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     same = rows.where("maybe").groupBy("sha", "doc_id").agg(F.count("*").alias("copies"))
     groups = same.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = stash(groups, "groups")  # read as it is on its side of the join, so that Spark can split a large group's rows
     copies = same.join(groups, "sha").select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return alone.unionByName(copies.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256")))
