@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.llm import _words
+from tessera.llm import _chains, _words
 from tessera.llm._io import stash
 
 SUFFIXES = 256
@@ -190,23 +190,10 @@ def _encode(v: Vocabulary, id_type: pa.DataType):
 # --- the recursions ---------------------------------------------------------------------------------------------------
 
 
-def _layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences from longest to shortest, and time-major places: order, how many are alive at each time, and where each time begins."""
-    order = np.argsort(-lengths, kind="stable")
-    alive = np.searchsorted(-lengths[order], -np.arange(1, lengths.max(initial=0) + 1), side="right")
-    return order, alive, np.concatenate([[0], np.cumsum(alive)])
-
-
-def _time_major(tokens: np.ndarray, first: np.ndarray, order: np.ndarray, alive: np.ndarray) -> np.ndarray:
-    begin = first[order]
-    return np.concatenate([tokens[begin[:n] + t] for t, n in enumerate(alive)]) if len(alive) else tokens[:0]
-
-
 def forward(m: Model, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log-likelihood of each sequence tokens[first[i]:first[i + 1]], by the scaled forward recursion."""
-    lengths = np.diff(first)
-    order, alive, _ = _layout(lengths)
-    emit, out, total = np.ascontiguousarray(m.emit.T), np.zeros(len(lengths)), np.zeros(len(lengths))
+    order, alive, *_ = _chains.layout(first)
+    emit, out, total = np.ascontiguousarray(m.emit.T), np.zeros(len(order)), np.zeros(len(order))
     begin = first[:-1][order]
     a = np.broadcast_to(m.start[0], (len(order), len(m.move)))
     for t, n in enumerate(alive):
@@ -221,33 +208,13 @@ def forward(m: Model, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 def expected(m: Model, tokens: np.ndarray, first: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch: expected starts (2, K), moves (K, K), emissions (K, C) and the log-likelihood of the sequences; later: those that begin inside a document."""
     k, classes = m.emit.shape
-    lengths = np.diff(first)
-    order, alive, place = _layout(lengths)
-    x = _time_major(tokens, first[:-1], order, alive)
-    emitted = np.ascontiguousarray(m.emit.T)[x]
-    alpha, scale = np.empty((len(x), k)), np.empty(len(x))
-    for t, n in enumerate(alive):
-        here = slice(place[t], place[t] + n)
-        a = alpha[place[t - 1] : place[t - 1] + n] @ m.move if t else m.start[later[order].astype(int)][:n]
-        a = a * emitted[here]
-        scale[here] = a.sum(1)
-        alpha[here] = a / scale[here][:, None]
-    moves, beta = np.zeros((k, k)), np.ones((0, k))
-    for t in range(len(alive) - 1, -1, -1):
-        n, here = alive[t], slice(place[t], place[t] + alive[t])
-        now = np.ones((n, k))
-        if len(beta):
-            ahead = slice(place[t + 1], place[t + 1] + len(beta))
-            u = beta * emitted[ahead] / scale[ahead][:, None]
-            moves += alpha[place[t] : place[t] + len(beta)].T @ u
-            now[: len(beta)] = u @ m.move.T
-        beta = now
-        alpha[here] *= beta  # from here on, the posteriors
+    lay = _chains.layout(first)
+    x, begun = tokens[lay.at], later[lay.order].astype(int)
+    posterior, scale, moves = _chains.forward_backward(lay, m.start[begun], m.move, np.ascontiguousarray(m.emit.T)[x])
     starts = np.zeros((2, k))
-    if len(alive):
-        np.add.at(starts, later[order[: alive[0]]].astype(int), alpha[: alive[0]])
-    emissions = np.stack([np.bincount(x, alpha[:, j], classes) for j in range(k)])
-    return starts, moves * m.move, emissions, float(np.log(scale).sum())
+    np.add.at(starts, begun[: lay.place[1] if len(lay.alive) else 0], posterior[: lay.place[1] if len(lay.alive) else 0])
+    emissions = np.stack([np.bincount(x, posterior[:, j], classes) for j in range(k)])
+    return starts, moves, emissions, float(np.log(scale).sum())
 
 
 def _sequences(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:

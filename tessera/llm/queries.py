@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, hmm_lm, media, packing, token_counts, url_filter
+from tessera.llm import exact_dedup, hmm_lm, language_id, media, packing, token_counts, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id"])
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op3_hmm_lm": op3_hmm_lm,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
     "op8_packing": op8_packing,
     "op10_exact_dedup": op10_exact_dedup,
