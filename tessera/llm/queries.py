@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, hmm_lm, language_id, media, packing, token_counts, url_filter
+from tessera.llm import exact_dedup, hmm_lm, language_id, media, near_dedup, packing, token_counts, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), ["page_id"])
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(_documents(spark, sf_dir), settings=near_dedup.Settings(shingle_words=4))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
+    "op7_near_dedup": op7_near_dedup,
     "op8_packing": op8_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
