@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of ids, hashes or rates (well under 100 bytes each) up to which a join's smaller side is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 _OWN: dict[int, str] = {}
 
@@ -34,3 +38,8 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def small(df: DataFrame) -> DataFrame:
+    """For a join's smaller side: broadcast where a count shows that it is small; else Spark joins by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

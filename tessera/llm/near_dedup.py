@@ -31,9 +31,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm import _words
 from tessera.llm._components import components
-from tessera.llm._io import fresh, stash
+from tessera.llm._io import fresh, small, stash
 
-BROADCAST_KEYS = 1_000_000  # 8 bytes each
 COUNTER_BITS, COUNTER_BLOCK = 18, 1 << 12
 
 
@@ -189,16 +188,11 @@ def _sets(s: Settings):
     return run
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    """For a join's smaller side: broadcast where a count shows that it is small; else Spark joins by a shuffle."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
-
-
 def member_sets(df: DataFrame, text_col: str, nodes: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     """(node, members) of the wanted nodes: their sorted shingle fingerprints, from the text of one of their documents."""
     keys = stash(nodes.join(wanted, "node", "left_semi").select("node", "text_key"), "wanted")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(_few(keys), "text_key").select("node", "text")
+    rows = df.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(small(keys), "text_key").select("node", "text")
     return stash(rows.mapInArrow(_sets(s), "node long, members binary").dropDuplicates(["node"]), "sets")
 
 
@@ -312,4 +306,4 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """df without near copies: all columns, of each component the row with the least id. Rows with a null id stay."""
     gone = fresh(df, "gone")
     dropped = stash(near_groups(df, id_col, text_col, settings).where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
-    return df.join(_few(dropped), F.col(id_col) == F.col(gone), "left_anti")
+    return df.join(small(dropped), F.col(id_col) == F.col(gone), "left_anti")

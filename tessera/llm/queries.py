@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, hmm_lm, language_id, media, near_dedup, packing, token_counts, url_filter
+from tessera.llm import exact_dedup, hmm_lm, language_id, media, mixing, near_dedup, packing, quality, token_counts, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(stored, ["doc_id", "n_bytes"])
 
 
+#: Target weights of the mix: the largest source a tenth, the others alike, all unnamed ones like one of them.
+MIX = mixing.Settings(weights={"src0": 0.10} | {f"src{i}": 0.045 for i in range(1, 20)}, rest=0.045)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir), ["doc_id", "source"], settings=MIX)
+
+
 def op3_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.score_texts(_documents(spark, sf_dir))
 
@@ -42,18 +50,24 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_mixing": op2_mixing,
     "op3_hmm_lm": op3_hmm_lm,
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_url_filter": op6_url_filter,
     "op7_near_dedup": op7_near_dedup,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
