@@ -1,0 +1 @@
+"""Analytics over knowledge vaults (documents, chunks, vectors, layout, chats, graphs, jobs) as Spark DataFrames."""

@@ -12,7 +12,7 @@ recursions over its documents and emits expected counts, which Spark adds up ove
 states x (states + classes + 2) numbers. For that part documents are cut into pieces of `piece_tokens` words, each token in one
 of them; scoring runs the forward recursion over whole documents, so the likelihood is exact.
 
-The `frequent_words` most frequent fingerprints and counts are broadcast (16 bytes each); the counts of all others reach
+The most frequent fingerprints and counts, at most `frequent_words` of them, are broadcast (16 bytes each); the counts of all others reach
 their documents by a shuffle.
 """
 
@@ -137,7 +137,12 @@ class Vocabulary:
 def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     end = counts.where("word = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = counts.where("word <> 0").orderBy(F.col("n").desc(), "word").limit(s.frequent_words).select("word", "suffix", "n").toPandas()
+    # the frequent words: whole steps of the count (16 to a doubling), as many as fit, so that no task sends a list of its own
+    step = F.floor(16 * F.log2("n")).cast("int")
+    steps = sorted(counts.where("word <> 0").groupBy(step.alias("step")).agg(F.count("*").alias("v")).collect(), reverse=True)
+    fit = np.cumsum([v for _, v in steps]) <= s.frequent_words
+    least = min([k for (k, _), f in zip(steps, fit, strict=True) if f], default=10_000)
+    top = counts.where((F.col("word") != 0) & (step >= least)).select("word", "suffix", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
     by_suffix = counts.where("word <> 0").groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     own = np.where(np.arange(len(top)) < s.own_classes, np.arange(len(top)), -1)
     total = tokens + s.add * (distinct + 1)
