@@ -21,7 +21,7 @@ def token_cost(tokens_in: Column, tokens_out: Column) -> Column:
 
 def decayed(weight: Column, explicit: Column, last: Column, now: Column, half_life_hours: float = HALF_LIFE_HOURS) -> Column:
     """weight * 0.5 ** (hours / half life); explicit links never decay, and a time ahead of now counts as now."""
-    hours = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(last)) / 3.6e9)
+    hours = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))) / 3.6e9)
     return F.when(explicit, weight).otherwise(weight * F.pow(F.lit(0.5), hours / half_life_hours))
 
 

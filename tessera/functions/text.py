@@ -59,7 +59,7 @@ def citation_ids(text: Column) -> Column:
     """Ids of [[chunk:a]] markers and of malformed [[chunk:a], [chunk:b]] ones, in order, without blanks or repeats."""
     inner = F.regexp_extract_all(text, F.lit(CHUNK_MARK), F.lit(1))
     ids = F.flatten(F.transform(inner, lambda x: F.split(x, r"\]\s*,\s*\[chunk:")))
-    return F.array_distinct(F.filter(F.transform(ids, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def without_citations(text: Column) -> Column:

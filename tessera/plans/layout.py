@@ -66,7 +66,7 @@ def tile_grid(spark, d):
 
 
 _FIG = """f AS (SELECT doc_id // 10 AS page_id, (doc_id % 10)::INT AS ordinal, CASE WHEN doc_id % 10 IN (1, 5) THEN 'chart' ELSE 'paragraph' END AS region_type,
-CASE WHEN doc_id % 10 = 2 THEN 'Figure 1: growth' WHEN doc_id % 10 = 6 THEN 'Fig. 2 shares' WHEN doc_id % 10 = 8 THEN 'As figure 1 and Figure 2 show' ELSE left(text, 20) END AS content FROM documents WHERE doc_id % 10 IN (1, 2, 5, 6, 8, 9))"""
+CASE WHEN doc_id % 10 = 2 THEN 'Figure 1: growth' WHEN doc_id % 10 = 6 THEN 'Fig. 2 shares' WHEN doc_id % 10 = 8 THEN 'As figure 1 and Figure 2 show' ELSE text END AS content FROM documents)"""
 
 
 @query(
@@ -80,8 +80,8 @@ WHERE NOT regexp_matches(content, '(?i)^(figure|fig\\.|table)\\s+\\d+') AND f.or
 def figure_relations(spark, d):
     k = F.col("doc_id") % 10
     kind = F.when(k.isin(1, 5), "chart").otherwise("paragraph")
-    text = F.when(k == 2, "Figure 1: growth").when(k == 6, "Fig. 2 shares").when(k == 8, "As figure 1 and Figure 2 show").otherwise(F.substring("text", 1, 20))
-    rows = table(spark, d, "documents").where(k.isin(1, 2, 5, 6, 8, 9)).select(F.expr("doc_id div 10").alias("page_id"), k.cast("int").alias("ordinal"), kind.alias("region_type"), text.alias("content"))
+    text = F.when(k == 2, "Figure 1: growth").when(k == 6, "Fig. 2 shares").when(k == 8, "As figure 1 and Figure 2 show").otherwise(F.col("text"))
+    rows = table(spark, d, "documents").select(F.expr("doc_id div 10").alias("page_id"), k.cast("int").alias("ordinal"), kind.alias("region_type"), text.alias("content"))
     return L.captions(rows).distinct()
 
 

@@ -177,11 +177,11 @@ def unlock_claims(spark, d):
     return live.select(F.col("document").alias("user_id"), F.unix_micros("expires_at").alias("last"))
 
 
-@query(f"SELECT id, left(text, 50) AS plain, true AS opened FROM {DOCS_SQL} WHERE status = 'sealed' AND id % 2 = 0 UNION ALL SELECT id, NULL, false FROM {DOCS_SQL} WHERE status = 'sealed' AND id % 2 <> 0")
+@query(f"SELECT id, text AS plain, true AS opened FROM {DOCS_SQL} WHERE status = 'sealed' AND id % 2 = 0 UNION ALL SELECT id, NULL, false FROM {DOCS_SQL} WHERE status = 'sealed' AND id % 2 <> 0")
 def sealed_decrypt(spark, d):
     """Sealed text opens with its own key alone; a wrong key gives null."""
     right, wrong = F.lit("0123456789abcdef0123456789abcdef"), F.lit("fedcba9876543210fedcba9876543210")
-    raw = F.aes_encrypt(F.substring("text", 1, 50), right, F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.lpad(F.hex("id"), 24, "0")))
+    raw = F.aes_encrypt("text", right, F.lit("GCM"), F.lit("DEFAULT"), F.unhex(F.lpad(F.hex("id"), 24, "0")))
     sealed = Vault(spark, d).documents().where("status = 'sealed'").select("id", raw.alias("raw"))
     rows = sealed.select("id", F.base64(F.substring("raw", 1, 12)).alias("nonce"), F.base64(F.expr("substring(raw, 13)")).alias("ciphertext"))
     opened = O.decrypted(rows, F.when(F.col("id") % 2 == 0, right).otherwise(wrong))
