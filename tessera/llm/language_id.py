@@ -162,7 +162,7 @@ def train(rows: DataFrame, s: Settings) -> Tagger:
     known = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     hashed = known.withColumn("h", F.xxhash64("text"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    least = hashed.select("lang", "h").withColumn("nth", nth).where(F.col("nth") <= s.sample_docs).groupBy("lang").agg(F.max("h").alias("most"))
+    least = hashed.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("nth", nth).where(F.col("nth") <= s.sample_docs).groupBy("lang").agg(F.max("h").alias("most"))
     # one text of each hash, so that copies do not fill the sample
     chosen = hashed.join(F.broadcast(least), "lang").where(F.col("h") <= F.col("most")).dropDuplicates(["lang", "h"])  # a row per language
     words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
@@ -179,42 +179,60 @@ def train(rows: DataFrame, s: Settings) -> Tagger:
 _OUT = [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double"), ("n_words", pa.int64(), "long"), ("switches", pa.int64(), "long")]
 
 
+def _judged(t: Tagger, run_words: int, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For ranges i:j of the texts: the label's number (the last for und), its mean posterior, the words, the switches of label."""
+    for i, j, w in _words.batches(texts, 1 << 20):
+        n, doc = j - i, w.doc
+        mean, counted, switches = np.zeros((n, len(t.labels))), np.zeros(n), np.zeros(n, np.int64)
+        letters = np.bincount(np.searchsorted(w.offsets, np.flatnonzero(_LETTER[w.data]), side="right") - 1, minlength=n) > 0
+        for k in np.flatnonzero(letters):  # bytes beyond ASCII may be no letters
+            own = w.data[w.offsets[k] : w.offsets[k + 1]]
+            if not _LETTER[own[own < 128]].any() and not _ANY_LETTER.search(texts[i + int(k)].as_py()):
+                letters[k] = False
+        if len(w.start) and t.labels:
+            pieces = np.maximum(1, -(-w.counts // run_words))
+            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            lay = _chains.layout(np.append(np.repeat(w.first[:-1], pieces) + nth * run_words, w.first[-1]))
+            p = np.empty((len(w.start), len(t.labels)))
+            p[lay.at] = _posteriors(t, lay, _scores(t, w))[0]
+            ink = np.concatenate([[0], np.cumsum(_LETTER[w.data])])
+            weight = (ink[w.end] > ink[w.start]).astype(float)
+            counted = np.bincount(doc, weight, n)
+            mean = np.stack([np.bincount(doc, p[:, c] * weight, n) for c in range(len(t.labels))], 1) / np.maximum(counted, 1)[:, None]
+            best = p.argmax(1)
+            changed = np.flatnonzero((best[1:] != best[:-1]) & (doc[1:] == doc[:-1]))
+            switches = np.bincount(doc[changed], minlength=n)
+        sure = letters & (counted > 0)
+        best = np.where(sure, mean.argmax(1) if t.labels else 0, len(t.labels))
+        score = np.where(sure, np.clip(mean.max(1, initial=0.0), 0, 1), 0.0)
+        yield i, j, best, score, w.counts.astype(np.int64), switches.astype(np.int64)
+
+
 def _predict(t: Tagger, run_words: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*t.labels, UNKNOWN], object)
         for b in batches:
-            texts = b.column(b.num_columns - 1)
-            for i, j, w in _words.batches(texts, 1 << 20):
-                n, doc = j - i, w.doc
-                mean, counted, switches = np.zeros((n, len(t.labels))), np.zeros(n), np.zeros(n, np.int64)
-                letters = np.bincount(np.searchsorted(w.offsets, np.flatnonzero(_LETTER[w.data]), side="right") - 1, minlength=n) > 0
-                for k in np.flatnonzero(letters):  # bytes beyond ASCII may be no letters
-                    own = w.data[w.offsets[k] : w.offsets[k + 1]]
-                    if not _LETTER[own[own < 128]].any() and not _ANY_LETTER.search(texts[i + int(k)].as_py()):
-                        letters[k] = False
-                if len(w.start) and t.labels:
-                    pieces = np.maximum(1, -(-w.counts // run_words))
-                    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                    lay = _chains.layout(np.append(np.repeat(w.first[:-1], pieces) + nth * run_words, w.first[-1]))
-                    p = np.empty((len(w.start), len(t.labels)))
-                    p[lay.at] = _posteriors(t, lay, _scores(t, w))[0]
-                    weight = np.add.reduceat(_LETTER[w.data].astype(np.int64), np.ravel(np.column_stack([w.start, np.minimum(w.end, len(w.data) - 1)])))[::2]
-                    weight[-1] = _LETTER[w.data[w.start[-1] : w.end[-1]]].sum()
-                    weight = (weight > 0).astype(float)
-                    counted = np.bincount(doc, weight, n)
-                    mean = np.stack([np.bincount(doc, p[:, c] * weight, n) for c in range(len(t.labels))], 1) / np.maximum(counted, 1)[:, None]
-                    best = p.argmax(1)
-                    changed = np.flatnonzero((best[1:] != best[:-1]) & (doc[1:] == doc[:-1]))
-                    switches = np.bincount(doc[changed], minlength=n)
-                sure = letters & (counted > 0)
-                best = np.where(sure, mean.argmax(1) if t.labels else 0, len(t.labels))
-                score = np.where(sure, np.clip(mean.max(1, initial=0.0), 0, 1), 0.0)
-                kept = [b.column(c).slice(i, n) for c in range(b.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best], pa.string()), pa.array(score), pa.array(w.counts.astype(np.int64)), pa.array(switches.astype(np.int64))], schema=schema)
+            for i, j, best, score, words, switches in _judged(t, run_words, b.column(b.num_columns - 1)):
+                kept = [b.column(c).slice(i, j - i) for c in range(b.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best], pa.string()), pa.array(score), pa.array(words), pa.array(switches)], schema=schema)
+
+    return run
+
+
+def _accept(t: Tagger, run_words: int, least_score: float, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, best, score, _, _ in _judged(t, run_words, b.column(text_at)):
+                yield b.slice(i, j - i).filter(pa.array((best < len(t.labels)) & (score >= least_score)))
 
     return run
 
 
+def accept(df: DataFrame, tagger: Tagger, least_score: float, text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """df, all columns, without the texts that are in no language: null, without a letter, or with no mean posterior of least_score."""
+    return df.mapInArrow(_accept(tagger, s.run_words, least_score, df.columns.index(text_col)), df.schema)
+
+
 def predict(df: DataFrame, tagger: Tagger, keep: list[Column], text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
     """The columns `keep`, lang_pred (`und` for null and for texts without a letter), score (mean posterior of lang_pred; 0 for und), n_words, and switches of label between neighbouring words."""
     rows = df.select(*keep, F.col(text_col).alias("_text"))
