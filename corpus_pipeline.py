@@ -7,7 +7,6 @@ columns of documents. run() applies them in turn, each stage's result written as
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, language_id, mixing, near_dedup, packing
 from tessera.llm._io import stash
@@ -20,8 +19,7 @@ LEAST_LANGUAGE_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: without texts that are in no language; the classifier learns from the labelled rows."""
     tagger = language_id.train(docs.select("text", "lang"), language_id.Settings())
-    judged = language_id.predict(docs, tagger, [F.col(c) for c in docs.columns])
-    return judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return language_id.accept(docs, tagger, LEAST_LANGUAGE_SCORE)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
