@@ -2,7 +2,7 @@
 
 import pytest
 
-LONG = "lorem ipsum dolor sit amet consectetur " * 8000
+LONG = "".join(f"wort{i % 3001} " for i in range(48_000))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sha string, node long, block long, h long, slot long, stream string, _row string, lang_pred string, score double, _text string, Piece int"
 
 
