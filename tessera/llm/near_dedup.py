@@ -248,9 +248,9 @@ def _compare(percent: int):
 def _long_links(postings: DataFrame, roots: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Step 5: links between components within long postings (key, node, n)."""
     rows = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    mixed = stash(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
     chunks = F.ceil(F.col("n") / s.block).cast("int")
-    rows = rows.join(mixed, "key", "left_semi").withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
+    rows = rows.join(small(mixed), "key", "left_semi").withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
     # block (i, j), i <= j: a node of chunk c is in its row and its column
     own, other = F.col("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     rows = rows.select("key", "node", "root", "chunk", other).select("key", "node", "root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(own > F.col("other"), 1).otherwise(0).alias("side"))
