@@ -55,11 +55,15 @@ def needs_clarification(query: Column, has_context: Column) -> Column:
     return plain.isin(GREETINGS) | (~has_context & generic)
 
 
+def marker_ids(inner: Column) -> Column:
+    """The ids between a marker's brackets: one, or several of the malformed form `a], [chunk:b`; blanks drop out."""
+    return F.filter(F.transform(F.split(inner, r"\]\s*,\s*\[chunk:"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def citation_ids(text: Column) -> Column:
     """Ids of [[chunk:a]] markers and of malformed [[chunk:a], [chunk:b]] ones, in order, without blanks or repeats."""
     inner = F.regexp_extract_all(text, F.lit(CHUNK_MARK), F.lit(1))
-    ids = F.flatten(F.transform(inner, lambda x: F.split(x, r"\]\s*,\s*\[chunk:")))
-    return F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: x != ""))
+    return F.array_distinct(F.flatten(F.transform(inner, lambda x: marker_ids(x))))
 
 
 def without_citations(text: Column) -> Column:

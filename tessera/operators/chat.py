@@ -56,3 +56,65 @@ def replay(cited: DataFrame, owner: DataFrame, sealed_owner: DataFrame) -> DataF
     hidden = sealed_owner.select("chunk", F.col("document").alias("d2")).join(open_.select("chunk"), "chunk", "left_anti")
     rows = cited.join(open_, "chunk", "left").join(hidden, "chunk", "left").withColumn("document", F.coalesce("d1", "d2"))
     return rows.where(F.col("document").isNotNull()).groupBy("session", "turn").agg(F.array_sort(F.collect_set("document")).alias("documents"))
+
+
+def answer_segments(messages: DataFrame) -> DataFrame:
+    """(session, turn, pos, kind, body): an answer's text and citations in order; a marker of several ids gives one citation each."""
+    mark = T.CHUNK_MARK
+    parts = F.arrays_zip(F.split("content", mark).alias("text"), F.transform(F.regexp_extract_all("content", F.lit(mark), F.lit(1)), lambda x: T.marker_ids(x)).alias("ids"))
+    piece = lambda p: F.concat(
+        F.when(F.coalesce(p["text"], F.lit("")) != "", F.array(F.struct(F.lit("text").alias("kind"), p["text"].alias("body")))).otherwise(F.array().cast("array<struct<kind:string,body:string>>")),
+        F.transform(F.coalesce(p["ids"], F.array().cast("array<string>")), lambda i: F.struct(F.lit("citation").alias("kind"), i.alias("body"))),
+    )
+    rows = messages.select("session", "turn", F.posexplode(F.flatten(F.transform(parts, piece))).alias("pos", "s"))
+    return rows.select("session", "turn", "pos", F.col("s.kind").alias("kind"), F.col("s.body").alias("body"))
+
+
+def instructions(chunks: DataFrame, titles: DataFrame, header: str, none: str = "No relevant context was found for this question.") -> DataFrame:
+    """(qid, prompt): header, then sources in order of their best chunk, each with its title and its chunks. chunks: (qid, position, chunk, document, content), a null chunk where a question has none; titles: (document, title)."""
+    named = chunks.join(titles.select("document", "title"), "document", "left").withColumn("title", F.coalesce("title", F.lit("Untitled document")))
+    block = F.concat(F.lit("[[chunk:"), F.col("chunk").cast("string"), F.lit("]]\n"), F.col("content"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("position", block.alias("block")))))
+    sources = named.groupBy("qid", "document").agg(F.min("position").alias("first"), F.first("title").alias("title"), listed.alias("blocks"))
+    section = F.concat(F.lit('### Source: "'), F.col("title"), F.lit('"\n'), F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n"))
+    sections = F.array_sort(F.collect_list(F.when(F.size("blocks") > 0, F.struct("first", section.alias("section")))))
+    out = sources.groupBy("qid").agg(sections.alias("sections"))
+    body = F.when(F.size("sections") > 0, F.array_join(F.transform("sections", lambda s: s["section"]), "\n\n")).otherwise(none)
+    return out.select("qid", F.concat(F.lit(header + "\n\n"), body).alias("prompt"))
+
+
+ITEMS = "struct<items: array<struct<title: string, description: string, source_chunk_id: string>>>"
+
+
+def action_items(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(document, place, title, description, chunk): to-dos of models' answers (document, raw), from the first brace to the last; without a title or with a chunk that is not the document's they drop out. chunks: (document, chunk)."""
+    body = F.regexp_extract("raw", r"(?s)(\{.*\})", 1)
+    rows = answers.select("document", F.posexplode(F.from_json(body, ITEMS)["items"]).alias("place", "i"))
+    rows = rows.select("document", "place", F.col("i.title").alias("title"), F.coalesce("i.description", F.lit("")).alias("description"), F.col("i.source_chunk_id").alias("chunk"))
+    own = chunks.select("document", F.col("chunk").cast("string").alias("chunk")).distinct()
+    return rows.where(F.coalesce("title", F.lit("")) != "").join(own, ["document", "chunk"], "left_semi").select("document", "place", "title", "description", "chunk")
+
+
+def sse_text(line: Column) -> Column:
+    """The text of one line of an event stream, if it is a text delta; else null."""
+    payload = F.trim(F.substring(line, 6, 1 << 30))
+    event = F.from_json(payload, "event_type string, delta struct<type: string, text: string>")
+    good = line.startswith("data:") & (payload != "") & (payload != "[DONE]") & (event["event_type"] == "step.delta") & (event["delta"]["type"] == "text")
+    return F.when(good, F.nullif(event["delta"]["text"], F.lit("")))
+
+
+def export_markdown(messages: DataFrame, cited: DataFrame, titles: DataFrame) -> DataFrame:
+    """(session, markdown): a conversation with numbered citations and its sources. cited: as citations() gives; titles: (chunk, title). Markers without a source vanish."""
+    numbers = export_numbers(cited)
+    by_session = numbers.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "number"))).alias("numbers"))
+    rows = messages.join(by_session, "session", "left")
+    parts = F.arrays_zip(F.split("content", T.CHUNK_MARK).alias("text"), F.transform(F.regexp_extract_all("content", F.lit(T.CHUNK_MARK), F.lit(1)), lambda x: T.marker_ids(x)).alias("ids"))
+    known = lambda ids: F.filter(F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda i: F.element_at("numbers", i)), lambda n: n.isNotNull())
+    piece = lambda p: F.concat(F.coalesce(p["text"], F.lit("")), F.array_join(F.transform(known(p["ids"]), lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), ""))
+    body = F.array_join(F.transform(parts, piece), "")
+    said = rows.select("session", "turn", F.concat(F.lit("**"), F.initcap("role"), F.lit(":** "), body).alias("said"))
+    talk = said.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "said"))), lambda m: m["said"]), "\n\n").alias("talk"))
+    line = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.coalesce("title", "chunk"))
+    foot = numbers.join(titles.select("chunk", "title"), "chunk", "left").groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))), lambda m: m["line"]), "\n").alias("foot"))
+    rows = talk.join(foot, "session", "left")
+    return rows.select("session", F.concat("talk", F.when(F.col("foot").isNotNull(), F.concat(F.lit("\n\n## Sources\n"), F.col("foot"))).otherwise("")).alias("markdown"))

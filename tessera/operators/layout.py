@@ -48,6 +48,13 @@ def neighbours(regions: DataFrame, group: str = "page_id") -> DataFrame:
     return regions.select(group, "ordinal", T.joined_context([F.lag("content").over(w), F.lead("content").over(w)]).alias("nearby"))
 
 
+def related(relations: DataFrame, regions: DataFrame) -> DataFrame:
+    """(region, other, relation): the other ends of relations (source, target, relation) at either end of regions (region), where that end is a region too."""
+    ends = regions.select("region")
+    both = relations.select(F.col("source").alias("region"), F.col("target").alias("other"), "relation").unionByName(relations.select(F.col("target").alias("region"), F.col("source").alias("other"), "relation"))
+    return both.join(ends, "region", "left_semi").join(ends.withColumnRenamed("region", "other"), "other", "left_semi").select("region", "other", "relation").distinct()
+
+
 def captions(regions: DataFrame, group: str = "page_id") -> DataFrame:
     """(group, region, target, relation): captions to the nearest earlier visual region of the page, and mentions to the figure's caption (of equal numbers the last)."""
     before = Window.partitionBy(group).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)

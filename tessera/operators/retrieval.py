@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.joins import small
 
 RRF_K = 60
 LEG, FUSED, FINAL, PER_DOCUMENT, FLOOR = 20, 10, 5, 3, 0.2
@@ -73,12 +74,12 @@ def longest_terms(questions: DataFrame, n: int = 4) -> DataFrame:
 def term_frequencies(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(id, term, tf) of the terms asked for; the set of terms is bounded by the questions."""
     words = documents.select("id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return words.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return words.join(small(terms.select("term").distinct()), "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def lexical(frequencies: DataFrame, terms: DataFrame, k: int = LEG) -> DataFrame:
     """(qid, id, score, rank): documents with any of the terms, by the sum of log(1 + tf)."""
-    scored = frequencies.join(F.broadcast(terms), "term").groupBy("qid", "id").agg(F.round(F.sum(F.log1p("tf")), 9).alias("score"))
+    scored = frequencies.join(small(terms), "term").groupBy("qid", "id").agg(F.round(F.sum(F.log1p("tf")), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -120,8 +121,17 @@ def diversify(ranked: DataFrame, document: str, top: int = FINAL, most: int = PE
 def overlap(frequencies: DataFrame, terms: DataFrame) -> DataFrame:
     """(qid, id, relevance): the share of a question's terms that a document has; stands in for a hosted reranker."""
     n = terms.groupBy("qid").agg(F.count("*").alias("n"))
-    hits = frequencies.join(F.broadcast(terms), "term").groupBy("qid", "id").agg(F.count("*").alias("hits"))
-    return hits.join(F.broadcast(n), "qid").select("qid", "id", (F.col("hits") / F.col("n")).alias("relevance"))
+    hits = frequencies.join(small(terms), "term").groupBy("qid", "id").agg(F.count("*").alias("hits"))
+    return hits.join(small(n), "qid").select("qid", "id", (F.col("hits") / F.col("n")).alias("relevance"))
+
+
+def scoped(rows: DataFrame, terms: list[str], k: int = FINAL, floor: float = FLOOR) -> DataFrame:
+    """Of rows (id, text, scope): in each scope the k most relevant at or above the floor, with relevance (the share of terms that the text has) and rank. Nothing comes from other scopes."""
+    held = T.tokens(F.col("text"))
+    relevance = F.size(F.array_intersect(F.array(*[F.lit(t) for t in dict.fromkeys(terms)]), held)) / len(dict.fromkeys(terms))
+    rows = rows.select("id", "scope", relevance.alias("relevance")).where(F.col("relevance") >= floor)
+    rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.col("relevance").desc(), "id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def sealed_matches(plain: DataFrame, phrase: str) -> DataFrame:

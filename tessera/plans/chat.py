@@ -46,20 +46,24 @@ def session_totals(spark, d):
 
 
 # Markers are made from turn and session numbers; one in seven is unknown.
-_MARKED = f"""(SELECT *, [[session % 97, 'x'], [turn, 'x']] AS _, 'see [[chunk:' || (session % 97) || ']] and [[chunk:' || (turn + 3) || '], [chunk:' || (session % 97) || ']] ' || CASE WHEN turn % 2 = 0 THEN '[[chunk:none]]' ELSE '[[chunk:' || ((session + turn) % 89) || ']]' END AS marked FROM {_MSG})""".replace("[[session % 97, 'x'], [turn, 'x']] AS _, ", "")
 _CITED = f"""c AS (SELECT session, turn, k AS chunk, pos FROM (SELECT session, turn, unnest(ids) AS k, generate_subscripts(ids, 1) AS pos FROM
 (SELECT session, turn, [(session % 97)::VARCHAR, (turn + 3)::VARCHAR, CASE WHEN turn % 2 = 0 THEN 'none' ELSE ((session + turn) % 89)::VARCHAR END] AS ids FROM {_MSG} WHERE role = 'assistant')) WHERE k <> 'none'),
 one AS (SELECT session, turn, chunk, min(pos) AS pos FROM c GROUP BY ALL),
 cited AS (SELECT session, turn, chunk, row_number() OVER (PARTITION BY session, turn ORDER BY pos) AS place FROM one)"""
 
 
-def _cited(spark, d):
+def _marked(spark, d):
+    """Messages; the assistant's with markers instead of their text."""
     s, t = F.col("session"), F.col("turn")
     mark = lambda x: F.concat(F.lit("[[chunk:"), x.cast("string"), F.lit("]]"))
     text = F.concat(F.lit("see "), mark(s % 97), F.lit(" and [[chunk:"), (t + 3).cast("string"), F.lit("], [chunk:"), (s % 97).cast("string"), F.lit("]] "), F.when(t % 2 == 0, F.lit("[[chunk:none]]")).otherwise(mark((s + t) % 89)))
-    rows = Vault(spark, d).messages().where("role = 'assistant'").withColumn("content", text)
+    return Vault(spark, d).messages().withColumn("content", F.when(F.col("role") == "assistant", text).otherwise(F.col("content")))
+
+
+def _cited(spark, d):
+    s, t = F.col("session"), F.col("turn")
     allowed = F.array((s % 97).cast("string"), (t + 3).cast("string"), ((s + t) % 89).cast("string"))
-    return C.citations(rows, allowed)
+    return C.citations(_marked(spark, d).where("role = 'assistant'"), allowed)
 
 
 @query(f"WITH {_CITED} SELECT session, turn, chunk, place FROM cited")
@@ -94,3 +98,59 @@ def vague_query_guard(spark, d):
     s = F.col("session") % 4
     q = F.when(s == 0, "Hello!").when(s == 1, "What is this about?").when(s == 2, "Explain: revenue").otherwise("")
     return Vault(spark, d).messages().select("session", "turn", T.needs_clarification(q, F.col("turn") % 3 == 0).alias("vague"))
+
+
+@query(
+    r"""WITH m AS (SELECT conv_id AS session, turn, 'See [[chunk:' || conv_id || ']] and [[chunk:a], [chunk: b ]]' || text AS t FROM conversations WHERE role = 'assistant'),
+s AS (SELECT session, turn, [{'k': 'text', 'b': 'See '}, {'k': 'citation', 'b': session::VARCHAR}, {'k': 'text', 'b': ' and '}, {'k': 'citation', 'b': 'a'}, {'k': 'citation', 'b': 'b'}, {'k': 'text', 'b': text}] AS p FROM (SELECT conv_id AS session, turn, text FROM conversations WHERE role = 'assistant'))
+SELECT session, turn, pos::INT AS pos, p[pos + 1].k AS kind, p[pos + 1].b AS body FROM (SELECT *, unnest(range(0, 6)) AS pos FROM s)"""
+)
+def answer_segments(spark, d):
+    rows = Vault(spark, d).messages().where("role = 'assistant'")
+    text = F.concat(F.lit("See [[chunk:"), F.col("session").cast("string"), F.lit("]] and [[chunk:a], [chunk: b ]]"), "content")
+    return C.answer_segments(rows.select("session", "turn", text.alias("content")))
+
+
+@query(
+    f"""WITH c AS (SELECT id // 10 AS qid, id AS chunk, user_id AS document, text AS content, id % 10 AS position FROM {DOCS_SQL} WHERE status = 'ready'),
+g AS (SELECT qid, document, min(position) AS first, string_agg('[[chunk:' || chunk || ']]' || chr(10) || content, chr(10) || chr(10) ORDER BY position) AS blocks FROM c GROUP BY qid, document)
+SELECT qid, 'Answer from the sources.' || chr(10) || chr(10) || string_agg('### Source: "' || CASE WHEN document = 'src0' THEN 'Untitled document' ELSE upper(document) END || '"' || chr(10) || blocks, chr(10) || chr(10) ORDER BY first) AS prompt FROM g GROUP BY qid"""
+)
+def instructions(spark, d):
+    docs = Vault(spark, d).searchable()
+    chunks = docs.select(F.expr("id div 10").alias("qid"), (F.col("id") % 10).alias("position"), F.col("id").alias("chunk"), F.col("user_id").alias("document"), F.col("text").alias("content"))
+    titles = docs.select(F.col("user_id").alias("document"), F.upper("user_id").alias("title")).where("document <> 'src0'").distinct()
+    return C.instructions(chunks, titles, "Answer from the sources.")
+
+
+@query(f"SELECT id AS document, 0 AS place, 'Do ' || id AS title, '' AS description, id::VARCHAR AS chunk FROM {DOCS_SQL} WHERE id % 4 < 2")
+def action_items(spark, d):
+    """Items of answers in code fences or prose; of remainder 2 the chunk is another document's, of remainder 3 the JSON is cut off."""
+    i = F.col("id").cast("string")
+    k = F.col("id") % 4
+    item = F.concat(F.lit('{"items": [{"title": "Do '), i, F.lit('", "source_chunk_id": "'), F.when(k == 2, "none").otherwise(i), F.lit('"}, {"title": "", "source_chunk_id": "'), i, F.lit('"}]}'))
+    raw = F.when(k == 0, F.concat(F.lit("```json\n"), item, F.lit("\n```"))).when(k == 3, F.substring(item, 1, 20)).otherwise(F.concat(F.lit("Here: "), item, F.lit(" done")))
+    docs = Vault(spark, d).documents()
+    return C.action_items(docs.select(F.col("id").alias("document"), raw.alias("raw")), docs.select(F.col("id").alias("document"), F.col("id").alias("chunk")))
+
+
+@query("SELECT conv_id AS session, turn, CASE WHEN turn % 4 = 0 THEN nullif(text, '') END AS delta FROM conversations")
+def sse_text(spark, d):
+    k = F.col("turn") % 4
+    event = lambda kind: F.to_json(F.struct(F.lit(kind).alias("event_type"), F.struct(F.lit("text").alias("type"), F.col("content").alias("text")).alias("delta")))
+    line = F.when(k == 0, F.concat(F.lit("data: "), event("step.delta"))).when(k == 1, "data: [DONE]").when(k == 2, F.concat(F.lit("data:"), event("step.end"))).otherwise(F.concat(F.lit("event: "), event("step.delta")))
+    return Vault(spark, d).messages().select("session", "turn", C.sse_text(line).alias("delta"))
+
+
+@query(
+    f"""WITH {_CITED}, n AS (SELECT session, chunk, row_number() OVER (PARTITION BY session ORDER BY seen) AS number FROM (SELECT session, chunk, min({{'turn': turn, 'place': place}}) AS seen FROM cited GROUP BY ALL)),
+f AS (SELECT session, string_agg('[' || number || '] ' || CASE WHEN chunk = '4' THEN 'Four' ELSE chunk END, chr(10) ORDER BY number) AS foot FROM n GROUP BY session),
+placed AS (SELECT session, turn, max(CASE WHEN chunk = (session % 97)::VARCHAR THEN number END) AS a, max(CASE WHEN chunk = (turn + 3)::VARCHAR THEN number END) AS b, max(CASE WHEN chunk = ((session + turn) % 89)::VARCHAR THEN number END) AS c FROM (SELECT session, turn FROM {_MSG} WHERE role = 'assistant') JOIN n USING (session) GROUP BY session, turn),
+said AS (SELECT session, turn, '**Assistant:** see [' || a || '] and [' || b || '][' || a || '] ' || CASE WHEN turn % 2 = 0 THEN '' ELSE '[' || c || ']' END AS t FROM placed UNION ALL
+  SELECT session, turn, '**' || upper(role[1]) || role[2:] || ':** ' || content FROM {_MSG} WHERE role <> 'assistant')
+SELECT session, string_agg(t, chr(10) || chr(10) ORDER BY turn) || coalesce(chr(10) || chr(10) || '## Sources' || chr(10) || any_value(foot), '') AS markdown FROM said LEFT JOIN f USING (session) GROUP BY session"""
+)
+def export_markdown(spark, d):
+    rows = _marked(spark, d)
+    titles = rows.sparkSession.createDataFrame([("4", "Four")], "chunk string, title string")
+    return C.export_markdown(rows, _cited(spark, d), titles)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.operators import layout as L
 from tessera.operators import retrieval as R
+from tessera.operators import search as S
 from tessera.plans.registry import query
 from tessera.sources.vault import DOCS_SQL, Vault, table
 
@@ -215,3 +217,38 @@ def evidence_lines(spark, d):
     docs, none = Vault(spark, d).searchable(), F.lit(None).cast("string")
     title = F.when(F.col("id") % 5 == 0, F.lit("")).otherwise(F.substring("text", 1, 10))
     return docs.select("id", T.serialize_evidence(title, none, F.col("id") % 30, none, F.col("text")).alias("evidence"))
+
+
+@query(_fts(f"({_tf('with')} > 0 AND {_tf('from')} > 0 AND {_tf('nicht')} = 0) OR ((' ' || array_to_string(regexp_extract_all(lower(text), '([a-z]+)', 1), ' ') || ' ') LIKE '% of the %' AND {_tf('and')} > 0)", ["with", "from", "of", "the", "and"]))
+def websearch(spark, d):
+    found = S.web_search(Vault(spark, d).searchable(), 'with From -nicht OR "of the" and')
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+@query(_HYBRID_SQL + ", nt AS (SELECT qid, count(*) AS n FROM terms GROUP BY qid) SELECT l.qid, id, round(score, 6) AS score FROM lexs l JOIN nt ON nt.qid = l.qid WHERE hits = n")
+def websearch_batch(spark, d):
+    """Documents with all of a question's longest words, for all questions."""
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    terms = R.longest_terms(questions)
+    tf = R.term_frequencies(Vault(spark, d).searchable(), terms)
+    return S.all_terms(tf, terms).select("qid", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT x.id AS chunk, round(len(list_filter(['with', 'from', 'that', 'the'], lambda t: list_contains(regexp_extract_all(lower(text), '([a-z]+)', 1), t))) / 4.0::DOUBLE, 6) AS relevance, user_id FROM {DOCS_SQL} x WHERE status = 'ready' AND relevance >= 0.2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY relevance DESC, x.id) <= 5")
+def document_scoped(spark, d):
+    """Within each source alone, its five most relevant rows above the floor."""
+    docs = Vault(spark, d).searchable().select("id", "text", F.col("user_id").alias("scope"))
+    return R.scoped(docs, ["with", "from", "that", "the"]).select(F.col("id").alias("chunk"), F.round("relevance", 6).alias("relevance"), F.col("scope").alias("user_id"))
+
+
+@query(
+    f"""SELECT page_id, a AS region, list_sort(list(DISTINCT b)) AS near FROM (SELECT doc_id // 10 AS page_id, doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id % 10 < 9 AND doc_id % 3 > 0 UNION ALL SELECT doc_id // 10, doc_id + 1, doc_id FROM documents WHERE doc_id % 10 < 9 AND doc_id % 3 > 0)
+WHERE b IN (SELECT doc_id FROM documents) GROUP BY page_id, a""".replace("list_sort(list(DISTINCT b)) AS near", "array_to_string(list_sort(list(DISTINCT b)), ',') AS near")
+)
+def related_regions(spark, d):
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents")
+    links = docs.where((i % 10 < 9) & (i % 3 > 0)).select(i.alias("source"), (i + 1).alias("target"), F.lit("references").alias("relation"))
+    regions = docs.select(i.alias("region"), F.expr("doc_id div 10").alias("page_id"))
+    near = L.related(links, regions).groupBy("region").agg(F.array_sort(F.collect_set("other")).alias("near"))
+    return near.select(F.expr("region div 10").alias("page_id"), "region", F.array_join(F.transform("near", lambda x: x.cast("string")), ",").alias("near"))
