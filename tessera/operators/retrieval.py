@@ -18,7 +18,8 @@ QUERY_BLOCK = 20_000  # questions whose vectors a task holds at once
 
 
 def _nearest(ids: np.ndarray, q: np.ndarray, k: int, metric: str):
-    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+    length = lambda v: np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)  # noqa: E731  a zero vector is at distance 1
+    unit = q / length(q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_d = np.full((len(ids), 0), 0.0)
@@ -28,7 +29,7 @@ def _nearest(ids: np.ndarray, q: np.ndarray, k: int, metric: str):
                 c = b.slice(at, 2048)
                 x = np.array(c.column(1).to_pylist(), np.float64)
                 cid = c.column(0).to_numpy()
-                d = 1 - unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T if metric == "cosine" else np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T))
+                d = 1 - unit @ (x / length(x)).T if metric == "cosine" else np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T))
                 d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(cid, (len(ids), len(cid)))])
                 keep = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, : k + 1]
                 if d.shape[1] > k + 1:  # ties at the cut go to the least id

@@ -63,4 +63,4 @@ DOCS_SQL = """(SELECT doc_id AS id, source AS user_id, text, lang, n_chars AS si
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Text and Markdown files, a row each: path, source; bytes that are no UTF-8 become U+FFFD."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.decode("content", F.lit("UTF-8")).alias("source"))
+    return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("source"))

@@ -19,7 +19,7 @@ def spark():
 
     tmp = tempfile.mkdtemp(prefix="spark-")
     session = (
-        SparkSession.builder.master("local[*]")
+        SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "4g")
         .config("spark.local.dir", tmp)
