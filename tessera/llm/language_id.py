@@ -161,8 +161,11 @@ def train(rows: DataFrame, s: Settings) -> Tagger:
     """From the columns text and lang of rows; rows without a language or a word teach nothing."""
     known = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     hashed = known.withColumn("h", F.xxhash64("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    least = hashed.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("nth", nth).where(F.col("nth") <= s.sample_docs).groupBy("lang").agg(F.max("h").alias("most"))
+    distinct = hashed.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("part", F.pmod("h", F.lit(1024)))
+    # the least hashes of each part, then of those the least of all, so that no task holds a language
+    for keys in (["lang", "part"], ["lang"]):
+        distinct = distinct.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("nth") <= s.sample_docs)
+    least = distinct.groupBy("lang").agg(F.max("h").alias("most"))
     # one text of each hash, so that copies do not fill the sample
     chosen = hashed.join(F.broadcast(least), "lang").where(F.col("h") <= F.col("most")).dropDuplicates(["lang", "h"])  # a row per language
     words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
