@@ -132,3 +132,48 @@ def latest(log: DataFrame, keys: list[str], version: str) -> DataFrame:
     """A change log's current rows: the last version of each key wins."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(version).desc()))
     return log.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
+def embed_outcomes(chunks: DataFrame, jobs: DataFrame, providers: list[str]) -> DataFrame:
+    """(document, checkpoint, state, last_error, n_new) after each job's run. jobs: (document, provider, checkpoint); chunks: (document, ordinal, error).
+
+    Chunks up to the checkpoint are done already; the first error stops the job there, and a later run goes on from its checkpoint.
+    """
+    left = chunks.join(jobs.select("document", "checkpoint"), "document").where(F.col("ordinal") > F.col("checkpoint"))
+    stop = left.groupBy("document").agg(F.min(F.when(F.col("error").isNotNull(), F.struct("ordinal", "error"))).alias("stop"))
+    done = left.join(stop, "document").where(F.col("stop").isNull() | (F.col("ordinal") < F.col("stop.ordinal"))).groupBy("document").agg(F.max("ordinal").alias("last"), F.count("*").alias("n"))
+    rows = jobs.join(stop, "document", "left").join(done, "document", "left")
+    known = F.col("provider").isin(providers) if providers else F.lit(False)
+    error = F.when(~known, "provider_not_configured").otherwise(F.col("stop.error"))
+    return rows.select("document", F.when(known, F.coalesce("last", "checkpoint")).otherwise(F.col("checkpoint")).alias("checkpoint"), F.when(error.isNull(), "ready").otherwise("failed").alias("state"), error.alias("last_error"), F.when(known, F.coalesce("n", F.lit(0))).otherwise(0).alias("n_new"))
+
+
+def agent_cards(asked: DataFrame, boards: DataFrame) -> DataFrame:
+    """(id, board, column, title): cards that an agent asked for (id, board, column, title): none on a board that is not the user's; a column that the board lacks becomes its first. boards: (board, columns: array)."""
+    rows = asked.join(boards.select("board", "columns"), "board").where(F.size("columns") > 0)
+    return rows.select("id", "board", F.when(F.array_contains("columns", F.coalesce("column", F.lit(""))), F.col("column")).otherwise(F.col("columns")[0]).alias("column"), "title")
+
+
+def opened(claims: DataFrame, asked: DataFrame, sealed: DataFrame, now: Column) -> DataFrame:
+    """(claim, ordinal, ciphertext): sealed chunks that live claims open; asked: (claim, document). A claim opens its own document alone, and at its very end nothing."""
+    live = claims.where(F.col("expires_at") > now).select("claim", "document")
+    return asked.join(live, ["claim", "document"]).join(sealed, "document").select("claim", "ordinal", "ciphertext")
+
+
+def changes(snapshots: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """Snapshots that differ from the one before; the first always counts."""
+    w = Window.partitionBy(key).orderBy(*order)
+    state = F.struct(*columns)
+    return snapshots.withColumns({"_nth": F.row_number().over(w), "_last": F.lag(state).over(w)}).where((F.col("_nth") == 1) | ~state.eqNullSafe(F.col("_last"))).drop("_nth", "_last")
+
+
+def dimmed(nodes: DataFrame, query: str, selected: Column) -> DataFrame:
+    """nodes (id, title) with `dim`: a search is on, and neither is the node selected nor has its title the words."""
+    q = query.strip().lower()
+    return nodes.withColumn("dim", F.lit(bool(q)) & ~F.coalesce(selected, F.lit(False)) & ~F.contains(F.lower("title"), F.lit(q)))
+
+
+def needs_recluster(placements: DataFrame, limit: int = 10) -> DataFrame:
+    """(user_id, n, recluster): incremental placements since the last clustering; the next one past the limit clusters anew. placements: (user_id, method)."""
+    n = F.count_if(F.col("method") == "incremental")
+    return placements.groupBy("user_id").agg(n.alias("n"), (n + 1 >= limit).alias("recluster"))

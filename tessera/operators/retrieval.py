@@ -126,6 +126,34 @@ def overlap(frequencies: DataFrame, terms: DataFrame) -> DataFrame:
     return hits.join(small(n), "qid").select("qid", "id", (F.col("hits") / F.col("n")).alias("relevance"))
 
 
+def retrieve(legs: list[DataFrame | None], documents: DataFrame, relevance: DataFrame | None, region: Column | None = None, sealed: DataFrame | None = None, require_relevance: bool = False) -> DataFrame:
+    """(qid, id, document, relevance, final): the whole pipeline over many questions.
+
+    legs: (qid, id, rank) each, None for one that failed; the others carry, and without any only sealed matches are left. documents:
+    (id, document). relevance: (qid, id, relevance), None if the scorer is down: then the fused order stands with relevance 1 and
+    no floor, or, with require_relevance, an error. sealed: (qid, id, document) of exact matches, appended past the cut.
+    """
+    if relevance is None and require_relevance:
+        raise RuntimeError("relevance is required, but there is no scorer")
+    there, spark = [leg for leg in legs if leg is not None], documents.sparkSession
+    out = None
+    if there:
+        fused = rrf(there)
+        fused = dedupe_regions(fused, region) if region is not None else fused
+        top = fused.where(F.col("position") <= FUSED)
+        if relevance is None:
+            scored = top.withColumn("relevance", F.lit(1.0))
+        else:
+            scored = top.join(relevance, ["qid", "id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0))).where(F.col("relevance") >= FLOOR)
+        ranked = scored.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("relevance").desc(), "position")))
+        out = diversify(ranked.join(documents.select("id", "document"), "id"), "document").select("qid", "id", "document", "relevance", "final")
+    if sealed is not None:
+        nth = F.row_number().over(Window.partitionBy("qid").orderBy("id"))
+        more = sealed.select("qid", "id", "document", F.lit(1.0).alias("relevance"), (F.lit(FINAL) + nth).alias("final"))
+        out = more if out is None else out.unionByName(more)
+    return out if out is not None else spark.createDataFrame([], "qid long, id long, document string, relevance double, final int")
+
+
 def scoped(rows: DataFrame, terms: list[str], k: int = FINAL, floor: float = FLOOR) -> DataFrame:
     """Of rows (id, text, scope): in each scope the k most relevant at or above the floor, with relevance (the share of terms that the text has) and rank. Nothing comes from other scopes."""
     held = T.tokens(F.col("text"))

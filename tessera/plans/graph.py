@@ -8,6 +8,7 @@ from tessera.operators import graph as G
 from tessera.operators import retrieval as R
 from tessera.plans.registry import query
 from tessera.sources.vault import DOCS_SQL, Vault, table
+from tessera.streaming import limits
 
 NOW = "2001-08-02 00:00:00"
 HALF_LIFE = 24.0 * 365  # the tables span years
@@ -64,6 +65,18 @@ def nearest_centroid(spark, d):
     return G.place(v, centres).select("id", "cluster", F.round("distance", 5).alias("distance"))
 
 
+@query(
+    f"""WITH m AS (SELECT label, list(y ORDER BY p) AS m FROM (SELECT label, p, avg((embedding::DOUBLE[])[p]) AS y FROM embeddings, range(1, 65) t(p) GROUP BY label, p) GROUP BY label)
+SELECT vec_id AS id, arg_min(m.label, (round({_l2("embedding", "m")}, 9), m.label))::INT AS cluster FROM embeddings, m GROUP BY vec_id"""
+)
+def stream_placement(spark, d):
+    """nearest_centroid for vectors that arrive as a stream."""
+    centres = G.as_vectors(G.centroids(Vault(spark, d).vectors(), "label"), "label").withColumnRenamed("label", "cluster")
+    stream = spark.readStream.schema(table(spark, d, "embeddings").schema).parquet(f"{d}/embeddings*.parquet")
+    placed = limits.place_stream(stream.select(F.col("vec_id").alias("id"), "embedding"), centres)
+    return limits.drain(placed).select("id", "cluster")
+
+
 _TURNS = "t AS (SELECT l_orderkey AS turn, l_partkey AS chunk, max(o_orderdate) AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)"
 _EDGES = f"WITH {_TURNS}, e AS (SELECT x.chunk AS a, y.chunk AS b, count(*)::DOUBLE AS weight, count(*) AS turns, max(x.ts) AS last FROM t x JOIN t y ON x.turn = y.turn AND x.chunk < y.chunk GROUP BY ALL)"
 _LINKED = _EDGES + f""", l AS (SELECT DISTINCT p_partkey AS a, p_partkey + 7 AS b FROM part WHERE p_partkey % 50 = 0),

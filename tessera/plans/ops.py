@@ -186,3 +186,68 @@ def sealed_decrypt(spark, d):
     rows = sealed.select("id", F.base64(F.substring("raw", 1, 12)).alias("nonce"), F.base64(F.expr("substring(raw, 13)")).alias("ciphertext"))
     opened = O.decrypted(rows, F.when(F.col("id") % 2 == 0, right).otherwise(wrong))
     return opened.select("id", "plain", F.col("plain").isNotNull().alias("opened"))
+
+
+@query(
+    """WITH j AS (SELECT o_orderkey AS document, CASE WHEN o_orderkey % 5 = 0 THEN 'other' ELSE 'p1' END AS provider, o_orderkey % 3 - 1 AS checkpoint FROM orders),
+c AS (SELECT document, ordinal, max(e) AS error FROM (SELECT l_orderkey AS document, l_linenumber AS ordinal, CASE WHEN l_partkey % 7 = 0 THEN 'rate_limited' END AS e FROM lineitem) GROUP BY ALL),
+l AS (SELECT c.* FROM c JOIN j USING (document) WHERE ordinal > checkpoint), s AS (SELECT document, min(ordinal) FILTER (WHERE error IS NOT NULL) AS stop FROM l GROUP BY document),
+n AS (SELECT document, max(ordinal) AS last, count(*) AS n FROM l JOIN s USING (document) WHERE stop IS NULL OR ordinal < stop GROUP BY document)
+SELECT document, CASE WHEN provider = 'p1' THEN coalesce(last, checkpoint) ELSE checkpoint END AS checkpoint, CASE WHEN provider = 'p1' AND stop IS NULL THEN 'ready' ELSE 'failed' END AS state,
+CASE WHEN provider <> 'p1' THEN 'provider_not_configured' WHEN stop IS NOT NULL THEN 'rate_limited' END AS last_error, CASE WHEN provider = 'p1' THEN coalesce(n, 0) ELSE 0 END AS n_new FROM j LEFT JOIN s USING (document) LEFT JOIN n USING (document)"""
+)
+def embed_outcomes(spark, d):
+    i = F.col("o_orderkey")
+    jobs = table(spark, d, "orders").select(i.alias("document"), F.when(i % 5 == 0, "other").otherwise("p1").alias("provider"), (i % 3 - 1).alias("checkpoint"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("document"), F.col("l_linenumber").cast("long").alias("ordinal")).agg(F.max(F.when(F.col("l_partkey") % 7 == 0, "rate_limited")).alias("error"))
+    return O.embed_outcomes(lines, jobs, ["p1"])
+
+
+@query(f"SELECT event_id AS id, user_id AS board, CASE WHEN user_id % 2 = 0 THEN CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'view' END ELSE 'todo' END AS \"column\" FROM {_EVENTS} WHERE k > 0 AND user_id % 3 > 0")
+def agent_cards(spark, d):
+    e, u = _events(spark, d), F.col("user_id")
+    asked = e.where("k > 0").select(F.col("event_id").alias("id"), u.alias("board"), F.col("event_type").alias("column"), F.lit("x").alias("title"))
+    boards = e.where(u % 3 > 0).select(u.alias("board"), F.when(u % 2 == 0, F.array(F.lit("view"), F.lit("click"))).otherwise(F.array(F.lit("todo"))).alias("columns")).distinct()
+    return O.agent_cards(asked, boards).select("id", "board", "column")
+
+
+@query(f"SELECT c.event_id AS claim, d.id AS document, 'c' || d.id AS ciphertext FROM events c JOIN {DOCS_SQL} d ON d.id = c.user_id WHERE d.status = 'sealed' AND c.event_id % 3 > 0 AND c.ts + INTERVAL 15 MINUTE > TIMESTAMP '2024-01-10 00:00:00'")
+def claimed_sealed(spark, d):
+    e = _events(spark, d)
+    claims = e.select(F.col("event_id").alias("claim"), F.col("user_id").alias("document"), (F.col("ts") + F.make_interval(mins=F.lit(15))).alias("expires_at"))
+    asked = e.select(F.col("event_id").alias("claim"), F.when(F.col("event_id") % 3 > 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("document"))
+    sealed = Vault(spark, d).documents().where("status = 'sealed'").select(F.col("id").alias("document"), F.col("id").alias("ordinal"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("ciphertext"))
+    return O.opened(claims, asked, sealed, F.lit("2024-01-10 00:00:00").cast("timestamp")).select("claim", F.col("ordinal").alias("document"), "ciphertext")
+
+
+@query("SELECT event_id AS id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events) WHERE last IS DISTINCT FROM event_type")
+def change_feed(spark, d):
+    rows = _events(spark, d).select(F.col("event_id").alias("id"), "user_id", "event_type", "ts")
+    return O.changes(rows, "user_id", ["ts", "id"], ["event_type"]).select("id", "user_id", "event_type")
+
+
+@query(f"SELECT id, id % 9 <> 0 AND NOT contains(lower(CASE WHEN length(trim(text)) > 60 THEN left(trim(text), 60) || '…' ELSE trim(text) END), 'on') AS dim FROM {DOCS_SQL}")
+def dimmed_nodes(spark, d):
+    nodes = Vault(spark, d).documents().select("id", T.capture_title(F.lit(None).cast("string"), F.col("text")).alias("title"))
+    return O.dimmed(nodes, " ON ", F.col("id") % 9 == 0).select("id", "dim")
+
+
+@query(f"SELECT user_id, count(*) FILTER (WHERE id % 4 = 0) AS n, count(*) FILTER (WHERE id % 4 = 0) + 1 >= 10 AS recluster FROM {DOCS_SQL} GROUP BY user_id")
+def recluster_needed(spark, d):
+    rows = Vault(spark, d).documents().select("user_id", F.when(F.col("id") % 4 == 0, "incremental").otherwise("kmeans").alias("method"))
+    return O.needs_recluster(rows)
+
+
+@query(f"SELECT user_id, provider FROM {DOCS_SQL} WHERE status = 'ready' GROUP BY ALL")
+def providers_in_use(spark, d):
+    return Vault(spark, d).searchable().where(F.col("provider").isNotNull()).select("user_id", "provider").distinct()
+
+
+@query("SELECT vec_id AS id, len(embedding)::INT AS n, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 5) AS squares FROM embeddings")
+def parsed_vectors(spark, d):
+    """Vectors that came as JSON text."""
+    from tessera.functions import vectors as V
+
+    sent = Vault(spark, d).vectors().select("id", F.to_json("embedding").alias("text"))
+    v = sent.select("id", V.parse_vector(F.col("text")).alias("v"))
+    return v.select("id", F.size("v").alias("n"), F.round(V.dot(F.col("v"), F.col("v")), 5).alias("squares"))

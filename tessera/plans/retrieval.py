@@ -174,12 +174,31 @@ SELECT qid, id, round(relevance, 6) AS relevance, final FROM (SELECT *, row_numb
 def hybrid_search(spark, d):
     """Both legs, fusion, ten candidates, relevance with its floor, then five with at most three of a source."""
     docs, terms, tf, near, lex = _legs(spark, d)
-    top = R.rrf([near, lex]).where(F.col("position") <= R.FUSED)
-    scored = top.join(R.overlap(tf, terms), ["qid", "id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0))).where(F.col("relevance") >= R.FLOOR)
-    from pyspark.sql import Window
+    owner = docs.select("id", F.col("user_id").alias("document"))
+    return R.retrieve([near, lex], owner, R.overlap(tf, terms), require_relevance=True).select("qid", "id", F.round("relevance", 6).alias("relevance"), "final")
 
-    ranked = scored.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("relevance").desc(), "position")))
-    return R.diversify(ranked.join(docs.select("id", "user_id"), "id"), "user_id").select("qid", "id", F.round("relevance", 6).alias("relevance"), "final")
+
+@query(
+    _HYBRID_SQL
+    + """, lr AS (SELECT qid, id, rank AS position FROM lex), of AS (SELECT 'no scorer' AS down, qid, id, position FROM ranked WHERE position <= 10 UNION ALL SELECT 'no vectors', qid, id, position FROM lr WHERE position <= 10),
+late AS (SELECT down, qid, of.id, position, CASE WHEN row_number() OVER (PARTITION BY down, qid, user_id ORDER BY position) <= 3 THEN 0 ELSE 1 END AS late FROM of JOIN docs x ON x.id = of.id)
+SELECT down, qid, id, final FROM (SELECT down, qid, id, row_number() OVER (PARTITION BY down, qid ORDER BY late, position) AS final FROM late) WHERE final <= 5
+UNION ALL SELECT 'all but sealed', 0, id, 5 + row_number() OVER (ORDER BY id) FROM """
+    + DOCS_SQL
+    + " WHERE status = 'sealed' AND contains(lower(text), 'of the')"
+)
+def degraded_search(spark, d):
+    """What is left when the scorer, the vectors or both legs are down."""
+    docs, *_, near, lex = _legs(spark, d)
+    owner = docs.select("id", F.col("user_id").alias("document"))
+    shut = Vault(spark, d).documents().where("status = 'sealed'").select("id", F.col("text").alias("content"), F.col("user_id").alias("document"))
+    matches = R.sealed_matches(shut, "of the").join(shut.select("id", "document"), "id").withColumn("qid", F.lit(0).cast("long"))
+    modes = {"no scorer": R.retrieve([near, lex], owner, None), "no vectors": R.retrieve([None, lex], owner, None), "all but sealed": R.retrieve([None, None], owner, None, sealed=matches)}
+    out = None
+    for name, rows in modes.items():
+        part = rows.select(F.lit(name).alias("down"), "qid", "id", "final")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(

@@ -51,3 +51,10 @@ def reinforce(turns: DataFrame) -> DataFrame:
     q.awaitTermination()
     parts = spark.read.parquet(f"{root}/out")
     return parts.groupBy("a", "b").agg(F.sum("turns").alias("turns"), F.max("last").alias("last"))
+
+
+def place_stream(vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """(id, cluster, distance): each newly embedded document of a stream (id, embedding) at its nearest centre (cluster, embedding)."""
+    from tessera.operators.graph import place
+
+    return place(vectors, centres)
