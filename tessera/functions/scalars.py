@@ -44,6 +44,14 @@ def completeness(enriched: Column, complex_: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """B, KB, MB, GB in steps of 1024, one decimal above bytes."""
-    step = lambda k, unit: F.concat(F.format_string("%.1f", F.round(size / 1024.0**k, 1)), F.lit(f" {unit}"))
-    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, step(1, "KB")).when(size < 1024**3, step(2, "MB")).otherwise(step(3, "GB"))
+    """b, kb, mb in steps of 1024, one decimal above bytes."""
+    step = lambda k, unit: F.concat(F.format_string("%.1f", F.round(size / 1024.0**k, 1)), F.lit(unit))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit("b"))).when(size < 1024**2, step(1, "kb")).otherwise(step(2, "mb"))
+
+
+def type_label(mime: Column) -> Column:
+    """A short name of a file's type; of unknown types the part after the slash."""
+    # fixed values
+    names = {"text/plain": "TXT", "text/markdown": "MD", "application/pdf": "PDF", "image/jpeg": "JPG", "image/png": "PNG", "image/webp": "WEBP"}
+    known = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), mime)
+    return F.coalesce(known, F.nullif(F.upper(F.split(mime, "/")[1]), F.lit("")), F.lit("FILE"))

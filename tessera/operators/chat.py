@@ -70,16 +70,22 @@ def answer_segments(messages: DataFrame) -> DataFrame:
     return rows.select("session", "turn", "pos", F.col("s.kind").alias("kind"), F.col("s.body").alias("body"))
 
 
-def instructions(chunks: DataFrame, titles: DataFrame, header: str, none: str = "No relevant context was found for this question.") -> DataFrame:
-    """(qid, prompt): header, then sources in order of their best chunk, each with its title and its chunks. chunks: (qid, position, chunk, document, content), a null chunk where a question has none; titles: (document, title)."""
-    named = chunks.join(titles.select("document", "title"), "document", "left").withColumn("title", F.coalesce("title", F.lit("Untitled document")))
+def instructions(chunks: DataFrame, titles: DataFrame | None, header: str, none: str = "No relevant context was found for this question.") -> DataFrame:
+    """(qid, prompt): header, then sources in order of their best chunk, each with its title and its chunks; without titles the chunks alone, in order.
+
+    chunks: (qid, position, chunk, document, content), a null chunk where a question has none; titles: (document, title).
+    """
     block = F.concat(F.lit("[[chunk:"), F.col("chunk").cast("string"), F.lit("]]\n"), F.col("content"))
-    listed = F.array_sort(F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("position", block.alias("block")))))
-    sources = named.groupBy("qid", "document").agg(F.min("position").alias("first"), F.first("title").alias("title"), listed.alias("blocks"))
-    section = F.concat(F.lit('### Source: "'), F.col("title"), F.lit('"\n'), F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n"))
-    sections = F.array_sort(F.collect_list(F.when(F.size("blocks") > 0, F.struct("first", section.alias("section")))))
-    out = sources.groupBy("qid").agg(sections.alias("sections"))
-    body = F.when(F.size("sections") > 0, F.array_join(F.transform("sections", lambda s: s["section"]), "\n\n")).otherwise(none)
+    listed = F.array_sort(F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("position", block.alias("body")))))
+    joined = lambda parts: F.array_join(F.transform(parts, lambda p: p["body"]), "\n\n")
+    if titles is None:
+        out = chunks.groupBy("qid").agg(listed.alias("parts"))
+    else:
+        named = chunks.join(titles.select("document", "title"), "document", "left").withColumn("title", F.coalesce("title", F.lit("Untitled document")))
+        sources = named.groupBy("qid", "document").agg(F.min("position").alias("first"), F.first("title").alias("title"), listed.alias("parts"))
+        section = F.concat(F.lit('### Source: "'), F.col("title"), F.lit('"\n'), joined(F.col("parts")))
+        out = sources.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.size("parts") > 0, F.struct("first", section.alias("body"))))).alias("parts"))
+    body = F.when(F.size("parts") > 0, joined(F.col("parts"))).otherwise(none)
     return out.select("qid", F.concat(F.lit(header + "\n\n"), body).alias("prompt"))
 
 
@@ -103,18 +109,22 @@ def sse_text(line: Column) -> Column:
     return F.when(good, F.nullif(event["delta"]["text"], F.lit("")))
 
 
-def export_markdown(messages: DataFrame, cited: DataFrame, titles: DataFrame) -> DataFrame:
-    """(session, markdown): a conversation with numbered citations and its sources. cited: as citations() gives; titles: (chunk, title). Markers without a source vanish."""
+def export_markdown(messages: DataFrame, cited: DataFrame, titles: DataFrame, speakers: tuple[str, str] = ("You", "Assistant"), head: str = "Chat") -> DataFrame:
+    """(session, markdown): a conversation under headings of who speaks, with numbered citations and its sources at the end.
+
+    cited: as citations() gives; titles: (chunk, title). Numbers go by first appearance over the session; markers without a source vanish.
+    """
     numbers = export_numbers(cited)
     by_session = numbers.groupBy("session").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "number"))).alias("numbers"))
     rows = messages.join(by_session, "session", "left")
     parts = F.arrays_zip(F.split("content", T.CHUNK_MARK).alias("text"), F.transform(F.regexp_extract_all("content", F.lit(T.CHUNK_MARK), F.lit(1)), lambda x: T.marker_ids(x)).alias("ids"))
     known = lambda ids: F.filter(F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda i: F.element_at("numbers", i)), lambda n: n.isNotNull())
     piece = lambda p: F.concat(F.coalesce(p["text"], F.lit("")), F.array_join(F.transform(known(p["ids"]), lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), ""))
-    body = F.array_join(F.transform(parts, piece), "")
-    said = rows.select("session", "turn", F.concat(F.lit("**"), F.initcap("role"), F.lit(":** "), body).alias("said"))
-    talk = said.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "said"))), lambda m: m["said"]), "\n\n").alias("talk"))
-    line = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.coalesce("title", "chunk"))
+    body = F.regexp_replace(F.array_join(F.transform(parts, piece), ""), r"^\s+|\s+$", "")
+    who = F.when(F.col("role") == "user", speakers[0]).otherwise(speakers[1])
+    said = rows.select("session", "turn", F.concat(F.lit("## "), who, F.lit("\n"), body, F.lit("\n")).alias("said"))
+    talk = said.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "said"))), lambda m: m["said"]), "\n").alias("talk"))
+    line = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("]: "), F.coalesce("title", F.lit("Untitled document")))
     foot = numbers.join(titles.select("chunk", "title"), "chunk", "left").groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))), lambda m: m["line"]), "\n").alias("foot"))
-    rows = talk.join(foot, "session", "left")
-    return rows.select("session", F.concat("talk", F.when(F.col("foot").isNotNull(), F.concat(F.lit("\n\n## Sources\n"), F.col("foot"))).otherwise("")).alias("markdown"))
+    sources = F.coalesce(F.concat(F.lit("\n---\n\n**Sources**\n\n"), F.col("foot")), F.lit(""))
+    return talk.join(foot, "session", "left").select("session", F.concat(F.lit(f"# {head}\n\n"), F.col("talk"), sources).alias("markdown"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,23 +56,24 @@ def related(relations: DataFrame, regions: DataFrame) -> DataFrame:
     return both.join(ends, "region", "left_semi").join(ends.withColumnRenamed("region", "other"), "other", "left_semi").select("region", "other", "relation").distinct()
 
 
-def captions(regions: DataFrame, group: str = "page_id") -> DataFrame:
-    """(group, region, target, relation): captions to the nearest earlier visual region of the page, and mentions to the figure's caption (of equal numbers the last)."""
-    before = Window.partitionBy(group).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    visual = F.col("region_type").isin("image", "chart", "table")
-    rows = regions.withColumns({"_seen": F.last(F.when(visual, F.col("ordinal")), ignorenulls=True).over(before), "_caption": F.col("content").rlike(r"(?i)^(figure|fig\.|table)\s+\d+")})
-    of = rows.where(F.col("_caption") & F.col("_seen").isNotNull()).select(group, F.col("ordinal").alias("region"), F.col("_seen").alias("target"), F.lit("caption_of").alias("relation"), "content")
-    number = of.select(group, "target", F.col("region").alias("c"), F.explode(T.figure_numbers(F.col("content"))).alias("n"))
-    number = number.groupBy(group, "n").agg(F.max_by("target", "c").alias("target"))
-    said = rows.where(~F.col("_caption")).select(group, F.col("ordinal").alias("region"), F.explode(T.figure_numbers(F.col("content"))).alias("n")).join(number, [group, "n"]).where("region <> target")
-    return of.drop("content").unionByName(said.select(group, "region", "target", F.lit("references").alias("relation")))
+def captions(regions: DataFrame, document: str = "document", surface: str = "surface") -> DataFrame:
+    """(document, region, target, relation, confidence): captions to the nearest earlier visual region of their surface, and other regions to the figures that they name (of equal numbers the last caption's)."""
+    before = Window.partitionBy(document, surface).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.last(F.when(F.col("region_type").isin("image", "chart", "table"), F.col("ordinal")), ignorenulls=True).over(before)
+    caption = F.col("region_type") == "caption"
+    of = regions.withColumn("target", seen).where(caption & F.col("target").isNotNull()).select(document, F.col("ordinal").alias("region"), "target", "content")
+    figures = of.withColumn("n", T.figure_numbers(F.col("content"))[0]).where(F.col("n").isNotNull()).groupBy(document, "n").agg(F.max_by("target", "region").alias("target"))
+    said = regions.where(~caption).select(document, F.col("ordinal").alias("region"), F.explode(T.figure_numbers(F.col("content"))).alias("n"))
+    named = said.join(figures, [document, "n"]).where("region <> target").select(document, "region", "target", F.lit("references").alias("relation"), F.lit(0.85).alias("confidence"))
+    return of.select(document, "region", "target", F.lit("caption_of").alias("relation"), F.lit(0.9).alias("confidence")).unionByName(named)
 
 
 def continued_tables(regions: DataFrame, document: str, surface: str) -> DataFrame:
-    """(document, region, target): a table at the head of a surface (top at most .25) goes on from one at the foot of the last (bottom .75 or more). regions: with top and bottom."""
+    """(document, region, target): a table at the head of a surface (top at most .25) goes on from the last one of the surface before it, if that ends at its foot (bottom .75 or more). regions: with top and bottom."""
     t = regions.where(F.col("region_type") == "table")
-    low = t.where(F.col("bottom") >= 0.75).select(document, (F.col(surface) + 1).alias(surface), F.col("ordinal").alias("target"))
-    return t.where(F.col("top") <= 0.25).select(document, surface, F.col("ordinal").alias("region")).join(low, [document, surface]).select(document, "region", "target")
+    last = t.groupBy(document, (F.col(surface) + 1).alias(surface)).agg(F.max_by(F.struct("ordinal", "bottom"), "ordinal").alias("last"))
+    both = t.select(document, surface, "ordinal", "top").join(last, [document, surface])
+    return both.where((F.col("top") <= 0.25) & (F.col("last.bottom") >= 0.75)).select(document, F.col("ordinal").alias("region"), F.col("last.ordinal").alias("target"))
 
 
 def representations(regions: DataFrame, summary: Column, group: str = "page_id") -> DataFrame:
@@ -97,45 +99,45 @@ def tiles(images: DataFrame) -> DataFrame:
     return rows.select("id", tile.alias("tile"), "x0", "y0", end(F.col("x0"), F.col("width")).alias("x1"), end(F.col("y0"), F.col("height")).alias("y1"))
 
 
+SENTENCE_ENDS, WORD_AND_SPACE = re.compile(r"[.!?][ \n]"), re.compile(r"\S*\s*")
+
+
 def _boundary(text: str, low: int, end: int) -> int:
     """Where to cut in text[low:end]: after the last paragraph break, else sentence, line, white space; else at end."""
-    part = text[low:end]
-    at = part.rfind("\n\n")
-    if at >= 0:
-        return low + at + 2
-    best = max((i + 1 for mark in ".!?" for i in [_last_sentence(part, mark)] if i >= 0), default=-1)
-    if best > 0:
-        return low + best
-    at = part.rfind("\n")
-    if at >= 0:
-        return low + at + 1
-    for i in range(len(part) - 1, -1, -1):
-        if part[i].isspace():
-            return low + i + 1
-    return end
-
-
-def _last_sentence(part: str, mark: str) -> int:
-    at = len(part)
-    while (at := part.rfind(mark, 0, at)) >= 0:
-        if at + 1 < len(part) and part[at + 1].isspace():
-            return at
-    return -1
+    if (at := text.rfind("\n\n", low, end)) >= 0:
+        return at + 2
+    if ends := [m.end() for m in SENTENCE_ENDS.finditer(text, low, end)]:
+        return ends[-1]
+    if (at := text.rfind("\n", low, end)) >= 0:
+        return at + 1
+    kept = text[low:end].rstrip()
+    if len(kept) < end - low:
+        return end
+    words = kept.split()
+    return end - len(words[-1]) if len(words[-1]) < len(kept) else end
+
+
+def _word_start(text: str, at: int, most: int) -> int:
+    """at, or if it is inside a word the next word's start, at most `most`."""
+    if not 0 < at < len(text) or text[at - 1].isspace():
+        return at
+    return WORD_AND_SPACE.match(text, at, most).end()
 
 
 def cut_text(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
-    """(offset, piece): pieces of at most size characters, each beginning at a boundary about `overlap` before the last one's end; blank ones drop out."""
-    out, at = [], 0
+    """(offset, piece): pieces of at most size characters, each beginning at a word about `overlap` before the last one's end; blank ones drop out. Offsets are places in the whole text."""
     text = text or ""
+    lead = len(text) - len(text.lstrip())
+    text, out, at = text.strip(), [], 0
     while at < len(text):
-        ideal = min(len(text), at + size)
-        end = ideal if ideal == len(text) else _boundary(text, max(at + 1, ideal - int(size * LOOK_BACK)), ideal)
+        last = at + size >= len(text)
+        end = len(text) if last else _boundary(text, max(at + 1, at + size - max(1, int(size * LOOK_BACK))), at + size)
         if piece := text[at:end].strip():
-            out.append((at, piece))
-        if end >= len(text):
+            out.append((lead + at, piece))
+        if last:
             break
-        back = max(at + 1, end - overlap)
-        at = min(end, _boundary(text, max(at + 1, back - int(overlap * LOOK_BACK)), back))
+        following = _word_start(text, end - overlap, end)
+        at = following if following > at else end
     return out
 
 

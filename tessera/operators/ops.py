@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values: (requests, seconds) of each class.
-LIMITS = {"chat": (20, 60), "upload": (10, 3600), "seal": (5, 3600), "graph": (60, 60), "general": (100, 60)}
+LIMITS = {"chat": (20, 60), "upload": (10, 3600), "seal_unseal": (5, 3600), "graph": (60, 60), "general": (100, 60)}
 
 
 def admit(hits: deque, at: float, limit: int, window: float) -> tuple[bool, float]:
@@ -124,7 +124,7 @@ def evaluation(records: DataFrame) -> DataFrame:
         F.round(rate("correct_page", F.col("expected_page").isNotNull()), 6).alias("correct_page_rate"),
         F.round(rate("retrieved_in_top_5", visual), 6).alias("visual_recall_at_5"),
         F.round(rate("citations_resolved", every), 6).alias("citation_resolution_rate"),
-        F.round(rate("answer_correct", every), 6).alias("answer_correctness"),
+        F.round(rate("answer_correct", every), 6).alias("answerable_accuracy"),
     )
 
 

@@ -91,12 +91,12 @@ _GREET = ", ".join(f"'{w}'" for w in T.GREETINGS)
 
 
 @query(
-    f"""SELECT session, turn, (p IN ({_GREET}) OR (turn % 3 <> 0 AND len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '' AND NOT list_contains([{_WORDS}], w))) = 0)) AS vague
-FROM (SELECT session, turn, trim(regexp_replace(lower(q), '[^a-z0-9_ ]', '', 'g')) AS p FROM (SELECT session, turn, CASE WHEN session % 4 = 0 THEN 'Hello!' WHEN session % 4 = 1 THEN 'What is this about?' WHEN session % 4 = 2 THEN 'Explain: revenue' ELSE '' END AS q FROM {_MSG}))"""
+    f"""SELECT session, turn, (p IN ({_GREET}) OR (turn % 3 <> 0 AND ((p <> '' AND len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '' AND NOT list_contains([{_WORDS}], w))) = 0) OR regexp_matches(p, '{T.VAGUE}')))) AS vague
+FROM (SELECT session, turn, trim(regexp_replace(lower(q), '[^a-z0-9_ ]', '', 'g')) AS p FROM (SELECT session, turn, CASE WHEN session % 4 = 0 THEN 'Hello!' WHEN session % 4 = 1 THEN 'What is this about?' WHEN session % 4 = 2 THEN 'Explain: revenue' WHEN turn % 2 = 0 THEN 'Could you talk about my files?' ELSE '' END AS q FROM {_MSG}))"""
 )
 def vague_query_guard(spark, d):
     s = F.col("session") % 4
-    q = F.when(s == 0, "Hello!").when(s == 1, "What is this about?").when(s == 2, "Explain: revenue").otherwise("")
+    q = F.when(s == 0, "Hello!").when(s == 1, "What is this about?").when(s == 2, "Explain: revenue").when(F.col("turn") % 2 == 0, "Could you talk about my files?").otherwise("")
     return Vault(spark, d).messages().select("session", "turn", T.needs_clarification(q, F.col("turn") % 3 == 0).alias("vague"))
 
 
@@ -144,11 +144,11 @@ def sse_text(spark, d):
 
 @query(
     f"""WITH {_CITED}, n AS (SELECT session, chunk, row_number() OVER (PARTITION BY session ORDER BY seen) AS number FROM (SELECT session, chunk, min({{'turn': turn, 'place': place}}) AS seen FROM cited GROUP BY ALL)),
-f AS (SELECT session, string_agg('[' || number || '] ' || CASE WHEN chunk = '4' THEN 'Four' ELSE chunk END, chr(10) ORDER BY number) AS foot FROM n GROUP BY session),
+f AS (SELECT session, string_agg('[' || number || ']: ' || CASE WHEN chunk = '4' THEN 'Four' ELSE 'Untitled document' END, chr(10) ORDER BY number) AS foot FROM n GROUP BY session),
 placed AS (SELECT session, turn, max(CASE WHEN chunk = (session % 97)::VARCHAR THEN number END) AS a, max(CASE WHEN chunk = (turn + 3)::VARCHAR THEN number END) AS b, max(CASE WHEN chunk = ((session + turn) % 89)::VARCHAR THEN number END) AS c FROM (SELECT session, turn FROM {_MSG} WHERE role = 'assistant') JOIN n USING (session) GROUP BY session, turn),
-said AS (SELECT session, turn, '**Assistant:** see [' || a || '] and [' || b || '][' || a || '] ' || CASE WHEN turn % 2 = 0 THEN '' ELSE '[' || c || ']' END AS t FROM placed UNION ALL
-  SELECT session, turn, '**' || upper(role[1]) || role[2:] || ':** ' || content FROM {_MSG} WHERE role <> 'assistant')
-SELECT session, string_agg(t, chr(10) || chr(10) ORDER BY turn) || coalesce(chr(10) || chr(10) || '## Sources' || chr(10) || any_value(foot), '') AS markdown FROM said LEFT JOIN f USING (session) GROUP BY session"""
+said AS (SELECT session, turn, '## Assistant' || chr(10) || 'see [' || a || '] and [' || b || '][' || a || ']' || CASE WHEN turn % 2 = 0 THEN '' ELSE ' [' || c || ']' END || chr(10) AS t FROM placed UNION ALL
+  SELECT session, turn, '## ' || CASE WHEN role = 'user' THEN 'You' ELSE 'Assistant' END || chr(10) || regexp_replace(regexp_replace(content, '^\\s+', ''), '\\s+$', '') || chr(10) FROM {_MSG} WHERE role <> 'assistant')
+SELECT session, '# Chat' || chr(10) || chr(10) || string_agg(t, chr(10) ORDER BY turn) || coalesce(chr(10) || '---' || chr(10) || chr(10) || '**Sources**' || chr(10) || chr(10) || any_value(foot), '') AS markdown FROM said LEFT JOIN f USING (session) GROUP BY session"""
 )
 def export_markdown(spark, d):
     rows = _marked(spark, d)

@@ -65,23 +65,24 @@ def tile_grid(spark, d):
     return L.tiles(docs)
 
 
-_FIG = """f AS (SELECT doc_id // 10 AS page_id, (doc_id % 10)::INT AS ordinal, CASE WHEN doc_id % 10 IN (1, 5) THEN 'chart' ELSE 'paragraph' END AS region_type,
-CASE WHEN doc_id % 10 = 2 THEN 'Figure 1: growth' WHEN doc_id % 10 = 6 THEN 'Fig. 2 shares' WHEN doc_id % 10 = 8 THEN 'As figure 1 and Figure 2 show' ELSE text END AS content FROM documents)"""
+# Ten regions a document, on two surfaces; two charts with captions, one of them under the other surface's chart.
+_FIG = """f AS (SELECT doc_id // 10 AS document, doc_id % 10 // 5 AS surface, (doc_id % 10)::INT AS ordinal, CASE doc_id % 10 WHEN 1 THEN 'chart' WHEN 6 THEN 'image' WHEN 2 THEN 'caption' WHEN 7 THEN 'caption' WHEN 5 THEN 'caption' ELSE 'paragraph' END AS region_type,
+CASE doc_id % 10 WHEN 2 THEN 'Figure 1: growth' WHEN 7 THEN 'Fig. 2 shares' WHEN 5 THEN 'Figure 3' WHEN 8 THEN 'As figure 1 and Figure 2 show, not figure 3' ELSE text END AS content FROM documents)"""
 
 
 @query(
-    f"""WITH {_FIG}, v AS (SELECT *, last_value(CASE WHEN region_type = 'chart' THEN ordinal END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM f),
-c AS (SELECT page_id, ordinal AS region, seen AS target, content FROM v WHERE regexp_matches(content, '(?i)^(figure|fig\\.|table)\\s+\\d+') AND seen IS NOT NULL),
-n AS (SELECT page_id, regexp_extract(content, '(?i)\\b(?:figure|fig\\.)\\s*(\\d+)\\b', 1) AS n, target FROM c)
-SELECT page_id, region, target, 'caption_of' AS relation FROM c UNION ALL
-SELECT DISTINCT f.page_id, f.ordinal, n.target, 'references' FROM f JOIN n ON n.page_id = f.page_id AND list_contains(regexp_extract_all(content, '(?i)\\b(?:figure|fig\\.)\\s*(\\d+)\\b', 1), n.n)
-WHERE NOT regexp_matches(content, '(?i)^(figure|fig\\.|table)\\s+\\d+') AND f.ordinal <> n.target"""
+    f"""WITH {_FIG}, v AS (SELECT *, last_value(CASE WHEN region_type IN ('chart', 'image', 'table') THEN ordinal END IGNORE NULLS) OVER (PARTITION BY document, surface ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM f),
+c AS (SELECT document, ordinal AS region, seen AS target, content FROM v WHERE region_type = 'caption' AND seen IS NOT NULL),
+n AS (SELECT document, regexp_extract(content, '(?i)\\b(?:figure|fig\\.)\\s*(\\d+)\\b', 1) AS n, target FROM c)
+SELECT document, region, target, 'caption_of' AS relation, 0.9::DOUBLE AS confidence FROM c UNION ALL
+SELECT DISTINCT f.document, f.ordinal, n.target, 'references', 0.85::DOUBLE FROM f JOIN n ON n.document = f.document AND list_contains(regexp_extract_all(content, '(?i)\\b(?:figure|fig\\.)\\s*(\\d+)\\b', 1), n.n)
+WHERE region_type <> 'caption' AND f.ordinal <> n.target"""
 )
 def figure_relations(spark, d):
     k = F.col("doc_id") % 10
-    kind = F.when(k.isin(1, 5), "chart").otherwise("paragraph")
-    text = F.when(k == 2, "Figure 1: growth").when(k == 6, "Fig. 2 shares").when(k == 8, "As figure 1 and Figure 2 show").otherwise(F.col("text"))
-    rows = table(spark, d, "documents").select(F.expr("doc_id div 10").alias("page_id"), k.cast("int").alias("ordinal"), kind.alias("region_type"), text.alias("content"))
+    kind = F.when(k == 1, "chart").when(k == 6, "image").when(k.isin(2, 5, 7), "caption").otherwise("paragraph")
+    text = F.when(k == 2, "Figure 1: growth").when(k == 7, "Fig. 2 shares").when(k == 5, "Figure 3").when(k == 8, "As figure 1 and Figure 2 show, not figure 3").otherwise(F.col("text"))
+    rows = table(spark, d, "documents").select(F.expr("doc_id div 10").alias("document"), F.expr("doc_id % 10 div 5").alias("surface"), k.cast("int").alias("ordinal"), kind.alias("region_type"), text.alias("content"))
     return L.captions(rows).distinct()
 
 
@@ -108,7 +109,7 @@ def chunk_text(spark, d):
     return L.chunks(Vault(spark, d).searchable(), "id", "text")
 
 
-@query(f"SELECT id, CASE WHEN size < 1024 THEN size || ' B' ELSE printf('%.1f KB', round(size / 1024.0::DOUBLE, 1)) END AS label FROM {DOCS_SQL}")
+@query(f"SELECT id, CASE WHEN size < 1024 THEN size || 'b' ELSE printf('%.1fkb', round(size / 1024.0::DOUBLE, 1)) END AS label FROM {DOCS_SQL}")
 def size_labels(spark, d):
     from tessera.functions.scalars import size_label
 

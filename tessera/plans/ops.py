@@ -134,7 +134,7 @@ def cascade_delete(spark, d):
 
 @query(
     """SELECT round(coalesce(avg(quality::DOUBLE) FILTER (WHERE doc_id % 3 > 0), 0), 6) AS correct_page_rate, round(coalesce(avg(toxic::DOUBLE) FILTER (WHERE doc_id % 4 < 2), 0), 6) AS visual_recall_at_5,
-round(coalesce(avg(quality::DOUBLE), 0), 6) AS citation_resolution_rate, round(coalesce(avg(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE toxic END::DOUBLE), 0), 6) AS answer_correctness FROM labels"""
+round(coalesce(avg(quality::DOUBLE), 0), 6) AS citation_resolution_rate, round(coalesce(avg(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE toxic END::DOUBLE), 0), 6) AS answerable_accuracy FROM labels"""
 )
 def eval_metrics(spark, d):
     i, good, bad = F.col("doc_id"), F.col("quality") == 1, F.col("toxic") == 1
@@ -162,7 +162,7 @@ def title_search(spark, d):
     return Vault(spark, d).searchable().select("id", title.alias("title")).where(F.contains("title", F.lit("the")))
 
 
-@query("SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'chat' WHEN 2 THEN 'upload' WHEN 3 THEN 'seal' WHEN 4 THEN 'graph' ELSE 'general' END AS class FROM events")
+@query("SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'chat' WHEN 2 THEN 'upload' WHEN 3 THEN 'seal_unseal' WHEN 4 THEN 'graph' ELSE 'general' END AS class FROM events")
 def route_classes(spark, d):
     k = F.col("event_id") % 6
     path = F.when(k == 0, "/health").when(k == 1, "/api/v1/chat/sessions/7/stream").when(k == 2, "/api/v1/documents/upload-init").when(k == 3, "/api/v1/documents/7/seal").when(k == 4, "/api/v1/graph/recluster").otherwise("/api/v1/documents/upload-init")

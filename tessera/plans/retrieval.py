@@ -231,7 +231,7 @@ def hyde_gate(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), T.use_hypothetical(F.col("text")).alias("hypothetical"))
 
 
-@query(f"SELECT id, 'Document: ' || CASE WHEN id % 5 = 0 THEN 'Untitled' ELSE left(text, 10) END || chr(10) || 'Section: Root' || chr(10) || 'Page: ' || (id % 30) || chr(10) || 'Region: text' || chr(10) || 'Content: ' || coalesce(text, '') AS evidence FROM {DOCS_SQL} WHERE status = 'ready'")
+@query(f"SELECT id, 'Document: ' || CASE WHEN id % 5 = 0 THEN 'Untitled' ELSE left(text, 10) END || chr(10) || 'Heading: Root' || chr(10) || 'Page: ' || (id % 30) || chr(10) || 'Region: text' || chr(10) || 'Content: ' || coalesce(text, '') AS evidence FROM {DOCS_SQL} WHERE status = 'ready'")
 def evidence_lines(spark, d):
     docs, none = Vault(spark, d).searchable(), F.lit(None).cast("string")
     title = F.when(F.col("id") % 5 == 0, F.lit("")).otherwise(F.substring("text", 1, 10))

@@ -39,7 +39,7 @@ def test_replay_falls_back_to_sealed(spark):
 
 
 def test_vague_questions(spark):
-    cases = [("Hello!", True, True), ("what is this about?", False, True), ("what is this about?", True, False), ("what is the revenue", False, False), ("", False, True)]
+    cases = [("Hello!", True, True), ("what is this about?", False, True), ("what is this about?", True, False), ("what is the revenue", False, False), ("", False, False), ("summarize", False, True), ("Can you describe my documents?", False, True), ("hey", True, True), ("thanks", True, False)]
     rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, q string, context boolean, want boolean")
     assert all(r["want"] == r["got"] for r in rows.select("*", T.needs_clarification(F.col("q"), F.col("context")).alias("got")).collect())
 
@@ -72,7 +72,8 @@ def test_limits_are_apart_by_key_and_stream_in_order(spark):
 
 
 def test_routes(spark):
-    cases = [("/health", "GET", None), ("/", "GET", None), ("/chat/sessions/1/stream", "POST", "chat"), ("/documents/upload-init", "POST", "upload"), ("/documents/upload-init", "GET", "general"), ("/documents/1/unseal", "POST", "seal"), ("/graph/recluster", "POST", "graph"), ("/todos", "GET", "general")]
+    v = "/api/v1"
+    cases = [("/health", "GET", None), ("/", "GET", None), (f"{v}/chat/sessions", "GET", "chat"), (f"{v}/documents/upload-init", "POST", "upload"), (f"{v}/documents/upload-init", "GET", "general"), (f"{v}/documents/1/unlock", "POST", "seal_unseal"), (f"{v}/documents/1/unseal/x", "POST", "general"), (f"{v}/graph/nodes", "GET", "graph"), (f"{v}/todos", "GET", "general")]
     df = spark.createDataFrame(cases, "path string, method string, want string")
     assert all(r["want"] == r["got"] for r in df.select("*", T.route_class(F.col("path"), F.col("method")).alias("got")).collect())
 

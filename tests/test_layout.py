@@ -16,9 +16,17 @@ def test_boundaries():
     assert cut("a" * 84 + "\n\n" + "b c d e f g h i j k l") == "a" * 84
     assert cut("a" * 84 + ". bbb ccc ddd eee fff") == "a" * 84 + "."
     assert cut("a" * 82 + ". b! c d e f g h i j k l m n").endswith("b!")
+    assert cut("a" * 82 + "\nb c d e f g h i j k l m n") == "a" * 82
+    assert cut("a" * 82 + " b c d e f ggggggggggggggggggg") == "a" * 82 + " b c d e f"
     assert all(len(p) <= 1000 for _, p in L.cut_text("z" * 3000)) and "".join(p for _, p in L.cut_text("z" * 3000, 1000, 0)) == "z" * 3000
 
 
+def test_a_piece_begins_at_a_word():
+    text = " ".join(f"word{i}" for i in range(600))
+    for at, piece in L.cut_text("  " + text):
+        assert ("  " + text)[at:].startswith(piece) and piece.startswith("word") and len(piece) <= 1000
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab .\n", max_size=400), st.integers(5, 60), st.integers(0, 80))
 def test_no_gap_and_an_end(text, size, overlap):
@@ -55,9 +63,10 @@ def test_tiles(spark):
 
 
 def test_captions_and_tables(spark):
-    df = spark.createDataFrame([(1, 0, "chart", ""), (1, 1, "paragraph", "Figure 3: Growth"), (1, 2, "paragraph", "Figure 3 shows growth.")], "page_id long, ordinal int, region_type string, content string")
-    assert {(r["region"], r["target"], r["relation"]) for r in L.captions(df.withColumn("content", F.col("content"))).collect()} >= {(1, 0, "caption_of")}
-    tables = spark.createDataFrame([("d", 0, 0, "table", 0.5, 0.98), ("d", 1, 1, "table", 0.02, 0.4), ("d", 2, 2, "table", 0.02, 0.4)], "doc string, surface int, ordinal int, region_type string, top double, bottom double")
+    schema = "document int, surface int, ordinal int, region_type string, content string"
+    df = spark.createDataFrame([(1, 0, 0, "chart", ""), (1, 0, 1, "caption", "Figure 3: Growth"), (1, 0, 2, "paragraph", "Figure 3 shows growth."), (1, 1, 3, "caption", "Figure 4"), (1, 1, 4, "paragraph", "fig. 3")], schema)
+    assert {(r["region"], r["target"], r["relation"]) for r in L.captions(df).collect()} == {(1, 0, "caption_of"), (2, 0, "references"), (4, 0, "references")}
+    tables = spark.createDataFrame([("d", 0, 0, "table", 0.5, 0.98), ("d", 1, 1, "table", 0.02, 0.9), ("d", 1, 2, "table", 0.91, 0.6), ("d", 2, 3, "table", 0.02, 0.4)], "doc string, surface int, ordinal int, region_type string, top double, bottom double")
     assert [tuple(r) for r in L.continued_tables(tables, "doc", "surface").collect()] == [("d", 1, 0)]
 
 

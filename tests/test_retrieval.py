@@ -48,8 +48,8 @@ def test_pages_regions_and_evidence(spark):
     fused = spark.createDataFrame([(1, x, r, i) for i, (x, r) in enumerate([("visual", "s"), ("caption", "s"), ("legacy-a", None), ("legacy-b", None)])], "qid long, id string, region string, position int")
     assert [r["id"] for r in R.dedupe_regions(fused, F.col("region")).orderBy("position").collect()] == ["visual", "legacy-a", "legacy-b"]
     [row] = spark.range(1).select(T.serialize_evidence(F.lit("Report"), F.lit("A > B"), F.lit(7), F.lit("chart"), F.lit("body")).alias("x"), T.serialize_evidence(F.lit(""), *[F.lit(None).cast("string")] * 4).alias("y")).collect()
-    assert row["x"].split("\n") == ["Document: Report", "Section: A > B", "Page: 7", "Region: chart", "Content: body"]
-    assert row["y"].split("\n") == ["Document: Untitled", "Section: Root", "Page: n/a", "Region: text", "Content: "]
+    assert row["x"].split("\n") == ["Document: Report", "Heading: A > B", "Page: 7", "Region: chart", "Content: body"]
+    assert row["y"].split("\n") == ["Document: Untitled", "Heading: Root", "Page: n/a", "Region: text", "Content: "]
 
 
 def test_the_floor_is_inclusive(spark):
