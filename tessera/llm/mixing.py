@@ -23,7 +23,7 @@ from tessera.llm._io import fresh, stash
 
 REST = "*"
 MAX_STREAMS = 256  # target weights are a configuration; with the period it bounds the schedule that is broadcast
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 @dataclass(frozen=True)
