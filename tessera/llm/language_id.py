@@ -184,7 +184,7 @@ _OUT = [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double"),
 
 def _judged(t: Tagger, run_words: int, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For ranges i:j of the texts: the label's number (the last for und), its mean posterior, the words, the switches of label."""
-    for i, j, w in _words.batches(texts, 1 << 20):
+    for i, j, w in _words.batches(texts, 1 << 19):
         n, doc = j - i, w.doc
         mean, counted, switches = np.zeros((n, len(t.labels))), np.zeros(n), np.zeros(n, np.int64)
         letters = np.bincount(np.searchsorted(w.offsets, np.flatnonzero(_LETTER[w.data]), side="right") - 1, minlength=n) > 0
