@@ -21,7 +21,7 @@ def session_preview(spark, d):
     return C.session_previews(Vault(spark, d).messages())
 
 
-@query(f"SELECT session, turn, role, row_number() OVER (PARTITION BY session ORDER BY back DESC) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn DESC, content DESC) AS back FROM {_MSG}) WHERE back <= 6")
+@query(f"SELECT session, turn, role, row_number() OVER (PARTITION BY session ORDER BY back DESC) AS place FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY turn DESC, content DESC) AS back FROM {_MSG}) WHERE back <= 6", rank="place")
 def recent_messages(spark, d):
     return C.recent(Vault(spark, d).messages()).select("session", "turn", "role", "place")
 
@@ -39,7 +39,7 @@ def prompt_cost(spark, d):
     return C.prompt_costs(Vault(spark, d).messages())
 
 
-@query(f"SELECT session, sum(i) AS tokens_in, sum(o) AS tokens_out, round(300 + 1.1 * sum(i), 0) AS latency_ms FROM (SELECT session, {_TOK.format('question')} AS i, {_TOK.format('content')} AS o FROM {_ASKED} WHERE role = 'assistant') GROUP BY session".replace("round(300 + 1.1 * sum(i), 0)", "floor((3005 + 11 * sum(i)) / 10.0)::BIGINT"))
+@query(f"SELECT session, sum(i)::BIGINT AS tokens_in, sum(o)::BIGINT AS tokens_out, round(300 + 1.1 * sum(i), 0) AS latency_ms FROM (SELECT session, {_TOK.format('question')} AS i, {_TOK.format('content')} AS o FROM {_ASKED} WHERE role = 'assistant') GROUP BY session".replace("round(300 + 1.1 * sum(i), 0)", "floor((3005 + 11 * sum(i)) / 10.0)::BIGINT"))
 def session_totals(spark, d):
     per = C.prompt_costs(Vault(spark, d).messages()).groupBy("session").agg(F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
     return per.withColumn("latency_ms", F.floor((3005 + 11 * F.col("tokens_in")) / 10))
@@ -66,12 +66,12 @@ def _cited(spark, d):
     return C.citations(_marked(spark, d).where("role = 'assistant'"), allowed)
 
 
-@query(f"WITH {_CITED} SELECT session, turn, chunk, place FROM cited")
+@query(f"WITH {_CITED} SELECT session, turn, chunk, place FROM cited", rank="place")
 def citations_extract(spark, d):
     return _cited(spark, d)
 
 
-@query(f"WITH {_CITED} SELECT session, chunk, row_number() OVER (PARTITION BY session ORDER BY seen) AS number FROM (SELECT session, chunk, min({{'turn': turn, 'place': place}}) AS seen FROM cited GROUP BY ALL)")
+@query(f"WITH {_CITED} SELECT session, chunk, row_number() OVER (PARTITION BY session ORDER BY seen) AS number FROM (SELECT session, chunk, min({{'turn': turn, 'place': place}}) AS seen FROM cited GROUP BY ALL)", rank="number")
 def conversation_export(spark, d):
     return C.export_numbers(_cited(spark, d))
 

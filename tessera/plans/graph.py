@@ -25,7 +25,8 @@ def doc_centroid(spark, d):
 
 @query(
     f"""SELECT qid, id, rank, round(distance, 5) AS distance FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_l2("e.embedding", "q.embedding")} AS distance,
-row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_l2("e.embedding", "q.embedding")}, 9), e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 3"""
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_l2("e.embedding", "q.embedding")}, 9), e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 3""",
+    rank="rank",
 )
 def knn_edges(spark, d):
     v = Vault(spark, d).vectors()

@@ -118,7 +118,7 @@ def todo_patch(spark, d):
     return O.patched(base, patch, "id", ["title", "owner"]).select("id", "title", "owner")
 
 
-@query(f"SELECT user_id, sum(size) AS bytes, count(*) FILTER (WHERE status = 'sealed') AS n_sealed, least(100.0, round(100.0 * sum(size) / 200000, 6))::DOUBLE AS percent FROM {DOCS_SQL} GROUP BY user_id")
+@query(f"SELECT user_id, sum(size)::BIGINT AS bytes, count(*) FILTER (WHERE status = 'sealed') AS n_sealed, least(100.0, round(100.0 * sum(size) / 200000, 6))::DOUBLE AS percent FROM {DOCS_SQL} GROUP BY user_id")
 def storage_usage(spark, d):
     return O.storage_usage(Vault(spark, d).documents(), 200_000)
 

@@ -11,11 +11,13 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, rank: str | None = None) -> Callable[[Query], Query]:
+    """rank: a column that is INT in Spark, as its row numbers are."""
+
     def wrap(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({rank}::INT AS {rank}) FROM ({sql})" if rank else sql
         return f
 
     return wrap

@@ -35,7 +35,8 @@ def vector_topk(spark, d):
 
 @query(
     f"""SELECT qid, id, rank, round(distance, 6) AS distance FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_NEAR} AS distance,
-row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_NEAR}, 9), e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 20"""
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_NEAR}, 9), e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 20""",
+    rank="rank",
 )
 def vector_topk_batch(spark, d):
     v = Vault(spark, d).vectors()
@@ -46,7 +47,8 @@ def vector_topk_batch(spark, d):
 @query(
     f"""SELECT qid, id, rank FROM (SELECT q.vec_id AS qid, e.vec_id AS id,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_NEAR}, 9), e.vec_id) AS rank
-FROM embeddings e JOIN {DOCS_SQL} x ON x.id = e.vec_id, embeddings q WHERE q.vec_id % 20 = 0 AND x.status = 'ready' AND x.provider = 'p1') WHERE rank <= 20"""
+FROM embeddings e JOIN {DOCS_SQL} x ON x.id = e.vec_id, embeddings q WHERE q.vec_id % 20 = 0 AND x.status = 'ready' AND x.provider = 'p1') WHERE rank <= 20""",
+    rank="rank",
 )
 def vector_by_provider(spark, d):
     vault = Vault(spark, d)
@@ -121,7 +123,7 @@ def _legs(spark, d):
     return docs, terms, tf, near, R.lexical(tf, terms).select("qid", "id", "rank")
 
 
-@query(_HYBRID_SQL + "SELECT qid, id, round(score, 9) AS score, position FROM ranked WHERE position <= 10")
+@query(_HYBRID_SQL + "SELECT qid, id, round(score, 9) AS score, position FROM ranked WHERE position <= 10", rank="position")
 def rrf_fuse(spark, d):
     *_, near, lex = _legs(spark, d)
     return R.rrf([near, lex]).where("position <= 10").select("qid", "id", F.round("score", 9).alias("score"), "position")
@@ -132,7 +134,7 @@ bf AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(l
 SELECT qid, id, position FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS position FROM bf) WHERE position <= 10"""
 
 
-@query(_HYBRID_SQL + _BOOSTED)
+@query(_HYBRID_SQL + _BOOSTED, rank="position")
 def page_boost_rrf(spark, d):
     *_, near, lex = _legs(spark, d)
     asked = F.when(F.col("qid") % 2 == 0, F.concat(F.lit("what is on page "), (F.col("qid") % 30 + 1).cast("string"), F.lit("?"))).otherwise("what is there?")
@@ -143,7 +145,8 @@ def page_boost_rrf(spark, d):
 @query(
     _HYBRID_SQL
     + """, one AS (SELECT qid, id, position, row_number() OVER (PARTITION BY qid, CASE WHEN id % 5 = 0 THEN 'i' || id ELSE 'r' || (id // 3) END ORDER BY position) AS n FROM ranked)
-SELECT qid, id, position FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY position) AS position FROM one WHERE n = 1) WHERE position <= 10"""
+SELECT qid, id, position FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY position) AS position FROM one WHERE n = 1) WHERE position <= 10""",
+    rank="position",
 )
 def region_dedupe(spark, d):
     *_, near, lex = _legs(spark, d)
@@ -155,7 +158,8 @@ def region_dedupe(spark, d):
     _HYBRID_SQL
     + """, of AS (SELECT qid, r.id, position, user_id FROM ranked r JOIN docs x ON x.id = r.id),
 late AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY qid, user_id ORDER BY position) <= 3 THEN 0 ELSE 1 END AS late FROM of)
-SELECT qid, id, final FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY late, position) AS final FROM late) WHERE final <= 5"""
+SELECT qid, id, final FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY late, position) AS final FROM late) WHERE final <= 5""",
+    rank="final",
 )
 def diversity_select(spark, d):
     docs, *_, near, lex = _legs(spark, d)
@@ -169,7 +173,8 @@ def diversity_select(spark, d):
 top AS (SELECT r.qid, r.id, r.position, coalesce(hits::DOUBLE / n, 0) AS relevance, user_id FROM ranked r JOIN docs x ON x.id = r.id JOIN nt USING (qid) LEFT JOIN lexs l ON l.qid = r.qid AND l.id = r.id WHERE position <= 10),
 good AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, position) AS p2 FROM top WHERE relevance >= 0.2),
 late AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY qid, user_id ORDER BY p2) <= 3 THEN 0 ELSE 1 END AS late FROM good)
-SELECT qid, id, round(relevance, 6) AS relevance, final FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY late, p2) AS final FROM late) WHERE final <= 5"""
+SELECT qid, id, round(relevance, 6) AS relevance, final FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY late, p2) AS final FROM late) WHERE final <= 5""",
+    rank="final",
 )
 def hybrid_search(spark, d):
     """Both legs, fusion, ten candidates, relevance with its floor, then five with at most three of a source."""
@@ -185,7 +190,8 @@ late AS (SELECT down, qid, of.id, position, CASE WHEN row_number() OVER (PARTITI
 SELECT down, qid, id, final FROM (SELECT down, qid, id, row_number() OVER (PARTITION BY down, qid ORDER BY late, position) AS final FROM late) WHERE final <= 5
 UNION ALL SELECT 'all but sealed', 0, id, 5 + row_number() OVER (ORDER BY id) FROM """
     + DOCS_SQL
-    + " WHERE status = 'sealed' AND contains(lower(text), 'of the')"
+    + " WHERE status = 'sealed' AND contains(lower(text), 'of the')",
+    rank="final",
 )
 def degraded_search(spark, d):
     """What is left when the scorer, the vectors or both legs are down."""
