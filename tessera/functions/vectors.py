@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,3 +31,8 @@ def l2_distance(a: Column, b: Column) -> Column:
 def parse_vector(text: Column) -> Column:
     """A vector sent as JSON text; null stays null."""
     return F.from_json(text, "array<float>")
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow column of lists of one length, without nulls, as rows of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
+from tessera.functions.vectors import matrix
 
 EXPLICIT_WEIGHT, RENDER_FLOOR, RECLUSTER_AT = 5.0, 1.5, 10
 
@@ -27,7 +28,7 @@ def as_vectors(parts: DataFrame, key: str) -> DataFrame:
 
 
 def _assign(batch: pa.RecordBatch, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, centres.shape[1])
+    x = matrix(batch.column(1))
     d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (centres * centres).sum(1) - 2 * x @ centres.T))
     at = np.round(d, 9).argmin(1)  # the first of equals
     return x, at, d[np.arange(len(x)), at]
@@ -36,7 +37,7 @@ def _assign(batch: pa.RecordBatch, centres: np.ndarray) -> tuple[np.ndarray, np.
 def _lloyd(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
-        for b in batches:
+        for b in filter(len, batches):
             x, at, _ = _assign(b, centres)
             np.add.at(sums, at, x)
             n += np.bincount(at, minlength=len(centres))
@@ -47,7 +48,7 @@ def _lloyd(centres: np.ndarray):
 
 def _labels(centres: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in filter(len, batches):
             _, at, d = _assign(b, centres)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int32()), pa.array(d)], names=["id", "cluster", "distance"])
 

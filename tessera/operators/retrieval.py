@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.joins import small
+from tessera.functions.vectors import matrix
 
 RRF_K = 60
 LEG, FUSED, FINAL, PER_DOCUMENT, FLOOR = 20, 10, 5, 3, 0.2
@@ -27,7 +28,7 @@ def _nearest(ids: np.ndarray, q: np.ndarray, k: int, metric: str):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 c = b.slice(at, 2048)
-                x = np.array(c.column(1).to_pylist(), np.float64)
+                x = matrix(c.column(1))
                 cid = c.column(0).to_numpy()
                 d = 1 - unit @ (x / length(x)).T if metric == "cosine" else np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T))
                 d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(cid, (len(ids), len(cid)))])
