@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +26,14 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
 
 
+def phrase_pattern(words: Sequence[str]) -> str:
+    """Matches, in lower-case text, neighbouring tokens (see tokens()) that are these words of a-z; no list of tokens is made."""
+    return f"(?<![a-z]){'[^a-z]+'.join(words)}(?![a-z])"
+
+
 def term_count(text: Column, term: str) -> Column:
-    return F.size(F.filter(tokens(text), lambda t: t == term))
+    """How often a token is the term; null for null."""
+    return F.regexp_count(F.lower(text), F.lit(phrase_pattern([term])))
 
 
 def words(text: Column) -> Column:

@@ -35,8 +35,7 @@ def web_query(query: str) -> list[Alternative]:
 
 def web_match(text: Column, alternatives: list[Alternative]) -> tuple[Column, Column]:
     """Whether a text fits the query, and its score. A query without a word fits nothing."""
-    spaced = F.concat(F.lit(" "), F.array_join(T.tokens(text), " "), F.lit(" "))
-    has = lambda words: F.contains(spaced, F.lit(f" {' '.join(words)} "))
+    has = lambda words: F.lower(text).rlike(T.phrase_pattern(words))
     fits = [reduce(lambda a, b: a & b, [*map(has, a.wanted), *(~has(w) for w in a.unwanted)]) for a in alternatives]
     words = dict.fromkeys(w for a in alternatives for phrase in a.wanted for w in phrase)
     score = reduce(lambda a, b: a + b, [F.log1p(T.term_count(text, w)) for w in words], F.lit(0.0))

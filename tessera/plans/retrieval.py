@@ -90,8 +90,7 @@ def fts_negation(spark, d):
 
 @query(f"SELECT id, status FROM {DOCS_SQL} WHERE status = 'ready' AND (' ' || array_to_string(regexp_extract_all(lower(text), '([a-z]+)', 1), ' ') || ' ') LIKE '% of the %'")
 def fts_phrase(spark, d):
-    spaced = F.concat(F.lit(" "), F.array_join(T.tokens(F.col("text")), " "), F.lit(" "))
-    return Vault(spark, d).searchable().where(F.contains(spaced, F.lit(" of the "))).select("id", "status")
+    return Vault(spark, d).searchable().where(F.lower("text").rlike(T.phrase_pattern(["of", "the"]))).select("id", "status")
 
 
 # --- hybrid ---------------------------------------------------------------------------------------------------------
