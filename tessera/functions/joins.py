@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast df where a count shows that it is small; else leave the join to a shuffle. For tables of configuration size."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def fits(df: DataFrame) -> bool:
+    """Whether df has few enough rows; it counts up to the limit."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def small(df: DataFrame, known: bool | None = None) -> DataFrame:
+    """Broadcast df if it fits; else leave the join to a shuffle. known: what fits() said of it or of a larger table."""
+    return F.broadcast(df) if (fits(df) if known is None else known) else df

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.joins import small
+from tessera.functions.joins import fits, small
 from tessera.functions.vectors import matrix
 
 RRF_K = 60
@@ -73,15 +73,15 @@ def longest_terms(questions: DataFrame, n: int = 4) -> DataFrame:
     return terms.withColumn("nth", nth).where(F.col("nth") <= n).select("qid", "term")
 
 
-def term_frequencies(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, term, tf) of the terms asked for; the set of terms is bounded by the questions."""
+def term_frequencies(documents: DataFrame, terms: DataFrame, few: bool | None = None) -> DataFrame:
+    """(id, term, tf) of the terms asked for. few: whether the terms fit a broadcast, if that is known; here and below."""
     words = documents.select("id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return words.join(small(terms.select("term").distinct()), "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return words.join(small(terms.select("term").distinct(), few), "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
-def lexical(frequencies: DataFrame, terms: DataFrame, k: int = LEG) -> DataFrame:
+def lexical(frequencies: DataFrame, terms: DataFrame, k: int = LEG, few: bool | None = None) -> DataFrame:
     """(qid, id, score, rank): documents with any of the terms, by the sum of log(1 + tf)."""
-    scored = frequencies.join(small(terms), "term").groupBy("qid", "id").agg(F.round(F.sum(F.log1p("tf")), 9).alias("score"))
+    scored = frequencies.join(small(terms, few), "term").groupBy("qid", "id").agg(F.round(F.sum(F.log1p("tf")), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -120,11 +120,12 @@ def diversify(ranked: DataFrame, document: str, top: int = FINAL, most: int = PE
     return rows.withColumn("final", final).where(F.col("final") <= top).drop("_late")
 
 
-def overlap(frequencies: DataFrame, terms: DataFrame) -> DataFrame:
+def overlap(frequencies: DataFrame, terms: DataFrame, few: bool | None = None) -> DataFrame:
     """(qid, id, relevance): the share of a question's terms that a document has; stands in for a hosted reranker."""
     n = terms.groupBy("qid").agg(F.count("*").alias("n"))
-    hits = frequencies.join(small(terms), "term").groupBy("qid", "id").agg(F.count("*").alias("hits"))
-    return hits.join(small(n), "qid").select("qid", "id", (F.col("hits") / F.col("n")).alias("relevance"))
+    few = fits(terms) if few is None else few
+    hits = frequencies.join(small(terms, few), "term").groupBy("qid", "id").agg(F.count("*").alias("hits"))
+    return hits.join(small(n, few), "qid").select("qid", "id", (F.col("hits") / F.col("n")).alias("relevance"))
 
 
 def retrieve(legs: list[DataFrame | None], documents: DataFrame, relevance: DataFrame | None, region: Column | None = None, sealed: DataFrame | None = None, require_relevance: bool = False) -> DataFrame:

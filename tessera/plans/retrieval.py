@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.functions.joins import fits
 from tessera.operators import layout as L
 from tessera.operators import retrieval as R
 from tessera.operators import search as S
@@ -116,10 +117,11 @@ def _legs(spark, d):
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
     docs, v = vault.searchable(), vault.vectors()
     terms = R.longest_terms(questions)
-    tf = R.term_frequencies(docs, terms)
+    few = fits(terms)
+    tf = R.term_frequencies(docs, terms, few)
     asked = v.join(questions.select("qid"), v["id"] == F.col("qid")).select("qid", "embedding")
     near = R.nearest(v.join(docs.select("id"), "id"), asked, R.LEG).select("qid", "id", "rank")
-    return docs, terms, tf, near, R.lexical(tf, terms).select("qid", "id", "rank")
+    return docs, terms, few, tf, near, R.lexical(tf, terms, few=few).select("qid", "id", "rank")
 
 
 @query(_HYBRID_SQL + "SELECT qid, id, round(score, 9) AS score, position FROM ranked WHERE position <= 10", rank="position")
@@ -177,9 +179,9 @@ SELECT qid, id, round(relevance, 6) AS relevance, final FROM (SELECT *, row_numb
 )
 def hybrid_search(spark, d):
     """Both legs, fusion, ten candidates, relevance with its floor, then five with at most three of a source."""
-    docs, terms, tf, near, lex = _legs(spark, d)
+    docs, terms, few, tf, near, lex = _legs(spark, d)
     owner = docs.select("id", F.col("user_id").alias("document"))
-    return R.retrieve([near, lex], owner, R.overlap(tf, terms), require_relevance=True).select("qid", "id", F.round("relevance", 6).alias("relevance"), "final")
+    return R.retrieve([near, lex], owner, R.overlap(tf, terms, few), require_relevance=True).select("qid", "id", F.round("relevance", 6).alias("relevance"), "final")
 
 
 @query(
