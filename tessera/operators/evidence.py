@@ -117,3 +117,24 @@ def visual_budget(chunks: DataFrame, most: int = 4, budget: int = 6 * 1024 * 102
     size = 4 * F.floor((F.col("n_bytes") + 2) / 3)
     rows = rows.withColumns({"encoded": size, "_total": F.sum(size).over(so_far), "_count": F.count("*").over(so_far)})
     return rows.where((F.col("_total") <= budget) & (F.col("_count") <= most)).drop("_total", "_count")
+
+
+def stable_id(*parts: Column | str) -> Column:
+    """An id that the same parts always give."""
+    return F.sha2(F.concat_ws("/", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), 256)
+
+
+def layout_rows(regions: DataFrame, version: int) -> dict[str, DataFrame]:
+    """Rows to store of a layout's regions (document, surface, ordinal, parent, region_type, content): generations, surfaces, regions.
+
+    A surface keeps its id over all versions of a document's layout; regions have new ones in each. Writing a version twice gives the same rows.
+    """
+    generation = stable_id("generation", F.col("document"), F.lit(version))
+    region = lambda ordinal: stable_id("region", generation, F.col(ordinal))
+    surface = stable_id("surface", F.col("document"), F.col("surface"))
+    rows = regions.withColumns({"id": region("ordinal"), "generation": generation, "surface_id": surface, "parent_id": F.when(F.col("parent").isNotNull(), region("parent"))})
+    return {
+        "generations": rows.groupBy("document", "generation").agg(F.lit(version).alias("version"), F.count("*").alias("n_regions")),
+        "surfaces": rows.select("document", "surface", F.col("surface_id").alias("id")).distinct(),
+        "regions": rows.select("id", "generation", "surface_id", "ordinal", "parent_id", "region_type", "content"),
+    }

@@ -141,3 +141,16 @@ def nested_children(spark, d):
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey")
     rows = sinks.with_children(parents, lines, "id", "lines", ["l_linenumber", "l_partkey"])
     return rows.select("id", F.size("lines").cast("long").alias("n"), F.array_join(F.transform("lines", lambda x: x["l_partkey"].cast("string")), ",").alias("chunks"))
+
+
+@query(
+    """WITH r AS (SELECT doc_id // 10 AS document, doc_id % 10 // 5 AS surface, doc_id % 10 AS ordinal, CASE WHEN doc_id % 10 > 0 THEN 0 END AS parent FROM documents), g AS (SELECT *, sha256('generation/' || document || '/3') AS generation FROM r)
+SELECT 'region' AS kind, sha256('region/' || generation || '/' || ordinal) AS id, sha256('surface/' || document || '/' || surface) AS owner, CASE WHEN parent = 0 THEN sha256('region/' || generation || '/0') END AS parent FROM g
+UNION ALL SELECT DISTINCT 'surface', sha256('surface/' || document || '/' || surface), document::VARCHAR, NULL FROM g UNION ALL SELECT 'generation', generation, document::VARCHAR, count(*)::VARCHAR FROM g GROUP BY document, generation"""
+)
+def layout_rows(spark, d):
+    k = F.col("doc_id") % 10
+    regions = table(spark, d, "documents").select(F.expr("doc_id div 10").alias("document"), F.expr("doc_id % 10 div 5").alias("surface"), k.alias("ordinal"), F.when(k > 0, F.lit(0).cast("long")).alias("parent"), F.lit("paragraph").alias("region_type"), F.col("text").alias("content"))
+    out, none = E.layout_rows(regions, 3), F.lit(None).cast("string")
+    row = lambda df, kind, i, owner, parent: df.select(F.lit(kind).alias("kind"), F.col(i).alias("id"), F.col(owner).cast("string").alias("owner"), parent.alias("parent"))
+    return row(out["regions"], "region", "id", "surface_id", F.col("parent_id")).unionByName(row(out["surfaces"], "surface", "id", "document", none)).unionByName(row(out["generations"], "generation", "generation", "document", F.col("n_regions").cast("string")))
