@@ -11,19 +11,79 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-TAG = r"<(h1|h2|p|li|table)(?:\s[^>]*)?>([^<]*)"
+MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-z][a-z0-9:-]*)[^>]*(?:>|$)|<[/!?][^>]*(?:>|$)", re.IGNORECASE | re.DOTALL)
+REGION_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "table"}
+CELLS = {"caption", "thead", "tbody", "tfoot", "tr", "td", "th"}
+CONTAINERS = CELLS | set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup html main menu nav ol pre section summary ul".split())
 CHUNK, OVERLAP, LOOK_BACK = 1000, 100, 0.2
 TILE, WHOLE = 1024, 2048
 
 
+def regions_of(html: str | None) -> list[tuple[str, str]]:
+    """(tag, text) of a page's blocks with text, in the order of their starts; inner tags are stripped, entities stay.
+
+    Text belongs to the innermost open block, so an item's text after a nested list is the item's; a table has the text of all its
+    cells, whatever is in them. As browsers do, a block's start ends an open paragraph, an item ends the one before it, and a
+    container's end ends what is open inside. Scripts, styles, templates and comments have no text.
+    """
+    html, at = html or "", 0
+    out: list[tuple[str, list[str]]] = []
+    open_: list[tuple[str, list[str] | None]] = []  # open blocks, a region's with its text
+    into: list[str] | None = None
+
+    def close(tag: str, walls: set[str]) -> None:
+        for i in range(len(open_) - 1, -1, -1):
+            if open_[i][0] == tag:
+                del open_[i:]
+                return
+            if open_[i][0] in walls:
+                return
+
+    for m in MARKUP.finditer(html):
+        if into is not None:
+            into.append(html[at : m.start()])
+        at = m.end()
+        tag = (m[3] or "").lower()
+        if into is not None and (tag in ("br", "hr") or tag in CONTAINERS or tag in REGION_TAGS):
+            into.append(" ")
+        if tag not in CONTAINERS and tag not in REGION_TAGS:
+            continue
+        if m[2]:
+            close(tag, set() if tag in ("html", "body", "table") else {"table"} if tag in CELLS else {"table", "td", "th"})
+        else:
+            close("p", {"table", "td", "th", "li"})
+            if tag == "li":
+                close("li", {"table", "td", "th", "ul", "ol", "menu"})
+            region = None
+            if tag in REGION_TAGS and not any(t == "table" for t, _ in open_):
+                region = []
+                out.append((tag, region))
+            open_.append((tag, region))
+        tables = [text for t, text in open_ if t == "table"]
+        into = tables[0] if tables else next((text for _, text in reversed(open_) if text is not None), None)
+    if into is not None:
+        into.append(html[at:])
+    texts = [(tag, re.sub("  +", " ", "".join(parts)) if " " in parts else "".join(parts)) for tag, parts in out]
+    return [(tag, text.strip()) for tag, text in texts if text.strip()]
+
+
 def html_regions(pages: DataFrame) -> DataFrame:
-    """(page_id, ordinal, region_type, heading_level, content): headings, paragraphs, list items and tables with text, in order."""
-    at = lambda i: F.regexp_extract_all("html", F.lit(TAG), F.lit(i))
-    both = F.filter(F.arrays_zip(at(1).alias("tag"), at(2).alias("body")), lambda r: F.trim(r["body"]) != "")
-    rows = pages.select("page_id", F.posexplode(both).alias("ordinal", "r"))
-    tag = F.col("r.tag")
-    kind = F.when(tag.startswith("h"), "heading").when(tag == "li", "list").when(tag == "table", "table").otherwise("paragraph")
-    return rows.select("page_id", "ordinal", kind.alias("region_type"), F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int")).alias("heading_level"), F.trim("r.body").alias("content"))
+    """(page_id, ordinal, region_type, heading_level, content): headings, paragraphs, list items and tables with text, in order; see regions_of()."""
+    kind = pages.schema["page_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                rows = [(n, k, tag, text) for n, html in enumerate(part.column(1).to_pylist()) for k, (tag, text) in enumerate(regions_of(html))]
+                if rows:
+                    n, k, tag, text = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_pydict({"page_id": part.column(0).take(pa.array(n, pa.int64())), "ordinal": pa.array(k, pa.int32()), "tag": pa.array(tag, pa.string()), "content": pa.array(text, pa.string())})
+
+    rows = pages.select("page_id", "html").mapInArrow(run, f"page_id {kind.simpleString()}, ordinal int, tag string, content string")
+    tag = F.col("tag")
+    kinds = F.when(tag.startswith("h"), "heading").when(tag == "li", "list").when(tag == "table", "table").otherwise("paragraph")
+    return rows.select("page_id", "ordinal", kinds.alias("region_type"), F.when(tag.startswith("h"), F.substring(tag, 2, 1).cast("int")).alias("heading_level"), "content")
 
 
 def parents(regions: DataFrame, group: str = "page_id") -> DataFrame:

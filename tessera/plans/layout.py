@@ -39,7 +39,7 @@ SELECT n.page_id, n.ordinal, nearby, concat_ws(' > ', h2.content, h1.content) AS
 )
 def region_context(spark, d):
     regions = L.parents(_regions(spark, d))
-    paths = L.heading_paths(regions, depth=3)
+    paths = L.heading_paths(regions)
     return L.neighbours(regions).join(paths, ["page_id", "ordinal"]).select("page_id", "ordinal", "nearby", F.array_join("path", " > ").alias("path"))
 
 

@@ -83,3 +83,56 @@ def test_two_columns(spark):
     df = spark.createDataFrame([("p", i, x0, top, x1) for i, (x0, x1, top) in enumerate(boxes)], "page string, block int, x0 double, top double, x1 double")
     assert [r["block"] for r in S.reading_order(df).orderBy("reading_order").collect()] == [0, 3, 2, 1]
     assert [r["block"] for r in S.reading_order(df.where("block IN (0, 2)")).orderBy("reading_order").collect()] == [2, 0]
+
+
+def test_blocks_with_inner_tags():
+    one = lambda html: L.regions_of(html)
+    assert one('<ul><li><a href="/x">first</a></li><li>second</li></ul>') == [("li", "first"), ("li", "second")]
+    assert one("<p><b>bold</b>er <i>x</i> y<p>next<br>line</p>") == [("p", "bolder x y"), ("p", "next line")]
+    assert one("<table><tr><td>a</td><td><p>b</p></td></tr><tr><th>c</th></tr></table> out") == [("table", "a b c")]
+    assert one("<table><tr><td>a<tr><td>b</table><p>after</p>") == [("table", "a b"), ("p", "after")]
+    assert one("<h3>Three</h3><H6 class=x>Six</H6>") == [("h3", "Three"), ("h6", "Six")]
+    assert one("<li>a<ul><li>b</li></ul>tail</li>") == [("li", "a tail"), ("li", "b")]
+    assert one("<article><p>open</article><footer>&copy; no region</footer>") == [("p", "open")]
+    assert one("<p>x<!-- <p>no --> y<script>var t='<p>no</p>'</script> 1 < 2 &amp; z</p><p> <b> </b></p>") == [("p", "x y 1 < 2 &amp; z")]
+    assert one("<p>cut <b>off</b") == [("p", "cut off")] and one(None) == [] and one("") == []
+
+
+def test_every_block_of_the_pages_is_a_region(spark, sf):
+    """Against html.parser, which knows nothing of regions_of(): all words of list items, paragraphs and headings, page by page."""
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.block, self.found = None, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("p", "li", "h1"):
+                self.block = [tag, ""]
+                self.found.append(self.block)
+            elif tag == "br" and self.block:
+                self.block[1] += " "
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "li", "h1", "article", "ul", "body", "html"):
+                self.block = None
+
+        def handle_data(self, data):
+            if self.block:
+                self.block[1] += data
+
+        def handle_entityref(self, name):
+            if self.block:
+                self.block[1] += f"&{name};"
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = Counter()
+    for r in pages.collect():
+        p = Words()
+        p.feed(r["html"] or "")
+        p.close()
+        want.update((r["page_id"], {"p": "paragraph", "li": "list", "h1": "heading"}[tag], " ".join(text.split())) for tag, text in p.found if text.strip())
+    got = Counter((r["page_id"], r["region_type"], " ".join(r["content"].split())) for r in L.html_regions(pages).collect())
+    assert got == want and sum(n for (_, kind, _), n in got.items() if kind == "list") > 100
