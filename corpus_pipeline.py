@@ -38,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing: pieces of at most 2048 tokens and their places; neighbours in the mix share sequences."""
-    return packing.pack_documents(docs)
+    """Best-fit packing along the mix: pieces of at most 2048 tokens and their places; neighbours in the mix share sequences, which are numbered along it. Files do not keep the order of rows, so each row's place in the mix is found anew."""
+    return packing.pack_mixed(docs, MIX)
 
 
 STAGES = [

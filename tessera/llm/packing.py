@@ -4,6 +4,10 @@ Documents are encoded where they are read; only their pieces' sizes go on. Conse
 `shard_pieces` pieces; in each, best-fit decreasing puts every piece into the tightest open sequence, which a segment tree over
 the remaining capacities finds in log2(capacity) steps. Each shard can leave a few sequences part-filled, so `shard_pieces`
 trades memory against those: at the default they are under one in ten thousand.
+
+Along a mix (pack_along()), shards are ranges of its slots, and in a shard best-fit decreasing goes over one window of neighbouring
+pieces after another: a piece shares a sequence only with its window. Sequences are numbered in the order of their longest pieces
+in the mix, so a prefix of the sequences is a prefix of the mix, within a window.
 """
 
 from __future__ import annotations
@@ -14,14 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import _tokens
+from tessera.llm import _tokens, mixing
 from tessera.llm._io import stash
 
 CAPACITY = 2048
 END_ID = 0
+WINDOW_PIECES = 4096
+RANGES = 32  # ranges of slots a shard, whose counts come to the driver
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,15 +98,15 @@ def _pieces(path: str, capacity: int, with_ids: bool, schema: pa.Schema):
     return run
 
 
-def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """(doc_id, part, piece, start, length, ids_crc32[, ids]): every text's ids and an end id, whole if it fits, else cut. ids: little-endian unsigned 32-bit; part: the input partition."""
+def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_path: str | None = None, with_ids: bool = False, part: Column | None = None) -> DataFrame:
+    """(doc_id, part, piece, start, length, ids_crc32[, ids]): every text's ids and an end id, whole if it fits, else cut. ids: little-endian unsigned 32-bit; part: the input partition, or the long given."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     path = tokenizer_path or _tokens.default_path()
-    rows = df.select(F.col(id_col).alias("doc_id"), F.spark_partition_id().alias("part"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("doc_id"), (F.spark_partition_id() if part is None else part).cast("long").alias("part"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("part", pa.int32()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
-    return rows.mapInArrow(_pieces(path, capacity, with_ids, schema), f"doc_id {kind.simpleString()}, part int, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("part", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
+    return rows.mapInArrow(_pieces(path, capacity, with_ids, schema), f"doc_id {kind.simpleString()}, part long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 1 << 16) -> DataFrame:
@@ -127,3 +133,54 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text is empty: one piece, the end id alone. An empty table gives an empty result.
     """
     return pack(stash(token_pieces(df, id_col, text_col, capacity, tokenizer_path, with_ids), "pieces"), capacity, shard_pieces)
+
+
+def fill_along(lengths: np.ndarray, capacity: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """best_fit_decreasing() of each window of at most `window` pieces, all alike in size; bins in the order of their longest pieces."""
+    bins, offsets, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
+    for own in np.array_split(np.arange(len(lengths)), max(1, -(-len(lengths) // window))):
+        b, offsets[own] = best_fit_decreasing(lengths[own], capacity)
+        openers = np.flatnonzero(offsets[own] == 0)  # a bin's first piece is its longest
+        number = np.empty(len(openers), np.int64)
+        number[b[openers]] = np.arange(len(openers))
+        bins[own] = made + number[b]
+        made += len(openers)
+    return bins, offsets
+
+
+def pack_along(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 1 << 16, window: int = WINDOW_PIECES) -> DataFrame:
+    """pieces (with columns slot, at and length, any others kept) with sequence_id and offset; sequence_id follows the order of slot and at."""
+    n, last = pieces.agg(F.count("*"), F.max("slot")).first()
+    shards = max(1, -(-n // shard_pieces))
+    span = -(-((last or 0) + 1) // (shards * RANGES))
+    counts = sorted(pieces.groupBy(F.expr(f"slot div {span}").alias("r")).count().collect()) if shards > 1 else []
+    shard_of, before = [], 0
+    for r, c in counts:
+        shard_of.append((r, before * shards // n))
+        before += c
+    rows = pieces.withColumn("_range", F.expr(f"slot div {span}"))
+    # RANGES rows a shard
+    rows = rows.join(F.broadcast(pieces.sparkSession.createDataFrame(shard_of, "_range long, _shard long")), "_range") if shards > 1 else rows.withColumn("_shard", F.lit(0).cast("long"))
+    kept = [c for c in pieces.columns if c not in ("slot", "at")]
+    kinds = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in kept)
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["slot", "at", "ids_crc32", "piece"])
+        bins, offsets = fill_along(rows["length"].to_numpy(), capacity, window)
+        return rows[kept].assign(sequence_id=(int(rows["_shard"].iloc[0]) << 32) + bins, offset=offsets)
+
+    return rows.groupBy("_shard").applyInPandas(fill, f"{kinds}, sequence_id long, offset long")
+
+
+def pack_mixed(df: DataFrame, mix: mixing.Settings, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, tokenizer_path: str | None = None, shard_pieces: int = 1 << 16, window: int = WINDOW_PIECES) -> DataFrame:
+    """pack_documents() along the mix of df: mixing.mix() gives each row's place from its id, text and source, whatever the order of the rows.
+
+    Rows of one id and text stand at the first one's place.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    pieces = stash(token_pieces(df, id_col, text_col, capacity, tokenizer_path, part=text_hash), "pieces")
+    placed = mixing.mix(df, [F.col(id_col).alias("_id"), text_hash.alias("_part")], id_col, text_col, source_col, mix)
+    places = placed.groupBy("_id", "_part").agg(F.min(F.struct("slot", "start")).alias("_place"))
+    rows = pieces.join(places, pieces["doc_id"].eqNullSafe(places["_id"]) & (pieces["part"] == places["_part"]))
+    rows = rows.select(*[c for c in pieces.columns if c != "part"], F.col("_place.slot").alias("slot"), F.col("_place.start").alias("at"))
+    return pack_along(stash(rows, "placed"), capacity, shard_pieces, window)

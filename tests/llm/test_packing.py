@@ -106,3 +106,62 @@ def test_shards_and_awkward_rows(awkward, empty):
         assert sum(n for _, n in pieces) <= 2048 and [o for o, _ in sorted(pieces)] == np.cumsum([0, *(n for _, n in sorted(pieces))])[:-1].tolist()
     assert [r["length"] for r in rows if r["doc_id"] in (3, 4)] == [1, 1]
     assert P.pack_documents(empty).count() == 0
+
+
+def _planted(spark):
+    rng = random.Random(8)
+    text = lambda low, high: " ".join(str(rng.randrange(10**6)) for _ in range(rng.randint(low, high)))
+    rows = [(i, text(20, 60), "src0") for i in range(6900)] + [(10_000 + i, text(300, 500), "src1") for i in range(310)]
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_prefixes_of_the_pipelines_sequences_keep_the_shares(spark, tmp_path):
+    """src0 to src1 as 0.10 to 0.045 within two of the mix's blocks, though src1's texts are ten times as long; both last to the end, or nearly."""
+    import corpus_pipeline
+
+    _planted(spark).write.parquet(f"{tmp_path}/docs")
+    rows = corpus_pipeline.pack_sequences(spark, spark.read.parquet(f"{tmp_path}/docs"), "").collect()
+    seen, total = defaultdict(int), sum(r["length"] for r in rows)
+    block = total * (1 << 16) / sum(len(r["text"]) for r in _planted(spark).collect())
+    at, sequences = 0, defaultdict(list)
+    for r in rows:
+        sequences[r["sequence_id"]].append(r)
+    for k in sorted(sequences):
+        for r in sequences[k]:
+            seen["src1" if r["doc_id"] >= 10_000 else "src0"] += r["length"]
+            at += r["length"]
+        if at < 0.9 * total:
+            assert abs(seen["src0"] - at * 0.10 / 0.145) <= 2 * block
+    assert len(rows) == 7210 and len(sequences) <= 1.01 * -(-total // 2048) + 1
+
+
+def test_shards_along_the_mix(spark):
+    """Sequences follow the slots: with windows of 50 pieces no sequence is far from its place."""
+    from tessera.llm import mixing
+
+    df, s = _planted(spark).where("doc_id % 5 = 0"), mixing.Settings(weights={"src0": 0.5, "src1": 0.5}, block_bytes=1 << 12)
+    slot = {r["doc_id"]: r["slot"] for r in mixing.mix(df, ["doc_id"], settings=s).collect()}
+    rows = P.pack_mixed(df, s, shard_pieces=300, window=50).collect()
+    held = defaultdict(list)
+    for r in rows:
+        held[r["sequence_id"]].append(r)
+    assert sorted(r["doc_id"] for r in rows) == sorted(slot) and len({k >> 32 for k in held}) > 2
+    latest = -1
+    for k in sorted(held):
+        own = sorted((r["offset"], r["length"]) for r in held[k])
+        assert [o for o, _ in own] == np.cumsum([0, *(n for _, n in own)])[:-1].tolist() and sum(n for _, n in own) <= 2048
+        slots = sorted(slot[r["doc_id"]] for r in held[k])
+        assert slots[0] >= latest - 20 and slots[-1] - slots[0] <= 20
+        latest = max(latest, slots[0])
+
+
+def test_awkward_rows_along_the_mix(awkward, empty):
+    from tessera.llm import mixing
+
+    s = mixing.Settings(weights={"src0": 0.5, "src1": 0.5}, rest=0.1, block_bytes=64)
+    rows = P.pack_mixed(awkward, s, shard_pieces=3).collect()
+    plain = P.pack_documents(awkward).collect()
+    key = lambda r: str((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    assert sorted(map(key, rows)) == sorted(map(key, plain))
+    assert P.pack_mixed(empty, s).count() == 0
