@@ -12,14 +12,16 @@ from tessera.llm import exact_dedup, language_id, mixing, near_dedup, packing
 from tessera.llm._io import stash
 from tessera.llm.queries import MIX
 
-#: A text is rejected if it has no letter, or if no language reaches this mean posterior; clean texts are far above.
+#: A text is rejected if it has no letter, or if no language's mean posterior is this part of the way from chance to 1; clean texts are far above.
+LANGUAGE_MARGIN = 1 / 15
+#: What that is with the four languages of the data.
 LEAST_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language identification: without texts that are in no language; the classifier learns from the labelled rows."""
+    """Language identification: without texts that are in no language; the classifier learns from the labelled rows. Without a labelled row, all texts with a letter stay."""
     tagger = language_id.train(docs.select("text", "lang"), language_id.Settings())
-    return language_id.accept(docs, tagger, LEAST_LANGUAGE_SCORE)
+    return language_id.accept(docs, tagger, LANGUAGE_MARGIN)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

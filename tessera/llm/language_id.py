@@ -222,18 +222,31 @@ def _predict(t: Tagger, run_words: int, schema: pa.Schema):
     return run
 
 
-def _accept(t: Tagger, run_words: int, least_score: float, text_at: int):
+def least_score(languages: int, margin: float) -> float:
+    """The mean posterior asked for: `margin` of the way from chance, 1 / languages, to 1."""
+    return 1 / languages + margin * (1 - 1 / languages)
+
+
+def _accept(t: Tagger, run_words: int, margin: float, text_at: int):
+    known = len(t.labels)
+    judge = t if known else Tagger([UNKNOWN], np.zeros((FEATURES, 1), np.float32), np.zeros((1, 1)), np.zeros(1))  # any letter will do
+    least = least_score(known, margin) if known > 1 else 0.0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, best, score, _, _ in _judged(t, run_words, b.column(text_at)):
-                yield b.slice(i, j - i).filter(pa.array((best < len(t.labels)) & (score >= least_score)))
+            for i, j, best, score, _, _ in _judged(judge, run_words, b.column(text_at)):
+                yield b.slice(i, j - i).filter(pa.array((best < len(judge.labels)) & (score >= least)))
 
     return run
 
 
-def accept(df: DataFrame, tagger: Tagger, least_score: float, text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """df, all columns, without the texts that are in no language: null, without a letter, or with no mean posterior of least_score."""
-    return df.mapInArrow(_accept(tagger, s.run_words, least_score, df.columns.index(text_col)), df.schema)
+def accept(df: DataFrame, tagger: Tagger, margin: float, text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """df, all columns, without the texts that are in no language: null, without a letter, or with no mean posterior of least_score().
+
+    The best of n mean posteriors is never below 1 / n, so the margin counts from there. A tagger of one language or of none has
+    nothing to tell texts apart by: all with a letter stay.
+    """
+    return df.mapInArrow(_accept(tagger, s.run_words, margin, df.columns.index(text_col)), df.schema)
 
 
 def predict(df: DataFrame, tagger: Tagger, keep: list[Column], text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008

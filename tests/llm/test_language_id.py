@@ -92,3 +92,29 @@ def test_awkward_rows(spark, awkward, empty):
     kept = L.accept(awkward, tagger, 0.3)
     assert kept.columns == awkward.columns and not {3, 4, 5, 8} & {r["doc_id"] for r in kept.collect()}
     assert L.accept(empty, tagger, 0.3).count() == 0
+
+
+def test_texts_are_accepted_without_a_language(spark):
+    """No row teaches a language: the pipeline's stage keeps all texts with a letter."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string"
+    rows = [(1, "some words", None), (2, "größe", None), (3, "123 !", "xx"), (4, "", None), (5, None, "yy"), (6, "漢字", None), (7, "٣", None)]
+    for own in (rows, [(i, t, None) for i, t, _ in rows]):
+        docs = spark.createDataFrame(own, schema)
+        assert {r["doc_id"] for r in L.accept(docs, L.Tagger([], np.zeros((L.FEATURES, 0), np.float32), np.zeros((0, 0)), np.zeros(0)), 0.1).collect()} == {1, 2, 6}
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, spark.createDataFrame([(i, t, None) for i, t, _ in rows], schema), "").collect()} == {1, 2, 6}
+
+
+def test_the_threshold_counts_from_chance(spark):
+    """With two and three languages, texts that are as much in one as in another go, and clean ones stay."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    for langs in (["aa", "bb"], ["aa", "bb", "cc"]):
+        mixed = " ".join(_text(rng, lang, 60) for lang in langs)
+        known = [(i, _text(rng, lang, 30), lang) for i, lang in enumerate(langs * 40)]
+        docs = spark.createDataFrame([*known, (1000, mixed, None), *[(1001 + k, _text(rng, lang, 40), None) for k, lang in enumerate(langs)]], "doc_id long, text string, lang string")
+        kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+        assert kept == {i for i, *_ in known} | {1001 + k for k in range(len(langs))}
+    assert abs(L.least_score(4, corpus_pipeline.LANGUAGE_MARGIN) - corpus_pipeline.LEAST_LANGUAGE_SCORE) < 1e-9
