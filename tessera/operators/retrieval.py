@@ -66,11 +66,9 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def longest_terms(questions: DataFrame, n: int = 4) -> DataFrame:
-    """(qid, term): a question's n longest distinct words, which stand for its text in the lexical leg."""
-    terms = questions.select("qid", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.length("term").desc(), "term"))
-    return terms.withColumn("nth", nth).where(F.col("nth") <= n).select("qid", "term")
+def question_terms(questions: DataFrame) -> DataFrame:
+    """(qid, term): all distinct words of each question; there is no list of stop words."""
+    return questions.select("qid", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
 
 
 def term_frequencies(documents: DataFrame, terms: DataFrame, few: bool | None = None) -> DataFrame:
@@ -80,8 +78,11 @@ def term_frequencies(documents: DataFrame, terms: DataFrame, few: bool | None =
 
 
 def lexical(frequencies: DataFrame, terms: DataFrame, k: int = LEG, few: bool | None = None) -> DataFrame:
-    """(qid, id, score, rank): documents with any of the terms, by the sum of log(1 + tf)."""
-    scored = frequencies.join(small(terms, few), "term").groupBy("qid", "id").agg(F.round(F.sum(F.log1p("tf")), 9).alias("score"))
+    """(qid, id, score, rank): documents with all of a question's terms, by the sum of log(1 + tf)."""
+    few = fits(terms) if few is None else few
+    n = terms.groupBy("qid").agg(F.count("*").alias("n"))
+    scored = frequencies.join(small(terms, few), "term").groupBy("qid", "id").agg(F.round(F.sum(F.log1p("tf")), 9).alias("score"), F.count("*").alias("hits"))
+    scored = scored.join(small(n, few), "qid").where("hits = n").select("qid", "id", "score")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -116,7 +116,7 @@ def _legs(spark, d):
     vault = Vault(spark, d)
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
     docs, v = vault.searchable(), vault.vectors()
-    terms = R.longest_terms(questions)
+    terms = R.question_terms(questions)
     few = fits(terms)
     tf = R.term_frequencies(docs, terms, few)
     asked = v.join(questions.select("qid"), v["id"] == F.col("qid")).select("qid", "embedding")
@@ -253,9 +253,9 @@ def websearch(spark, d):
 
 @query(_HYBRID_SQL + ", nt AS (SELECT qid, count(*) AS n FROM terms GROUP BY qid) SELECT l.qid, id, round(score, 6) AS score FROM lexs l JOIN nt ON nt.qid = l.qid WHERE hits = n")
 def websearch_batch(spark, d):
-    """Documents with all of a question's longest words, for all questions."""
+    """Documents with all of a question's words, for all questions."""
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    terms = R.longest_terms(questions)
+    terms = R.question_terms(questions)
     tf = R.term_frequencies(Vault(spark, d).searchable(), terms)
     return S.all_terms(tf, terms).select("qid", "id", F.round("score", 6).alias("score"))
 

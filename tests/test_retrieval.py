@@ -99,3 +99,14 @@ def test_plans(spark, sf):
     assert "WindowGroupLimit" in plan("knn_edges")
     for n in ("associative_doc_edges", "edges_touching", "related_regions", "hybrid_search", "region_context"):
         assert "Cartesian" not in plan(n) and "NestedLoop" not in plan(n)
+
+
+def test_all_words_of_a_question_are_searched(spark):
+    questions = spark.createDataFrame([(1, "The elephants remember mountains, rivers and a sea"), (2, "sea"), (3, "!")], "qid long, text string")
+    docs = spark.createDataFrame([(1, "elephants remember mountains rivers"), (2, "A sea; and the rivers: mountains remember ELEPHANTS the"), (3, "sea sea"), (4, None)], "id long, text string")
+    terms = R.question_terms(questions)
+    assert {(r["qid"], r["term"]) for r in terms.collect()} == {(1, w) for w in "the elephants remember mountains rivers and a sea".split()} | {(2, "sea")}
+    tf = R.term_frequencies(docs, terms)
+    assert {(r["qid"], r["id"], r["rank"]) for r in R.lexical(tf, terms).collect()} == {(1, 2, 1), (2, 3, 1), (2, 2, 2)}
+    assert {(r["qid"], r["id"]) for r in S.all_terms(tf, terms).collect()} == {(1, 2), (2, 2), (2, 3)}
+    assert {(r["qid"], r["id"]): r["relevance"] for r in R.overlap(tf, terms).collect()} == {(1, 1): 4 / 8, (1, 2): 1.0, (1, 3): 1 / 8, (2, 2): 1.0, (2, 3): 1.0}
