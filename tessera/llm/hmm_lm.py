@@ -2,7 +2,7 @@
 
 Counting reads all training documents: a 64-bit fingerprint stands for each word, tasks pre-aggregate, and a shuffle adds up
 (fingerprint, suffix class, count). The `own_classes` most frequent words are classes of their own; any other word, seen or not,
-is in the class of its last two bytes. The model of a text is
+is in one of SUFFIXES classes, to which its last two bytes are hashed. The model of a text is
 
     P(classes, by the hidden Markov model) * product of P(word | its class),
 
@@ -12,8 +12,9 @@ recursions over its documents and emits expected counts, which Spark adds up ove
 states x (states + classes + 2) numbers. For that part documents are cut into pieces of `piece_tokens` words, each token in one
 of them; scoring runs the forward recursion over whole documents, so the likelihood is exact.
 
-The most frequent fingerprints and counts, at most `frequent_words` of them, are broadcast (16 bytes each); the counts of all others reach
-their documents by a shuffle.
+The most frequent fingerprints and counts, at most `frequent_words` + `own_classes` of them, are broadcast (16 bytes each); the counts of
+all others reach their documents by a shuffle. What Baum-Welch learns has that fixed number of classes at any size of input; all word
+counts, and so each word's share of its class, grow with it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,7 +58,7 @@ class Model:
 
 
 def _suffix(w: _words.Words) -> np.ndarray:
-    """The class of a word's last two bytes, A-Z lower-cased."""
+    """A word's last two bytes, A-Z lower-cased, hashed to one of SUFFIXES classes; so some endings share one."""
     lower = np.arange(256, dtype=np.uint32)
     lower[65:91] += 32
     last = lower[w.data[w.end - 1]]
@@ -142,7 +144,10 @@ def vocabulary(counts: DataFrame, s: Settings) -> Vocabulary:
     steps = sorted(counts.where("word <> 0").groupBy(step.alias("step")).agg(F.count("*").alias("v")).collect(), reverse=True)
     fit = np.cumsum([v for _, v in steps]) <= s.frequent_words
     least = min([k for (k, _), f in zip(steps, fit, strict=True) if f], default=10_000)
-    top = counts.where((F.col("word") != 0) & (step >= least)).select("word", "suffix", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
+    listed = counts.where((F.col("word") != 0) & (step >= least)).select("word", "suffix", "n").toPandas()
+    # words of their own are the most frequent ones whatever the steps hold; each task sends its own_classes at most
+    alone = counts.where("word <> 0").orderBy(F.col("n").desc(), "word").limit(s.own_classes).select("word", "suffix", "n").toPandas()
+    top = pd.concat([alone, listed]).drop_duplicates("word").sort_values(["n", "word"], ascending=[False, True])
     by_suffix = counts.where("word <> 0").groupBy("suffix").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     own = np.where(np.arange(len(top)) < s.own_classes, np.arange(len(top)), -1)
     total = tokens + s.add * (distinct + 1)

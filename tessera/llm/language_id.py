@@ -3,11 +3,13 @@
 Each word's features are its letters with the place's neighbours (one, two and three bytes, the word's edges among them, which
 makes the outer ones its affixes), prefixes and suffixes of four bytes, and the word itself (a hashed lexicon). Weights for
 features and for transitions between labels are learned together by stochastic gradients of the conditional likelihood. Labels'
-posteriors come from the forward-backward recursion over runs of at most `run_words` words; every word of a text is labelled,
-and a text's language is the one with the largest mean posterior over the words that have a letter.
+posteriors come from the forward-backward recursion over the whole text. Every word gets its most probable label; runs of words of
+one label are the operator's real output (label_runs()), and a text's language is the one with the largest mean posterior over the
+words that have a letter.
 
-The classifier is fitted on the driver on a bounded sample of labelled rows: per language `sample_docs` documents (least hash of
-id and text), of each three runs of `sample_run` words; some are joined to runs of another language, since real texts switch.
+The classifier is fitted on the driver on a bounded sample of labelled rows: per language about `sample_docs` distinct texts (by
+hash), of each three runs of `sample_run` words and at most `sample_bytes` bytes; some are joined to runs of another language, since
+real texts switch. At most MAX_LABELS languages can be learned.
 """
 
 from __future__ import annotations
@@ -15,20 +17,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm import _chains, _words
+from tessera.llm._io import fresh, stash
 
 UNKNOWN = "und"
 GRAM_BITS, LEXICON_BITS = 15, 17
 TEMPLATES = 5  # one, two and three bytes at each letter; affixes of four bytes at a word's ends
 FEATURES = TEMPLATES * (1 << GRAM_BITS) + (1 << LEXICON_BITS)
 MAX_LABELS = 200
+PART_BYTES = 1 << 19
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -41,7 +46,7 @@ _ANY_LETTER = re.compile(r"[^\W\d_]")
 class Settings:
     sample_docs: int = 500
     sample_run: int = 48
-    run_words: int = 128
+    sample_bytes: int = 1 << 16
     epochs: int = 4
     rate: float = 0.15
     l2: float = 1e-6
@@ -79,10 +84,13 @@ def _grams(w: _words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _scores(t: Tagger, w: _words.Words) -> np.ndarray:
-    """(words, L): each word's score for each label."""
-    at_bytes, at_words, first = _grams(w)
-    per_byte = t.weights[at_bytes[:, 0]] + t.weights[at_bytes[:, 1]] + t.weights[at_bytes[:, 2]]
-    return np.add.reduceat(per_byte, first, axis=0) + t.weights[at_words].sum(1)
+    """(words, L): each word's score for each label; features are held for PART_BYTES of the words at a time."""
+    out = np.empty((len(w.start), len(t.labels)), np.float32)
+    for i, j in _words.slices(w.end - w.start, PART_BYTES):
+        at_bytes, at_words, first = _grams(w._replace(data=w.data[: w.end[j - 1]], start=w.start[i:j], end=w.end[i:j]))
+        per_byte = t.weights[at_bytes[:, 0]] + t.weights[at_bytes[:, 1]] + t.weights[at_bytes[:, 2]]
+        out[i:j] = np.add.reduceat(per_byte, first, axis=0) + t.weights[at_words].sum(1)
+    return out
 
 
 def _posteriors(t: Tagger, lay: _chains.Layout, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,66 +166,115 @@ def held_out(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
 
 
 def train(rows: DataFrame, s: Settings) -> Tagger:
-    """From the columns text and lang of rows; rows without a language or a word teach nothing."""
+    """From the columns text and lang of rows; rows without a language or a word teach nothing. More than MAX_LABELS languages are an error."""
     known = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    hashed = known.withColumn("h", F.xxhash64("text"))
-    distinct = hashed.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("part", F.pmod("h", F.lit(1024)))
-    # the least hashes of each part, then of those the least of all, so that no task holds a language
-    for keys in (["lang", "part"], ["lang"]):
-        distinct = distinct.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("nth") <= s.sample_docs)
-    least = distinct.groupBy("lang").agg(F.max("h").alias("most"))
+    hashed = known.select("lang", "text", F.xxhash64("text").alias("h"))
+    # per language the hash below which about sample_docs distinct texts lie, by counts of 1024 parts of the hashes
+    part = F.shiftrightunsigned("h", 54)
+    counts = stash(hashed.groupBy("lang", part.alias("part"), "h").agg(F.lit(1).alias("one")).groupBy("lang", "part").agg(F.count("*").alias("n")), "parts")
+    if counts.select("lang").distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} languages")
+    parts: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.collect():  # at most 1024 rows a language
+        parts.setdefault(r["lang"], []).append((r["part"], r["n"]))
+    most = []
+    for lang, own in parts.items():
+        left, bound = s.sample_docs, (1 << 63) - 1
+        for k, n in sorted(own):
+            if n >= left:
+                bound = min(bound, int((k + left / n) * (1 << 53)))  # of the hash's upper 63 bits
+                break
+            left -= n
+        most.append((lang, bound))
+    least = rows.sparkSession.createDataFrame(most, "lang string, most long")
     # one text of each hash, so that copies do not fill the sample
-    chosen = hashed.join(F.broadcast(least), "lang").where(F.col("h") <= F.col("most")).dropDuplicates(["lang", "h"])  # a row per language
+    chosen = hashed.join(F.broadcast(least), "lang").where(F.shiftrightunsigned("h", 1) <= F.col("most")).dropDuplicates(["lang", "h"])  # a row per language
     words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
     n, run = F.size("w"), s.sample_run
     starts = F.array_distinct(F.array(F.lit(1), F.greatest(F.lit(1), F.floor((n - run) / 2).cast("int")), F.greatest(F.lit(1), n - run + 1)))
-    cut = F.array_join(F.transform(F.slice("w", F.col("at"), run), lambda x: F.substring(x, 1, 64)), " ")
-    runs = chosen.select("lang", "h", words.alias("w")).withColumn("at", F.explode(starts)).select("lang", "h", "at", cut.alias("run"))
-    found = runs.limit(3 * s.sample_docs * MAX_LABELS).toPandas().sort_values(["lang", "h", "at"])
-    if found["lang"].nunique() > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} languages")
+    cut = F.array_join(F.slice("w", F.col("at"), run), " ")
+    runs = chosen.select("lang", "h", words.alias("w")).withColumn("at", F.explode(starts)).select("lang", "h", "at", F.substring(cut, 1, s.sample_bytes).alias("run"))
+    found = runs.toPandas().sort_values(["lang", "h", "at"])  # about 3 x sample_docs runs a language
     return fit(list(zip(found["lang"], found["run"], strict=True)), s)
 
 
 _OUT = [("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double"), ("n_words", pa.int64(), "long"), ("switches", pa.int64(), "long")]
 
 
-def _judged(t: Tagger, run_words: int, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For ranges i:j of the texts: the label's number (the last for und), its mean posterior, the words, the switches of label."""
-    for i, j, w in _words.batches(texts, 1 << 19):
+class Judged(NamedTuple):
+    """For texts i:j: best (the label's number, the last for und), its mean posterior, the words; of each word its label and that one's posterior."""
+
+    i: int
+    j: int
+    best: np.ndarray
+    score: np.ndarray
+    words: _words.Words
+    label: np.ndarray
+    sure: np.ndarray
+
+    @property
+    def begins(self) -> np.ndarray:
+        """The first words of runs of one label."""
+        new = np.ones(len(self.label), bool)
+        new[1:] = (self.label[1:] != self.label[:-1]) | (self.words.doc[1:] != self.words.doc[:-1])
+        return np.flatnonzero(new)
+
+
+def _judged(t: Tagger, texts: pa.Array) -> Iterator[Judged]:
+    for i, j, w in _words.batches(texts, PART_BYTES):
         n, doc = j - i, w.doc
-        mean, counted, switches = np.zeros((n, len(t.labels))), np.zeros(n), np.zeros(n, np.int64)
+        mean, counted = np.zeros((n, len(t.labels))), np.zeros(n)
+        label, sure = np.zeros(len(w.start), np.int64), np.zeros(len(w.start))
         letters = np.bincount(np.searchsorted(w.offsets, np.flatnonzero(_LETTER[w.data]), side="right") - 1, minlength=n) > 0
         for k in np.flatnonzero(letters):  # bytes beyond ASCII may be no letters
             own = w.data[w.offsets[k] : w.offsets[k + 1]]
             if not _LETTER[own[own < 128]].any() and not _ANY_LETTER.search(texts[i + int(k)].as_py()):
                 letters[k] = False
         if len(w.start) and t.labels:
-            pieces = np.maximum(1, -(-w.counts // run_words))
-            nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            lay = _chains.layout(np.append(np.repeat(w.first[:-1], pieces) + nth * run_words, w.first[-1]))
+            lay = _chains.layout(w.first)
             p = np.empty((len(w.start), len(t.labels)))
             p[lay.at] = _posteriors(t, lay, _scores(t, w))[0]
             ink = np.concatenate([[0], np.cumsum(_LETTER[w.data])])
             weight = (ink[w.end] > ink[w.start]).astype(float)
             counted = np.bincount(doc, weight, n)
             mean = np.stack([np.bincount(doc, p[:, c] * weight, n) for c in range(len(t.labels))], 1) / np.maximum(counted, 1)[:, None]
-            best = p.argmax(1)
-            changed = np.flatnonzero((best[1:] != best[:-1]) & (doc[1:] == doc[:-1]))
-            switches = np.bincount(doc[changed], minlength=n)
-        sure = letters & (counted > 0)
-        best = np.where(sure, mean.argmax(1) if t.labels else 0, len(t.labels))
-        score = np.where(sure, np.clip(mean.max(1, initial=0.0), 0, 1), 0.0)
-        yield i, j, best, score, w.counts.astype(np.int64), switches.astype(np.int64)
+            label = p.argmax(1)
+            sure = p[np.arange(len(p)), label]
+        known = letters & (counted > 0)
+        best = np.where(known, mean.argmax(1) if t.labels else 0, len(t.labels))
+        score = np.where(known, np.clip(mean.max(1, initial=0.0), 0, 1), 0.0)
+        yield Judged(i, j, best, score, w, label, sure)
 
 
-def _predict(t: Tagger, run_words: int, schema: pa.Schema):
+def _predict(t: Tagger, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*t.labels, UNKNOWN], object)
         for b in batches:
-            for i, j, best, score, words, switches in _judged(t, run_words, b.column(b.num_columns - 1)):
-                kept = [b.column(c).slice(i, j - i) for c in range(b.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best], pa.string()), pa.array(score), pa.array(words), pa.array(switches)], schema=schema)
+            for g in _judged(t, b.column(b.num_columns - 1)):
+                kept = [b.column(c).slice(g.i, g.j - g.i) for c in range(b.num_columns - 1)]
+                runs = np.bincount(g.words.doc[g.begins], minlength=g.j - g.i)
+                switches = np.maximum(runs - 1, 0) * bool(t.labels)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names[g.best], pa.string()), pa.array(g.score), pa.array(g.words.counts.astype(np.int64)), pa.array(switches)], schema=schema)
+
+    return run
+
+
+_RUNS = [("run", pa.int64(), "long"), ("first_word", pa.int64(), "long"), ("last_word", pa.int64(), "long"), ("lang_pred", pa.string(), "string"), ("score", pa.float64(), "double")]
+
+
+def _label_runs(t: Tagger, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(t.labels, object)
+        for b in batches:
+            for g in _judged(t, b.column(b.num_columns - 1)):
+                at = g.begins
+                if not len(at) or not t.labels:
+                    continue
+                doc, size = g.words.doc[at], np.diff(np.append(at, len(g.label)))
+                first = at - g.words.first[doc]
+                kept = [b.column(c).take(pa.array(doc + g.i)) for c in range(b.num_columns - 1)]
+                nth = np.arange(len(at)) - np.searchsorted(doc, doc)
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(nth), pa.array(first), pa.array(first + size - 1), pa.array(names[g.label[at]], pa.string()), pa.array(np.add.reduceat(g.sure, at) / size)], schema=schema)
 
     return run
 
@@ -227,43 +284,61 @@ def least_score(languages: int, margin: float) -> float:
     return 1 / languages + margin * (1 - 1 / languages)
 
 
-def _accept(t: Tagger, run_words: int, margin: float, text_at: int):
+def _accept(t: Tagger, margin: float, text_at: int):
     known = len(t.labels)
     judge = t if known else Tagger([UNKNOWN], np.zeros((FEATURES, 1), np.float32), np.zeros((1, 1)), np.zeros(1))  # any letter will do
     least = least_score(known, margin) if known > 1 else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, best, score, _, _ in _judged(judge, run_words, b.column(text_at)):
-                yield b.slice(i, j - i).filter(pa.array((best < len(judge.labels)) & (score >= least)))
+            for g in _judged(judge, b.column(text_at)):
+                yield b.slice(g.i, g.j - g.i).filter(pa.array((g.best < len(judge.labels)) & (g.score >= least)))
 
     return run
 
 
-def accept(df: DataFrame, tagger: Tagger, margin: float, text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
+def accept(df: DataFrame, tagger: Tagger, margin: float, text_col: str = "text") -> DataFrame:
     """df, all columns, without the texts that are in no language: null, without a letter, or with no mean posterior of least_score().
 
     The best of n mean posteriors is never below 1 / n, so the margin counts from there. A tagger of one language or of none has
     nothing to tell texts apart by: all with a letter stay.
     """
-    return df.mapInArrow(_accept(tagger, s.run_words, margin, df.columns.index(text_col)), df.schema)
+    return df.mapInArrow(_accept(tagger, margin, df.columns.index(text_col)), df.schema)
+
+
+def _by_text(df: DataFrame, tagger: Tagger, keep: list[str | Column], text_col: str, out: list[tuple], run) -> DataFrame:
+    rows = df.select(*keep)
+    kept = [(f.name, f.dataType) for f in rows.schema.fields]
+    taken = {n.lower() for n, _ in kept}
+    names = [fresh(rows, n) if n in taken else n for n, *_ in out]
+    schema = pa.schema([*((n, to_arrow_type(k)) for n, k in kept), *((n, k) for n, (_, k, _) in zip(names, out, strict=True))])
+    spark_schema = ", ".join([*(f"`{n}` {k.simpleString()}" for n, k in kept), *(f"`{n}` {k}" for n, (*_, k) in zip(names, out, strict=True))])
+    return df.select(*keep, F.col(text_col).cast("string").alias(fresh(rows, "text"))).mapInArrow(run(tagger, schema), spark_schema)
+
 
+def predict(df: DataFrame, tagger: Tagger, keep: list[str | Column], text_col: str = "text") -> DataFrame:
+    """The columns `keep`, lang_pred (`und` for null and for texts without a letter), score (mean posterior of lang_pred; 0 for und), n_words, and switches of label between neighbouring words.
 
-def predict(df: DataFrame, tagger: Tagger, keep: list[Column], text_col: str = "text", s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """The columns `keep`, lang_pred (`und` for null and for texts without a letter), score (mean posterior of lang_pred; 0 for und), n_words, and switches of label between neighbouring words."""
-    rows = df.select(*keep, F.col(text_col).alias("_text"))
-    kept = [(f.name, f.dataType) for f in rows.schema.fields[:-1]]
-    schema = pa.schema([*((n, to_arrow_type(k)) for n, k in kept), *((n, k) for n, k, _ in _OUT)])
-    return rows.mapInArrow(_predict(tagger, s.run_words, schema), ", ".join([*(f"`{n}` {k.simpleString()}" for n, k in kept), *(f"{n} {k}" for n, _, k in _OUT)]))
+    Here and in label_runs(), where `keep` has a column named like one of these, the latter's name begins with an underscore.
+    """
+    return _by_text(df, tagger, keep, text_col, _OUT, _predict)
+
+
+def label_runs(df: DataFrame, tagger: Tagger, keep: list[str | Column], text_col: str = "text") -> DataFrame:
+    """The words' labels: the columns `keep`, and for each run of words of one label run, first_word, last_word (all from 0), lang_pred and score (the words' mean posterior).
+
+    A text without a word has no run, nor has any text where no language was learned.
+    """
+    return _by_text(df, tagger, keep, text_col, _RUNS, _label_runs)
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """One row per row of df: doc_id, held_out, lang_pred, score, n_words, switches.
 
     Learns only from text and language of rows that held_out() leaves; predictions see the text alone. If no row teaches a
-    language, all texts are `und`; with a single language it is that one wherever there is a letter. An empty table gives an
-    empty result; repeated rows are predicted each.
+    language, all texts are `und`; with a single language it is that one wherever there is a letter. More than MAX_LABELS
+    languages are a ValueError. An empty table gives an empty result; repeated rows are predicted each.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     tagger = train(rows.where(~held_out(F.col("doc_id"))).select("text", "lang"), settings)
-    return predict(rows, tagger, [F.col("doc_id"), held_out(F.col("doc_id")).alias("held_out")], "text", settings)
+    return predict(rows, tagger, ["doc_id", held_out(F.col("doc_id")).alias("held_out")], "text")

@@ -10,8 +10,10 @@
    link out are skipped; of the others the equal coordinates are counted, and those with `least_matches` are candidates.
 4. Candidates are confirmed on the full sets: first each node with its least partner, then only those that components of
    confirmed links have not joined yet (what cannot change the result is skipped, as in skip merging).
-5. Long postings that still hold several components are compared in blocks of `block` x `block` nodes on the full sets, in which
-   only links that join components come out. So no link is lost, and no task holds a whole posting or emits all its pairs.
+5. Long postings that still hold several components are compared on the full sets: by bands of set sizes, of which only the same
+   and neighbouring ones can hold a link, in blocks of at most about `block` nodes and BLOCK_BYTES a side, and only links that join
+   components come out. So no link is lost, and no task holds a whole posting or emits all its pairs. Equal coordinates are not
+   counted there, so a link that step 3 would have missed by chance may be found; every link is confirmed in either case.
 
 At a similarity of exactly 0.8 the defaults (48 coordinates, 29 matches) miss a pair with probability 0.0006, above 0.85 with
 0.00001; members of a group have several ways to be found.
@@ -34,6 +36,7 @@ from tessera.llm._components import components
 from tessera.llm._io import fresh, small, stash
 
 COUNTER_BITS, COUNTER_BLOCK = 18, 1 << 12
+BLOCK_BYTES = 4 << 20  # of the sets on one side of a comparison
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,7 @@ class Settings:
     coordinates: int = 48
     least_matches: int = 29
     short: int = 32
-    block: int = 256
+    block: int = 1024
     seed: int = 5
 
 
@@ -221,6 +224,9 @@ def _compare(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         """Of the block's two parts: links that join components (the first found; what they imply is skipped)."""
         rows = rows.drop_duplicates(["node", "side"])
+        within = not rows["up"].iloc[0] and rows["i"].iloc[0] == rows["j"].iloc[0]
+        if not within and rows["side"].nunique() < 2:
+            return pd.DataFrame([], columns=["a", "b"], dtype="int64")
         sets = [np.frombuffer(x, np.uint64) for x in rows["members"]]
         ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
         size = np.array([len(x) for x in sets])
@@ -245,16 +251,29 @@ def _compare(percent: int):
     return run
 
 
-def _long_links(postings: DataFrame, roots: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Step 5: links between components within long postings (key, node, n)."""
-    rows = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _long_links(postings: DataFrame, nodes: DataFrame, roots: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Step 5: links between components within long postings (key, node)."""
+    rows = postings.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = stash(rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "mixed")
-    chunks = F.ceil(F.col("n") / s.block).cast("int")
-    rows = rows.join(small(mixed), "key", "left_semi").withColumns({"chunks": chunks, "chunk": F.pmod(F.xxhash64("node"), chunks).cast("int")})
-    # block (i, j), i <= j: a node of chunk c is in its row and its column
-    own, other = F.col("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    rows = rows.select("key", "node", "root", "chunk", other).select("key", "node", "root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(own > F.col("other"), 1).otherwise(0).alias("side"))
-    return rows.join(sets, "node").groupBy("key", "i", "j").applyInPandas(_compare(s.percent), "a long, b long")
+    # sizes of linked sets differ by 100 / percent at most, which a band is a little wider than
+    band = F.floor(F.log("n_shingles") / F.log(F.lit(101 / s.percent))).cast("int")
+    rows = stash(rows.join(small(mixed), "key", "left_semi").join(nodes.select("node", "n_shingles"), "node").select("key", "node", "root", band.alias("band"), "n_shingles"), "bands")
+    bands = rows.groupBy("key", "band").agg(F.ceil(F.greatest(F.count("*") / s.block, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("chunks"))
+    bands = stash(bands, "chunks")
+    beside = lambda step, name: bands.select("key", (F.col("band") - step).alias("band"), F.col("chunks").alias(name))
+    bands = stash(bands.join(beside(1, "above"), ["key", "band"], "left").join(beside(-1, "below"), ["key", "band"], "left"), "chunks")
+    rows = rows.join(small(bands), ["key", "band"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    own, all_of = F.col("chunk"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    cell = lambda band, up, i, j, side: F.struct(band.alias("band"), F.lit(up).alias("up"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    # blocks (i, j), i <= j, of a band: a node of chunk c is in row and column c; blocks of a band and the next one up: in rows of the lower and columns of the upper
+    none = F.array().cast("array<struct<band: int, up: boolean, i: int, j: int, side: int>>")
+    cells = F.concat(
+        F.transform(all_of("chunks"), lambda o: cell(F.col("band"), False, F.least(own, o), F.greatest(own, o), own > o)),
+        F.when(F.col("above").isNull(), none).otherwise(F.transform(all_of("above"), lambda o: cell(F.col("band"), True, own, o, F.lit(0)))),
+        F.when(F.col("below").isNull(), none).otherwise(F.transform(all_of("below"), lambda o: cell(F.col("band") - 1, True, o, own, F.lit(1)))),
+    )
+    rows = rows.select("key", "node", "root", F.explode(cells).alias("cell")).select("key", "node", "root", "cell.*")
+    return rows.join(sets, "node").groupBy("key", "band", "up", "i", "j").applyInPandas(_compare(s.percent), "a long, b long")
 
 
 def links(df: DataFrame, text_col: str, nodes: DataFrame, s: Settings) -> DataFrame:
@@ -279,7 +298,20 @@ def links(df: DataFrame, text_col: str, nodes: DataFrame, s: Settings) -> DataFr
     of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     open_ = candidates.join(star, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     second = confirmed(open_.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")), sets, s)
-    return first.union(second).union(stash(_long_links(long, roots, sets, s), "long"))
+    return first.union(second).union(stash(_long_links(long, nodes, roots, sets, s), "long"))
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Every row's (doc_id, text_key, node, n_shingles), and (node, component_id, keep_key) of the row that stays of each node's component: the one with the least id (nulls last), then text_key."""
+    rows = stash(signatures(df, id_col, text_col, s), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    nodes = rows.where("node is not null").groupBy("node").agg(first, F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
+    nodes = stash(nodes, "nodes")
+    roots = stash(components(links(df, text_col, nodes, s)), "roots")
+    least = roots.join(nodes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("of_all"))
+    joined = roots.join(least, "root").select("node", "of_all")
+    kept = nodes.select("node", "first").join(joined, "node", "left").select("node", F.coalesce("of_all", "first").alias("first"))
+    return rows, stash(kept.select("node", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("keep_key")), "ids")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
@@ -289,21 +321,22 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     component of null ids alone has a null component_id, and its rows count as kept. Rows that repeat an id within a component
     share its fate. An empty table gives an empty result.
     """
-    s = settings
-    rows = stash(signatures(df, id_col, text_col, s), "signatures")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
-    nodes = stash(nodes, "nodes")
-    roots = stash(components(links(df, text_col, nodes, s)), "roots")
-    least = roots.join(nodes.select("node", "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    joined = roots.join(least, "root").select("node", "component_id")
-    ids = stash(nodes.select("node", "least_id").join(joined, "node", "left").select("node", F.coalesce("component_id", "least_id").alias("component_id")), "ids")
+    rows, ids = _grouped(df, id_col, text_col, settings)
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     found = rows.where("node is not null").select("doc_id", "n_shingles", "node").join(ids, "node")
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")).unionByName(alone)
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """df without near copies: all columns, of each component the row with the least id. Rows with a null id stay."""
-    gone = fresh(df, "gone")
-    dropped = stash(near_groups(df, id_col, text_col, settings).where("not kept").select(F.col("doc_id").alias(gone)).distinct(), "dropped")
-    return df.join(small(dropped), F.col(id_col) == F.col(gone), "left_anti")
+    """df without near copies: all columns; of each component the document with the least id stays, null ids last.
+
+    A document is an id and a text: of an id's rows with different texts each has the fate of its own component, and if several
+    have the least id of one component, one text stays. Rows alike in id and text are one document and stay or go together.
+    Null and blank texts stay.
+    """
+    rows, ids = _grouped(df, id_col, text_col, settings)
+    gone, key = fresh(df, "gone"), fresh(df, "key")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keep_key"))
+    lost = rows.where("node is not null").select("doc_id", "text_key", "node").join(ids, "node").where(~stays)
+    dropped = stash(lost.select(F.col("doc_id").alias(gone), F.col("text_key").alias(key)).distinct(), "dropped")
+    return df.join(small(dropped), F.col(id_col).eqNullSafe(F.col(gone)) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(key)), "left_anti")

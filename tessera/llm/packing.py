@@ -1,9 +1,9 @@
 """Best-fit packing: pieces of documents into sequences of a fixed number of tokens.
 
-Documents are encoded where they are read; only their pieces' sizes go on. Consecutive input partitions form shards of about
-`shard_pieces` pieces; in each, best-fit decreasing puts every piece into the tightest open sequence, which a segment tree over
-the remaining capacities finds in log2(capacity) steps. Each shard can leave a few sequences part-filled, so `shard_pieces`
-trades memory against those: at the default they are under one in ten thousand.
+Documents are encoded where they are read; only their pieces' sizes go on. Runs of RUN_PIECES stored pieces are dealt by a hash to
+shards of about `shard_pieces` pieces, however many partitions they come from; in each, best-fit decreasing puts every piece into
+the tightest open sequence, which a segment tree over the remaining capacities finds in log2(capacity) steps. Each shard can leave
+a few sequences part-filled, so `shard_pieces` trades memory against those.
 
 Along a mix (pack_along()), shards are ranges of its slots, and in a shard best-fit decreasing goes over one window of neighbouring
 pieces after another: a piece shares a sequence only with its window. Sequences are numbered in the order of their longest pieces
@@ -22,11 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _tokens, mixing
-from tessera.llm._io import stash
+from tessera.llm._io import fresh, stash
 
 CAPACITY = 2048
 END_ID = 0
 WINDOW_PIECES = 4096
+RUN_PIECES = 1 << 12
 RANGES = 32  # ranges of slots a shard, whose counts come to the driver
 
 
@@ -83,12 +84,13 @@ def _pieces(path: str, capacity: int, with_ids: bool, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, size = [], 0
-            for key, part, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            *keys, texts = b.columns
+            for own, text in zip(zip(*(c.to_pylist() for c in keys), strict=True), texts, strict=True):
                 ids = np.append(_tokens.ids(path, text.as_py()), np.uint32(END_ID)).astype("<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
-                    own = ids[start : start + n].tobytes()
-                    rows.append((key, part, k, start, n, zlib.crc32(own), *([own] if with_ids else [])))
-                    size += len(own) if with_ids else 64
+                    held = ids[start : start + n].tobytes()
+                    rows.append((*own, k, start, n, zlib.crc32(held), *([held] if with_ids else [])))
+                    size += len(held) if with_ids else 64
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows, size = [], 0
@@ -99,32 +101,43 @@ def _pieces(path: str, capacity: int, with_ids: bool, schema: pa.Schema):
 
 
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_path: str | None = None, with_ids: bool = False, part: Column | None = None) -> DataFrame:
-    """(doc_id, part, piece, start, length, ids_crc32[, ids]): every text's ids and an end id, whole if it fits, else cut. ids: little-endian unsigned 32-bit; part: the input partition, or the long given."""
+    """(doc_id[, part], piece, start, length, ids_crc32[, ids]): every text's ids and an end id, whole if it fits, else cut. ids: little-endian unsigned 32-bit; part: the long given."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     path = tokenizer_path or _tokens.default_path()
-    rows = df.select(F.col(id_col).alias("doc_id"), (F.spark_partition_id() if part is None else part).cast("long").alias("part"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("doc_id"), *([] if part is None else [part.cast("long").alias("part")]), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType
-    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("part", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
-    return rows.mapInArrow(_pieces(path, capacity, with_ids, schema), f"doc_id {kind.simpleString()}, part long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), *([] if part is None else [("part", pa.int64())]), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
+    return rows.mapInArrow(_pieces(path, capacity, with_ids, schema), f"doc_id {kind.simpleString()}, " + "part long, " * (part is not None) + "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+
+
+def _filled(rows: DataFrame, shard: str, kept: list[str], fill) -> DataFrame:
+    """Each shard's columns `kept` with sequence_id and offset, as fill(the shard's rows) gives bins and offsets."""
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.reset_index(drop=True)
+        order, bins, offsets = fill(own)
+        return own[kept].iloc[order].assign(sequence_id=(int(own[shard].iloc[0]) << 32) + bins, offset=offsets)
+
+    return rows.groupBy(shard).applyInPandas(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 1 << 16) -> DataFrame:
-    """pieces (with columns part and length, any others kept) with sequence_id and offset, by best-fit decreasing in shards of neighbouring partitions.
+    """pieces (with a column length, any others kept) with sequence_id and offset, by best-fit decreasing in shards.
 
-    Sequences have at most capacity tokens and no gaps; ids are unique over all shards. Rows that are alike are packed each.
+    Sequences have at most capacity tokens and no gaps; ids are unique over all shards. Rows that are alike are packed each. Columns
+    sequence_id and offset of pieces are replaced. Where a row stands in pieces decides its shard, so pieces should be a stored table.
     """
-    n, last = pieces.agg(F.count("*"), F.max("part")).first()
-    shards = max(1, min((last or 0) + 1, -(-n // shard_pieces)))
-    shard = F.floor(F.col("part").cast("long") * shards / ((last or 0) + 1)).cast("long")
-    kept = [c for c in pieces.columns if c != "part"]
-    kinds = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in kept)
+    shard, shards = fresh(pieces, "shard"), max(1, -(-pieces.count() // shard_pieces))
+    run = F.shiftright(F.monotonically_increasing_id(), RUN_PIECES.bit_length() - 1)
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = pieces.select(*[F.col(f"`{c}`") for c in kept], F.pmod(F.xxhash64(run), F.lit(shards)).alias(shard))
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        bins, offsets = best_fit_decreasing(rows["length"].to_numpy(), capacity)
-        return rows[kept].assign(sequence_id=(int(rows["_shard"].iloc[0]) << 32) + bins, offset=offsets)
+    def fill(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.arange(len(own)), *best_fit_decreasing(own["length"].to_numpy(), capacity)
 
-    return pieces.withColumn("_shard", shard).groupBy("_shard").applyInPandas(fill, f"{kinds}, sequence_id long, offset long")
+    return _filled(rows, shard, kept, fill)
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, tokenizer_path: str | None = None, with_ids: bool = False, shard_pieces: int = 1 << 16) -> DataFrame:
@@ -149,7 +162,10 @@ def fill_along(lengths: np.ndarray, capacity: int, window: int) -> tuple[np.ndar
 
 
 def pack_along(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 1 << 16, window: int = WINDOW_PIECES) -> DataFrame:
-    """pieces (with columns slot, at and length, any others kept) with sequence_id and offset; sequence_id follows the order of slot and at."""
+    """pieces (with columns slot, at and length, any others kept but slot and at) with sequence_id and offset; sequence_id follows the order of slot and at.
+
+    Columns sequence_id and offset of pieces are replaced.
+    """
     n, last = pieces.agg(F.count("*"), F.max("slot")).first()
     shards = max(1, -(-n // shard_pieces))
     span = -(-((last or 0) + 1) // (shards * RANGES))
@@ -158,18 +174,18 @@ def pack_along(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int =
     for r, c in counts:
         shard_of.append((r, before * shards // n))
         before += c
-    rows = pieces.withColumn("_range", F.expr(f"slot div {span}"))
+    shard, range_ = fresh(pieces, "shard"), fresh(pieces, "range")
+    rows = pieces.withColumn(range_, F.expr(f"slot div {span}"))
     # RANGES rows a shard
-    rows = rows.join(F.broadcast(pieces.sparkSession.createDataFrame(shard_of, "_range long, _shard long")), "_range") if shards > 1 else rows.withColumn("_shard", F.lit(0).cast("long"))
-    kept = [c for c in pieces.columns if c not in ("slot", "at")]
-    kinds = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in kept)
+    rows = rows.join(F.broadcast(pieces.sparkSession.createDataFrame(shard_of, f"`{range_}` long, `{shard}` long")), range_) if shards > 1 else rows.withColumn(shard, F.lit(0).cast("long"))
+    kept = [c for c in pieces.columns if c not in ("slot", "at", "sequence_id", "offset")]
+    order = ["slot", "at", *[c for c in ("ids_crc32", "piece") if c in kept]]
 
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["slot", "at", "ids_crc32", "piece"])
-        bins, offsets = fill_along(rows["length"].to_numpy(), capacity, window)
-        return rows[kept].assign(sequence_id=(int(rows["_shard"].iloc[0]) << 32) + bins, offset=offsets)
+    def fill(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = own.sort_values(order).index.to_numpy()
+        return at, *fill_along(own["length"].to_numpy()[at], capacity, window)
 
-    return rows.groupBy("_shard").applyInPandas(fill, f"{kinds}, sequence_id long, offset long")
+    return _filled(rows, shard, kept, fill)
 
 
 def pack_mixed(df: DataFrame, mix: mixing.Settings, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", capacity: int = CAPACITY, tokenizer_path: str | None = None, shard_pieces: int = 1 << 16, window: int = WINDOW_PIECES) -> DataFrame:
