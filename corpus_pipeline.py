@@ -35,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: all rows, in the order of the mix."""
-    return mixing.mixed_order(docs, settings=MIX)
+    """Mixing to target weights: all rows, laid out along the mix."""
+    return mixing.mixed_layout(docs, settings=MIX)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
