@@ -123,3 +123,39 @@ def test_without_training_rows(spark):
     df = spark.createDataFrame([(i, "some words") for i in range(5)], "doc_id long, text string")
     rows = H.score_texts(df, folds=1).collect()
     assert all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in rows) and len(rows) == 5
+
+
+def test_the_querys_scores_against_plain_loops(spark, sf):
+    """The score of whole texts by a plain forward recursion in logarithms, and by each word's share of its class."""
+    from pyspark.sql import functions as F
+
+    docs, s = spark.read.parquet(f"{sf}/documents.parquet"), H.Settings()
+    counts = H.stash(H.count_words(docs.where(~H.held_out(F.col("doc_id")))), "counts")
+    v = H.vocabulary(counts, s)
+    encoded = H.stash(docs.select("doc_id", F.lit(0).cast("long").alias("row"), H.held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(H._encode(v, H.pa.int64()), "doc_id long, row long, held_out boolean, n_tokens long, n_known long, base double, within double, seq binary, rare binary, rare_suffix binary"), "encoded")
+    m, _ = H.baum_welch(encoded.where("not held_out"), v, s)
+    n = {np.uint64(r["word"] & (2**64 - 1)): r["n"] for r in counts.collect()}
+    own = {w: c for w, c in zip(v.word.tolist(), v.own.tolist(), strict=True) if c >= 0}
+    got = {r["doc_id"]: r["score"] for r in op3_hmm_lm(spark, sf).collect()}
+    with np.errstate(divide="ignore"):
+        start, move, emit = np.log(m.start[0]), np.log(m.move), np.log(m.emit)
+    for r in docs.collect():
+        w = _words.split(*_words.raw(H.pa.array([r["text"] or ""])))
+        words, suffix = _words.fingerprints(w), H._suffix(w) if len(w.start) else []
+        a, within = None, 0.0
+        for k, (word, x) in enumerate([*zip(words.tolist(), suffix, strict=True), (0, None)]):
+            c = 0 if x is None else own.get(word, 1 + int(x))
+            a = start + emit[:, c] if k == 0 else np.logaddexp.reduce(a[:, None] + move, 0) + emit[:, c]
+            if x is not None and word not in own:
+                within += math.log10((n.get(np.uint64(word), 0) + v.add) / v.total) - math.log10(v.mass[c])
+        assert abs(got[r["doc_id"]] - (np.logaddexp.reduce(a) / math.log(10) + within)) < 1e-6 * max(1, len(words))
+
+
+def test_words_of_their_own_do_not_hang_on_the_broadcast_list(spark):
+    """300 equally frequent words have 300 classes of their own, whether the list of frequent words has room for them or not."""
+    text = " ".join(f"w{i}" for i in range(300))
+    counts = H.count_words(spark.createDataFrame([(text,)] * 5, "text string")).cache()
+    for room in (1, 299, 300, 1 << 17):
+        v = H.vocabulary(counts, H.Settings(frequent_words=room))
+        assert (v.own >= 0).sum() == 300 and len(v.word) == 300
+    assert (H.vocabulary(counts, H.Settings(own_classes=20)).own >= 0).sum() == 20

@@ -52,3 +52,21 @@ def test_drop_copies_keeps_columns_and_one_row_a_text(awkward, empty):
     assert len(rows) == len({_norm(r["text"]) for r in awkward.collect()})
     assert {r["doc_id"] for r in rows} >= {1, 3, 6, 7, 8} and 2 not in {r["doc_id"] for r in rows}
     assert X.drop_copies(empty).count() == 0 and X.exact_groups(empty).count() == 0
+
+
+def test_a_million_copies_without_an_id(spark):
+    """One text and no id in a million rows: all come out, one is kept, and no row is made of many."""
+    df = spark.range(1_000_000).selectExpr("cast(null AS long) AS doc_id", "'same text' AS text").unionByName(spark.createDataFrame([(7, "other")], "doc_id long, text string"))
+    rows = X.exact_groups(df)
+    assert rows.count() == 1_000_001 and rows.where("kept").count() == 2
+    assert rows.where("doc_id IS NULL").agg(F.min("group_size"), F.max("group_size")).first()[:] == (1_000_000, 1_000_000)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+
+
+def test_repeated_ids_across_groups(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c d"), (2, "a  b"), (1, "c\td"), (None, "c d")], "doc_id long, text string")
+    rows = X.exact_groups(df).collect()
+    assert sorted((str(r["doc_id"]), r["keep_id"], r["group_size"]) for r in rows) == [("1", 1, 2), ("1", 1, 3), ("1", 1, 3), ("2", 1, 2), ("None", 1, 3)]
+    assert sum(r["kept"] for r in rows) == 2
+    assert sorted(r["text"] in ("a b", "a  b") for r in X.drop_copies(df).collect()) == [False, True]

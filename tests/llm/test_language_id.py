@@ -37,8 +37,8 @@ def test_labels_of_code_switched_text():
     rng = random.Random(2)
     tagger = L.fit([(lang, _text(rng, lang, 20)) for lang in WORDS for _ in range(60)], L.Settings())
     text = pa.array([_text(rng, "aa", 40) + " " + _text(rng, "bb", 25) + " " + _text(rng, "cc", 10)])
-    [(_, _, best, score, words, switches)] = list(L._judged(tagger, 128, text))
-    assert tagger.labels[best[0]] == "aa" and words[0] == 75 and switches[0] == 2 and abs(score[0] - 40 / 75) < 0.05
+    [g] = list(L._judged(tagger, text))
+    assert tagger.labels[g.best[0]] == "aa" and g.words.counts[0] == 75 and len(g.begins) == 3 and abs(g.score[0] - 40 / 75) < 0.05
     assert np.diag(tagger.moves).min() > (tagger.moves - np.diag([9.0] * 3)).max()  # staying is learned
 
 
@@ -60,6 +60,87 @@ def test_posteriors_against_all_paths():
         assert np.allclose(p[lo:hi], want / want.sum(1, keepdims=True))
 
 
+def _plain(t, text):
+    """lang_pred, score, words, and the words' labels and posteriors, by plain loops over one whole text."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode()) if w]
+    emitted = []
+    for w in words:
+        at_bytes, at_words, _ = L._grams(L._words.split(*L._words.raw(pa.array([w.decode()]))))
+        emitted.append(np.exp((t.weights[at_bytes].sum((0, 1)) + t.weights[at_words].sum((0, 1))).astype(float)))
+    k, move, ahead = len(t.labels), np.exp(t.moves), [np.exp(t.start)]
+    for e in emitted:
+        a = ahead[-1] * e if len(ahead) == 1 else (ahead[-1] @ move) * e
+        ahead.append(a / a.sum())
+    behind, p = np.ones(k), []
+    for i in range(len(words) - 1, -1, -1):
+        x = ahead[i + 1] * behind
+        p.insert(0, x / x.sum())
+        behind = move @ (emitted[i] * behind)
+        behind /= behind.sum()
+    lettered = [x for x, w in zip(p, words, strict=True) if re.search(rb"[A-Za-z\x80-\xff]", w)]
+    if not lettered or not re.search(r"[^\W\d_]", text):
+        return "und", 0.0, len(words), p
+    mean = np.mean(lettered, 0)
+    return t.labels[int(mean.argmax())], float(mean.max()), len(words), p
+
+
+def test_query_against_plain_loops(spark, sf):
+    """op5 with the weights that it learns, and its word labels, against a loop over each whole text's words; long texts too."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    from pyspark.sql import functions as F
+
+    tagger = L.train(docs.where(~L.held_out(F.col("doc_id"))).select("text", "lang"), L.Settings())
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert max(len((t or "").split()) for t in texts.values()) > 300
+    runs = {}
+    for r in L.label_runs(docs, tagger, ["doc_id"]).collect():
+        runs.setdefault(r["doc_id"], []).append(r)
+    for r in op5_language_id(spark, sf).collect():
+        lang, score, n, p = _plain(tagger, texts[r["doc_id"]])
+        assert (r["lang_pred"], r["n_words"]) == (lang, n) and abs(r["score"] - score) < 1e-4
+        own, at = sorted(runs.get(r["doc_id"], []), key=lambda x: x["run"]), 0
+        for k, x in enumerate(own):
+            assert (x["run"], x["first_word"]) == (k, at)
+            at = x["last_word"] + 1
+            for q in p[x["first_word"] : at]:
+                assert q[tagger.labels.index(x["lang_pred"])] > q.max() - 1e-4
+            assert abs(x["score"] - np.mean([q.max() for q in p[x["first_word"] : at]])) < 1e-4
+        assert at == n and r["switches"] == max(0, len(own) - 1)
+
+
+def test_a_chain_is_not_cut(spark):
+    """Where the words say nothing for 400 words, the label at their beginning holds to their end."""
+    rng = random.Random(2)
+    tagger = L.fit([(lang, _text(rng, lang, 20)) for lang in WORDS for _ in range(60)], L.Settings())
+    tagger.moves = np.diag([30.0] * 3)
+    text = _text(rng, "bb", 3) + " 0" * 400
+    [g] = list(L._judged(tagger, pa.array([text])))
+    assert {tagger.labels[x] for x in g.label} == {"bb"} and len(g.begins) == 1
+
+
+def test_long_words_teach_their_ends(spark):
+    """Words of 70 letters that differ in their last ones alone."""
+    rows = [("k" * 66 + end, end) for end in ("mola", "ridu") for _ in range(3)]
+    rows += [(f"{'k' * 66}{end} {i}", end) for i in range(40) for end in ("mola", "ridu")]
+    tagger = L.train(spark.createDataFrame(rows, "text string, lang string"), L.Settings())
+    assert [tagger.labels[x] for g in L._judged(tagger, pa.array(["k" * 66 + "mola", "k" * 66 + "ridu"])) for x in g.best] == ["mola", "ridu"]
+
+
+def test_too_many_languages_are_an_error(spark):
+    import pytest
+
+    rows = [(i, "some words", f"l{i}") for i in range(2 * L.MAX_LABELS)]
+    with pytest.raises(ValueError):
+        L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
+def test_clashing_columns(spark, awkward):
+    tagger = L.train(awkward.select("text", "lang"), L.Settings())
+    out = L.predict(awkward, tagger, ["lang_pred", "score", "_text"])
+    assert out.columns == ["lang_pred", "score", "_text", "_lang_pred", "_score", "n_words", "switches"] and {r["lang_pred"] for r in out.collect()} == {"q"}
+    assert L.label_runs(awkward, tagger, ["score"]).columns == ["score", "run", "first_word", "last_word", "lang_pred", "_score"]
+
+
 def test_predictions_see_the_text_alone(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     from pyspark.sql import functions as F
@@ -75,7 +156,7 @@ def test_copies_do_not_fill_the_sample(spark):
     rows = [("plin plin plin", "bb")] * 400 + [(_text(rng, lang, 15), lang) for lang in WORDS for _ in range(30)]
     tagger = L.train(spark.createDataFrame(rows, "text string, lang string"), L.Settings(sample_docs=30))
     texts = pa.array([_text(rng, lang, 10) for lang in WORDS])
-    best = [tagger.labels[x] for _, _, b, *_ in L._judged(tagger, 128, texts) for x in b]
+    best = [tagger.labels[x] for g in L._judged(tagger, texts) for x in g.best]
     assert best == list(WORDS)
 
 

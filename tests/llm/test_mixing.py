@@ -44,7 +44,7 @@ def _check(rows, docs, s, sizes):
     slots = {}
     for x, own in by_stream.items():
         at = 0
-        for r in sorted(own, key=lambda r: (r["start"], sizes(r) > 0)):
+        for r in sorted(own, key=lambda r: (r["start"], sizes(r) > 0, r["hash"])):
             assert r["start"] == at
             at += sizes(r)
         for r in own:
@@ -90,3 +90,59 @@ def test_awkward_rows(spark, awkward, empty):
     assert M.mix(empty, ["doc_id"], settings=s).count() == 0 and M.mixed_order(empty, settings=s).count() == 0
     with pytest.raises(ValueError):
         M.mix(awkward, ["doc_id"], settings=M.Settings(weights={"a": -1.0}))
+
+
+def test_emitted_bytes_stay_within_a_block_and_a_text(spark):
+    """Whole texts of up to 40 blocks: after every slot, while both streams last, each one's bytes are within a block and its longest text of its share."""
+    import random
+
+    rng = random.Random(6)
+    texts = ["x" * (rng.randint(1, 200) if rng.random() < 0.95 else rng.randint(2_000, 20_000)) for _ in range(3_000)]
+    df = spark.createDataFrame([(i, t, f"s{i % 3 % 2}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    s = M.Settings(weights={"s0": 0.6, "s1": 0.4}, rest=0.0, block_bytes=512)
+    rows = M.mix(df, ["doc_id", "source"], settings=s).where("phase = 0").collect()
+    at = defaultdict(Counter)
+    for r in rows:
+        at[r["slot"]][r["source"]] += len(texts[r["doc_id"]])
+    longest = {x: max(len(texts[r["doc_id"]]) for r in rows if r["source"] == x) for x in ("s0", "s1")}
+    seen = Counter()
+    for t in range(max(at) + 1):
+        seen.update(at[t])
+        for x, w in s.weights.items():
+            assert abs(seen[x] - w * (t + 1) * s.block_bytes) < s.block_bytes + longest[x]
+
+
+def test_rows_that_repeat_an_id_and_a_text_are_spread(spark):
+    """A third of the rows are one row: each has its place, and their buckets hold no more rows than others."""
+    df = spark.range(30_000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "CASE WHEN id % 3 > 0 THEN concat('text ', id) ELSE 'same' END AS text", "'a' AS source")
+    rows = M.mix(df, ["doc_id", "text"], settings=M.Settings(block_bytes=256)).toPandas()
+    assert len(rows) == 30_000 and rows["hash"].nunique() == 30_000
+    rows = rows.sort_values("start")
+    sizes = rows["text"].str.len().to_numpy()
+    assert (rows["start"].to_numpy()[1:] == sizes.cumsum()[:-1]).all()
+    same = rows[rows["doc_id"].isna()].groupby(rows["start"] // 16_384).size()
+    assert same.iloc[:-1].max() < 2 * same.iloc[:-1].mean()
+
+
+def test_texts_without_bytes_have_one_order(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "", "a") for i in range(200)], "doc_id long, text string, source string")
+    orders = {tuple(r["doc_id"] for r in M.mixed_order(df.repartition(n)).collect()) for n in (1, 3, 7)}
+    assert len(orders) == 1
+
+
+def test_clashing_columns(awkward):
+    out = M.mix(awkward.selectExpr("*", "1 AS bucket", "2 AS hash", "3 AS kept", "4 AS start"), ["stream", "h", "slot", "block", "bucket", "hash", "kept", "start", "text"])
+    assert out.columns == ["stream", "h", "slot", "block", "bucket", "hash", "kept", "start", "text", "_stream", "_start", "_hash", "_block", "phase", "release", "deadline", "_slot"]
+    assert {r["stream"] for r in out.collect()} == {"y"} and {r["_stream"] for r in out.collect()} == {"*"}
+
+
+def test_the_layout_keeps_the_rows_and_nearly_the_order(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    s = M.Settings(weights={"src0": 0.5, "src1": 0.2}, rest=0.3, block_bytes=512)
+    laid = M.mixed_layout(docs, settings=s, partition_rows=40)
+    assert laid.columns == docs.columns and sorted(map(str, laid.collect())) == sorted(map(str, docs.collect()))
+    slot = {r["doc_id"]: (r["slot"], r["start"]) for r in M.mix(docs, ["doc_id"], settings=s).collect()}
+    one = [slot[r["doc_id"]] for r in M.mixed_layout(docs, settings=s).collect()]
+    assert one == sorted(one)
+    plan = laid._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan

@@ -99,3 +99,40 @@ def test_awkward_rows(awkward, empty):
     kept = N.drop_near_copies(awkward)
     assert kept.columns == awkward.columns and not {r["doc_id"] for r in kept.collect()} & {2, 7}
     assert N.near_groups(empty).count() == 0 and N.drop_near_copies(empty).count() == 0
+
+
+def test_an_ids_other_text_stays(spark):
+    """Rows (1, A), (5, near A), (5, B): B has no copy and stays; of two texts with a group's least id one stays."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a), (5, a + " more"), (5, b), (None, a + " and"), (None, b + " end"), (9, "c d e"), (9, "C D e"), (3, None), (3, "")], "doc_id long, text string")
+    kept = sorted(str((r["doc_id"], (r["text"] or "")[:2])) for r in N.drop_near_copies(df).collect())
+    assert kept in (sorted(map(str, [(1, "a0"), (5, "b0"), (9, x), (3, ""), (3, "")])) for x in ("c ", "C "))
+
+
+def _one_passage(rng, n):
+    """n texts of one frequent passage and an end of their own: alike in most coordinates, none a link, but for some planted pairs."""
+    passage = [f"p{i}" for i in range(90)]
+    texts = [" ".join([*passage, *(f"q{rng.randrange(10**9)}" for _ in range(26))]) for _ in range(n)]
+    return texts, [texts[i] + f" tail{i}" for i in range(0, n, n // 20)]
+
+
+def test_a_long_posting_of_many_components(spark):
+    """5,000 texts that share a passage of three quarters: a posting of 5,000 components, in which each planted link is found and no other."""
+    texts, copies = _one_passage(random.Random(3), 5_000)
+    df = spark.createDataFrame(list(enumerate([*texts, *copies])), "doc_id long, text string").repartition(8)
+    rows = {r["doc_id"]: r["component_id"] for r in N.near_groups(df).collect()}
+    for k in range(5_000):
+        assert rows[k] == k
+    assert [rows[5_000 + k] for k in range(len(copies))] == list(range(0, 5_000, 250))
+
+
+def test_neither_short_postings_nor_blocks_alter_components(spark):
+    rng = random.Random(11)
+    texts, copies = _one_passage(rng, 120)
+    word = lambda: f"w{rng.randrange(300)}"
+    for _ in range(6):
+        texts += _family(rng, [word() for _ in range(rng.randint(20, 90))], 12, 6)
+    df = spark.createDataFrame(list(enumerate([*texts, *copies])), "doc_id long, text string")
+    want = _components(df.collect(), 5)
+    for short, block in ((2, 3), (8, 1000), (1000, 4)):
+        assert _rows(N.near_groups(df, settings=N.Settings(short=short, block=block))) == want

@@ -62,7 +62,8 @@ def test_ids_are_those_of_tokenizers(spark, sf, tokenizer):
     pieces = ["a", "Z", " ", "  ", "\n", "\t", "\r\n", "'s", "'LL", "0", "42", "é", "ß", "漢字", "😀", " ", "​", "́", "\x00", "<|endoftext|>", "!", "...", " ", "ﬁ"]
     texts = ["".join(rng.choices(pieces, k=rng.randint(1, 60))) for _ in range(800)]
     texts += [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    tokenizer.encode_special_tokens = True
+    texts += ["a <|endoftext|> b", "<|endoftext|>" * 3, "<|endoftext", "x" + " " * 2_000_000 + "y", "\n" * 2_000_000, "a" * 2_000_000, " \t" * 700_000 + "<|endoftext|>"]
+    assert _tokens.ids(_tokens.default_path(), "a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
     for t in texts:
         assert _tokens.ids(_tokens.default_path(), t).tolist() == _ids(tokenizer, t), t
 
@@ -94,6 +95,27 @@ def test_query_against_brute_force(spark, sf, tokenizer):
     assert len(sequences) == len(_best_fit([r["length"] for r in rows], 2048)) and len(sequences) <= -(-total // 2048) + 1
 
 
+def test_very_long_white_space_and_special_strings(spark, tokenizer):
+    from tessera.llm import mixing, token_counts
+
+    texts = [" " * 2_000_000, "word" + "\n" * 2_000_000 + "word", "a" * 2_000_000, "a <|endoftext|> b"]
+    df = spark.createDataFrame([(i, t, "en", "src0") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(4)
+    n = {i: len(_ids(tokenizer, t)) + 1 for i, t in enumerate(texts)}
+    for rows in (P.pack_documents(df), P.pack_mixed(df, mixing.Settings())):
+        assert {r["doc_id"]: r["n"] for r in rows.groupBy("doc_id").sum("length").withColumnRenamed("sum(length)", "n").collect()} == n
+    assert sorted(r["length"] for r in token_counts.length_histogram(df).collect() for _ in range(r["n_docs"])) == sorted(x - 1 for x in n.values())
+
+
+def test_one_partition_makes_as_many_shards_as_several(spark):
+    pieces = spark.range(200_000).selectExpr("id AS doc_id", "cast(1 + id % 700 AS long) AS length", "'x' AS _shard", "id AS sequence_id").coalesce(1)
+    out = P.pack(pieces)
+    assert sorted(out.columns) == sorted(["doc_id", "length", "_shard", "sequence_id", "offset"])
+    rows = out.selectExpr("doc_id", "length", "offset", "sequence_id", "shiftright(sequence_id, 32) AS shard").toPandas()
+    assert rows["shard"].nunique() == 4 and rows["shard"].value_counts().max() <= 3 * 65_536 and rows["doc_id"].nunique() == len(rows) == 200_000
+    size = rows.groupby("sequence_id")["length"].sum()
+    assert size.max() <= 2048 and len(size) <= -(-rows["length"].sum() // 2048) + 8
+
+
 def test_shards_and_awkward_rows(awkward, empty):
     out = P.pack_documents(awkward.repartition(5), with_ids=True, shard_pieces=3)
     rows = out.collect()

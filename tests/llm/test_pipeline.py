@@ -30,7 +30,7 @@ def test_stages_against_brute_force(spark, sf):
         assert after.columns == before.columns and not _bag(after) - _bag(before)
     _, before, after = stages[0]
     tagger = language_id.train(before.select("text", "lang"), language_id.Settings())
-    judged = language_id.predict(before, tagger, [F.col("doc_id")]).where(f"lang_pred <> 'und' AND score >= {corpus_pipeline.LEAST_LANGUAGE_SCORE}")
+    judged = language_id.predict(before, tagger, ["doc_id"]).where(f"lang_pred <> 'und' AND score >= {corpus_pipeline.LEAST_LANGUAGE_SCORE}")
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in judged.collect()} and after.count() > 0.9 * before.where("text rlike '[a-zA-Z]'").count()
     _, before, after = stages[1]
     groups = defaultdict(list)

@@ -70,7 +70,30 @@ def test_awkward_rows(spark, awkward, empty):
     assert len(rows) == awkward.count() and all(0 <= r["score"] <= 1 for r in rows)
     assert {r["label"] for r in rows if r["doc_id"] == 1} == {1}
     kept = Q.keep_good(awkward, labels)
-    assert kept.columns == awkward.columns and kept.where("doc_id IS NULL").count() == 2
+    assert kept.columns == awkward.columns
+    good = {(r["doc_id"], r["host"], r["path"]) for r in rows if r["kept"] and r["doc_id"] != 1}
+    assert good == {(r["doc_id"], r["source"] or "", r["lang"] or "") for r in kept.collect() if r["doc_id"] != 1}
     none = labels.where("false")
     assert {r["evidence"] for r in Q.classify(awkward, none).collect()} == {0.0}
     assert Q.classify(empty, labels).count() == 0 and Q.keep_good(empty, none).count() == 0
+
+
+def test_words_are_evidence(spark):
+    """Texts of one shape that differ in their words alone: held-out ones are told apart."""
+    import random
+
+    rng = random.Random(4)
+    words = {1: [f"good{i}" for i in range(200)], 0: [f"poor{i}" for i in range(200)]}
+    rows = [(i, " ".join(rng.choice(words[i % 2]) for _ in range(30)), "s", "p") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    held = [r for r in Q.classify(df, labels).collect() if r["held_out"]]
+    assert len(held) > 80 and all(r["kept"] == bool(r["label"]) for r in held)
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    rows = [(i, "good words of a quiet page that reads well." if i % 2 else "!!! $$$ 123 !!! ###", f"s{i % 2}", "p") for i in range(200)]
+    rows += [(1000, "good words of a quiet page that reads well.", "s1", "p"), (1000, "!!! $$$ 123 !!! ###", "s0", "p"), (None, "!!! $$$ 123 !!! ###", "s0", "p"), (None, "good words of a quiet page that reads well.", "s1", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    kept = Q.keep_good(df, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")).collect()
+    assert len(kept) == 102 and all(r["source"] == "s1" for r in kept)

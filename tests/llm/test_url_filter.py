@@ -25,14 +25,20 @@ def test_query_against_brute_force(spark, sf):
     assert _rows(op6_url_filter(spark, sf)) == sorted(((p["page_id"], *_brute(p["url"], U.SITE_RULES, U.PATTERNS)) for p in pages), key=str)
 
 
-def test_random_urls(spark):
+def test_random_urls(spark, monkeypatch):
     rng = random.Random(5)
     hosts = ["org", "a.org", "xorg", "EXAMPLE.org", "www.example.org", "notexample.org", "com", "b.com", "ads.x.net", "blog.x.net", "example.org.net", ""]
     paths = ["", "/", "/es/", "/es", "/en/1", "/en/12", "/fr/x", "/de/", "/DE/", "/track/", "/a/track/b"]
     tails = ["", "?utm_source=x", "?a=1&utm_source=feed&keep=1", "?ref=x&page=2", "#page=1", "?page=3", "?ref=1#://x/es/"]
     urls = [f"{rng.choice(['http://', 'https://', '', 'x:/', '://'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(tails)}" for _ in range(1500)] + ["", None, None, "http://", "a\nb://C.org/\n?x"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    assert _rows(U.filter_pages(df, ["page_id"])) == sorted(((i, *_brute(u, U.SITE_RULES, U.PATTERNS)) for i, u in enumerate(urls)), key=str)
+    want = sorted(((i, *_brute(u, U.SITE_RULES, U.PATTERNS)) for i, u in enumerate(urls)), key=str)
+    assert _rows(U.filter_pages(df, ["page_id"])) == want
+    judged = U.judge_urls(df).collect()
+    monkeypatch.setattr(U, "INLINE_RULES", 0)  # the way of many rules
+    assert _rows(U.filter_pages(df, ["page_id"])) == want and sorted(map(str, U.judge_urls(df).collect())) == sorted(map(str, judged))
+    monkeypatch.setattr(U, "BROADCAST_RULES", 0)
+    assert _rows(U.filter_pages(df, ["page_id"])) == want
 
 
 def test_a_rule_is_filed_under_its_rarest_token(spark):
@@ -44,6 +50,7 @@ def test_a_rule_is_filed_under_its_rarest_token(spark):
 def test_only_candidates_run_and_no_python(spark, sf):
     df = spark.read.parquet(f"{sf}/pages.parquet")
     plan = U.filter_pages(df, ["page_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 0, plan  # rows are judged where they are read; only the tokens' counts were shuffled
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
@@ -54,3 +61,10 @@ def test_awkward_rows(spark):
     assert [(r[0], r[1], r[3], r[4]) for r in found] == [(1, "", None, "allow"), (1, "", None, "allow"), (2, "", None, "allow"), (3, "example.org", "example.org/es/", "block"), (4, "", None, "allow")]
     assert U.filter_pages(df.where("false"), ["page_id"]).count() == 0
     assert {r["verdict"] for r in U.filter_pages(df, ["page_id"], site_rules=[], patterns=[]).collect()} == {"allow"}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([("http://a.org/", "h", "u", "j", "k")], "url string, host string, _url string, _judged string, kept string")
+    out = U.filter_pages(df, ["host", "_url", "_judged", "kept", "url"])
+    assert out.columns == ["host", "_url", "_judged", "kept", "url", "_host", "path", "rule", "verdict"]
+    assert out.first()[:] == ("h", "u", "j", "k", "http://a.org/", "a.org", "/", "org/", "allow")
