@@ -54,4 +54,4 @@ def type_label(mime: Column) -> Column:
     # fixed values
     names = {"text/plain": "TXT", "text/markdown": "MD", "application/pdf": "PDF", "image/jpeg": "JPG", "image/png": "PNG", "image/webp": "WEBP"}
     known = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), mime)
-    return F.coalesce(known, F.nullif(F.upper(F.split(mime, "/")[1]), F.lit("")), F.lit("FILE"))
+    return F.coalesce(known, F.nullif(F.upper(F.get(F.split(mime, "/"), F.lit(1))), F.lit("")), F.lit("FILE"))

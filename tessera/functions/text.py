@@ -14,21 +14,22 @@ GENERIC_WORDS = (
     "diagram chart table topic topics stuff more what whats is are do does think know talk chat show give a an overview and or everything anything something "
     "interesting random some all my of"
 ).split()
-ASKS_POLITELY = ["please", "can you", "could you"]
-ASKS_FOR = ["explain", "summarize", "describe", "tell me about", "what is", "whats", "what about", "talk about", "chat about"]
-ASKS_ABOUT = ["it", "this", "that", "these", "them", "anything", "something", "the document", "the file", "the image", "the picture", "my documents", "my files"]
-VAGUE = f"^(?:(?:{'|'.join(ASKS_POLITELY)}) )?(?:{'|'.join(ASKS_FOR)})(?: (?:{'|'.join(ASKS_ABOUT)}))?$"
+# What a bare request consists of: perhaps a polite word, then a verb, then perhaps one of the things that name nothing.
+POLITE = ["please", "can you", "could you"]
+REQUESTS = ["explain", "summarize", "describe", "tell me about", "what is", "whats", "what about", "talk about", "chat about"]
+NOTHING = ["it", "this", "that", "these", "them", "anything", "something", "the document", "the file", "the image", "the picture", "my documents", "my files"]
+RERANK_CHARS, HISTORY_CHARS, CAPTURE_CHARS = 6000, 3000, 20_000
 CHUNK_MARK = r"\[\[chunk:(.+?)\]\]"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of a-z, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
+    """Lower-case runs of letters of any script, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
 def phrase_pattern(words: Sequence[str]) -> str:
-    """Matches, in lower-case text, neighbouring tokens (see tokens()) that are these words of a-z; no list of tokens is made."""
-    return f"(?<![a-z]){'[^a-z]+'.join(words)}(?![a-z])"
+    """Matches, in lower-case text, neighbouring tokens (see tokens()) that are these words of letters; no list of tokens is made."""
+    return r"(?<!\p{L})" + r"\P{L}+".join(words) + r"(?!\p{L})"
 
 
 def term_count(text: Column, term: str) -> Column:
@@ -64,11 +65,33 @@ def use_hypothetical(query: Column) -> Column:
     return F.size(words(query)) <= 8
 
 
+def _without_first(text: Column, phrases: Sequence[str]) -> Column:
+    """What follows the first words, if they are one of the phrases (the longest that fits); else null."""
+    follows = lambda p: F.when(text == p, F.lit("")).when(text.startswith(p + " "), F.substring(text, len(p) + 2, 1 << 30))
+    return F.coalesce(*[follows(p) for p in sorted(phrases, key=len, reverse=True)])
+
+
+def bare_request(plain: Column) -> Column:
+    """Whether lower-case text without punctuation asks for something, politely or not, and names nothing in particular."""
+    asked = _without_first(F.coalesce(_without_first(plain, POLITE), plain), REQUESTS)
+    return F.coalesce(asked.isin("", *NOTHING), F.lit(False))
+
+
 def needs_clarification(query: Column, has_context: Column) -> Column:
-    """Greetings are vague always; without context so are generic words alone, and a bare request about nothing in particular. An empty question is not vague."""
+    """Punctuation aside, a greeting is vague even with context. Without context so is a question of generic words alone, or a bare request. An empty question is not vague."""
     plain = F.trim(F.regexp_replace(F.lower(query), r"(?U)[^\w\s]", ""))
-    generic = (plain != "") & (F.size(F.array_except(words(plain), F.array(*[F.lit(w) for w in GENERIC_WORDS]))) == 0)
-    return plain.isin(GREETINGS) | (~has_context & (generic | plain.rlike(VAGUE)))
+    left = F.array_except(words(plain), F.array(*[F.lit(w) for w in GENERIC_WORDS]))
+    return F.when(plain == "", False).when(plain.isin(GREETINGS), True).when(has_context, False).otherwise((F.size(left) == 0) | bare_request(plain))
+
+
+def for_rerank(text: Column) -> Column:
+    """A document's text as a reranker gets it."""
+    return F.substring(text, 1, RERANK_CHARS)
+
+
+def for_history(text: Column) -> Column:
+    """A message as the history of a prompt has it."""
+    return F.substring(text, 1, HISTORY_CHARS)
 
 
 def marker_ids(inner: Column) -> Column:
@@ -122,6 +145,21 @@ def upload_problem(mime: Column, size: Column, title: Column) -> Column:
     )
 
 
+def capture_problem(text: Column, title: Column) -> Column:
+    """The first rule that a captured text breaks, else null; a missing title is none."""
+    return (
+        F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) == 0, "empty_text")
+        .when(F.length(text) > CAPTURE_CHARS, "text_too_long")
+        .when(F.length(F.trim(title)) == 0, "empty_title")
+        .when(F.length(F.trim(title)) > 500, "title_too_long")
+    )
+
+
+def extraction_source(source: Column, captured: Column, normalised: Column) -> Column:
+    """The text that a document's extraction reads: a capture's own, else the normalised file's."""
+    return F.when(source == "capture", captured).otherwise(normalised)
+
+
 def safe_path(path: Column, user: Column, doc: Column) -> Column:
     """A storage path inside user/doc/ without a `..` segment."""
     return path.startswith(F.concat(user, F.lit("/"), doc, F.lit("/"))) & ~F.array_contains(F.split(path, "/"), "..")

@@ -13,18 +13,16 @@ from tessera.functions import scalars
 from tessera.functions.vectors import matrix
 
 EXPLICIT_WEIGHT, RENDER_FLOOR, RECLUSTER_AT = 5.0, 1.5, 10
+MOST_CHUNKS = 1000
 
 
 def centroids(rows: DataFrame, key: str) -> DataFrame:
-    """(key, pos, value): the mean of each group's vectors, element by element, in double."""
-    parts = rows.where(F.col("embedding").isNotNull()).select(key, F.posexplode("embedding").alias("pos", "x"))
-    return parts.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("value"))
-
+    """(key, embedding): the mean of each group's vectors, in double; tasks add up what they have of a group before it is shuffled."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-def as_vectors(parts: DataFrame, key: str) -> DataFrame:
-    """(key, embedding) of the long form."""
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    return parts.groupBy(key).agg(F.transform(pairs, lambda p: p["value"]).alias("embedding"))
+    parts = rows.where(F.col("embedding").isNotNull()).select(key, array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    return parts.groupBy(key).agg(Summarizer.mean(F.col("v")).alias("v")).select(key, vector_to_array("v").alias("embedding"))
 
 
 def _assign(batch: pa.RecordBatch, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,10 +101,12 @@ def project_3d(rows: DataFrame) -> DataFrame:
 def co_retrieval(retrieved: DataFrame) -> DataFrame:
     """(a, b, weight, turns, last): pairs of chunks that a turn retrieved together; retrieved: (turn, chunk, ts).
 
-    A turn has a handful of chunks, so pairs grow with turns.
+    A turn retrieves at most MOST_CHUNKS chunks, which its array holds; one with more breaks the contract of retrieval and is an error.
     """
-    r = retrieved.groupBy("turn", "chunk").agg(F.max("ts").alias("ts"))
-    pairs = r.select("turn", F.col("chunk").alias("a"), "ts").join(r.select("turn", F.col("chunk").alias("b")), "turn").where("a < b")
+    r = retrieved.groupBy("turn").agg(F.collect_set("chunk").alias("chunks"), F.max("ts").alias("ts"))
+    checked = F.when(F.size("chunks") <= MOST_CHUNKS, F.array_sort("chunks")).otherwise(F.raise_error(F.lit(f"a turn with more than {MOST_CHUNKS} chunks")).cast(r.schema["chunks"].dataType))
+    first = r.select("ts", checked.alias("chunks")).select("ts", "chunks", F.posexplode("chunks").alias("i", "a"))
+    pairs = first.select("ts", "a", F.explode(F.slice("chunks", F.col("i") + 2, F.size("chunks"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"), F.count("*").alias("turns"), F.max("ts").alias("last"))
 
 

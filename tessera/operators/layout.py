@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ REGION_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "table"}
 CELLS = {"caption", "thead", "tbody", "tfoot", "tr", "td", "th"}
 CONTAINERS = CELLS | set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup html main menu nav ol pre section summary ul".split())
 CHUNK, OVERLAP, LOOK_BACK = 1000, 100, 0.2
-TILE, WHOLE = 1024, 2048
+TILE, WHOLE, MOST_DRAWINGS = 1024, 2048, 20
 
 
 def regions_of(html: str | None) -> list[tuple[str, str]]:
@@ -159,46 +160,79 @@ def tiles(images: DataFrame) -> DataFrame:
     return rows.select("id", tile.alias("tile"), "x0", "y0", end(F.col("x0"), F.col("width")).alias("x1"), end(F.col("y0"), F.col("height")).alias("y1"))
 
 
-SENTENCE_ENDS, WORD_AND_SPACE = re.compile(r"[.!?][ \n]"), re.compile(r"\S*\s*")
+def image_regions(images: DataFrame) -> DataFrame:
+    """tiles() as regions: (id, ordinal, region_type, bbox, requires_vision), boxes as shares of the image; an image's surface is always complex."""
+    rows = tiles(images).join(images.select("id", "width", "height"), "id")
+    box = F.array(F.col("x0") / F.col("width"), F.col("y0") / F.col("height"), F.col("x1") / F.col("width"), F.col("y1") / F.col("height"))
+    return rows.select("id", F.col("tile").alias("ordinal"), F.lit("image").alias("region_type"), box.alias("bbox"), F.lit(True).alias("requires_vision"))
 
 
-def _boundary(text: str, low: int, end: int) -> int:
-    """Where to cut in text[low:end]: after the last paragraph break, else sentence, line, white space; else at end."""
-    if (at := text.rfind("\n\n", low, end)) >= 0:
-        return at + 2
-    if ends := [m.end() for m in SENTENCE_ENDS.finditer(text, low, end)]:
-        return ends[-1]
-    if (at := text.rfind("\n", low, end)) >= 0:
-        return at + 1
-    kept = text[low:end].rstrip()
-    if len(kept) < end - low:
-        return end
-    words = kept.split()
-    return end - len(words[-1]) if len(words[-1]) < len(kept) else end
+def page_regions(blocks: DataFrame, pages: DataFrame, page: str = "page") -> DataFrame:
+    """(page, ordinal, region_type, content, parent, complex): pages assembled from blocks (page, reading_order, region_type, content) and what else is on them (page, images, tables, drawings, columns).
+
+    Regions are numbered in reading order; a region's parent is the last heading before it on its page, a heading has none. A page is
+    complex without blocks, with an image or a table, with more than MOST_DRAWINGS drawings, or with two columns. A page without
+    blocks is one image region.
+    """
+    before = Window.partitionBy(page).orderBy("reading_order").rowsBetween(Window.unboundedPreceding, -1)
+    ordinal = (F.row_number().over(Window.partitionBy(page).orderBy("reading_order")) - 1).alias("ordinal")
+    rows = blocks.select(page, "reading_order", "region_type", "content", ordinal)
+    above = F.last(F.when(F.col("region_type") == "heading", F.col("ordinal")), ignorenulls=True).over(before)
+    rows = rows.select(page, "ordinal", "region_type", "content", F.when(F.col("region_type") != "heading", above).alias("parent"))
+    none = F.col("ordinal").isNull()
+    busy = none | (F.col("images") > 0) | (F.col("tables") > 0) | (F.col("drawings") > MOST_DRAWINGS) | (F.col("columns") > 1)
+    whole = pages.join(rows, page, "left")
+    return whole.select(page, F.coalesce("ordinal", F.lit(0)).alias("ordinal"), F.when(none, "image").otherwise(F.col("region_type")).alias("region_type"), F.coalesce("content", F.lit("")).alias("content"), "parent", busy.alias("complex"))
+
+
+def active_regions(regions: DataFrame, documents: DataFrame) -> DataFrame:
+    """regions (document, generation, ...) of each document's active generation; documents: (document, active)."""
+    both = regions.join(documents.select("document", "active"), "document")
+    return both.where(F.col("generation").eqNullSafe(F.col("active"))).drop("active")
 
 
-def _word_start(text: str, at: int, most: int) -> int:
-    """at, or if it is inside a word the next word's start, at most `most`."""
-    if not 0 < at < len(text) or text[at - 1].isspace():
-        return at
-    return WORD_AND_SPACE.match(text, at, most).end()
+#: What a text may be cut after, from the weakest: white space, a line, a sentence, a paragraph. Matches may overlap.
+BREAKS = [re.compile(x) for x in (r"(?=(\s))", r"(?=(\n))", r"(?=([.!?][ \n]))", r"(?=(\n\n))")]
+
+
+def _breaks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """All places where text may be cut, in order, and the strength of each."""
+    strength = np.full(len(text) + 1, -1, np.int8)
+    for k, pattern in enumerate(BREAKS):
+        strength[[m.end(1) for m in pattern.finditer(text)]] = k
+    at = np.flatnonzero(strength >= 0)
+    return at, strength[at]
 
 
 def cut_text(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
-    """(offset, piece): pieces of at most size characters, each beginning at a word about `overlap` before the last one's end; blank ones drop out. Offsets are places in the whole text."""
+    """(offset, piece): pieces of at most `size` characters of the text without outer white space; blank ones drop out, and offsets are places in the whole text.
+
+    A piece ends at the strongest break in the last LOOK_BACK of its window, the last of equals: a paragraph's end, a sentence's, a
+    line's, white space; without any, at its window's end. The next piece begins `overlap` before that end, or, inside a word, at
+    the next word, but never past that end, nor before the place where the last piece began.
+    """
     text = text or ""
     lead = len(text) - len(text.lstrip())
-    text, out, at = text.strip(), [], 0
-    while at < len(text):
-        last = at + size >= len(text)
-        end = len(text) if last else _boundary(text, max(at + 1, at + size - max(1, int(size * LOOK_BACK))), at + size)
-        if piece := text[at:end].strip():
-            out.append((lead + at, piece))
-        if last:
+    text = text.strip()
+    at, strength = _breaks(text) if len(text) > size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    starts = np.array([i for i in at.tolist() if i == len(text) or not text[i].isspace()], np.int64)  # where words begin
+    pieces, begin = [], 0
+    while begin < len(text):
+        end = min(begin + size, len(text))
+        if end < len(text):
+            earliest = max(begin + 1, end - max(1, int(size * LOOK_BACK)))
+            lo, hi = np.searchsorted(at, earliest, "right"), np.searchsorted(at, end, "right")
+            if lo < hi:
+                end = int(at[lo:hi][np.flatnonzero(strength[lo:hi] == strength[lo:hi].max())[-1]])
+        pieces.append((lead + begin, text[begin:end]))
+        if end == len(text):
             break
-        following = _word_start(text, end - overlap, end)
-        at = following if following > at else end
-    return out
+        back = end - overlap
+        if back > 0 and not text[back - 1].isspace():
+            k = np.searchsorted(starts, back)
+            back = min(end, int(starts[k])) if k < len(starts) else end
+        begin = back if back > begin else end
+    return [(i, piece.strip()) for i, piece in pieces if piece.strip()]
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,35 +10,81 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.joins import fits, small
+from tessera.functions.joins import small
 from tessera.functions.vectors import matrix
 
 RRF_K = 60
 LEG, FUSED, FINAL, PER_DOCUMENT, FLOOR = 20, 10, 5, 3, 0.2
-QUERY_BLOCK = 20_000  # questions whose vectors a task holds at once
+QUERY_BLOCK, CORPUS_BLOCK = 2048, 1 << 16  # questions whose vectors a task holds at once; vectors that a block of the grid meets
 
 
-def _nearest(ids: np.ndarray, q: np.ndarray, k: int, metric: str):
-    length = lambda v: np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)  # noqa: E731  a zero vector is at distance 1
-    unit = q / length(q)
+class _Best:
+    """The k nearest of a block of questions among the vectors seen so far; ties go to the least id."""
 
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str):
+        self.ids, self.q, self.k, self.metric = ids, q, k, metric
+        self.unit = q / self._length(q)
+        self.held = np.zeros((3, 0))  # question's number, id (as the bits of a double), rounded distance
+
+    @staticmethod
+    def _length(v: np.ndarray) -> np.ndarray:
+        return np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)  # a zero vector is at distance 1
+
+    def see(self, cid: np.ndarray, x: np.ndarray) -> None:
+        d = 1 - self.unit @ (x / self._length(x)).T if self.metric == "cosine" else np.sqrt(np.maximum(0, (self.q * self.q).sum(1)[:, None] + (x * x).sum(1) - 2 * self.q @ x.T))
+        d = np.round(d, 9)
+        cut = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] if d.shape[1] > self.k else np.inf
+        q, c = np.nonzero(d <= cut)
+        rows = np.stack([q.astype(np.float64), cid[c].view(np.float64), d[q, c]])
+        self.held = self._least(np.hstack([self.held, rows]))
+
+    def _least(self, rows: np.ndarray) -> np.ndarray:
+        rows = rows[:, np.lexsort((np.ascontiguousarray(rows[1]).view(np.int64), rows[2], rows[0]))]
+        first = np.searchsorted(rows[0], rows[0])
+        return rows[:, np.arange(rows.shape[1]) - first < self.k]
+
+    def batch(self) -> pa.RecordBatch:
+        q, c, d = self.held
+        return pa.RecordBatch.from_pydict({"qid": pa.array(self.ids[q.astype(np.int64)]), "id": pa.array(np.ascontiguousarray(c).view(np.int64)), "distance": pa.array(d)})
+
+
+def _in_one_block(ids: np.ndarray, q: np.ndarray, k: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_d = np.full((len(ids), 0), 0.0)
-        best_i = np.full((len(ids), 0), 0)
+        best = _Best(ids, q, k, metric)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 c = b.slice(at, 2048)
-                x = matrix(c.column(1))
-                cid = c.column(0).to_numpy()
-                d = 1 - unit @ (x / length(x)).T if metric == "cosine" else np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T))
-                d, i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(cid, (len(ids), len(cid)))])
-                keep = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, : k + 1]
-                if d.shape[1] > k + 1:  # ties at the cut go to the least id
-                    keep = np.lexsort((i, np.round(d, 9)), axis=1)[:, : k + 1]
-                best_d, best_i = np.take_along_axis(d, keep, 1), np.take_along_axis(i, keep, 1)
-        if best_d.shape[1]:
-            n = best_d.shape[1]
-            yield pa.RecordBatch.from_pydict({"qid": pa.array(np.repeat(ids, n)), "id": pa.array(best_i.ravel()), "distance": pa.array(best_d.ravel())})
+                best.see(c.column(0).to_numpy(), matrix(c.column(1)))
+        yield best.batch()
+
+    return run
+
+
+def _in_grid(k: int, metric: str):
+    """Rows (cell, side, id, embedding) sorted by cell and side: of each cell the questions come first and are held, the vectors stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, asked = None, None, []
+        for b in batches:
+            cell, side = b.column(0).to_numpy(), b.column(1).to_numpy()
+            edges = np.flatnonzero((np.diff(cell) != 0) | (np.diff(side) != 0)) + 1
+            for lo, hi in zip([0, *edges], [*edges, b.num_rows], strict=True):
+                if lo == hi:
+                    continue
+                if cell[lo] != now:
+                    if best is not None:
+                        yield best.batch()
+                    now, best, asked = cell[lo], None, []
+                ids, x = b.column(2).slice(lo, hi - lo).to_numpy(), matrix(b.column(3).slice(lo, hi - lo))
+                if side[lo] == 0:
+                    asked.append((ids, x))
+                    continue
+                if best is None and asked:
+                    best = _Best(np.concatenate([i for i, _ in asked]), np.concatenate([v for _, v in asked]), k, metric)
+                for at in range(0, len(ids) if best is not None else 0, 2048):
+                    best.see(ids[at : at + 2048], x[at : at + 2048])
+        if best is not None:
+            yield best.batch()
 
     return run
 
@@ -46,47 +92,30 @@ def _nearest(ids: np.ndarray, q: np.ndarray, k: int, metric: str):
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", skip_self: bool = False) -> DataFrame:
     """(qid, id, distance, rank): of a stated set of queries (qid, embedding), the k nearest rows of corpus (id, embedding).
 
-    Queries go out in blocks of QUERY_BLOCK; each task keeps its own k best a query, so what is shuffled is tasks x queries x k.
+    Up to QUERY_BLOCK queries go to every task, and the corpus stays where it is. More make a grid: blocks of queries by blocks of
+    the corpus, each cell in one task, which holds one block of queries and streams the vectors. Either way a task keeps its k best
+    a query, and what is shuffled after that is tasks x queries x k.
     """
-    out = None
-    held = queries.where(F.col("embedding").isNotNull()).select("qid", "embedding")
-    n = held.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for i in range(blocks):
-        part = held.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toPandas() if blocks > 1 else held.toPandas()
-        if not len(part):
-            continue
-        rows = corpus.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long"), "embedding").mapInArrow(_nearest(part["qid"].to_numpy(np.int64), np.stack(part["embedding"]).astype(np.float64), k + skip_self, metric), "qid long, id long, distance double")
-        out = rows if out is None else out.union(rows)
-    if out is None:
-        out = corpus.sparkSession.createDataFrame([], "qid long, id long, distance double")
+    held = queries.where(F.col("embedding").isNotNull()).select(F.col("qid").cast("long").alias("qid"), "embedding")
+    vectors = corpus.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), "embedding")
+    schema, few = "qid long, id long, distance double", held.limit(QUERY_BLOCK + 1).count()
+    if few == 0:
+        out = corpus.sparkSession.createDataFrame([], schema)
+    elif few <= QUERY_BLOCK:
+        asked = held.toPandas()  # at most QUERY_BLOCK rows
+        out = vectors.mapInArrow(_in_one_block(asked["qid"].to_numpy(np.int64), np.stack(asked["embedding"]).astype(np.float64), k + skip_self, metric), schema)
+    else:
+        across, down = -(-held.count() // QUERY_BLOCK) * 2, -(-vectors.count() // CORPUS_BLOCK) * 2  # blocks by hash: half full, so none is much too large
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+        left = held.select((block("qid", across) * down + F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).alias("cell"), F.lit(0).alias("side"), F.col("qid").alias("id"), "embedding")
+        right = vectors.select((block("id", down) + F.explode(F.sequence(F.lit(0), F.lit(across - 1))) * down).alias("cell"), F.lit(1).alias("side"), "id", "embedding")
+        out = left.unionByName(right).repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_in_grid(k + skip_self, metric), schema)
     if skip_self:
         out = out.where("qid <> id")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.round("distance", 9), "id"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def question_terms(questions: DataFrame) -> DataFrame:
-    """(qid, term): all distinct words of each question; there is no list of stop words."""
-    return questions.select("qid", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-
-
-def term_frequencies(documents: DataFrame, terms: DataFrame, few: bool | None = None) -> DataFrame:
-    """(id, term, tf) of the terms asked for. few: whether the terms fit a broadcast, if that is known; here and below."""
-    words = documents.select("id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    return words.join(small(terms.select("term").distinct(), few), "term").groupBy("id", "term").agg(F.count("*").alias("tf"))
-
-
-def lexical(frequencies: DataFrame, terms: DataFrame, k: int = LEG, few: bool | None = None) -> DataFrame:
-    """(qid, id, score, rank): documents with all of a question's terms, by the sum of log(1 + tf)."""
-    few = fits(terms) if few is None else few
-    n = terms.groupBy("qid").agg(F.count("*").alias("n"))
-    scored = frequencies.join(small(terms, few), "term").groupBy("qid", "id").agg(F.round(F.sum(F.log1p("tf")), 9).alias("score"), F.count("*").alias("hits"))
-    scored = scored.join(small(n, few), "qid").where("hits = n").select("qid", "id", "score")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def page_boost(leg: DataFrame, page: Column, wanted: Column) -> DataFrame:
     """Ranks anew with rows of the page asked for first; nothing changes where none is asked for."""
     first = F.when(wanted.isNotNull() & page.eqNullSafe(wanted), 0).otherwise(1)
@@ -121,19 +150,70 @@ def diversify(ranked: DataFrame, document: str, top: int = FINAL, most: int = PE
     return rows.withColumn("final", final).where(F.col("final") <= top).drop("_late")
 
 
-def overlap(frequencies: DataFrame, terms: DataFrame, few: bool | None = None) -> DataFrame:
-    """(qid, id, relevance): the share of a question's terms that a document has; stands in for a hosted reranker."""
-    n = terms.groupBy("qid").agg(F.count("*").alias("n"))
-    few = fits(terms) if few is None else few
-    hits = frequencies.join(small(terms, few), "term").groupBy("qid", "id").agg(F.count("*").alias("hits"))
-    return hits.join(small(n, few), "qid").select("qid", "id", (F.col("hits") / F.col("n")).alias("relevance"))
+Relevance = Callable[[DataFrame], DataFrame]
+
+
+def overlap(documents: DataFrame, questions: DataFrame) -> Relevance:
+    """A scorer of candidates (qid, id): (qid, id, relevance), the share of a question's distinct words (qid, text) that a document (id, text) has; stands in for a hosted reranker. Only candidates' texts are read into words."""
+
+    def score(candidates: DataFrame) -> DataFrame:
+        words = questions.select("qid", F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+        pairs = candidates.select("qid", "id").join(small(words), "qid")
+        held = documents.select("id", "text").join(pairs, "id").select("qid", "id", "words", T.tokens(F.col("text")).alias("held"))
+        return held.select("qid", "id", F.coalesce(F.try_divide(F.size(F.array_intersect("words", "held")), F.size("words")), F.lit(0.0)).alias("relevance"))
+
+    return score
+
+
+def legs_by_provider(legs: dict[str, Callable[[], DataFrame]]) -> DataFrame | None:
+    """The concatenation of the providers' legs (qid, id, rank); one whose set-up fails is left out, and None is left if all do."""
+    out = None
+    for make in legs.values():
+        try:
+            leg = make()
+        except ConnectionError:
+            continue
+        out = leg if out is None else out.unionByName(leg)
+    return out
+
+
+def merged_rows(legs: list[DataFrame], key: str = "id") -> DataFrame:
+    """Rows of all legs, one a key: the last leg's row wins."""
+    rows = None
+    for i, leg in enumerate(legs):
+        part = leg.withColumn("_leg", F.lit(i))
+        rows = part if rows is None else rows.unionByName(part)
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.col("_leg").desc()))
+    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_leg")
+
+
+def with_context(rows: DataFrame, expanded: DataFrame) -> DataFrame:
+    """rows (region, content) whose content is followed by what their regions' contexts add: expanded (region, position, content), in order, each text once. Rows without a region stay as they are."""
+    more = expanded.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "content"))), lambda x: x["content"]).alias("_more"))
+    texts = F.concat(F.array("content"), F.coalesce("_more", F.array().cast("array<string>")))
+    whole = F.array_join(F.array_distinct(F.filter(texts, lambda x: x.isNotNull() & (x != ""))), "\n\n")
+    return rows.join(more, "region", "left").withColumn("content", F.when(F.col("_more").isNull(), F.col("content")).otherwise(whole)).select(*rows.columns)
+
+
+def with_captions(rows: DataFrame, captions: DataFrame) -> DataFrame:
+    """rows (document, content): where there is no content, the document's caption (document, caption), if it has one."""
+    none = F.coalesce(F.trim("content"), F.lit("")) == ""
+    one = captions.groupBy("document").agg(F.min("caption").alias("_caption"))
+    return rows.join(one, "document", "left").withColumn("content", F.when(none, F.coalesce("_caption", "content")).otherwise(F.col("content"))).select(*rows.columns)
+
+
+def to_enrich(rows: DataFrame, most: int = 4) -> DataFrame:
+    """(qid, id, region): of each question's rows (qid, id, position, region, region_type, content) the first visual regions without content."""
+    empty = rows.where(F.col("region").isNotNull() & F.col("region_type").isin("image", "chart", "table") & (F.coalesce(F.trim("content"), F.lit("")) == ""))
+    nth = F.row_number().over(Window.partitionBy("qid").orderBy("position"))
+    return empty.withColumn("_nth", nth).where(F.col("_nth") <= most).select("qid", "id", "region")
 
 
-def retrieve(legs: list[DataFrame | None], documents: DataFrame, relevance: DataFrame | None, region: Column | None = None, sealed: DataFrame | None = None, require_relevance: bool = False) -> DataFrame:
+def retrieve(legs: list[DataFrame | None], documents: DataFrame, relevance: DataFrame | Relevance | None, region: Column | None = None, sealed: DataFrame | None = None, require_relevance: bool = False) -> DataFrame:
     """(qid, id, document, relevance, final): the whole pipeline over many questions.
 
     legs: (qid, id, rank) each, None for one that failed; the others carry, and without any only sealed matches are left. documents:
-    (id, document). relevance: (qid, id, relevance), None if the scorer is down: then the fused order stands with relevance 1 and
+    (id, document). relevance: (qid, id, relevance) or a scorer that gives it of candidates, None if the scorer is down: then the fused order stands with relevance 1 and
     no floor, or, with require_relevance, an error. sealed: (qid, id, document) of exact matches, appended past the cut.
     """
     if relevance is None and require_relevance:
@@ -147,7 +227,8 @@ def retrieve(legs: list[DataFrame | None], documents: DataFrame, relevance: Data
         if relevance is None:
             scored = top.withColumn("relevance", F.lit(1.0))
         else:
-            scored = top.join(relevance, ["qid", "id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0))).where(F.col("relevance") >= FLOOR)
+            judged = relevance(top) if callable(relevance) else relevance
+            scored = top.join(judged, ["qid", "id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0))).where(F.col("relevance") >= FLOOR)
         ranked = scored.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("relevance").desc(), "position")))
         out = diversify(ranked.join(documents.select("id", "document"), "id"), "document").select("qid", "id", "document", "relevance", "final")
     if sealed is not None:

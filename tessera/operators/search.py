@@ -1,6 +1,7 @@
 """Full-text search in the web style: words are all required, `or` separates alternatives, `-` excludes, quotes ask for a phrase.
 
-Words are lower-case runs of a-z, unstemmed; scores are sums of log(1 + tf) of the wanted words.
+Words are lower-case runs of letters, unstemmed; scores are sums of log(1 + tf) of the wanted words. Many questions are searched at once
+by an inverted join on each alternative's rarest wanted word.
 """
 
 from __future__ import annotations
@@ -8,11 +9,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.joins import small
 
 
 @dataclass
@@ -23,12 +27,16 @@ class Alternative:
     unwanted: list[tuple[str, ...]] = field(default_factory=list)
 
 
+def _letters(text: str) -> tuple[str, ...]:
+    return tuple("".join(run) for letters, run in groupby(text.lower(), str.isalpha) if letters)
+
+
 def web_query(query: str) -> list[Alternative]:
     out = [Alternative()]
     for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', query):
         if word.lower() == "or" and not minus:
             out.append(Alternative())
-        elif words := tuple(re.findall("[a-z]+", (phrase or word).lower())):
+        elif words := _letters(phrase or word):
             (out[-1].unwanted if minus or word.startswith("-") else out[-1].wanted).append(words)
     return [a for a in out if a.wanted or a.unwanted]
 
@@ -49,8 +57,46 @@ def web_search(documents: DataFrame, query: str, k: int | None = 20) -> DataFram
     return found if k is None else found.orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def all_terms(frequencies: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, id, score) of documents with every term of a question, for many questions at once. frequencies: (id, term, tf); terms: (qid, term)."""
-    n = terms.groupBy("qid").agg(F.count("*").alias("n"))
-    hits = frequencies.join(terms, "term").groupBy("qid", "id").agg(F.count("*").alias("hits"), F.round(F.sum(F.log1p("tf")), 9).alias("score"))
-    return hits.join(n, "qid").where("hits = n").select("qid", "id", "score")
+_ALTERNATIVES = "array<struct<words: array<string>, phrases: array<string>, unwanted: array<string>>>"
+
+
+def parsed(questions: DataFrame) -> DataFrame:
+    """(qid, alt, words, phrases, unwanted, all_words): the alternatives of questions (qid, text) that want a word. Phrases of two words or more and unwanted ones are joined by spaces; all_words: of all alternatives."""
+
+    @F.pandas_udf(_ALTERNATIVES)
+    def alternatives(texts: pd.Series) -> pd.Series:
+        each = lambda a: {"words": list(dict.fromkeys(w for p in a.wanted for w in p)), "phrases": [" ".join(p) for p in a.wanted if len(p) > 1], "unwanted": [" ".join(p) for p in a.unwanted]}
+        return texts.map(lambda t: [each(a) for a in web_query(t or "")])
+
+    rows = questions.select("qid", alternatives("text").alias("alts"))
+    every = F.array_distinct(F.flatten(F.transform("alts", lambda a: a["words"])))
+    rows = rows.select("qid", every.alias("all_words"), F.posexplode("alts").alias("alt", "a")).select("qid", "alt", "a.*", "all_words")
+    return rows.where(F.size("words") > 0)
+
+
+def matching(documents: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, id, score) of all documents (id, text) that fit one of a question's alternatives, for many questions (qid, text) at once.
+
+    Documents meet an alternative under its rarest wanted word alone, so what is joined grows with that word's documents; the rest is
+    checked on those. An alternative that only excludes fits nothing here.
+    """
+    asked = parsed(questions)
+    terms = asked.select("qid", "alt", F.explode("words").alias("term"))
+    held = documents.select("id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    count = held.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    rarest = terms.join(count, "term", "left").groupBy("qid", "alt").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
+    found = held.join(small(rarest), "term").select("qid", "alt", "id")
+    few = documents.join(small(found.select("id").distinct()), "id", "left_semi").select("id", T.tokens(F.col("text")).alias("held"))
+    rows = found.join(asked, ["qid", "alt"]).join(few, "id").where(F.size(F.array_except("words", "held")) == 0)
+    line = F.concat(F.lit(" "), F.array_join("held", " "), F.lit(" "))
+    has = lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" ")))
+    rows = rows.where(F.forall("phrases", has) & ~F.exists("unwanted", has))
+    times = lambda w: F.size(F.filter("held", lambda t: t == w))
+    score = F.aggregate("all_words", F.lit(0.0), lambda total, w: total + F.log1p(times(w)))
+    return rows.groupBy("qid", "id").agg(F.max(F.round(score, 9)).alias("score"))
+
+
+def best_matches(documents: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
+    """(qid, id, score, rank): the k best of matching(), ties to the least id."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
+    return matching(documents, questions).withColumn("rank", rank).where(F.col("rank") <= k)

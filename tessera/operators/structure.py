@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 REGION_TYPES = ["heading", "paragraph", "list", "code", "table", "chart", "image", "caption", "footnote"]
 HEADING = r"(?d)^(#{1,6})\s+(.+?)\s*$"
 LIST_LINE = r"^\s*(?:[-*+] |\d+[.)] )"
+LINE_GAP = 4  # points between lines
+HEADING_SIZE, HEADING_CHARS = 1.25, 160  # of the page's typical type
+FOOT, FOOT_SIZE = 0.86, 0.9  # of the page's height, of the typical type
+SAME_LEFT, SAME_BLOCK = 0.035, 0.025  # of the page
+NARROW, LEFT_END, RIGHT_START = 0.55, 0.58, 0.42  # of the page's width
 CAPTION = r"(?i)^(figure|fig\.|table)\s+\d+"
 
 
@@ -68,8 +73,8 @@ def page_lines(words: DataFrame, page: str = "page") -> DataFrame:
     A word more than 4 below or above its line's first word begins a new line. Boxes are shares of the page. A caption's pattern
     comes before a footnote's small type at the foot, and that before a heading's large type.
     """
-    rows = words.withColumn("bucket", F.bround(F.col("top") / 4))
-    rows = runs(rows, [page], ["bucket", "x0", "top"], "line", lambda first, w: ((w[0],), True) if first is None or abs(w[0] - first[0]) > 4 else (first, False), ["top"])
+    rows = words.withColumn("bucket", F.bround(F.col("top") / LINE_GAP))
+    rows = runs(rows, [page], ["bucket", "x0", "top"], "line", lambda first, w: ((w[0],), True) if first is None or abs(w[0] - first[0]) > LINE_GAP else (first, False), ["top"])
     typical = words.where("size > 0").groupBy(page).agg(F.median("size").alias("typical"))
     placed = F.array_sort(F.collect_list(F.struct("x0", "top", "text")))
     lines = rows.groupBy(page, "line").agg(
@@ -78,8 +83,8 @@ def page_lines(words: DataFrame, page: str = "page") -> DataFrame:
     )
     lines = lines.where("content <> ''").join(typical, page, "left").withColumn("typical", F.coalesce("typical", F.lit(0.0)))
     size = F.coalesce("size", F.lit(0.0))
-    heading = (F.col("typical") > 0) & (size >= F.col("typical") * 1.25) & (F.length("content") <= 160)
-    foot = (F.col("top") > F.col("height") * 0.86) & (size > 0) & (size < F.col("typical") * 0.9)
+    heading = (F.col("typical") > 0) & (size >= F.col("typical") * HEADING_SIZE) & (F.length("content") <= HEADING_CHARS)
+    foot = (F.col("top") > F.col("height") * FOOT) & (size > 0) & (size < F.col("typical") * FOOT_SIZE)
     kind = F.when(F.col("content").rlike(CAPTION), "caption").when(foot, "footnote").when(heading, "heading").otherwise("paragraph")
     share = lambda c, whole: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c) / F.col(whole)))
     return lines.select(page, "line", "content", share("x0", "width").alias("x0"), share("top", "height").alias("top"), share("x1", "width").alias("x1"), share("bottom", "height").alias("bottom"), kind.alias("region_type"))
@@ -90,7 +95,7 @@ def page_blocks(lines: DataFrame, page: str = "page") -> DataFrame:
 
     def step(last: tuple | None, line: tuple) -> tuple[tuple, bool]:
         kind, x0, top, bottom = line
-        if last and kind == last[0] == "paragraph" and abs(x0 - last[1]) < 0.035 and top - last[2] < 0.025:
+        if last and kind == last[0] == "paragraph" and abs(x0 - last[1]) < SAME_LEFT and top - last[2] < SAME_BLOCK:
             return (kind, min(x0, last[1]), bottom), False
         return (kind, x0, bottom), True
 
@@ -103,8 +108,8 @@ def page_blocks(lines: DataFrame, page: str = "page") -> DataFrame:
 def reading_order(blocks: DataFrame, page: str = "page", tie: str = "block") -> DataFrame:
     """blocks (page, x0, top, x1) with `reading_order` from 0: on two-column pages full-width blocks, then the left column, then the right; else from the top."""
     whole = Window.partitionBy(page)
-    narrow = F.col("x1") - F.col("x0") < 0.55
-    left, right = F.coalesce(F.bool_or(narrow & (F.col("x1") <= 0.58)).over(whole), F.lit(False)), F.coalesce(F.bool_or(narrow & (F.col("x0") >= 0.42)).over(whole), F.lit(False))
+    narrow = F.col("x1") - F.col("x0") < NARROW
+    left, right = F.coalesce(F.bool_or(narrow & (F.col("x1") <= LEFT_END)).over(whole), F.lit(False)), F.coalesce(F.bool_or(narrow & (F.col("x0") >= RIGHT_START)).over(whole), F.lit(False))
     columns = left & right & (F.count("*").over(whole) > 1)
     part = F.when(~columns | ~narrow, 0).when((F.col("x0") + F.col("x1")) / 2 < 0.5, 1).otherwise(2)
     side = F.when(columns, 0.0).otherwise(F.col("x0"))

@@ -87,11 +87,12 @@ def replay_documents(spark, d):
 
 
 _WORDS = ", ".join(f"'{w}'" for w in T.GENERIC_WORDS)
+_BARE = f"^(?:(?:{'|'.join(T.POLITE)}) )?(?:{'|'.join(T.REQUESTS)})(?: (?:{'|'.join(T.NOTHING)}))?$"
 _GREET = ", ".join(f"'{w}'" for w in T.GREETINGS)
 
 
 @query(
-    f"""SELECT session, turn, (p IN ({_GREET}) OR (turn % 3 <> 0 AND ((p <> '' AND len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '' AND NOT list_contains([{_WORDS}], w))) = 0) OR regexp_matches(p, '{T.VAGUE}')))) AS vague
+    f"""SELECT session, turn, (p IN ({_GREET}) OR (turn % 3 <> 0 AND ((p <> '' AND len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: w <> '' AND NOT list_contains([{_WORDS}], w))) = 0) OR regexp_matches(p, '{_BARE}')))) AS vague
 FROM (SELECT session, turn, trim(regexp_replace(lower(q), '[^a-z0-9_ ]', '', 'g')) AS p FROM (SELECT session, turn, CASE WHEN session % 4 = 0 THEN 'Hello!' WHEN session % 4 = 1 THEN 'What is this about?' WHEN session % 4 = 2 THEN 'Explain: revenue' WHEN turn % 2 = 0 THEN 'Could you talk about my files?' ELSE '' END AS q FROM {_MSG}))"""
 )
 def vague_query_guard(spark, d):

@@ -20,7 +20,7 @@ def _layout(spark, d):
     i, k = F.col("document"), F.col("k")
     gens = gens.select((2 * i + k).alias("generation"), "document", (k + 1).alias("version"), F.when((i % 5 == 0) & (k == 0), "failed").when(k == 0, "active").otherwise("building").alias("state"), F.when((i % 4 == 0) & (k == 1), 0.5).otherwise(1.0).alias("completeness"))
     docs = ids.select("document", (2 * i).alias("active"), F.lit(1).alias("version"), F.lit("ready").alias("layout_status"))
-    v = Vault(spark, d).vectors().join(ids, F.col("id") == F.col("document")).select(F.col("id").alias("chunk"), "document", F.when(F.col("id") % 7 > 0, 2 * F.col("id") + F.col("id") % 2).alias("generation"), "embedding")
+    v = Vault(spark, d).all_vectors().join(ids, F.col("id") == F.col("document")).select(F.col("id").alias("chunk"), "document", F.when(F.col("id") % 7 > 0, 2 * F.col("id") + F.col("id") % 2).alias("generation"), "embedding")
     return {"documents": docs, "generations": gens, "chunks": v}
 
 
@@ -61,7 +61,7 @@ def complete_enrichment(spark, d):
 FROM (SELECT vec_id AS chunk FROM embeddings) i LEFT JOIN {DOCS_SQL} d ON d.id = i.chunk"""
 )
 def evidence_status(spark, d):
-    ids = Vault(spark, d).vectors().select(F.col("id").alias("chunk"))
+    ids = Vault(spark, d).all_vectors().select(F.col("id").alias("chunk"))
     docs = Vault(spark, d).documents().select(F.col("id").alias("document"), "status")
     chunks = docs.where("document % 11 <> 4").select(F.col("document").alias("chunk"), "document", F.when(F.col("document") % 3 > 0, F.col("document")).alias("region"))
     return E.evidence(ids, chunks, docs, ids.where("chunk % 2 = 0"))
@@ -98,7 +98,7 @@ UNION ALL SELECT CASE WHEN coalesce(seal, false) THEN 'tombstone' ELSE 'chunk' E
 )
 def seal_documents(spark, d):
     docs = Vault(spark, d).documents().select(F.col("id").alias("document"), "status")
-    chunks = Vault(spark, d).vectors().select(F.col("id").alias("chunk"), F.col("id").alias("document"))
+    chunks = Vault(spark, d).all_vectors().select(F.col("id").alias("chunk"), F.col("id").alias("document"))
     cipher = docs.where("document % 6 = 0").select("document", F.lit(0).alias("ordinal"), F.concat(F.lit("c"), F.col("document").cast("string")).alias("ciphertext"), F.lit("s").alias("salt"), F.lit("n").alias("nonce"))
     out = E.seal({"documents": docs, "chunks": chunks, "generations": docs.select("document"), "sealed_chunks": cipher.where("false"), "tombstones": chunks.where("false")}, cipher)
     row = lambda df, kind, i, state: df.select(F.lit(kind).alias("kind"), F.col(i).alias("id"), state.alias("state"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import graph as G
 from tessera.operators import retrieval as R
 from tessera.plans.registry import query
-from tessera.sources.vault import DOCS_SQL, Vault, table
+from tessera.sources.vault import DOCS_SQL, VECTORS_SQL, Vault, table
 from tessera.streaming import limits
 
 NOW = "2001-08-02 00:00:00"
@@ -18,25 +18,26 @@ def _l2(a: str, b: str) -> str:
     return f"list_distance({a}::DOUBLE[], {b}::DOUBLE[])"
 
 
-@query("SELECT label, pos::INT AS pos, round(avg(x::DOUBLE), 6) AS value FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos")
+@query(f"SELECT label, pos::INT AS pos, round(avg(x::DOUBLE), 6) AS value FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM {VECTORS_SQL}) GROUP BY label, pos")
 def doc_centroid(spark, d):
-    return G.centroids(Vault(spark, d).vectors(), "label").select("label", "pos", F.round("value", 6).alias("value"))
+    found = G.centroids(Vault(spark, d).vectors(), "label")
+    return found.select("label", F.posexplode("embedding").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("value"))
 
 
 @query(
     f"""SELECT qid, id, rank, round(distance, 5) AS distance FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_l2("e.embedding", "q.embedding")} AS distance,
-row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_l2("e.embedding", "q.embedding")}, 9), e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 3""",
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_l2("e.embedding", "q.embedding")}, 9), e.vec_id) AS rank FROM {VECTORS_SQL} e, embeddings q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id) WHERE rank <= 3""",
     rank="rank",
 )
 def knn_edges(spark, d):
     v = Vault(spark, d).vectors()
-    near = R.nearest(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"), 3, "l2", skip_self=True)
+    near = R.nearest(v, table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), 3, "l2", skip_self=True)
     return near.select("qid", "id", "rank", F.round("distance", 5).alias("distance"))
 
 
 def _kmeans_sql(k: int, steps: int) -> str:
     """Lloyd's steps unrolled."""
-    out = [f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings), c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, x AS m FROM v ORDER BY id LIMIT {k})"]
+    out = [f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM {VECTORS_SQL}), c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, x AS m FROM v ORDER BY id LIMIT {k})"]
     near = lambda i: f"SELECT id, x, arg_min(c, (round(list_distance(x, m), 9), c)) AS c, min(round(list_distance(x, m), 9)) AS d FROM v, c{i} GROUP BY id, x"
     for i in range(steps):
         out.append(f"a{i} AS ({near(i)})")
@@ -57,22 +58,22 @@ def pca_3d(spark, d):
 
 
 @query(
-    f"""WITH m AS (SELECT label, list(y ORDER BY p) AS m FROM (SELECT label, p, avg((embedding::DOUBLE[])[p]) AS y FROM embeddings, range(1, 65) t(p) GROUP BY label, p) GROUP BY label)
-SELECT vec_id AS id, arg_min(m.label, (round({_l2("embedding", "m")}, 9), m.label))::INT AS cluster, round(min({_l2("embedding", "m")}), 5) AS distance FROM embeddings, m GROUP BY vec_id"""
+    f"""WITH m AS (SELECT label, list(y ORDER BY p) AS m FROM (SELECT label, p, avg((embedding::DOUBLE[])[p]) AS y FROM {VECTORS_SQL}, range(1, 65) t(p) GROUP BY label, p) GROUP BY label)
+SELECT vec_id AS id, arg_min(m.label, (round({_l2("embedding", "m")}, 9), m.label))::INT AS cluster, round(min({_l2("embedding", "m")}), 5) AS distance FROM {VECTORS_SQL}, m GROUP BY vec_id"""
 )
 def nearest_centroid(spark, d):
     v = Vault(spark, d).vectors()
-    centres = G.as_vectors(G.centroids(v, "label"), "label").withColumnRenamed("label", "cluster")
+    centres = G.centroids(v, "label").withColumnRenamed("label", "cluster")
     return G.place(v, centres).select("id", "cluster", F.round("distance", 5).alias("distance"))
 
 
 @query(
-    f"""WITH m AS (SELECT label, list(y ORDER BY p) AS m FROM (SELECT label, p, avg((embedding::DOUBLE[])[p]) AS y FROM embeddings, range(1, 65) t(p) GROUP BY label, p) GROUP BY label)
+    f"""WITH m AS (SELECT label, list(y ORDER BY p) AS m FROM (SELECT label, p, avg((embedding::DOUBLE[])[p]) AS y FROM {VECTORS_SQL}, range(1, 65) t(p) GROUP BY label, p) GROUP BY label)
 SELECT vec_id AS id, arg_min(m.label, (round({_l2("embedding", "m")}, 9), m.label))::INT AS cluster FROM embeddings, m GROUP BY vec_id"""
 )
 def stream_placement(spark, d):
     """nearest_centroid for vectors that arrive as a stream."""
-    centres = G.as_vectors(G.centroids(Vault(spark, d).vectors(), "label"), "label").withColumnRenamed("label", "cluster")
+    centres = G.centroids(Vault(spark, d).vectors(), "label").withColumnRenamed("label", "cluster")
     stream = spark.readStream.schema(table(spark, d, "embeddings").schema).parquet(f"{d}/embeddings*.parquet")
     placed = limits.place_stream(stream.select(F.col("vec_id").alias("id"), "embedding"), centres)
     return limits.drain(placed).select("id", "cluster")
@@ -129,7 +130,7 @@ def edge_brightness(spark, d):
 def graph_nodes(spark, d):
     vault = Vault(spark, d)
     docs = vault.documents().where(F.col("status").isin("ready", "sealed"))
-    return docs.join(vault.vectors().select("id", "label"), "id", "left").select("id", "status", "label")
+    return docs.join(vault.all_vectors().select("id", "label"), "id", "left").select("id", "status", "label")
 
 
 @query("SELECT l_orderkey AS turn, l_partkey AS chunk, l_shipdate::VARCHAR AS at FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_shipdate DESC, l_linenumber DESC) AS n FROM lineitem) WHERE n = 1".replace("AS at", "AS shipped"))

@@ -8,14 +8,24 @@ from tessera.operators import layout as L
 from tessera.plans.registry import query
 from tessera.sources.vault import DOCS_SQL, Vault, table
 
-_TAG = r"<(h1|h2|p|li|table)(?:\s[^>]*)?>([^<]*)"
-_REGIONS = f"""z AS (SELECT page_id, list_filter(list_zip(regexp_extract_all(html, '{_TAG}', 1), regexp_extract_all(html, '{_TAG}', 2)), lambda r: trim(r[2]) <> '') AS rs FROM pages),
-u AS (SELECT page_id, unnest(rs) AS r, generate_subscripts(rs, 1) - 1 AS ordinal FROM z),
-g AS (SELECT page_id, ordinal::INT AS ordinal, CASE WHEN r[1] LIKE 'h%' THEN 'heading' WHEN r[1] = 'li' THEN 'list' WHEN r[1] = 'table' THEN 'table' ELSE 'paragraph' END AS region_type,
-  CASE WHEN r[1] LIKE 'h%' THEN r[1][2:2]::INT END AS heading_level, trim(r[2]) AS content FROM u)"""
-_PARENTS = _REGIONS + """, p AS (SELECT *, greatest(CASE WHEN coalesce(heading_level, 7) > 1 THEN last_value(CASE WHEN heading_level = 1 THEN ordinal END IGNORE NULLS) OVER w END,
-  CASE WHEN coalesce(heading_level, 7) > 2 THEN last_value(CASE WHEN heading_level = 2 THEN ordinal END IGNORE NULLS) OVER w END) AS parent FROM g
-  WINDOW w AS (PARTITION BY page_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+# A page without scripts, styles and comments, whose tags are marks: 1 tag 2 where a region begins, 3 where any other block begins or one ends,
+# 4 for what stands for a space; inline tags go. A region's text is what follows its first mark up to the next 1 or 3.
+_BLOCK = "address|article|aside|blockquote|body|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|header|hgroup|html|main|menu|nav|ol|pre|section|summary|ul|h[1-6]|p|li|table"
+_MARKED = (
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?(-->|$)|<script\b.*?(</script\s*>|$)|<style\b.*?(</style\s*>|$)|<template\b.*?(</template\s*>|$)', '', 'g'),"
+    r" '(?i)<(h[1-6]|p|li|table)\b[^>]*>', chr(1) || '\1' || chr(2), 'g'), '(?i)</?(br|hr|caption|thead|tbody|tfoot|tr|td|th)\b[^>]*>', chr(4), 'g'),"
+    rf" '(?i)</?({_BLOCK})\b[^>]*>', chr(3), 'g'), '<(/?[A-Za-z]|[/!?])[^>]*(>|$)', '', 'g')"
+)
+_MARK = "chr(1) || '([A-Za-z0-9]+)' || chr(2) || '([^' || chr(1) || chr(3) || ']*)'"
+REGIONS_SQL = f"""k AS (SELECT page_id, {_MARKED} AS m FROM pages),
+x AS (SELECT page_id, unnest(list_zip(regexp_extract_all(m, {_MARK}, 1), regexp_extract_all(m, {_MARK}, 2))) AS r, generate_subscripts(regexp_extract_all(m, {_MARK}, 1), 1) AS nth FROM k),
+y AS (SELECT page_id, nth, lower(r[1]) AS tag, regexp_replace(CASE WHEN contains(r[2], chr(4)) THEN regexp_replace(replace(r[2], chr(4), ' '), '  +', ' ', 'g') ELSE r[2] END, '^\\s+|\\s+$', '', 'g') AS content FROM x),
+g AS MATERIALIZED (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY nth) - 1)::INT AS ordinal, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'li' THEN 'list' WHEN tag = 'table' THEN 'table' ELSE 'paragraph' END AS region_type,
+  CASE WHEN tag LIKE 'h%' THEN tag[2:2]::INT END AS heading_level, content FROM y WHERE content <> '')"""
+_REGIONS = REGIONS_SQL
+_ABOVE = ", ".join(f"CASE WHEN coalesce(heading_level, 7) > {n} THEN last_value(CASE WHEN heading_level = {n} THEN ordinal END IGNORE NULLS) OVER w END" for n in range(1, 7))
+_PARENTS = _REGIONS + f""", p AS MATERIALIZED (SELECT *, greatest({_ABOVE}) AS parent FROM g WINDOW w AS (PARTITION BY page_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+_UP = " ".join(f"LEFT JOIN p h{n} ON h{n}.page_id = n.page_id AND h{n}.ordinal = {'n' if n == 1 else f'h{n - 1}'}.parent" for n in range(1, 7))
 
 
 def _regions(spark, d):
@@ -35,7 +45,7 @@ def heading_parent(spark, d):
 @query(
     f"""WITH {_PARENTS}, n AS (SELECT page_id, ordinal, parent, concat_ws(chr(10) || chr(10), before, CASE WHEN after IS DISTINCT FROM before THEN after END) AS nearby
 FROM (SELECT *, lag(content) OVER w AS before, lead(content) OVER w AS after FROM p WINDOW w AS (PARTITION BY page_id ORDER BY ordinal)))
-SELECT n.page_id, n.ordinal, nearby, concat_ws(' > ', h2.content, h1.content) AS path FROM n LEFT JOIN p h1 ON h1.page_id = n.page_id AND h1.ordinal = n.parent LEFT JOIN p h2 ON h2.page_id = h1.page_id AND h2.ordinal = h1.parent"""
+SELECT n.page_id, n.ordinal, nearby, concat_ws(' > ', h6.content, h5.content, h4.content, h3.content, h2.content, h1.content) AS path FROM n {_UP}"""
 )
 def region_context(spark, d):
     regions = L.parents(_regions(spark, d))
@@ -104,7 +114,7 @@ def layout_completeness(spark, d):
     return table(spark, d, "documents").select(i.alias("id"), F.round(completeness(i % 4, i % 6), 6).alias("completeness"))
 
 
-@query()
+@query()  # no SQL: tests/test_layout.py holds it against a brute-force version
 def chunk_text(spark, d):
     return L.chunks(Vault(spark, d).searchable(), "id", "text")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
@@ -19,19 +21,20 @@ def _events(spark, d):
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.col("event_id") % 7)
 
 
-@query(
-    """WITH RECURSIVE e AS (SELECT event_id AS id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+_LIMITED = """WITH RECURSIVE e AS (SELECT event_id AS id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT id, user_id, event_type, n, true AS allowed, [t] AS hits FROM e WHERE n = 1 UNION ALL
 SELECT e.id, e.user_id, e.event_type, e.n, len(list_filter(r.hits, lambda h: e.t - h < 86400000000)) < 3,
 CASE WHEN len(list_filter(r.hits, lambda h: e.t - h < 86400000000)) < 3 THEN list_append(list_filter(r.hits, lambda h: e.t - h < 86400000000), e.t) ELSE list_filter(r.hits, lambda h: e.t - h < 86400000000) END
 FROM r JOIN e ON e.user_id = r.user_id AND e.event_type = r.event_type AND e.n = r.n + 1) SELECT user_id, event_type, id, allowed FROM r"""
-)
+
+
+@query(_LIMITED)
 def rate_limit_log(spark, d):
     requests = _events(spark, d).withColumnRenamed("event_id", "id")
     return O.rate_limited(requests, 3, 86400.0, ["user_id", "event_type"]).drop("retry_after")
 
 
-@query()
+@query(f"SELECT user_id || '/' || event_type AS key, id, allowed FROM ({_LIMITED})")
 def stream_rate_limit(spark, d):
     """The limiter as a stream over the same log, a batch for all of it."""
     schema = table(spark, d, "events").schema
@@ -41,13 +44,16 @@ def stream_rate_limit(spark, d):
     return limits.drain(limits.rate_limit_stream(requests, 3, 86400.0))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT DISTINCT l_orderkey AS turn, l_partkey AS chunk, max(l_shipdate) OVER (PARTITION BY l_orderkey) AS ts FROM lineitem)
+SELECT x.chunk AS a, y.chunk AS b, count(*) AS turns, epoch_us(max(x.ts)) AS last FROM t x JOIN t y ON x.turn = y.turn AND x.chunk < y.chunk GROUP BY ALL"""
+)
 def stream_reinforce(spark, d):
     """Co-retrieval edges from a stream of turns."""
-    root = f"{scratch_dir(spark)}/turns-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    root = f"{scratch_dir(spark)}/turns-{uuid.uuid4().hex}"
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("turn")).agg(F.collect_set("l_partkey").alias("chunks"), F.max("l_shipdate").alias("ts"))
     lines.write.mode("overwrite").parquet(root)
-    return limits.reinforce(spark.readStream.schema(lines.schema).parquet(root))
+    return limits.reinforce(spark.readStream.schema(lines.schema).parquet(root)).select("a", "b", "turns", F.unix_micros(F.col("last").cast("timestamp")).alias("last"))
 
 
 _JOBS = f"""(SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'uploading' WHEN 'view' THEN 'normalizing' WHEN 'purchase' THEN 'embedding' ELSE 'failed' END AS state,
@@ -126,7 +132,7 @@ def storage_usage(spark, d):
 @query("SELECT 'chunks' AS kind, vec_id AS id, vec_id AS document FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 = 3) UNION ALL SELECT 'todos', event_id, CASE WHEN user_id % 10 = 3 AND user_id IN (SELECT doc_id FROM documents) THEN NULL ELSE user_id END FROM events")
 def cascade_delete(spark, d):
     gone = table(spark, d, "documents").where("doc_id % 10 = 3").select(F.col("doc_id").alias("document"))
-    chunks = Vault(spark, d).vectors().select("id", F.col("id").alias("document"))
+    chunks = Vault(spark, d).all_vectors().select("id", F.col("id").alias("document"))
     todos = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("document"))
     left = O.delete_documents({"chunks": chunks, "todos": todos}, gone, ["chunks"], ["todos"])
     return left["chunks"].select(F.lit("chunks").alias("kind"), "id", "document").unionByName(left["todos"].select(F.lit("todos").alias("kind"), "id", "document"))
@@ -248,6 +254,6 @@ def parsed_vectors(spark, d):
     """Vectors that came as JSON text."""
     from tessera.functions import vectors as V
 
-    sent = Vault(spark, d).vectors().select("id", F.to_json("embedding").alias("text"))
+    sent = Vault(spark, d).all_vectors().select("id", F.to_json("embedding").alias("text"))
     v = sent.select("id", V.parse_vector(F.col("text")).alias("v"))
     return v.select("id", F.size("v").alias("n"), F.round(V.dot(F.col("v"), F.col("v")), 5).alias("squares"))

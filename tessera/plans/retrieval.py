@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.functions.joins import fits
 from tessera.operators import layout as L
 from tessera.operators import retrieval as R
 from tessera.operators import search as S
 from tessera.plans.registry import query
-from tessera.sources.vault import DOCS_SQL, Vault, table
+from tessera.sources.vault import DOCS_SQL, VECTORS_SQL, Vault, table
 
+_TOKENS = r"regexp_extract_all(lower(text), '(\p{L}+)', 1)"
 _NEAR = "1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 
 
@@ -26,22 +26,27 @@ def tenant_documents(spark, d):
     return Vault(spark, d, "src3").documents().select("id", "status")
 
 
-@query("SELECT e.vec_id AS id, round(" + _NEAR + ", 6) AS distance FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY " + _NEAR + ", e.vec_id LIMIT 20")
+@query("SELECT e.vec_id AS id, round(" + _NEAR + ", 6) AS distance FROM " + VECTORS_SQL + " e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY " + _NEAR + ", e.vec_id LIMIT 20")
 def vector_topk(spark, d):
     v = Vault(spark, d).vectors()
-    q = v.where("id = 0").select(F.col("embedding").alias("q"))
+    q = table(spark, d, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
     distance = V.cosine_distance(F.col("embedding"), F.col("q"))
     return v.crossJoin(F.broadcast(q)).select("id", distance.alias("x")).orderBy("x", "id").limit(20).select("id", F.round("x", 6).alias("distance"))  # one row
 
 
+def _asked(spark, d):
+    """Questions' vectors: a twentieth of all rows."""
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+
+
 @query(
     f"""SELECT qid, id, rank, round(distance, 6) AS distance FROM (SELECT q.vec_id AS qid, e.vec_id AS id, {_NEAR} AS distance,
-row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_NEAR}, 9), e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 20""",
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_NEAR}, 9), e.vec_id) AS rank FROM {VECTORS_SQL} e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 20""",
     rank="rank",
 )
 def vector_topk_batch(spark, d):
     v = Vault(spark, d).vectors()
-    near = R.nearest(v, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"), 20)
+    near = R.nearest(v, _asked(spark, d), 20)
     return near.select("qid", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
@@ -55,11 +60,11 @@ def vector_by_provider(spark, d):
     vault = Vault(spark, d)
     v = vault.vectors()
     own = v.join(vault.searchable().where("provider = 'p1'").select("id"), "id")
-    return R.nearest(own, v.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding"), 20).select("qid", "id", "rank")
+    return R.nearest(own, _asked(spark, d), 20).select("qid", "id", "rank")
 
 
 def _tf(term: str) -> str:
-    return f"len(list_filter(regexp_extract_all(lower(text), '([a-z]+)', 1), lambda t: t = '{term}'))"
+    return f"len(list_filter({_TOKENS}, lambda t: t = '{term}'))"
 
 
 def _fts(where: str, terms: list[str]) -> str:
@@ -89,7 +94,7 @@ def fts_negation(spark, d):
     return _searched(spark, d, lambda c, x: (c["with"] > 0) & (T.term_count(x["text"], "the") == 0), ["with"])
 
 
-@query(f"SELECT id, status FROM {DOCS_SQL} WHERE status = 'ready' AND (' ' || array_to_string(regexp_extract_all(lower(text), '([a-z]+)', 1), ' ') || ' ') LIKE '% of the %'")
+@query(f"SELECT id, status FROM {DOCS_SQL} WHERE status = 'ready' AND (' ' || array_to_string({_TOKENS}, ' ') || ' ') LIKE '% of the %'")
 def fts_phrase(spark, d):
     return Vault(spark, d).searchable().where(F.lower("text").rlike(T.phrase_pattern(["of", "the"]))).select("id", "status")
 
@@ -98,11 +103,16 @@ def fts_phrase(spark, d):
 
 _HYBRID_SQL = f"""
 WITH docs AS (SELECT * FROM {DOCS_SQL} WHERE status = 'ready'),
-words AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS term FROM benchmark),
-terms AS (SELECT qid, term FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY length(term) DESC, term) AS n FROM words) WHERE n <= 4),
-tok AS (SELECT id, unnest(regexp_extract_all(lower(text), '([a-z]+)', 1)) AS term FROM docs),
-tf AS (SELECT id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM terms) GROUP BY id, term),
-lexs AS (SELECT qid, id, round(sum(ln(1 + tf)), 9) AS score, count(*) AS hits FROM tf JOIN terms USING (term) GROUP BY qid, id),
+tok AS (SELECT id, unnest({_TOKENS}) AS term FROM docs),
+words AS MATERIALIZED (SELECT DISTINCT item_id AS qid, unnest({_TOKENS}) AS term FROM benchmark),
+parts AS (SELECT item_id AS qid, unnest(string_split_regex(' ' || replace(text, ' ', '  ') || ' ', '\\s[oO][rR]\\s')) AS text FROM benchmark),
+alts AS MATERIALIZED (SELECT qid, row_number() OVER () AS alt, list_distinct({_TOKENS}) AS ws FROM parts),
+need AS MATERIALIZED (SELECT qid, alt, len(ws) AS n, unnest(ws) AS term FROM alts),
+terms AS (SELECT DISTINCT qid, term FROM need),
+tf AS MATERIALIZED (SELECT id, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM words) GROUP BY id, term),
+fit AS (SELECT DISTINCT qid, id FROM (SELECT qid, alt, id FROM tf JOIN need USING (term) GROUP BY qid, alt, id HAVING count(*) = min(n))),
+lexs AS (SELECT qid, id, round(sum(ln(1 + tf)), 9) AS score FROM tf JOIN terms USING (term) SEMI JOIN fit USING (qid, id) GROUP BY qid, id),
+share AS (SELECT qid, id, count(*) AS hits FROM tf JOIN words USING (term) GROUP BY qid, id),
 lex AS (SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM lexs) WHERE rank <= 20),
 vecs AS (SELECT q.vec_id AS qid, e.vec_id AS id, {_NEAR} AS distance FROM embeddings e JOIN docs x ON x.id = e.vec_id, (SELECT * FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)) q),
 vec AS (SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY round(distance, 9), id) AS rank FROM vecs) WHERE rank <= 20),
@@ -116,12 +126,9 @@ def _legs(spark, d):
     vault = Vault(spark, d)
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
     docs, v = vault.searchable(), vault.vectors()
-    terms = R.question_terms(questions)
-    few = fits(terms)
-    tf = R.term_frequencies(docs, terms, few)
-    asked = v.join(questions.select("qid"), v["id"] == F.col("qid")).select("qid", "embedding")
-    near = R.nearest(v.join(docs.select("id"), "id"), asked, R.LEG).select("qid", "id", "rank")
-    return docs, terms, few, tf, near, R.lexical(tf, terms, few=few).select("qid", "id", "rank")
+    asked = table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "embedding").join(questions.select("qid"), "qid")
+    near = R.nearest(v, asked, R.LEG).select("qid", "id", "rank")
+    return docs, questions, near, S.best_matches(docs, questions, R.LEG).select("qid", "id", "rank")
 
 
 @query(_HYBRID_SQL + "SELECT qid, id, round(score, 9) AS score, position FROM ranked WHERE position <= 10", rank="position")
@@ -170,8 +177,8 @@ def diversity_select(spark, d):
 
 @query(
     _HYBRID_SQL
-    + """, nt AS (SELECT qid, count(*) AS n FROM terms GROUP BY qid),
-top AS (SELECT r.qid, r.id, r.position, coalesce(hits::DOUBLE / n, 0) AS relevance, user_id FROM ranked r JOIN docs x ON x.id = r.id JOIN nt USING (qid) LEFT JOIN lexs l ON l.qid = r.qid AND l.id = r.id WHERE position <= 10),
+    + """, nt AS (SELECT qid, count(*) AS n FROM words GROUP BY qid),
+top AS (SELECT r.qid, r.id, r.position, coalesce(hits::DOUBLE / n, 0) AS relevance, user_id FROM ranked r JOIN docs x ON x.id = r.id JOIN nt USING (qid) LEFT JOIN share l ON l.qid = r.qid AND l.id = r.id WHERE position <= 10),
 good AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, position) AS p2 FROM top WHERE relevance >= 0.2),
 late AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY qid, user_id ORDER BY p2) <= 3 THEN 0 ELSE 1 END AS late FROM good)
 SELECT qid, id, round(relevance, 6) AS relevance, final FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY late, p2) AS final FROM late) WHERE final <= 5""",
@@ -179,9 +186,9 @@ SELECT qid, id, round(relevance, 6) AS relevance, final FROM (SELECT *, row_numb
 )
 def hybrid_search(spark, d):
     """Both legs, fusion, ten candidates, relevance with its floor, then five with at most three of a source."""
-    docs, terms, few, tf, near, lex = _legs(spark, d)
+    docs, questions, near, lex = _legs(spark, d)
     owner = docs.select("id", F.col("user_id").alias("document"))
-    return R.retrieve([near, lex], owner, R.overlap(tf, terms, few), require_relevance=True).select("qid", "id", F.round("relevance", 6).alias("relevance"), "final")
+    return R.retrieve([near, lex], owner, R.overlap(docs, questions), require_relevance=True).select("qid", "id", F.round("relevance", 6).alias("relevance"), "final")
 
 
 @query(
@@ -245,22 +252,20 @@ def evidence_lines(spark, d):
     return docs.select("id", T.serialize_evidence(title, none, F.col("id") % 30, none, F.col("text")).alias("evidence"))
 
 
-@query(_fts(f"({_tf('with')} > 0 AND {_tf('from')} > 0 AND {_tf('nicht')} = 0) OR ((' ' || array_to_string(regexp_extract_all(lower(text), '([a-z]+)', 1), ' ') || ' ') LIKE '% of the %' AND {_tf('and')} > 0)", ["with", "from", "of", "the", "and"]))
+@query(_fts(f"({_tf('with')} > 0 AND {_tf('from')} > 0 AND {_tf('nicht')} = 0) OR ((' ' || array_to_string({_TOKENS}, ' ') || ' ') LIKE '% of the %' AND {_tf('and')} > 0)", ["with", "from", "of", "the", "and"]))
 def websearch(spark, d):
     found = S.web_search(Vault(spark, d).searchable(), 'with From -nicht OR "of the" and')
     return found.select("id", F.round("score", 6).alias("score"))
 
 
-@query(_HYBRID_SQL + ", nt AS (SELECT qid, count(*) AS n FROM terms GROUP BY qid) SELECT l.qid, id, round(score, 6) AS score FROM lexs l JOIN nt ON nt.qid = l.qid WHERE hits = n")
+@query(_HYBRID_SQL + " SELECT qid, id, round(score, 6) AS score FROM lexs")
 def websearch_batch(spark, d):
-    """Documents with all of a question's words, for all questions."""
+    """Documents with all words of one of a question's alternatives, for all questions."""
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    terms = R.question_terms(questions)
-    tf = R.term_frequencies(Vault(spark, d).searchable(), terms)
-    return S.all_terms(tf, terms).select("qid", "id", F.round("score", 6).alias("score"))
+    return S.matching(Vault(spark, d).searchable(), questions).select("qid", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"SELECT x.id AS chunk, round(len(list_filter(['with', 'from', 'that', 'the'], lambda t: list_contains(regexp_extract_all(lower(text), '([a-z]+)', 1), t))) / 4.0::DOUBLE, 6) AS relevance, user_id FROM {DOCS_SQL} x WHERE status = 'ready' AND relevance >= 0.2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY relevance DESC, x.id) <= 5")
+@query(f"SELECT x.id AS chunk, round(len(list_filter(['with', 'from', 'that', 'the'], lambda t: list_contains({_TOKENS}, t))) / 4.0::DOUBLE, 6) AS relevance, user_id FROM {DOCS_SQL} x WHERE status = 'ready' AND relevance >= 0.2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY relevance DESC, x.id) <= 5")
 def document_scoped(spark, d):
     """Within each source alone, its five most relevant rows above the floor."""
     docs = Vault(spark, d).searchable().select("id", "text", F.col("user_id").alias("scope"))

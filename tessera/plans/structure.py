@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import layout as L
 from tessera.operators import structure as S
+from tessera.plans.layout import REGIONS_SQL
 from tessera.plans.registry import query
 from tessera.sources.vault import DOCS_SQL, Vault, table
 
@@ -92,11 +93,11 @@ def reading_order(spark, d):
 
 # One payload a page: pages of remainder 1 name a region that is not there, of remainder 2 a bad type, of remainder 3 are no JSON.
 @query(
-    r"""WITH z AS (SELECT page_id, list_filter(list_zip(regexp_extract_all(html, '<(h1|h2|p|li|table)(?:\s[^>]*)?>([^<]*)', 1), regexp_extract_all(html, '<(h1|h2|p|li|table)(?:\s[^>]*)?>([^<]*)', 2)), lambda r: trim(r[2]) <> '') AS rs FROM pages),
-u AS (SELECT page_id, unnest(rs) AS r, generate_subscripts(rs, 1) - 1 AS ordinal FROM z),
-g AS (SELECT page_id, ordinal::INT AS ordinal, CASE WHEN r[1] LIKE 'h%' THEN 'heading' WHEN r[1] = 'li' THEN 'list' WHEN r[1] = 'table' THEN 'table' ELSE 'paragraph' END AS region_type, CASE WHEN ordinal % 4 = 2 THEN '' ELSE trim(r[2]) END AS content FROM u)
+    "WITH "
+    + REGIONS_SQL
+    + """, w AS (SELECT page_id, ordinal, region_type, CASE WHEN ordinal % 4 = 2 THEN '' ELSE content END AS content FROM g)
 SELECT page_id, ordinal, CASE WHEN ok THEN 'chart' ELSE region_type END AS region_type, CASE WHEN ok AND content = '' THEN 'seen' ELSE content END AS content, CASE WHEN ok THEN 'about it' END AS summary, CASE WHEN ok THEN '0.1,0.2,0.3,0.9' END AS box, CASE WHEN NOT ok THEN 'local' WHEN content = '' THEN 'vision' ELSE 'merged' END AS source
-FROM (SELECT *, page_id % 5 IN (0, 4) AND ordinal IN (0, 2) AS ok FROM g)"""
+FROM (SELECT *, page_id % 5 IN (0, 4) AND ordinal IN (0, 2) AS ok FROM w)"""
 )
 def merge_vision(spark, d):
     regions = L.html_regions(table(spark, d, "pages")).withColumn("content", F.when(F.col("ordinal") % 4 == 2, "").otherwise(F.col("content")))

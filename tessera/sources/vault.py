@@ -16,8 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one on a local master, and an error on a cluster, whose executors would not see it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="tessera-")
 
 
@@ -46,12 +48,22 @@ class Vault:
         return self.documents().where(F.col("status") == "ready")
 
     def vectors(self) -> DataFrame:
-        """id (of chunk and document), label, embedding."""
+        """id (of chunk and document), label, embedding; only of documents that retrieval may see."""
+        return self._vectors().join(self.searchable().select("id"), "id", "left_semi")
+
+    def all_vectors(self) -> DataFrame:
+        """vectors(), also of documents that are sealed or not ready, for jobs that move or delete them."""
+        rows = self._vectors()
+        return rows if self.user_id is None else rows.join(self.documents().select("id"), "id", "left_semi")
+
+    def _vectors(self) -> DataFrame:
         return table(self.spark, self.sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
 
     def messages(self) -> DataFrame:
-        """session, turn, role, content."""
-        return table(self.spark, self.sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", "role", F.col("text").alias("content"))
+        """session, turn, role, content; a session is its user's."""
+        rows = table(self.spark, self.sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", "role", F.col("text").alias("content"))
+        owner = F.concat(F.lit("src"), (F.col("session") % 20).cast("string"))  # the adapter's rule, as the table names no user
+        return rows if self.user_id is None else rows.where(owner == self.user_id)
 
 
 #: The same adapter for DuckDB.
@@ -60,6 +72,10 @@ DOCS_SQL = """(SELECT doc_id AS id, source AS user_id, text, lang, n_chars AS si
   'p' || (doc_id % 3) AS provider FROM documents)"""
 
 
+#: Vectors that retrieval may see.
+VECTORS_SQL = f"(SELECT e.* FROM embeddings e SEMI JOIN {DOCS_SQL} x ON x.id = e.vec_id AND x.status = 'ready')"
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Text and Markdown files, a row each: path, source; bytes that are no UTF-8 become U+FFFD."""
     raw = spark.read.format("binaryFile").load(path)

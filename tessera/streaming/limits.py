@@ -16,14 +16,19 @@ from tessera.sources.vault import scratch_dir
 
 
 def rate_limit_stream(requests: DataFrame, limit: int, window: float) -> DataFrame:
-    """A stream of (key, id, at) with allowed: each key's state is its log of accepted times. Batches must come in time order."""
+    """A stream of (key, id, at) with allowed. A key's state is its log of accepted times, at most `limit` numbers; it is kept for every key seen.
+
+    Batches must come in time order; of one batch a task sorts a key's (time, id) pairs, which bounds how large a batch may be: set
+    maxFilesPerTrigger where a key may be hot.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         hits = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
-        out = rows[["key", "id"]].assign(allowed=[admit(hits, at, limit, window)[0] for at in rows["at"]])
+        held = sorted(((at, i) for f in frames for at, i in zip(f["at"].tolist(), f["id"].tolist(), strict=True)))
+        for lo in range(0, len(held), 10_000):
+            part = held[lo : lo + 10_000]
+            yield pd.DataFrame({"key": key[0], "id": [i for _, i in part], "allowed": [admit(hits, at, limit, window)[0] for at, _ in part]})
         state.update((list(hits),))
-        yield out
 
     return requests.groupBy("key").applyInPandasWithState(run, "key string, id long, allowed boolean", "hits array<double>", "append", GroupStateTimeout.NoTimeout)
 

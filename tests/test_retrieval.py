@@ -104,9 +104,40 @@ def test_plans(spark, sf):
 def test_all_words_of_a_question_are_searched(spark):
     questions = spark.createDataFrame([(1, "The elephants remember mountains, rivers and a sea"), (2, "sea"), (3, "!")], "qid long, text string")
     docs = spark.createDataFrame([(1, "elephants remember mountains rivers"), (2, "A sea; and the rivers: mountains remember ELEPHANTS the"), (3, "sea sea"), (4, None)], "id long, text string")
-    terms = R.question_terms(questions)
-    assert {(r["qid"], r["term"]) for r in terms.collect()} == {(1, w) for w in "the elephants remember mountains rivers and a sea".split()} | {(2, "sea")}
-    tf = R.term_frequencies(docs, terms)
-    assert {(r["qid"], r["id"], r["rank"]) for r in R.lexical(tf, terms).collect()} == {(1, 2, 1), (2, 3, 1), (2, 2, 2)}
-    assert {(r["qid"], r["id"]) for r in S.all_terms(tf, terms).collect()} == {(1, 2), (2, 2), (2, 3)}
-    assert {(r["qid"], r["id"]): r["relevance"] for r in R.overlap(tf, terms).collect()} == {(1, 1): 4 / 8, (1, 2): 1.0, (1, 3): 1 / 8, (2, 2): 1.0, (2, 3): 1.0}
+    assert {(r["qid"], r["id"], r["rank"]) for r in S.best_matches(docs, questions).collect()} == {(1, 2, 1), (2, 3, 1), (2, 2, 2)}
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 2), (2, 3), (3, 1)], "qid long, id long")
+    assert {(r["qid"], r["id"]): r["relevance"] for r in R.overlap(docs, questions)(pairs).collect()} == {(1, 1): 4 / 8, (1, 2): 1.0, (1, 3): 1 / 8, (2, 2): 1.0, (2, 3): 1.0, (3, 1): 0.0}
+
+
+def test_questions_in_the_web_style_at_once(spark):
+    """Alternatives, phrases and exclusions of many questions, and letters beyond ASCII; each as the search of one query has it. Questions that differ in their fifth-longest word alone differ."""
+    asked = ["alpha beta", 'alpha or "beta gamma"', "beta -gamma", '"größe straße"', "größe", "nothing here", "-alpha", "alpha alpha beta", "wonderful elephants remember mountains sea", "wonderful elephants remember mountains lake"]
+    texts = ["alpha beta gamma", "beta, gamma!", "gamma beta alpha", "Größe: Straße", "straße größe", "beta", None, "wonderful elephants remember the mountains and a lake", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {(r["qid"], r["id"]): r["score"] for r in S.matching(docs, spark.createDataFrame(list(enumerate(asked)), "qid long, text string")).collect()}
+    want = {(k, r["id"]): r["score"] for k, q in enumerate(asked) if q != "-alpha" for r in S.web_search(docs, q, None).collect()}
+    assert got == want and (9, 7) in got and (8, 7) not in got
+
+
+def test_many_questions_make_a_grid(spark, sf, monkeypatch):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS id", "embedding")
+    asked = v.where("id % 5 = 0").selectExpr("id AS qid", "embedding")
+    for metric, skip in (("cosine", False), ("l2", True)):
+        one = sorted(map(tuple, R.nearest(v, asked, 4, metric, skip).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(R, "QUERY_BLOCK", 10)
+            m.setattr(R, "CORPUS_BLOCK", 60)
+            many = sorted(map(tuple, R.nearest(v, asked, 4, metric, skip).collect()))
+        assert [x[:2] + x[3:] for x in many] == [x[:2] + x[3:] for x in one] and all(abs(a[2] - b[2]) < 1e-8 for a, b in zip(one, many, strict=True))
+
+
+def test_every_loader_keeps_to_its_tenant_and_to_what_may_be_seen(spark, sf):
+    from tessera.sources.vault import Vault
+
+    own, every = Vault(spark, sf, "src3"), Vault(spark, sf)
+    ids = {r["id"] for r in own.documents().collect()}
+    ready = {r["id"] for r in every.documents().where("status = 'ready'").collect()}
+    assert ids and {r["id"] for r in own.searchable().collect()} == ids & ready
+    assert {r["id"] for r in every.vectors().collect()} <= ready and {r["id"] for r in own.vectors().collect()} == ids & {r["id"] for r in every.vectors().collect()}
+    assert {r["id"] for r in own.all_vectors().collect()} <= ids and every.all_vectors().count() == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    assert {r["session"] % 20 for r in own.messages().collect()} <= {3} and every.messages().count() == spark.read.parquet(f"{sf}/conversations.parquet").count()
