@@ -33,7 +33,7 @@ GRAM_BITS, LEXICON_BITS = 15, 17
 TEMPLATES = 5  # one, two and three bytes at each letter; affixes of four bytes at a word's ends
 FEATURES = TEMPLATES * (1 << GRAM_BITS) + (1 << LEXICON_BITS)
 MAX_LABELS = 200
-PART_BYTES = 1 << 19
+PART_BYTES = 1 << 18
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
