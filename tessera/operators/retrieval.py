@@ -107,8 +107,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine
     else:
         across, down = -(-held.count() // QUERY_BLOCK) * 2, -(-vectors.count() // CORPUS_BLOCK) * 2  # blocks by hash: half full, so none is much too large
         block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
-        left = held.select((block("qid", across) * down + F.explode(F.sequence(F.lit(0), F.lit(down - 1)))).alias("cell"), F.lit(0).alias("side"), F.col("qid").alias("id"), "embedding")
-        right = vectors.select((block("id", down) + F.explode(F.sequence(F.lit(0), F.lit(across - 1))) * down).alias("cell"), F.lit(1).alias("side"), "id", "embedding")
+        left = held.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda x: block("qid", across) * down + x)).alias("cell"), F.lit(0).alias("side"), F.col("qid").alias("id"), "embedding")
+        right = vectors.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda x: block("id", down) + x * down)).alias("cell"), F.lit(1).alias("side"), "id", "embedding")
         out = left.unionByName(right).repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(_in_grid(k + skip_self, metric), schema)
     if skip_self:
         out = out.where("qid <> id")
