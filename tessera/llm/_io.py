@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,27 @@ def fresh(df: DataFrame, stem: str) -> str:
 def small(df: DataFrame) -> DataFrame:
     """For a join's smaller side: broadcast where a count shows that it is small; else Spark joins by a shuffle."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def release() -> None:
+    """Hand freed memory of Arrow and of the C library back to the system, where the latter can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with freed memory released after each batch and at the end: Spark keeps Python workers for later tasks, and they would keep it beside those."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def given() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                del b
+                release()
+
+        yield from run(given())
+        release()
+
+    return tidied

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._io import fresh, stash
+from tessera.llm._io import fresh, stash, tidy
 
 BLOCK_BITS = 1 << 15
 PROBES = 4
@@ -83,8 +83,8 @@ def _probe(sha: Column, n_blocks: int) -> tuple[Column, Column]:
 def repeated_filter(digests: DataFrame, n_rows: int, bits_per_row: int = 16, max_filter_bits: int = 1 << 28) -> tuple[DataFrame, int]:
     """Pass 1 over a column `sha`: (block, bits) rows of the filter of hashes that may repeat, and the number of blocks."""
     n_blocks = max(1, min(-(-bits_per_row * n_rows // BLOCK_BITS), max_filter_bits // BLOCK_BITS))
-    cells = digests.select(*_probe(F.col("sha"), n_blocks)).mapInArrow(_cells, "block long, once binary, again binary")
-    merged = cells.repartition("block").sortWithinPartitions("block").mapInArrow(_merge, "block long, bits array<long>")
+    cells = digests.select(*_probe(F.col("sha"), n_blocks)).mapInArrow(tidy(_cells), "block long, once binary, again binary")
+    merged = cells.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(_merge), "block long, bits array<long>")
     return stash(merged, "bloom"), n_blocks
 
 

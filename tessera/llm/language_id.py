@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm import _chains, _words
-from tessera.llm._io import fresh, stash
+from tessera.llm._io import fresh, stash, tidy
 
 UNKNOWN = "und"
 GRAM_BITS, LEXICON_BITS = 15, 17
@@ -303,7 +303,7 @@ def accept(df: DataFrame, tagger: Tagger, margin: float, text_col: str = "text")
     The best of n mean posteriors is never below 1 / n, so the margin counts from there. A tagger of one language or of none has
     nothing to tell texts apart by: all with a letter stay.
     """
-    return df.mapInArrow(_accept(tagger, margin, df.columns.index(text_col)), df.schema)
+    return df.mapInArrow(tidy(_accept(tagger, margin, df.columns.index(text_col))), df.schema)
 
 
 def _by_text(df: DataFrame, tagger: Tagger, keep: list[str | Column], text_col: str, out: list[tuple], run) -> DataFrame:
@@ -313,7 +313,7 @@ def _by_text(df: DataFrame, tagger: Tagger, keep: list[str | Column], text_col:
     names = [fresh(rows, n) if n in taken else n for n, *_ in out]
     schema = pa.schema([*((n, to_arrow_type(k)) for n, k in kept), *((n, k) for n, (_, k, _) in zip(names, out, strict=True))])
     spark_schema = ", ".join([*(f"`{n}` {k.simpleString()}" for n, k in kept), *(f"`{n}` {k}" for n, (*_, k) in zip(names, out, strict=True))])
-    return df.select(*keep, F.col(text_col).cast("string").alias(fresh(rows, "text"))).mapInArrow(run(tagger, schema), spark_schema)
+    return df.select(*keep, F.col(text_col).cast("string").alias(fresh(rows, "text"))).mapInArrow(tidy(run(tagger, schema)), spark_schema)
 
 
 def predict(df: DataFrame, tagger: Tagger, keep: list[str | Column], text_col: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm import _words
 from tessera.llm._components import components
-from tessera.llm._io import fresh, small, stash
+from tessera.llm._io import fresh, small, stash, tidy
 
 COUNTER_BITS, COUNTER_BLOCK = 18, 1 << 12
 BLOCK_BYTES = 4 << 20  # of the sets on one side of a comparison
@@ -104,7 +104,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFr
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     kind = rows.schema["doc_id"].dataType
     schema = pa.schema([("doc_id", to_arrow_type(kind)), ("text_key", pa.int64()), ("node", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary())])
-    return rows.mapInArrow(_signatures(s, schema), f"doc_id {kind.simpleString()}, text_key long, node long, n_shingles long, sig binary")
+    return rows.mapInArrow(tidy(_signatures(s, schema)), f"doc_id {kind.simpleString()}, text_key long, node long, n_shingles long, sig binary")
 
 
 # --- postings -----------------------------------------------------------------------------------------------------------
@@ -196,7 +196,7 @@ def member_sets(df: DataFrame, text_col: str, nodes: DataFrame, wanted: DataFram
     keys = stash(nodes.join(wanted, "node", "left_semi").select("node", "text_key"), "wanted")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.xxhash64(text).alias("text_key"), text.alias("text")).join(small(keys), "text_key").select("node", "text")
-    return stash(rows.mapInArrow(_sets(s), "node long, members binary").dropDuplicates(["node"]), "sets")
+    return stash(rows.mapInArrow(tidy(_sets(s)), "node long, members binary").dropDuplicates(["node"]), "sets")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -217,7 +217,7 @@ def _confirm(percent: int):
 def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
     of = lambda x: sets.select(F.col("node").alias(x), F.col("members").alias(f"members_{x}"))
-    return stash(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "members_a", "members_b").mapInArrow(_confirm(s.percent), "a long, b long"), "links")
+    return stash(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "members_a", "members_b").mapInArrow(tidy(_confirm(s.percent)), "a long, b long"), "links")
 
 
 def _compare(percent: int):
@@ -278,7 +278,7 @@ def _long_links(postings: DataFrame, nodes: DataFrame, roots: DataFrame, sets: D
 
 def links(df: DataFrame, text_col: str, nodes: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) of nodes (node, text_key, n_shingles, sig) that join all that the similarity joins; links that others imply may be left out."""
-    held = stash(nodes.select("node", "sig").mapInArrow(_post(_rarity(nodes, s), s), "key long, node long"), "postings")
+    held = stash(nodes.select("node", "sig").mapInArrow(tidy(_post(_rarity(nodes, s), s)), "key long, node long"), "postings")
     lists = held.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     shared = stash(held.join(lists, "key"), "shared")
     short = shared.where(F.col("n") <= s.short)
@@ -287,7 +287,7 @@ def links(df: DataFrame, text_col: str, nodes: DataFrame, s: Settings) -> DataFr
     pairs = pairs.union(stars).distinct()
     of = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
     sized = pairs.join(of("a"), "a").join(of("b"), "b").where(100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b"))
-    candidates = stash(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_match(s), "a long, b long"), "candidates")
+    candidates = stash(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(_match(s)), "a long, b long"), "candidates")
     long = shared.where(F.col("n") > s.short)
     wanted = candidates.select(F.explode(F.array("a", "b")).alias("node")).union(long.select("node")).distinct()
     sets = member_sets(df, text_col, nodes, wanted, s)

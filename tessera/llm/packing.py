@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import _tokens, mixing
-from tessera.llm._io import fresh, stash
+from tessera.llm._io import fresh, stash, tidy
 
 CAPACITY = 2048
 END_ID = 0
@@ -108,7 +108,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = df.select(F.col(id_col).alias("doc_id"), *([] if part is None else [part.cast("long").alias("part")]), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType
     schema = pa.schema([("doc_id", to_arrow_type(kind)), *([] if part is None else [("part", pa.int64())]), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.binary())] if with_ids else [])])
-    return rows.mapInArrow(_pieces(path, capacity, with_ids, schema), f"doc_id {kind.simpleString()}, " + "part long, " * (part is not None) + "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(tidy(_pieces(path, capacity, with_ids, schema)), f"doc_id {kind.simpleString()}, " + "part long, " * (part is not None) + "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def _filled(rows: DataFrame, shard: str, kept: list[str], fill) -> DataFrame:
