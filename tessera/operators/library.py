@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.ordering import numbered
 from tessera.operators import graph
 
 
 def listed(rows: DataFrame, owner: str, order: list[Column], page_rows: int = 5) -> DataFrame:
-    """rows with nth (from 1) and page (from 0) in each owner's list; the order must be total for pages to be stable. Order by created_at descending for documents, boards, to-dos and sessions, by ordinal or position for what is inside one."""
-    nth = F.row_number().over(Window.partitionBy(owner).orderBy(*order))
-    return rows.withColumn("nth", nth).withColumn("page", F.floor((F.col("nth") - 1) / page_rows).cast("int"))
+    """rows with nth (from 1) and page (from 0) in each owner's list, however long it is; the order must be total for pages to be stable. Order by created_at descending for documents, boards, to-dos and sessions, by ordinal or position for what is inside one."""
+    rows = numbered(rows, [owner], order, "nth").withColumn("nth", F.col("nth").cast("int"))
+    return rows.withColumn("page", F.floor((F.col("nth") - 1) / page_rows).cast("int"))
 
 
 def merged_meta(left: Column, right: Column) -> Column:

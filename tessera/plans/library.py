@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,8 @@ from tessera.operators import library as B
 from tessera.operators import retrieval as R
 from tessera.plans.registry import query
 from tessera.sources import sinks
-from tessera.sources.vault import DOCS_SQL, Vault, files, scratch_dir, table
+from tessera.sources.scratch import new_path
+from tessera.sources.vault import DOCS_SQL, Vault, files, table
 
 NOW = "2024-01-15 00:00:00"
 
@@ -260,7 +260,7 @@ def clustered_documents(spark, d):
 @query("SELECT page_id % 5 AS user_id, count(*) AS n, sum(page_id)::BIGINT AS total FROM pages WHERE page_id % 5 <> 2 GROUP BY ALL UNION ALL SELECT 2, count(*), sum(page_id + 1000)::BIGINT FROM pages WHERE page_id % 5 = 2".replace("page_id % 5 AS user_id", "(page_id % 5)::INT AS user_id"))
 def replaced_tenants(spark, d):
     """A table of all tenants in which one tenant's rows are replaced, read back."""
-    path = f"{scratch_dir(spark)}/tenants-{uuid.uuid4().hex}"
+    path = new_path(spark, "tenants")
     rows = table(spark, d, "pages").select((F.col("page_id") % 5).cast("int").alias("user_id"), F.col("page_id").alias("id"))
     sinks.replace_tenants(rows, path)
     sinks.replace_tenants(rows.where("user_id = 2").withColumn("id", F.col("id") + 1000), path)
@@ -270,7 +270,7 @@ def replaced_tenants(spark, d):
 @query("SELECT event_id AS id, event_type AS title FROM events WHERE event_id % 3 < 2")
 def appended_rows(spark, d):
     """Two appends whose rows pass their checks, and one that fails as a whole."""
-    path = f"{scratch_dir(spark)}/appended-{uuid.uuid4().hex}"
+    path = new_path(spark, "appended")
     rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("title"))
     checks = {"title": F.length("title") > 0, "id": F.col("id") >= 0}
     for k in range(2):
@@ -286,7 +286,7 @@ def appended_rows(spark, d):
 @query(f"SELECT id, text AS source FROM {DOCS_SQL} WHERE id < 20 AND text IS NOT NULL AND length(text) > 0")
 def text_files(spark, d):
     """Twenty documents written as files and read again, one row a file."""
-    root = f"{scratch_dir(spark)}/files-{uuid.uuid4().hex}"
+    root = new_path(spark, "files")
     rows = Vault(spark, d).documents().where("id < 20 AND length(text) > 0")
     # one partition a file's folder, with the text as its only line
     rows.select(F.col("id").cast("string").alias("id"), "text").write.option("lineSep", "\u0001").partitionBy("id").text(root)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +9,8 @@ from tessera.functions import scalars as S
 from tessera.functions import text as T
 from tessera.operators import ops as O
 from tessera.plans.registry import query
-from tessera.sources.vault import DOCS_SQL, Vault, scratch_dir, table
+from tessera.sources.scratch import new_path
+from tessera.sources.vault import DOCS_SQL, Vault, table
 from tessera.streaming import limits
 
 NOW = "2024-01-15 00:00:00"
@@ -50,7 +50,7 @@ SELECT x.chunk AS a, y.chunk AS b, count(*) AS turns, epoch_us(max(x.ts)) AS las
 )
 def stream_reinforce(spark, d):
     """Co-retrieval edges from a stream of turns."""
-    root = f"{scratch_dir(spark)}/turns-{uuid.uuid4().hex}"
+    root = new_path(spark, "turns")
     lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("turn")).agg(F.collect_set("l_partkey").alias("chunks"), F.max("l_shipdate").alias("ts"))
     lines.write.mode("overwrite").parquet(root)
     return limits.reinforce(spark.readStream.schema(lines.schema).parquet(root)).select("a", "b", "turns", F.unix_micros(F.col("last").cast("timestamp")).alias("last"))

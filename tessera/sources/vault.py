@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one on a local master, and an error on a cluster, whose executors would not see it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="tessera-")
-
-
 def document_status(doc_id: Column) -> Column:
     """The adapter's rule for tables that have no status."""
     return F.when(doc_id % 17 == 0, "sealed").when(doc_id % 13 == 0, "processing").otherwise("ready")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import deque
 from collections.abc import Iterator
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.ops import admit
-from tessera.sources.vault import scratch_dir
+from tessera.sources.scratch import new_path
 
 
 def rate_limit_stream(requests: DataFrame, limit: int, window: float) -> DataFrame:
@@ -36,7 +35,7 @@ def rate_limit_stream(requests: DataFrame, limit: int, window: float) -> DataFra
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to the end of what is there, into a table of the shared folder; its rows."""
     spark = stream.sparkSession
-    root = f"{scratch_dir(spark)}/streams/{uuid.uuid4().hex}"
+    root = new_path(spark, "streams")
     q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
@@ -45,7 +44,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 def reinforce(turns: DataFrame) -> DataFrame:
     """Pairs of chunks of a stream of (turn, chunks, ts), with weights that each turn adds one to. Each batch is written under its number, so a repeated batch replaces itself."""
     spark = turns.sparkSession
-    root = f"{scratch_dir(spark)}/streams/{uuid.uuid4().hex}"
+    root = new_path(spark, "streams")
 
     def add(batch: DataFrame, number: int) -> None:
         each = batch.select("turn", F.explode(F.array_distinct("chunks")).alias("a"), "chunks", "ts")
