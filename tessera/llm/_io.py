@@ -3,48 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of ids, hashes or rates (well under 100 bytes each) up to which a join's smaller side is broadcast.
-BROADCAST_ROWS = 1_000_000
-
-_OWN: dict[int, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary one on a local master, and an error on a cluster, whose executors would not see it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    key = id(spark.sparkContext)
-    if key not in _OWN:
-        _OWN[key] = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return _OWN[key]
-
+from tessera.sources.scratch import clear_stashes, scratch_dir, stash
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there, and lost executors cost no recomputation."""
-    path = f"{_stashes(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["BROADCAST_ROWS", "clear_stashes", "fresh", "release", "scratch_dir", "small", "stash", "tidy"]
 
-
-def _stashes(spark: SparkSession) -> str:
-    return f"{scratch_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
-
-
-def clear_stashes(spark: SparkSession) -> None:
-    """Delete all that stash() wrote in this application. Results that are not stored elsewhere are lost, so only the caller can tell when."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_stashes(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows of ids, hashes or rates (well under 100 bytes each) up to which a join's smaller side is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def fresh(df: DataFrame, stem: str) -> str:
