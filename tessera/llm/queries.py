@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, hmm_lm, language_id, line_dedup, media, mixing, near_dedup, packing, quality, token_counts, url_filter
+from tessera.llm import exact_dedup, hmm_lm, language_id, line_dedup, media, mixing, near_dedup, packing, prefix_trie, quality, token_counts, url_filter
+from tessera.llm._io import stash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +60,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation c with the first crc32(c) % 9 turns of c - c % 5 in place of its own."""
+    turns = stash(prefix_trie.numbered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "turns")
+    c = F.col("conv_id")
+    rebuilt = prefix_trie.branched(turns, c - c % 5, F.crc32(c.cast("string").cast("binary")) % 9, 8)
+    return prefix_trie.trie(rebuilt, turns.select("conv_id").distinct())
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_documents(spark, sf_dir))
 
@@ -73,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -97,6 +108,24 @@ FROM u LEFT JOIN best ON u.host = best.host AND u.path = best.path""",
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_prefix_trie": r"""
+WITH b AS (SELECT conv_id AS c, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, strlen(coalesce(text, '')) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM b GROUP BY c),
+-- crc32 of the decimal digits: a byte, then eight steps of a bit each, marked by -1
+crc AS (SELECT c, n, c - c % 5 AS head, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(c::VARCHAR, '')])),
+    lambda a, e: CASE WHEN e >= 0 THEN xor(a, e) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)) % 9 AS h FROM n),
+s AS (SELECT crc.c, head, h, least(h, coalesce(y.n, 0)) AS kept FROM crc LEFT JOIN n y ON y.c = head),
+t AS (SELECT b.c, p - h + kept AS pos, k, bytes FROM b JOIN s USING (c) WHERE p > h UNION ALL SELECT s.c, p, k, bytes FROM s JOIN b ON b.c = head AND p <= h),
+paths AS (SELECT c, pos AS depth, string_agg(k, '') OVER (PARTITION BY c ORDER BY pos) AS path, bytes FROM t UNION ALL SELECT c, 0, '', 0 FROM n),
+last AS (SELECT c, max(depth) AS n_turns FROM paths GROUP BY c),
+nodes AS (SELECT depth, path, min(c) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = n_turns) AS ends FROM paths JOIN last USING (c) GROUP BY depth, path),
+kids AS (SELECT depth - 1 AS depth, left(path, len(path) - 32) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+x AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (depth, path)),
+above AS (SELECT x.*, unnest(range(0, depth + 1)) AS up FROM x),
+sums AS (SELECT up AS depth, left(path, 32 * up) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM above GROUP BY ALL)
+SELECT x.conv_id, x.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+FROM x JOIN sums USING (depth, path) LEFT JOIN nodes parent ON x.depth > 0 AND parent.depth = x.depth - 1 AND parent.path = left(x.path, len(x.path) - 32)""",
     "op13_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos, len(ls) AS n_lines FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
