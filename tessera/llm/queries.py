@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, hmm_lm, language_id, line_dedup, media, mixing, near_dedup, packing, prefix_trie, quality, token_counts, url_filter
+from tessera.llm import collocations, exact_dedup, hmm_lm, language_id, line_dedup, media, mixing, near_dedup, packing, prefix_trie, quality, token_counts, url_filter
 from tessera.llm._io import stash
 
 
@@ -68,6 +68,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(rebuilt, turns.select("conv_id").distinct())
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_documents(spark, sf_dir))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -126,6 +131,18 @@ above AS (SELECT x.*, unnest(range(0, depth + 1)) AS up FROM x),
 sums AS (SELECT up AS depth, left(path, 32 * up) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM above GROUP BY ALL)
 SELECT x.conv_id, x.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
 FROM x JOIN sums USING (depth, path) LEFT JOIN nodes parent ON x.depth > 0 AND parent.depth = x.depth - 1 AND parent.path = left(x.path, len(x.path) - 32)""",
+    "op12_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+tot AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, w AS words, phrase, count(*) AS f FROM (SELECT lang, w, unnest([array_to_string(ws[i:i + w - 1], ' ') FOR i IN range(1, len(ws) - w + 2)]) AS phrase FROM p, (VALUES (1), (2), (3), (4)) v(w)) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, words)) AS k FROM g WHERE words > 1),
+s AS (SELECT c.lang, c.phrase, c.words, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score FROM c JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, unnest(list_distinct(flatten([[array_to_string(ws[i:i + w - 1], ' ') FOR i IN range(1, words - w + 2)] FOR w IN range(2, words)]))) AS phrase, f FROM (SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE words > 2)),
+longer AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b JOIN tot USING (lang) LEFT JOIN longer ON longer.lang = b.lang AND longer.phrase = b.phrase WHERE longer.f IS NULL OR 100::HUGEINT * longer.f < 80::HUGEINT * a QUALIFY rank <= 2000""",
     "op13_line_dedup": r"""
 WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos, len(ls) AS n_lines FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
