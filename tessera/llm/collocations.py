@@ -1,16 +1,17 @@
 """Phrase collocations: n-grams counted by language, scored by their weakest cut, without those that a longer phrase explains.
 
-1. Every occurrence of every 1- to `most_words`-gram is exploded to a row of its 64-bit fingerprint (of language and words), added up over a
-   few million occurrences in its task, and hash-aggregated. As a phrase is as rare as its rarest part, grams of three words and
-   more are made only where all their pairs are frequent: a Bloom filter of the frequent pairs tells, whose false positives cost
-   rows, never a result.
-2. For the fingerprints that reach `least`, the phrases themselves are exploded with their counts and hash-aggregated by language and
-   text: these counts are exact, and what a shared fingerprint let through falls out.
+1. Every occurrence of every 1- to `most_words`-gram is exploded to a row: a word's with its text, a longer one's as two 64-bit fingerprints, of
+   what comes before its last word and of that word. Occurrences are added up in their task, a few million at a time, and hash-aggregated. As a
+   phrase is as rare as its rarest part, pairs are made only of frequent words, and longer ones only where all their pairs are frequent:
+   Bloom filters of those tell, whose false positives cost rows, never a result.
+2. The frequent ones get their texts by joins: a phrase's beginning with its last word. So texts are written once a word and task, and rows
+   grow as the input does.
 3. The rest is joins of that table: prefix and suffix counts for every cut, scores in decimals, an anti-join with one-word extensions
    (a longer phrase that explains one also has an extension by one word in it that does, as counts only fall), and ranks: the first `top` of each of
    PARTS parts of a language, then of those.
 
-The filters have 16 bits a fingerprint and `max_filter_bits` at most, which bounds what is broadcast; where more fingerprints are frequent
+Words are told apart by 64 bits of language and word, pairs by those of both, longer ones by 64 bits of the beginning and the last word's; `_words.py`
+states the odds of two sharing a fingerprint. The filters have 16 bits a fingerprint and `max_filter_bits` at most, which bounds what is broadcast; where more fingerprints are frequent
 than that holds apart, more rows are shuffled and the result is the same.
 """
 
@@ -52,25 +53,28 @@ class Settings:
     max_filter_bits: int = 1 << 28
 
 
+def _joined(prefix: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The fingerprint of a phrase, from those of its beginning and its last word."""
+    return _words.mix(prefix * np.uint64(0x9E3779B97F4A7C15) + last)
+
+
 class _Slice:
-    """Words of some documents, and which of them stand in one piece."""
+    """Words of some documents, their fingerprints (with the language), and which of them stand in one piece."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, langs: np.ndarray):
         self.words = _words.split(_PLAIN[data], offsets)
         self.data, self.doc = data, self.words.doc
-        self.hashes, self.lang = _words.fingerprints(self.words), langs[self.doc]
+        self.keys = _words.mix(_words.fingerprints(self.words) ^ langs[self.doc])
         self.piece = np.cumsum(_BREAK[data], dtype=np.int32)[self.words.start] if len(self.words.start) else np.zeros(0, np.int32)
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first words of all n-grams, and their fingerprints."""
-        m = len(self.hashes) - n + 1
-        if m <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        at = np.flatnonzero((self.piece[:m] == self.piece[n - 1 :]) & (self.doc[:m] == self.doc[n - 1 :]))
-        h = np.full(len(at), n, np.uint64)
-        for j in range(n):
-            h = _words.mix(h + self.hashes[at + j])
-        return at, _words.mix(h ^ self.lang[at])
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all n-grams, n > 1: the place of the first word, and the fingerprints of the beginning and of the last word."""
+        m = max(0, len(self.keys) - n + 1)
+        at = np.flatnonzero((self.piece[:m] == self.piece[n - 1 :]) & (self.doc[:m] == self.doc[n - 1 :])) if m else np.zeros(0, np.int64)
+        prefix = self.keys[at]
+        for j in range(1, n - 1):
+            prefix = _joined(prefix, self.keys[at + j])
+        return at, prefix, self.keys[at + n - 1]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Slice, list[str], np.ndarray]]:
@@ -85,29 +89,61 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Slice, list[st
         release()
 
 
-def _summed(keys: list[np.ndarray]) -> pa.RecordBatch:
-    key, n = np.unique(np.concatenate(keys), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
-
-
 def _counts(pick):
-    """Fingerprints and counts of what pick(slice) gives."""
+    """(prefix, last, n) of the (prefix, last) that pick(slice) gives."""
+
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        prefix, last = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, at, n = np.unique(_joined(prefix, last), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(prefix[at].view(np.int64)), pa.array(last[at].view(np.int64)), pa.array(n)], names=["prefix", "last", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for s, *_ in _slices(batches):
-            keys = pick(s)
-            held += keys
-            size += sum(map(len, keys))
+            for prefix, last in pick(s):
+                held.append((prefix, last))
+                size += len(prefix)
             if size > FLUSH:
-                yield _summed(held)
+                yield summed(held)
                 held, size = [], 0
         if held:
-            yield _summed(held)
+            yield summed(held)
 
     return run
 
 
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(prefix, last, n) with key, the phrase's own fingerprint."""
+    for b in batches:
+        key = _joined(b.column("prefix").to_numpy().view(np.uint64), b.column("last").to_numpy().view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], names=["key", "prefix", "last", "n"])
+
+
+def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, key, n) of all words."""
+    held: dict[int, list] = {}
+
+    def told() -> pa.RecordBatch:
+        rows = list(held.values())
+        key = pa.array(np.fromiter(held, np.uint64, len(held)).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()).cast(pa.string()), key, pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "key", "n"])
+
+    for s, names, number in _slices(batches):
+        text, w = _LOWER[s.data].tobytes(), s.words
+        key, first, count = np.unique(s.keys, return_index=True, return_counts=True)
+        for k, x, y, i, n in zip(key.tolist(), w.start[first].tolist(), w.end[first].tolist(), number[s.doc[first]].tolist(), count.tolist(), strict=True):
+            seen = held.get(k)
+            if seen is None:
+                held[k] = [names[i], text[x:y], n]
+            else:
+                seen[2] += n
+        if len(held) > FLUSH >> 2:
+            yield told()
+            held = {}
+    if held:
+        yield told()
+
+
 # --- filters ------------------------------------------------------------------------------------------------------------
 
 
@@ -160,77 +196,37 @@ class Filter:
         return hit
 
 
-def _both(filter_: Filter, most_words: int):
+def _pairs(words: Filter):
+    """Pairs of words in the filter."""
+
+    def pick(s: _Slice) -> list[tuple[np.ndarray, np.ndarray]]:
+        at, first, last = s.grams(2)
+        good = words(s.keys)
+        fits = good[at] & good[at + 1]
+        return [(first[fits], last[fits])]
+
+    return pick
+
+
+def _longer(pairs: Filter, most_words: int):
     """Grams of three words and more whose pairs are all in the filter."""
 
-    def pick(s: _Slice) -> list[np.ndarray]:
-        at, keys = s.grams(2)
-        good = np.zeros(len(s.hashes) + most_words, bool)
-        good[at[filter_(keys)]] = True
+    def pick(s: _Slice) -> list[tuple[np.ndarray, np.ndarray]]:
+        at, first, last = s.grams(2)
+        good = np.zeros(len(s.keys) + most_words, bool)
+        good[at[pairs(_joined(first, last))]] = True
         out = []
         for n in range(3, most_words + 1):
-            first, longer = s.grams(n)
-            fits = np.ones(len(first), bool)
+            at, prefix, last = s.grams(n)
+            fits = np.ones(len(at), bool)
             for j in range(n - 1):
-                fits &= good[first + j]
-            out.append(longer[fits])
+                fits &= good[at + j]
+            out.append((prefix[fits], last[fits]))
         return out
 
     return pick
 
 
-# --- phrases ------------------------------------------------------------------------------------------------------------
-
-
-def _phrases(filter_: Filter, most_words: int):
-    """(lang, phrase, words, n) of the grams in the filter, and (lang, null, 0, n) of all words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, size = {}, {}, 0
-        for s, names, number in _slices(batches):
-            text, w, of = _LOWER[s.data].tobytes(), s.words, number[s.doc]
-            for i, count in zip(*np.unique(of, return_counts=True), strict=True):
-                total[names[i]] = total.get(names[i], 0) + int(count)
-            for n in range(1, most_words + 1):
-                at, keys = s.grams(n)
-                hit = filter_(keys)
-                at, keys = at[hit], keys[hit]
-                for i in np.unique(of[at]) if len(at) else []:
-                    own = of[at] == i
-                    key, first, count = np.unique(keys[own], return_index=True, return_counts=True)
-                    place = at[own][first]
-                    parts = [text[x:y] for x, y in zip(w.start[place].tolist(), w.end[place + n - 1].tolist(), strict=True)]
-                    keep = held.setdefault((names[i], n), {})
-                    for k, p, c in zip(key.tolist(), parts, count.tolist(), strict=True):
-                        seen = keep.get(k)
-                        if seen is None:
-                            keep[k] = [b" ".join(p.split()) if n > 1 else p, c]
-                            size += 1
-                        else:
-                            seen[1] += c
-            if size > FLUSH >> 3:
-                yield _told(held, total)
-                held, total, size = {}, {}, 0
-        yield _told(held, total)
-
-    return run
-
-
-def _told(held: dict, total: dict) -> pa.RecordBatch:
-    lang, phrase, words, n = [], [], [], []
-    for (x, k), keep in held.items():
-        lang += [x] * len(keep)
-        words += [k] * len(keep)
-        phrase += [p for p, _ in keep.values()]
-        n += [c for _, c in keep.values()]
-    for x, count in total.items():
-        lang.append(x)
-        phrase.append(None)
-        words.append(0)
-        n.append(count)
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(words, pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "n"])
-
-
 def phrase_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """A stored table (lang, words, phrase, n): all phrases of 1 to `most_words` words that occur at least `least` times in a language; and, with 0 words and a null phrase, the language's word occurrences.
 
@@ -239,13 +235,25 @@ def phrase_counts(df: DataFrame, lang_col: str = "lang", text_col: str = "text",
     """
     s = settings
     rows = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counted = "key long, n long"
-    often = lambda pick, name: stash(rows.mapInArrow(tidy(_counts(pick)), counted).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= s.least).select("key"), name)
-    frequent = often(lambda x: [x.grams(1)[1], x.grams(2)[1]], "short")
-    if s.most_words > 2:
-        frequent = frequent.unionByName(often(_both(Filter(frequent, s.max_filter_bits), s.most_words), "long"))
-    told = rows.mapInArrow(tidy(_phrases(Filter(frequent, s.max_filter_bits), s.most_words)), "lang string, phrase string, words int, n long")
-    return stash(told.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("words") == 0) | (F.col("n") >= s.least)), "phrases")
+    words = rows.mapInArrow(tidy(_all_words), "lang string, word string, key long, n long").groupBy("lang", "word", "key").agg(F.sum("n").alias("n"))
+    words = stash(words, "words")
+    totals = words.groupBy("lang").agg(F.lit(0).alias("words"), F.lit(None).cast("string").alias("phrase"), F.sum("n").alias("n"))
+    words = stash(words.where(F.col("n") >= s.least), "often")
+
+    def often(pick, name: str) -> DataFrame:
+        found = rows.mapInArrow(tidy(_counts(pick)), "prefix long, last long, n long").groupBy("prefix", "last").agg(F.sum("n").alias("n")).where(F.col("n") >= s.least)
+        return stash(found.mapInArrow(tidy(_named), "key long, prefix long, last long, n long"), name)
+
+    pairs = often(_pairs(Filter(words, s.max_filter_bits)), "pairs")
+    longer = often(_longer(Filter(pairs, s.max_filter_bits), s.most_words), "longer") if s.most_words > 2 else None
+    last = words.select(F.col("key").alias("last"), "word")
+    known, out = words.select(F.col("key").alias("prefix"), "lang", F.col("word").alias("phrase")), words.select("lang", F.lit(1).alias("words"), F.col("word").alias("phrase"), "n")
+    for k in range(2, s.most_words + 1):
+        level = (pairs if k == 2 else longer).join(known, "prefix").join(last, "last").select("key", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "n")
+        level = stash(level, "told")
+        known = level.select(F.col("key").alias("prefix"), "lang", "phrase")
+        out = out.unionByName(level.select("lang", F.lit(k).alias("words"), "phrase", "n"))
+    return stash(out.unionByName(totals.where("n > 0")), "phrases")
 
 
 def _part(at: str, n: str) -> Column:
