@@ -1,12 +1,14 @@
 """Full-text search in the web style: words are all required, `or` separates alternatives, `-` excludes, quotes ask for a phrase.
 
-Words are lower-case runs of letters, unstemmed; scores are sums of log(1 + tf) of the wanted words. Many questions are searched at once
-by an inverted join on each alternative's rarest wanted word.
+Words are lower-case runs of letters, as they are or as English stems without stop words; scores are sums of log(1 + tf) of the
+wanted words, or a positional rank. Many questions are searched at once
+by an inverted index (operators/postings.py).
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import groupby
@@ -17,6 +19,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions.joins import small
+from tessera.functions.stemming import STOP_WORDS, stem
+from tessera.operators import postings as P
+from tessera.sources.scratch import stash
 
 
 @dataclass
@@ -60,43 +65,64 @@ def web_search(documents: DataFrame, query: str, k: int | None = 20) -> DataFram
 _ALTERNATIVES = "array<struct<words: array<string>, phrases: array<string>, unwanted: array<string>>>"
 
 
-def parsed(questions: DataFrame) -> DataFrame:
-    """(qid, alt, words, phrases, unwanted, all_words): the alternatives of questions (qid, text) that want a word. Phrases of two words or more and unwanted ones are joined by spaces; all_words: of all alternatives."""
+def parsed(questions: DataFrame, form: Callable[[str], str | None] | None = None) -> DataFrame:
+    """(qid, alt, words, phrases, unwanted): the alternatives of questions (qid, text) that want a word. Phrases of two words or more and unwanted ones are joined by spaces.
+
+    form: what a word counts as; one that counts as nothing (null) is neither wanted nor excluded, and an empty word holds its place in a phrase.
+    """
+    of = lambda p: [(form(w) if form else w) or "" for w in p]
 
     @F.pandas_udf(_ALTERNATIVES)
     def alternatives(texts: pd.Series) -> pd.Series:
-        each = lambda a: {"words": list(dict.fromkeys(w for p in a.wanted for w in p)), "phrases": [" ".join(p) for p in a.wanted if len(p) > 1], "unwanted": [" ".join(p) for p in a.unwanted]}
+        def each(a: Alternative) -> dict:
+            wanted, unwanted = ([p for p in map(of, ps) if any(p)] for ps in (a.wanted, a.unwanted))
+            return {"words": list(dict.fromkeys(w for p in wanted for w in p if w)), "phrases": [" ".join(p) for p in wanted if len(p) > 1], "unwanted": [" ".join(p) for p in unwanted]}
+
         return texts.map(lambda t: [each(a) for a in web_query(t or "")])
 
-    rows = questions.select("qid", alternatives("text").alias("alts"))
-    every = F.array_distinct(F.flatten(F.transform("alts", lambda a: a["words"])))
-    rows = rows.select("qid", every.alias("all_words"), F.posexplode("alts").alias("alt", "a")).select("qid", "alt", "a.*", "all_words")
+    rows = questions.select("qid", F.posexplode(alternatives("text")).alias("alt", "a")).select("qid", "alt", "a.*")
     return rows.where(F.size("words") > 0)
 
 
 def matching(documents: DataFrame, questions: DataFrame) -> DataFrame:
     """(qid, id, score) of all documents (id, text) that fit one of a question's alternatives, for many questions (qid, text) at once.
 
-    Documents meet an alternative under its rarest wanted word alone, so what is joined grows with that word's documents; the rest is
-    checked on those. An alternative that only excludes fits nothing here.
+    Texts are read once, for the postings of asked words; what is joined grows with the documents of each alternative's rarest word.
+    An alternative that only excludes fits nothing here.
     """
-    asked = parsed(questions)
-    terms = asked.select("qid", "alt", F.explode("words").alias("term"))
-    held = documents.select("id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    count = held.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    rarest = terms.join(count, "term", "left").groupBy("qid", "alt").agg(F.min_by("term", F.struct(F.coalesce("n", F.lit(0)), "term")).alias("term"))
-    found = held.join(small(rarest), "term").select("qid", "alt", "id")
-    few = documents.join(small(found.select("id").distinct()), "id", "left_semi").select("id", T.tokens(F.col("text")).alias("held"))
-    rows = found.join(asked, ["qid", "alt"]).join(few, "id").where(F.size(F.array_except("words", "held")) == 0)
-    line = F.concat(F.lit(" "), F.array_join("held", " "), F.lit(" "))
-    has = lambda p: F.contains(line, F.concat(F.lit(" "), p, F.lit(" ")))
-    rows = rows.where(F.forall("phrases", has) & ~F.exists("unwanted", has))
-    times = lambda w: F.size(F.filter("held", lambda t: t == w))
-    score = F.aggregate("all_words", F.lit(0.0), lambda total, w: total + F.log1p(times(w)))
-    return rows.groupBy("qid", "id").agg(F.max(F.round(score, 9)).alias("score"))
+    return P.match_documents(documents, parsed(questions))
 
 
 def best_matches(documents: DataFrame, questions: DataFrame, k: int = 20) -> DataFrame:
     """(qid, id, score, rank): the k best of matching(), ties to the least id."""
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))
     return matching(documents, questions).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def english(word: str) -> str | None:
+    """What an English word counts as: its stem, and nothing if it is a stop word."""
+    return None if word in _STOP else stem(word)
+
+
+_STOP = frozenset(STOP_WORDS)
+
+
+def english_forms(documents: DataFrame) -> DataFrame:
+    """(word, term) of all distinct words of documents (text); each is stemmed once, however often it occurs."""
+    words = documents.select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", F.pandas_udf(lambda w: w.map(english), "string")("word").alias("term"))
+
+
+def ranked_search(documents: DataFrame, questions: DataFrame, in_english: bool = False, k: int | None = None) -> DataFrame:
+    """(qid, id, rank[, place]): what fits questions (qid, text) in documents (id, text), by the positional rank; the k best with their place, ties to the least id, or all with k None. in_english: by stems, without stop words."""
+    asked = P.Asked.of(parsed(questions, english if in_english else None))
+    forms = None
+    if in_english:
+        forms = english_forms(documents).join(small(asked.terms, asked.few), "term", "left_semi").select("word", "term")
+        forms = stash(forms, "forms")
+    held = P.postings_for(documents, asked, places=True, forms=forms)
+    out = P.ranked(P.fitting(held, asked), held, asked).withColumn("rank", F.round("rank", 9))
+    if k is None:
+        return out
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rank").desc(), "id"))
+    return out.withColumn("place", place).where(F.col("place") <= k)

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import layout as L
+from tessera.operators import postings as P
 from tessera.operators import retrieval as R
 from tessera.operators import search as S
 from tessera.plans.registry import query
+from tessera.sources.scratch import new_path
 from tessera.sources.vault import DOCS_SQL, VECTORS_SQL, Vault, table
 
 _TOKENS = r"regexp_extract_all(lower(text), '(\p{L}+)', 1)"
@@ -265,6 +267,39 @@ def websearch_batch(spark, d):
     return S.matching(Vault(spark, d).searchable(), questions).select("qid", "id", F.round("score", 6).alias("score"))
 
 
+@query(_HYBRID_SQL + " SELECT qid, id, round(score, 6) AS score, rank FROM lex JOIN lexs USING (qid, id)", rank="rank")
+def index_topk(spark, d):
+    """The twenty best documents of every question by a stored index, blocks that cannot hold one left out."""
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    index = P.build_index(Vault(spark, d).searchable(), new_path(spark, "index"))
+    return P.top_matches(index, S.parsed(questions), R.LEG).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_CLOSE = "CASE WHEN abs(x.pos - y.pos) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(x.pos - y.pos) / 1.5::DOUBLE - 2)) END"
+
+
+@query(
+    _HYBRID_SQL
+    + f""", pos AS (SELECT id, term, pos FROM (SELECT id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM (SELECT id, {_TOKENS} AS ts FROM docs)) SEMI JOIN terms USING (term)),
+kind AS (SELECT qid, count(DISTINCT alt) = 1 AND count(DISTINCT term) > 1 AS together, count(DISTINCT term) AS n FROM need GROUP BY qid),
+fp AS (SELECT f.qid, f.id, p.term, p.pos, together, n FROM fit f JOIN kind USING (qid) JOIN terms t ON t.qid = f.qid JOIN pos p ON p.id = f.id AND p.term = t.term),
+near AS (SELECT x.qid, x.id, 1 - exp(sum(ln(1 - 0.1::DOUBLE * sqrt({_CLOSE})))) AS rank FROM fp x JOIN fp y ON x.qid = y.qid AND x.id = y.id AND x.term < y.term WHERE x.together GROUP BY x.qid, x.id),
+single AS (SELECT qid, id, sum(0.1::DOUBLE / 1.64493406685 / n / (nth * nth)) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, id, term ORDER BY pos) AS nth FROM fp WHERE NOT together) GROUP BY qid, id)
+SELECT qid, id, round(rank, 6) AS rank FROM (FROM near UNION ALL FROM single)"""
+)
+def fts_ranked(spark, d):
+    """What fits each question, by how close its words stand."""
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return S.ranked_search(Vault(spark, d).searchable(), questions).select("qid", "id", F.round("rank", 6).alias("rank"))
+
+
+@query()
+def fts_english(spark, d):
+    """The twenty best documents of each question by English stems, without stop words."""
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return S.ranked_search(Vault(spark, d).searchable(), questions, True, R.LEG).select("qid", "id", F.round("rank", 6).alias("rank"), "place")
+
+
 @query(f"SELECT x.id AS chunk, round(len(list_filter(['with', 'from', 'that', 'the'], lambda t: list_contains({_TOKENS}, t))) / 4.0::DOUBLE, 6) AS relevance, user_id FROM {DOCS_SQL} x WHERE status = 'ready' AND relevance >= 0.2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY relevance DESC, x.id) <= 5")
 def document_scoped(spark, d):
     """Within each source alone, its five most relevant rows above the floor."""
