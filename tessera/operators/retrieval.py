@@ -18,7 +18,7 @@ LEG, FUSED, FINAL, PER_DOCUMENT, FLOOR = 20, 10, 5, 3, 0.2
 QUERY_BLOCK, CORPUS_BLOCK = 2048, 1 << 16  # questions whose vectors a task holds at once; vectors that a block of the grid meets
 
 
-class _Best:
+class Best:
     """The k nearest of a block of questions among the vectors seen so far; ties go to the least id."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str):
@@ -32,6 +32,10 @@ class _Best:
 
     def see(self, cid: np.ndarray, x: np.ndarray) -> None:
         d = 1 - self.unit @ (x / self._length(x)).T if self.metric == "cosine" else np.sqrt(np.maximum(0, (self.q * self.q).sum(1)[:, None] + (x * x).sum(1) - 2 * self.q @ x.T))
+        self.keep(cid, d)
+
+    def keep(self, cid: np.ndarray, d: np.ndarray) -> None:
+        """Take vectors cid at distances d, a row a question."""
         d = np.round(d, 9)
         cut = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] if d.shape[1] > self.k else np.inf
         q, c = np.nonzero(d <= cut)
@@ -50,7 +54,7 @@ class _Best:
 
 def _in_one_block(ids: np.ndarray, q: np.ndarray, k: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(ids, q, k, metric)
+        best = Best(ids, q, k, metric)
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 c = b.slice(at, 2048)
@@ -80,7 +84,7 @@ def _in_grid(k: int, metric: str):
                     asked.append((ids, x))
                     continue
                 if best is None and asked:
-                    best = _Best(np.concatenate([i for i, _ in asked]), np.concatenate([v for _, v in asked]), k, metric)
+                    best = Best(np.concatenate([i for i, _ in asked]), np.concatenate([v for _, v in asked]), k, metric)
                 for at in range(0, len(ids) if best is not None else 0, 2048):
                     best.see(ids[at : at + 2048], x[at : at + 2048])
         if best is not None:

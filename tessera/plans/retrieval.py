@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import vectors as V
+from tessera.operators import ann
 from tessera.operators import layout as L
 from tessera.operators import postings as P
 from tessera.operators import retrieval as R
@@ -65,6 +66,14 @@ def vector_by_provider(spark, d):
     return R.nearest(own, _asked(spark, d), 20).select("qid", "id", "rank")
 
 
+@query()
+def vector_topk_ann(spark, d):
+    """vector_topk_batch() by the approximate index; tests measure how many of its rows are found."""
+    v = Vault(spark, d).vectors()
+    index = ann.build_index(v, new_path(spark, "vectors"))
+    return index.search(v, _asked(spark, d), 20).select("qid", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
 def _tf(term: str) -> str:
     return f"len(list_filter({_TOKENS}, lambda t: t = '{term}'))"
 
