@@ -9,7 +9,7 @@ words that have a letter.
 
 The classifier is fitted on the driver on a bounded sample of labelled rows: per language about `sample_docs` distinct texts (by
 hash), of each three runs of `sample_run` words and at most `sample_bytes` bytes; some are joined to runs of another language, since
-real texts switch. At most MAX_LABELS languages can be learned.
+real texts switch. The `languages` languages with most texts are learned (a setting that bounds the model); rows of others teach nothing.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ UNKNOWN = "und"
 GRAM_BITS, LEXICON_BITS = 15, 17
 TEMPLATES = 5  # one, two and three bytes at each letter; affixes of four bytes at a word's ends
 FEATURES = TEMPLATES * (1 << GRAM_BITS) + (1 << LEXICON_BITS)
-MAX_LABELS = 200
 PART_BYTES = 1 << 18
 
 _LETTER = np.zeros(256, bool)
@@ -44,6 +43,7 @@ _ANY_LETTER = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class Settings:
+    languages: int = 200
     sample_docs: int = 500
     sample_run: int = 48
     sample_bytes: int = 1 << 16
@@ -166,14 +166,14 @@ def held_out(doc_id: Column, fold: int = 2, folds: int = 4) -> Column:
 
 
 def train(rows: DataFrame, s: Settings) -> Tagger:
-    """From the columns text and lang of rows; rows without a language or a word teach nothing. More than MAX_LABELS languages are an error."""
+    """From the columns text and lang of rows; rows without a language or a word teach nothing, nor do those of languages beyond the `languages` with most texts (ties by name)."""
     known = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     hashed = known.select("lang", "text", F.xxhash64("text").alias("h"))
     # per language the hash below which about sample_docs distinct texts lie, by counts of 1024 parts of the hashes
     part = F.shiftrightunsigned("h", 54)
     counts = stash(hashed.groupBy("lang", part.alias("part"), "h").agg(F.lit(1).alias("one")).groupBy("lang", "part").agg(F.count("*").alias("n")), "parts")
-    if counts.select("lang").distinct().limit(MAX_LABELS + 1).count() > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} languages")
+    learned = counts.groupBy("lang").agg(F.sum("n").alias("texts")).orderBy(F.col("texts").desc(), "lang").limit(s.languages)
+    counts = counts.join(F.broadcast(learned.select("lang")), "lang")
     parts: dict[str, list[tuple[int, int]]] = {}
     for r in counts.collect():  # at most 1024 rows a language
         parts.setdefault(r["lang"], []).append((r["part"], r["n"]))
@@ -336,8 +336,8 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """One row per row of df: doc_id, held_out, lang_pred, score, n_words, switches.
 
     Learns only from text and language of rows that held_out() leaves; predictions see the text alone. If no row teaches a
-    language, all texts are `und`; with a single language it is that one wherever there is a letter. More than MAX_LABELS
-    languages are a ValueError. An empty table gives an empty result; repeated rows are predicted each.
+    language, all texts are `und`; with a single language it is that one wherever there is a letter. Of more than
+    `languages` languages those with most texts are learned. An empty table gives an empty result; repeated rows are predicted each.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     tagger = train(rows.where(~held_out(F.col("doc_id"))).select("text", "lang"), settings)

@@ -189,16 +189,17 @@ def mixed_order(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 
 def mixed_layout(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", settings: Settings = Settings(), partition_rows: int = 1 << 14) -> DataFrame:  # noqa: B008
-    """All rows and columns of df, laid out along the mix in one shuffle: each partition holds a range of its slots, in order.
+    """All rows and columns of df, laid out along the mix in one shuffle: each partition holds one range of its slots, in order, and partitions follow each other.
 
     Whole buckets are dealt to partitions of about `partition_rows` rows by the slot where they begin, so at a range's end rows may
-    stand one bucket (about BUCKET_ROWS rows of their stream) from where mixed_order() has them.
+    stand one bucket (about BUCKET_ROWS rows of their stream) from where mixed_order() has them. Null sources and texts, repeated rows
+    and empty tables are as mix() says; no column is added, so none can clash.
     """
     p = _planned(df, F.struct(*[F.col(f"`{c}`") for c in df.columns]), id_col, text_col, source_col, settings)
     starts = _slotted(p.buckets.withColumn("start", F.col("before")), p, settings).select("stream", "bucket", "before", F.col("slot").alias("first_slot"))
     n, last = p.rows.count(), starts.agg(F.max("first_slot")).first()[0] or 0
     parts = max(1, min(1 << 15, n // partition_rows))
     starts = stash(starts.select("stream", "bucket", "before", F.expr(f"first_slot * {parts} div {last + 1}").cast("int").alias("range")), "ranges")
-    rows = p.rows.join(F.broadcast(starts), ["stream", "bucket"]).repartition(parts, "range")
+    rows = p.rows.join(F.broadcast(starts), ["stream", "bucket"]).repartitionById(parts, F.col("range"))
     rows = _slotted(_started(rows, ["range", "stream", "bucket"]), p, settings)
     return rows.sortWithinPartitions("range", "slot", "start", "h").select("kept.*")

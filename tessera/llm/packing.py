@@ -5,7 +5,7 @@ shards of about `shard_pieces` pieces, however many partitions they come from; i
 the tightest open sequence, which a segment tree over the remaining capacities finds in log2(capacity) steps. Each shard can leave
 a few sequences part-filled, so `shard_pieces` trades memory against those.
 
-Along a mix (pack_along()), shards are ranges of its slots, and in a shard best-fit decreasing goes over one window of neighbouring
+Along a mix (pack_along()), shards are neighbours in it, and in a shard best-fit decreasing goes over one window of neighbouring
 pieces after another: a piece shares a sequence only with its window. Sequences are numbered in the order of their longest pieces
 in the mix, so a prefix of the sequences is a prefix of the mix, within a window.
 """
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.ordering import numbered
 from tessera.llm import _tokens, mixing
 from tessera.llm._io import fresh, stash, tidy
 
@@ -28,7 +29,6 @@ CAPACITY = 2048
 END_ID = 0
 WINDOW_PIECES = 4096
 RUN_PIECES = 1 << 12
-RANGES = 32  # ranges of slots a shard, whose counts come to the driver
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,25 +164,20 @@ def fill_along(lengths: np.ndarray, capacity: int, window: int) -> tuple[np.ndar
 def pack_along(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = 1 << 16, window: int = WINDOW_PIECES) -> DataFrame:
     """pieces (with columns slot, at and length, any others kept but slot and at) with sequence_id and offset; sequence_id follows the order of slot and at.
 
-    Columns sequence_id and offset of pieces are replaced.
+    Pieces are numbered along that order in two levels, and every shard has as many neighbours, so a slot with most of the pieces
+    is cut like any others. Null slots come first; ties stand by id and piece. Without pieces there is no row. Columns sequence_id and
+    offset of pieces are replaced.
     """
-    n, last = pieces.agg(F.count("*"), F.max("slot")).first()
-    shards = max(1, -(-n // shard_pieces))
-    span = -(-((last or 0) + 1) // (shards * RANGES))
-    counts = sorted(pieces.groupBy(F.expr(f"slot div {span}").alias("r")).count().collect()) if shards > 1 else []
-    shard_of, before = [], 0
-    for r, c in counts:
-        shard_of.append((r, before * shards // n))
-        before += c
-    shard, range_ = fresh(pieces, "shard"), fresh(pieces, "range")
-    rows = pieces.withColumn(range_, F.expr(f"slot div {span}"))
-    # RANGES rows a shard
-    rows = rows.join(F.broadcast(pieces.sparkSession.createDataFrame(shard_of, f"`{range_}` long, `{shard}` long")), range_) if shards > 1 else rows.withColumn(shard, F.lit(0).cast("long"))
+    n = pieces.count()
+    per = max(1, -(-n // max(1, -(-n // shard_pieces))))
     kept = [c for c in pieces.columns if c not in ("slot", "at", "sequence_id", "offset")]
-    order = ["slot", "at", *[c for c in ("ids_crc32", "piece") if c in kept]]
+    order = ["slot", "at", *[c for c in ("ids_crc32", "piece", "doc_id") if c in kept]]
+    nth, shard = fresh(pieces, "nth"), fresh(pieces, "shard")
+    rows = numbered(pieces, [], [F.col(c) for c in order], nth, [F.col(f"`{c}`") for c in kept])
+    rows = rows.withColumn(shard, F.floor((F.col(nth) - 1) / per))
 
     def fill(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = own.sort_values(order).index.to_numpy()
+        at = own[nth].to_numpy().argsort()
         return at, *fill_along(own["length"].to_numpy()[at], capacity, window)
 
     return _filled(rows, shard, kept, fill)

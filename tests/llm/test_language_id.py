@@ -126,12 +126,10 @@ def test_long_words_teach_their_ends(spark):
     assert [tagger.labels[x] for g in L._judged(tagger, pa.array(["k" * 66 + "mola", "k" * 66 + "ridu"])) for x in g.best] == ["mola", "ridu"]
 
 
-def test_too_many_languages_are_an_error(spark):
-    import pytest
-
-    rows = [(i, "some words", f"l{i}") for i in range(2 * L.MAX_LABELS)]
-    with pytest.raises(ValueError):
-        L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+def test_languages_beyond_the_limit_teach_nothing(spark):
+    rows = [(100 * i + j, f"some words {j} of {'abcdefgh'[i] * 5}", f"l{i}") for i in range(6) for j in range(10 + 10 * (i in (1, 4)))]
+    found = {r["lang_pred"] for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), settings=L.Settings(languages=2)).collect()}
+    assert found == {"l1", "l4"}
 
 
 def test_clashing_columns(spark, awkward):

@@ -187,3 +187,16 @@ def test_awkward_rows_along_the_mix(awkward, empty):
     key = lambda r: str((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]))
     assert sorted(map(key, rows)) == sorted(map(key, plain))
     assert P.pack_mixed(empty, s).count() == 0
+
+
+def test_a_slot_with_nearly_all_pieces_is_cut_like_any_other(spark):
+    rows = spark.range(60_000).selectExpr("id AS doc_id", "cast(0 AS int) AS piece", "0L AS start", "id % 700 + 1 AS length", "id % 97 AS ids_crc32", "CASE WHEN id < 59901 THEN 7L WHEN id = 59950 THEN NULL ELSE id END AS slot", "0L AS at", "'k' AS _nth")
+    out = P.pack_along(rows, 2048, 5000, 1024)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "_nth", "sequence_id", "offset"]
+    sizes = {r["shard"]: r["count"] for r in out.selectExpr("sequence_id >> 32 AS shard").groupBy("shard").count().collect()}
+    assert sizes == dict.fromkeys(range(12), 5000)
+    full = out.groupBy("sequence_id").agg({"length": "sum"}).collect()
+    assert max(r[1] for r in full) <= 2048 and len(full) <= -(-sum(r[1] for r in full) // 2048) + 12 * 5
+    last = out.where("doc_id >= 59901 AND doc_id <> 59950").selectExpr("min(sequence_id >> 32)").first()[0]
+    assert last == 11 and out.where("doc_id = 59950").first()["sequence_id"] >> 32 == 0
+    assert P.pack_along(rows.limit(0)).count() == 0
