@@ -13,7 +13,7 @@ from tessera.functions import scalars
 from tessera.functions.vectors import matrix
 
 EXPLICIT_WEIGHT, RENDER_FLOOR, RECLUSTER_AT = 5.0, 1.5, 10
-MOST_CHUNKS = 1000
+PAIR_BLOCK = 1000  # chunks of a turn on one side of a block of pairs, about
 
 
 def centroids(rows: DataFrame, key: str) -> DataFrame:
@@ -101,12 +101,15 @@ def project_3d(rows: DataFrame) -> DataFrame:
 def co_retrieval(retrieved: DataFrame) -> DataFrame:
     """(a, b, weight, turns, last): pairs of chunks that a turn retrieved together; retrieved: (turn, chunk, ts).
 
-    A turn retrieves at most MOST_CHUNKS chunks, which its array holds; one with more breaks the contract of retrieval and is an error.
+    Chunks meet in blocks of about PAIR_BLOCK by PAIR_BLOCK, one for nearly every turn; a turn with more is a grid of them, over as many tasks.
     """
-    r = retrieved.groupBy("turn").agg(F.collect_set("chunk").alias("chunks"), F.max("ts").alias("ts"))
-    checked = F.when(F.size("chunks") <= MOST_CHUNKS, F.array_sort("chunks")).otherwise(F.raise_error(F.lit(f"a turn with more than {MOST_CHUNKS} chunks")).cast(r.schema["chunks"].dataType))
-    first = r.select("ts", checked.alias("chunks")).select("ts", "chunks", F.posexplode("chunks").alias("i", "a"))
-    pairs = first.select("ts", "a", F.explode(F.slice("chunks", F.col("i") + 2, F.size("chunks"))).alias("b"))
+    rows = retrieved.groupBy("turn", "chunk").agg(F.max("ts").alias("ts"))
+    turns = rows.groupBy("turn").agg(F.max("ts").alias("ts"), F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    rows = rows.select("turn", "chunk").join(turns, "turn").withColumn("own", F.pmod(F.xxhash64("chunk"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rows.select("turn", F.col("own").alias("i"), every.alias("j"), "ts", F.col("chunk").alias("a"))
+    right = rows.select("turn", every.alias("i"), F.col("own").alias("j"), F.col("chunk").alias("b"))
+    pairs = left.join(right, ["turn", "i", "j"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"), F.count("*").alias("turns"), F.max("ts").alias("last"))
 
 

@@ -4,7 +4,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
@@ -83,10 +82,14 @@ def test_clusters_of_documents(spark):
     assert {r["id"] for r in again.collect()} == set(range(12))
 
 
-def test_a_turn_with_too_many_chunks_is_an_error(spark):
-    turns = spark.range(G.MOST_CHUNKS + 1).selectExpr("1 AS turn", "id AS chunk", "now() AS ts")
-    with pytest.raises(Exception, match="a turn with more than"):
-        G.co_retrieval(turns).collect()
+def test_a_turn_with_many_chunks_gives_all_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(G, "PAIR_BLOCK", 100)
+    turns = spark.range(1001).selectExpr("1 AS turn", "id AS chunk", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts")
+    turns = turns.union(turns.limit(3)).union(spark.sql("SELECT 2, 5L, timestamp'2025-01-01' UNION ALL SELECT 2, 7L, timestamp'2025-01-02' UNION ALL SELECT 3, 5L, timestamp'2026-01-01'"))
+    edges = G.co_retrieval(turns)
+    assert edges.count() == 1001 * 1000 // 2 and edges.where("a < b AND turns = 1 AND last = timestamp'2024-01-01 00:16:40'").count() == 1001 * 1000 // 2 - 1
+    one = edges.where("a = 5 AND b = 7").first()
+    assert (one["weight"], one["turns"], str(one["last"])) == (2.0, 2, "2025-01-02 00:00:00")
 
 
 def test_what_names_nothing_is_a_bare_request(spark):
