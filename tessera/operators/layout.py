@@ -191,31 +191,36 @@ def active_regions(regions: DataFrame, documents: DataFrame) -> DataFrame:
     return both.where(F.col("generation").eqNullSafe(F.col("active"))).drop("active")
 
 
-#: What a text may be cut after, from the weakest: white space, a line, a sentence, a paragraph. Matches may overlap.
-BREAKS = [re.compile(x) for x in (r"(?=(\s))", r"(?=(\n))", r"(?=([.!?][ \n]))", r"(?=(\n\n))")]
+SPACES = np.array([chr(i).isspace() for i in range(0x3001)])  # no white space lies beyond
 
 
-def _breaks(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """All places where text may be cut, in order, and the strength of each."""
-    strength = np.full(len(text) + 1, -1, np.int8)
-    for k, pattern in enumerate(BREAKS):
-        strength[[m.end(1) for m in pattern.finditer(text)]] = k
-    at = np.flatnonzero(strength >= 0)
-    return at, strength[at]
+def _breaks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All places where text may be cut, in order, the strength of each, and where words begin.
+
+    Strengths: 0 after white space, 1 after a line, 2 after a sentence (its mark and the space or line end that follows), 3 after a paragraph.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    space, line = SPACES[np.minimum(codes, len(SPACES) - 1)], codes == 10
+    space &= codes < len(SPACES)
+    strength = np.where(line, 1, np.where(space, 0, -1)).astype(np.int8)
+    mark = (codes == 46) | (codes == 33) | (codes == 63)
+    strength[1:][mark[:-1] & (line | (codes == 32))[1:]] = 2
+    strength[1:][line[:-1] & line[1:]] = 3
+    at = np.flatnonzero(strength >= 0) + 1
+    return at, strength[at - 1], at[~np.append(space, False)[at]]
 
 
 def cut_text(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
     """(offset, piece): pieces of at most `size` characters of the text without outer white space; blank ones drop out, and offsets are places in the whole text.
 
     A piece ends at the strongest break in the last LOOK_BACK of its window, the last of equals: a paragraph's end, a sentence's, a
-    line's, white space; without any, at its window's end. The next piece begins `overlap` before that end, or, inside a word, at
+    line's, white space; without any, at its window's end. A break counts where all of it lies in that last part. The next piece begins `overlap` before that end, or, inside a word, at
     the next word, but never past that end, nor before the place where the last piece began.
     """
     text = text or ""
     lead = len(text) - len(text.lstrip())
     text = text.strip()
-    at, strength = _breaks(text) if len(text) > size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    starts = np.array([i for i in at.tolist() if i == len(text) or not text[i].isspace()], np.int64)  # where words begin
+    at, strength, starts = _breaks(text) if len(text) > size else (np.zeros(0, np.int64),) * 3
     pieces, begin = [], 0
     while begin < len(text):
         end = min(begin + size, len(text))
@@ -223,7 +228,10 @@ def cut_text(text: str | None, size: int = CHUNK, overlap: int = OVERLAP) -> lis
             earliest = max(begin + 1, end - max(1, int(size * LOOK_BACK)))
             lo, hi = np.searchsorted(at, earliest, "right"), np.searchsorted(at, end, "right")
             if lo < hi:
-                end = int(at[lo:hi][np.flatnonzero(strength[lo:hi] == strength[lo:hi].max())[-1]])
+                held = strength[lo:hi].copy()
+                if at[lo] == earliest + 1:  # of two characters one would lie before the window
+                    held[0] = min(held[0], text[earliest] == "\n")
+                end = int(at[lo:hi][np.flatnonzero(held == held.max())[-1]])
         pieces.append((lead + begin, text[begin:end]))
         if end == len(text):
             break

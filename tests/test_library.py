@@ -21,8 +21,8 @@ def _plain_chunks(text, size, overlap):
         end = min(begin + size, len(text))
         if end < len(text):
             low = max(begin + 1, end - max(1, int(size * 0.2)))
-            for ends in (lambda i: text[i - 2 : i] == "\n\n", lambda i: text[i - 2] in ".!?" and text[i - 1] in " \n", lambda i: text[i - 1] == "\n", lambda i: text[i - 1].isspace()):
-                places = [i for i in range(low + 1, end + 1) if i >= 2 and ends(i)]
+            for width, ends in ((2, lambda x: x == "\n\n"), (2, lambda x: x[0] in ".!?" and x[1] in " \n"), (1, lambda x: x == "\n"), (1, str.isspace)):
+                places = [i + width for i in range(low, end - width + 1) if ends(text[i : i + width])]
                 if places:
                     end = places[-1]
                     break
@@ -46,6 +46,14 @@ def test_chunks_against_the_plain_rule():
         assert [p for _, p in L.cut_text(text, size, overlap)] == _plain_chunks(text, size, overlap), (text, size, overlap)
 
 
+def test_a_break_that_begins_before_the_look_back_does_not_count():
+    a, b, c = "a" * 799, "b" * 99, "c" * 400
+    assert [(i, len(p)) for i, p in L.cut_text(f"{a}\n\n{b}. {c}")][0] == (0, 901)  # up to the sentence's end
+    assert [(i, len(p)) for i, p in L.cut_text(f"{a}x\n\n{b}. {c}")][0] == (0, 800)  # the blank line lies in the window
+    assert L.cut_text("z" * 799 + ". " + "z" * 400)[0] == (0, "z" * 799 + ".")  # of the sentence's end only the space counts, at the same place
+    assert [p for _, p in L.cut_text("word\u2028next\u3000last " * 3, 11, 0)][0] == "word\u2028next"
+
+
 def test_query_of_chunks(spark, sf):
     """chunk_text against the plain rule, on all documents."""
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
