@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.functions.vectors import matrix
+from tessera.sources.scratch import stash
 
 EXPLICIT_WEIGHT, RENDER_FLOOR, RECLUSTER_AT = 5.0, 1.5, 10
 PAIR_BLOCK = 1000  # chunks of a turn on one side of a block of pairs, about
@@ -53,28 +54,129 @@ def _labels(centres: np.ndarray):
     return run
 
 
-def kmeans(rows: DataFrame, k: int, iterations: int = 100) -> DataFrame:
-    """(id, cluster, distance) by Lloyd's steps from the k least ids; an empty cluster keeps its centre; stops when nothing moves.
+def draw_number(step: Column, seed: int = 0) -> Column:
+    """A number in (0, 1) of each id for a step of a seeded draw: 48 bits of a digest, so it is the same wherever the row is read."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), step, F.col("id").cast("string"))), 1, 12), 16, 10)
+    return (bits.cast("double") + 1) / F.lit(float(2**48 + 1))
 
-    Tasks send one sum a cluster; the driver holds the k centres.
+
+def _far(ids: np.ndarray, centres: np.ndarray, most: int):
+    """Of a task's rows (id, embedding, u) the `most` least keys -ln(u) / d, d the squared distance to the nearest centre: a draw weighted by d. Drawn ids do not come again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for b in filter(len, batches):
+            keys = -np.log(b.column(2).to_numpy(zero_copy_only=False))
+            if len(centres):
+                x = matrix(b.column(1))
+                own = (x * x).sum(1)
+                d = np.maximum(0, own[:, None] + (centres * centres).sum(1) - 2 * x @ centres.T).min(1)
+                with np.errstate(divide="ignore"):
+                    keys = np.where(d > 1e-12 * np.maximum(own, 1e-300), keys / d, np.inf)  # at a centre: last, by id
+            rows = b.select([0, 1]).append_column("key", pa.array(keys)).filter(pa.array(~np.isin(b.column(0).to_numpy(), ids)))
+            rows = pa.Table.from_batches([rows] if best is None else [*best.to_batches(), rows])
+            best = rows.sort_by([("key", "ascending"), (rows.column_names[0], "ascending")]).slice(0, most).combine_chunks()
+        if best is not None:
+            yield from best.rename_columns(["id", "embedding", "key"]).to_batches()
+
+    return run
+
+
+def seeds(rows: DataFrame, k: int, rounds: int = 0, seed: int = 0) -> np.ndarray:
+    """k-means++ centres (fewer where there are fewer rows with a vector), the same draw at any partitioning.
+
+    Each is drawn with a chance by its squared distance to the nearest one drawn before, as the row of least -ln(u) / d. rounds 0: one
+    pass over the rows a centre. Otherwise the parallel form: so many passes draw k rows each, every row counts for the nearest drawn
+    one, and k of those are drawn on the driver by count and distance. The driver holds k (rounds + 1) vectors at most. Where all that
+    is left lies at a centre, the least ids follow.
     """
     held = rows.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), "embedding")
-    first = held.orderBy("id").limit(k).toPandas()
-    if not len(first):
+    kind = held.schema["embedding"].dataType.simpleString()
+    ids, centres = np.zeros(0, np.int64), np.zeros((0, 0))
+
+    def draw(step: int, most: int) -> bool:
+        nonlocal ids, centres
+        far = held.withColumn("u", draw_number(F.lit(str(step)), seed)).mapInArrow(_far(ids, centres, most), f"id long, embedding {kind}, key double")
+        got = far.orderBy("key", "id").limit(most).toPandas()
+        if len(got):
+            new = np.stack(got["embedding"]).astype(np.float64)
+            ids, centres = np.append(ids, got["id"].to_numpy(np.int64)), np.concatenate([centres, new]) if len(centres) else new
+        return len(got) == most
+
+    more = draw(0, 1)
+    for step in range(1, rounds + 1 if rounds else k):
+        if not more:
+            break
+        more = draw(step, k if rounds else 1)
+    if not rounds or len(ids) <= k:
+        return centres[:k]
+    n = held.mapInArrow(_labels(centres), "id long, cluster int, distance double").groupBy("cluster").count().toPandas()  # a row a drawn vector
+    weight = np.zeros(len(ids))
+    weight[n["cluster"].to_numpy()] = n["count"].to_numpy()
+    rng, chosen = np.random.default_rng(seed), []
+    least = np.ones(len(ids))
+    for _ in range(k):
+        share = weight * least
+        with np.errstate(divide="ignore"):
+            key = np.where(share > 0, rng.exponential(size=len(ids)) / share, np.inf)
+        key[chosen] = np.nan
+        chosen.append(int(np.nanargmin(key)))
+        d = np.maximum(0, ((centres - centres[chosen[-1]]) ** 2).sum(1))
+        least = d if len(chosen) == 1 else np.minimum(least, d)
+    return centres[chosen]
+
+
+def kmeans(rows: DataFrame, k: int, iterations: int = 100, start: np.ndarray | None = None) -> DataFrame:
+    """(id, cluster, distance) by Lloyd's steps from start (see seeds()), or else from the k least ids; an empty cluster keeps its centre; stops when nothing moves.
+
+    Tasks send one sum a cluster; the driver holds the k centres, and gets one row a cluster in each step.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    held = rows.where(F.col("embedding").isNotNull()).select(F.col("id").cast("long").alias("id"), "embedding")
+    if start is None:
+        first = held.orderBy("id").limit(k).toPandas()["embedding"]
+        start = np.stack(first) if len(first) else np.zeros((0, 0))
+    if not len(start):
         return held.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
-    centres = np.stack(first["embedding"]).astype(np.float64)
+    centres = np.asarray(start, np.float64)
     for _ in range(iterations):
-        parts = held.mapInArrow(_lloyd(centres), "cluster int, n long, total array<double>")
-        sums, n = np.zeros_like(centres), np.zeros(len(centres))
-        for r in parts.select("cluster", "n", F.posexplode("total").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect():
-            sums[r["cluster"], r["pos"]], n[r["cluster"]] = r["x"], r["n"]
-        new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        parts = held.mapInArrow(_lloyd(centres), "cluster int, n long, total array<double>").where("n > 0").select("cluster", "n", array_to_vector("total").alias("total"))
+        new = centres.copy()
+        for r in parts.groupBy("cluster").agg(F.sum("n").alias("n"), Summarizer.sum(F.col("total")).alias("total")).select("cluster", "n", vector_to_array("total").alias("total")).collect():
+            new[r["cluster"]] = np.array(r["total"]) / r["n"]
         if np.allclose(new, centres, rtol=0, atol=1e-12):
             break
         centres = new
     return held.mapInArrow(_labels(centres), "id long, cluster int, distance double")
 
 
+def ancestors(nodes: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """(node, path, looped): of nodes (node, parent) each one's ancestors, root first, whatever the depth.
+
+    Paths double in length each round, so a chain of n takes log2(n) joins. A parent that is no node ends a path and is not in it.
+    Nodes on a cycle of parents, or below one, get the path up to the first node that comes again, and looped. No chain may be longer than
+    `most`. A node of several rows has the least parent; null nodes are left out.
+    """
+    own = nodes.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("parent").alias("parent"))
+    known = own.select(F.col("node").alias("parent"))
+    rows = own.join(known, "parent", "left_semi").select("node", F.col("parent").alias("up"), F.array("parent").alias("path"))
+    none = F.array().cast(rows.schema["path"].dataType)
+    rows = rows.unionByName(own.join(known, "parent", "left_anti").select("node", F.lit(None).cast(own.schema["node"].dataType).alias("up"), none.alias("path")))
+    rows = stash(rows.withColumn("looped", F.lit(False)), "ancestors")
+    reach = 1
+    while reach < most and not rows.where(F.col("up").isNotNull()).isEmpty():
+        above = rows.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("looped").alias("_looped"))
+        whole = F.concat("_path", "path")
+        rows = rows.join(above, "up", "left").select("node", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(whole).alias("path"), (F.col("looped") | F.coalesce("_looped", F.lit(False))).alias("looped"))
+        again = F.size(F.array_distinct(F.concat(F.array("node"), F.reverse("path")))) <= F.size("path")
+        rows = stash(rows.select("node", F.when(~again & ~F.col("looped"), F.col("up")).alias("up"), "path", (again | F.col("looped")).alias("looped")), "ancestors")
+        reach *= 2
+    # upwards from the node, nodes come in the order of their first mention, so a looped path ends where its distinct ones do
+    return rows.select("node", F.when(F.col("looped"), F.reverse(F.array_except(F.reverse("path"), F.array("node")))).otherwise(F.col("path")).alias("path"), "looped")
+
+
 def place(documents: DataFrame, centres: DataFrame, clustered: bool = True) -> DataFrame:
     """Incremental placement: documents (id, embedding) at the nearest centre (cluster, embedding); the first of equals; `unclustered` (null) without centres."""
     found = centres.orderBy("cluster").toPandas()  # k rows

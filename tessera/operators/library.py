@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ordering import numbered
 from tessera.operators import graph
+from tessera.sources.scratch import stash
 
 
 def listed(rows: DataFrame, owner: str, order: list[Column], page_rows: int = 5) -> DataFrame:
@@ -75,11 +76,11 @@ def with_documents(jobs: DataFrame, documents: DataFrame) -> DataFrame:
     return jobs.join(documents.select("document", "user_id", "status"), "document").select("document", "user_id", "status", "state")
 
 
-def cluster_documents(chunks: DataFrame, k: int | None = None, iterations: int = 100) -> DataFrame:
-    """(id, cluster, distance) of the documents of chunks (document, embedding) that have a vector: each one's mean, in k clusters (max(1, round(sqrt(n / 2))) of them unless given)."""
-    means = graph.centroids(chunks, "document").withColumnRenamed("document", "id")
-    n = chunks.where(F.col("embedding").isNotNull()).select("document").distinct().count()
-    return graph.kmeans(means, k or max(1, round((n / 2) ** 0.5)), iterations)
+def cluster_documents(chunks: DataFrame, k: int | None = None, iterations: int = 100, rounds: int = 5, seed: int = 0) -> DataFrame:
+    """(id, cluster, distance) of the documents of chunks (document, embedding) that have a vector: each one's mean, in k clusters (max(1, round(sqrt(n / 2))) of them unless given), from centres drawn as graph.seeds() says."""
+    means = stash(graph.centroids(chunks, "document").withColumnRenamed("document", "id"), "means")
+    k = k or max(1, round((means.count() / 2) ** 0.5))
+    return graph.kmeans(means, k, iterations, graph.seeds(means, k, rounds, seed))
 
 
 def satellites(documents: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.joins import small
 from tessera.functions.vectors import matrix
+from tessera.sources.scratch import stash
 
 RRF_K = 60
 LEG, FUSED, FINAL, PER_DOCUMENT, FLOOR = 20, 10, 5, 3, 0.2
@@ -213,33 +215,97 @@ def to_enrich(rows: DataFrame, most: int = 4) -> DataFrame:
     return empty.withColumn("_nth", nth).where(F.col("_nth") <= most).select("qid", "id", "region")
 
 
-def retrieve(legs: list[DataFrame | None], documents: DataFrame, relevance: DataFrame | Relevance | None, region: Column | None = None, sealed: DataFrame | None = None, require_relevance: bool = False) -> DataFrame:
-    """(qid, id, document, relevance, final): the whole pipeline over many questions.
+@dataclass(frozen=True)
+class Evidence:
+    """What retrieve() may know of chunks beyond ids and documents.
+
+    chunks: (id, document, page, region, region_type, content), one row an id; region is null for what is no region. asked: (qid, page) of the
+    questions that name a page. describe: gives (region, caption) for (region) of visual regions without content that a question came
+    upon, as a vision model would. context: (region, position, content) around regions. captions: (document, caption), for documents'
+    chunks that are left without content.
+    """
+
+    chunks: DataFrame
+    asked: DataFrame | None = None
+    describe: Callable[[DataFrame], DataFrame] | None = None
+    context: DataFrame | None = None
+    captions: DataFrame | None = None
+
+    def boosted(self, leg: DataFrame) -> DataFrame:
+        """A leg with the page that its question names first; see page_boost()."""
+        if self.asked is None:
+            return leg
+        asked = self.asked.groupBy("qid").agg(F.min("page").alias("_asked"))
+        rows = leg.join(self.chunks.select("id", F.col("page").alias("_page")), "id", "left").join(small(asked), "qid", "left")
+        return page_boost(rows, F.col("_page"), F.col("_asked")).select("qid", "id", "rank")
+
+    def deduped(self, fused: DataFrame) -> DataFrame:
+        rows = fused.join(self.chunks.select("id", F.col("region").alias("_region")), "id", "left")
+        return dedupe_regions(rows, F.col("_region")).drop("_region")
+
+    def read(self, top: DataFrame) -> DataFrame:
+        """Candidates (qid, id, position) with document, region, content (enriched, with its context, or its document's caption) and evidence, the lines that a scorer reads."""
+        rows = top.join(self.chunks.select("id", "document", "page", "region", "region_type", "content"), "id")
+        if self.describe is not None:
+            wanted = to_enrich(rows)
+            told = self.describe(wanted.select("region").distinct()).groupBy("region").agg(F.min("caption").alias("_caption"))
+            rows = rows.join(wanted.join(told, "region").select("qid", "id", "_caption"), ["qid", "id"], "left").withColumn("content", F.coalesce("_caption", "content")).drop("_caption")
+        if self.context is not None:
+            rows = with_context(rows, self.context)
+        if self.captions is not None:
+            rows = with_captions(rows, self.captions)
+        none = F.lit(None).cast("string")
+        lines = T.serialize_evidence(none, none, F.col("page"), F.col("region_type"), F.col("content"))
+        return rows.withColumn("evidence", F.when(F.col("region").isNotNull(), lines).otherwise(F.col("content")))
+
+
+def overlap_with_evidence(questions: DataFrame) -> Relevance:
+    """As overlap(), of what candidates (qid, id, evidence) were given to read."""
+
+    def score(candidates: DataFrame) -> DataFrame:
+        asked = questions.select("qid", F.array_distinct(T.tokens(F.col("text"))).alias("_words"))
+        rows = candidates.select("qid", "id", T.tokens(F.col("evidence")).alias("_held")).join(asked, "qid")
+        return rows.select("qid", "id", F.coalesce(F.try_divide(F.size(F.array_intersect("_words", "_held")), F.size("_words")), F.lit(0.0)).alias("relevance"))
+
+    return score
+
+
+def retrieve(legs: list[DataFrame | None], documents: DataFrame | Evidence, relevance: DataFrame | Relevance | None, region: Column | None = None, sealed: DataFrame | None = None, require_relevance: bool = False) -> DataFrame:
+    """(qid, id, document, relevance, final), with Evidence also content: the whole pipeline over many questions.
 
     legs: (qid, id, rank) each, None for one that failed; the others carry, and without any only sealed matches are left. documents:
-    (id, document). relevance: (qid, id, relevance) or a scorer that gives it of candidates, None if the scorer is down: then the fused order stands with relevance 1 and
-    no floor, or, with require_relevance, an error. sealed: (qid, id, document) of exact matches, appended past the cut.
+    (id, document), or Evidence: then legs put a page asked for first, regions come once, and candidates are read with descriptions, context
+    and captions before they are judged. relevance: (qid, id, relevance) or a scorer that gives it of candidates, None if the scorer is down: then
+    the fused order stands with relevance 1 and no floor, or, with require_relevance, an error. sealed: (qid, id, document[, content]) of exact
+    matches, appended past the cut.
     """
     if relevance is None and require_relevance:
         raise RuntimeError("relevance is required, but there is no scorer")
-    there, spark = [leg for leg in legs if leg is not None], documents.sparkSession
+    told = isinstance(documents, Evidence)
+    there, spark = [leg for leg in legs if leg is not None], (documents.chunks if told else documents).sparkSession
+    columns = ["qid", "id", "document", "relevance", "final"] + ["content"] * told
     out = None
     if there:
-        fused = rrf(there)
-        fused = dedupe_regions(fused, region) if region is not None else fused
+        fused = rrf([documents.boosted(leg) for leg in there] if told else there)
+        if told:
+            fused = documents.deduped(fused)
+        elif region is not None:
+            fused = dedupe_regions(fused, region)
         top = fused.where(F.col("position") <= FUSED)
+        if told:  # a few rows a question, which are judged and shown
+            top = stash(documents.read(top).select("qid", "id", "position", "document", "content", "evidence"), "candidates")
         if relevance is None:
             scored = top.withColumn("relevance", F.lit(1.0))
         else:
             judged = relevance(top) if callable(relevance) else relevance
             scored = top.join(judged, ["qid", "id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0))).where(F.col("relevance") >= FLOOR)
         ranked = scored.withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("relevance").desc(), "position")))
-        out = diversify(ranked.join(documents.select("id", "document"), "id"), "document").select("qid", "id", "document", "relevance", "final")
+        out = diversify(ranked if told else ranked.join(documents.select("id", "document"), "id"), "document").select(*columns)
     if sealed is not None:
         nth = F.row_number().over(Window.partitionBy("qid").orderBy("id"))
-        more = sealed.select("qid", "id", "document", F.lit(1.0).alias("relevance"), (F.lit(FINAL) + nth).alias("final"))
+        more = sealed.select("qid", "id", "document", F.lit(1.0).alias("relevance"), (F.lit(FINAL) + nth).alias("final"), *["content"] * told)
         out = more if out is None else out.unionByName(more)
-    return out if out is not None else spark.createDataFrame([], "qid long, id long, document string, relevance double, final int")
+    return out if out is not None else spark.createDataFrame([], "qid long, id long, document string, relevance double, final int" + ", content string" * told)
 
 
 def scoped(rows: DataFrame, terms: list[str], k: int = FINAL, floor: float = FLOOR) -> DataFrame:

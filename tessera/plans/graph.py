@@ -35,9 +35,22 @@ def knn_edges(spark, d):
     return near.select("qid", "id", "rank", F.round("distance", 5).alias("distance"))
 
 
-def _kmeans_sql(k: int, steps: int) -> str:
-    """Lloyd's steps unrolled."""
-    out = [f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM {VECTORS_SQL}), c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, x AS m FROM v ORDER BY id LIMIT {k})"]
+_VECTORS = f"v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM {VECTORS_SQL})"
+
+
+def seeds_sql(k: int) -> str:
+    """c0 (c, m): k centres of v (id, x), each drawn by its squared distance to those before it."""
+    u = lambda i: f"((('0x' || substr(md5('0:{i}:' || v.id), 1, 12))::BIGINT + 1) / 281474976710657.0::DOUBLE)"
+    out = [f"p0 AS MATERIALIZED (SELECT id, x, 0 AS c FROM v ORDER BY -ln({u(0)}), id LIMIT 1)"]
+    for i in range(1, k):
+        far = "min(list_distance(v.x, p.x))"
+        out.append(f"p{i} AS MATERIALIZED (FROM p{i - 1} UNION ALL SELECT * FROM (SELECT v.id, v.x, {i} FROM v, p{i - 1} p GROUP BY v.id, v.x HAVING {far} > 0 ORDER BY -ln({u(i)}) / pow({far}, 2), v.id LIMIT 1))")
+    return ", ".join([*out, f"c0 AS MATERIALIZED (SELECT c, x AS m FROM p{k - 1})"])
+
+
+def kmeans_sql(k: int, steps: int, source: str = _VECTORS, start: str | None = None) -> str:
+    """Lloyd's steps unrolled, from the k least ids unless start says c0."""
+    out = [f"WITH {source}", start or f"c0 AS (SELECT row_number() OVER (ORDER BY id) - 1 AS c, x AS m FROM v ORDER BY id LIMIT {k})"]
     near = lambda i: f"SELECT id, x, arg_min(c, (round(list_distance(x, m), 9), c)) AS c, min(round(list_distance(x, m), 9)) AS d FROM v, c{i} GROUP BY id, x"
     for i in range(steps):
         out.append(f"a{i} AS ({near(i)})")
@@ -46,12 +59,40 @@ def _kmeans_sql(k: int, steps: int) -> str:
     return ", ".join(out) + f" SELECT id, c::INT AS cluster, round(d, 5) AS distance FROM ({near(steps)})"
 
 
-@query(_kmeans_sql(8, 3))
+@query(kmeans_sql(8, 3))
 def kmeans_fixed_init(spark, d):
     found = G.kmeans(Vault(spark, d).vectors(), 8, iterations=3)
     return found.select("id", "cluster", F.round("distance", 5).alias("distance"))
 
 
+@query(kmeans_sql(8, 3, start=seeds_sql(8)))
+def kmeans_plus_plus(spark, d):
+    """Three steps from centres that were drawn by squared distance."""
+    v = Vault(spark, d).vectors()
+    found = G.kmeans(v, 8, iterations=3, start=G.seeds(v, 8))
+    return found.select("id", "cluster", F.round("distance", 5).alias("distance"))
+
+
+# Each document's parent is the one before it, in chains of fifty; every seventh chain is a ring.
+_CHAINS = "n AS (SELECT doc_id AS node, CASE WHEN doc_id % 50 > 0 THEN doc_id - 1 WHEN doc_id // 50 % 7 = 6 AND doc_id + 49 IN (SELECT doc_id FROM documents) THEN doc_id + 49 END AS parent FROM documents)"
+
+
+@query(
+    f"""WITH RECURSIVE {_CHAINS}, u AS (SELECT node, node AS top, parent, [node] AS seen, false AS looped FROM n
+UNION ALL SELECT u.node, CASE WHEN list_contains(seen, n.node) THEN top ELSE n.node END, CASE WHEN list_contains(seen, n.node) THEN NULL ELSE n.parent END, CASE WHEN list_contains(seen, n.node) THEN seen ELSE list_append(seen, n.node) END, list_contains(seen, n.node) FROM u JOIN n ON u.parent = n.node)
+SELECT node, len(seen) - 1 AS depth, array_to_string(list_reverse(seen[2:]), ' > ') AS path, looped FROM u QUALIFY row_number() OVER (PARTITION BY node ORDER BY len(seen) DESC, looped DESC) = 1""".replace("len(seen) - 1 AS depth", "(len(seen) - 1)::INT AS depth")
+)
+def ancestor_paths(spark, d):
+    """All ancestors of all nodes of chains and rings, whatever their depth."""
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").select("doc_id")
+    ends = docs.select((i - 49).alias("doc_id"), F.lit(True).alias("closed"))
+    ring = F.col("closed") & (F.expr("doc_id div 50") % 7 == 6)
+    nodes = docs.join(ends, "doc_id", "left").select(i.alias("node"), F.when(i % 50 > 0, i - 1).when(ring, i + 49).alias("parent"))
+    found = G.ancestors(nodes)
+    return found.select("node", F.size("path").alias("depth"), F.array_join(F.transform("path", lambda x: x.cast("string")), " > ").alias("path"), "looped")
+
+
 @query()
 def pca_3d(spark, d):
     return G.project_3d(Vault(spark, d).vectors())

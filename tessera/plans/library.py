@@ -10,6 +10,7 @@ from tessera.functions import text as T
 from tessera.operators import layout as L
 from tessera.operators import library as B
 from tessera.operators import retrieval as R
+from tessera.plans.graph import kmeans_sql, seeds_sql
 from tessera.plans.registry import query
 from tessera.sources import sinks
 from tessera.sources.scratch import new_path
@@ -243,18 +244,16 @@ def provider_legs(spark, d):
     return R.legs_by_provider({f"p{k}": lambda k=k: leg(f"p{k}") for k in range(3)})
 
 
-@query(
-    f"""WITH v AS (SELECT x.user_id AS document, (e.embedding)::DOUBLE[] AS x FROM embeddings e JOIN {DOCS_SQL} x ON x.id = e.vec_id WHERE x.status = 'ready'),
-m AS (SELECT document, list(y ORDER BY p) AS m FROM (SELECT document, p, avg(x[p]) AS y FROM v, range(1, 65) t(p) GROUP BY document, p) GROUP BY document),
-n AS (SELECT (row_number() OVER (ORDER BY substr(document, 4)::INT) - 1)::BIGINT AS id, substr(document, 4)::BIGINT AS doc, m FROM m), a AS (SELECT count(*) AS n, max(id) AS top FROM n)
-SELECT doc AS id, count(*) OVER () AS n FROM n"""
-)
+_MEANS = f"""e AS (SELECT substr(x.user_id, 4)::BIGINT AS id, (e.embedding)::DOUBLE[] AS x FROM embeddings e JOIN {DOCS_SQL} x ON x.id = e.vec_id WHERE x.status = 'ready'),
+v AS MATERIALIZED (SELECT id, list(y ORDER BY p) AS x FROM (SELECT id, p, avg(x[p]) AS y FROM e, range(1, 65) t(p) GROUP BY id, p) GROUP BY id)"""
+
+
+@query(kmeans_sql(3, 4, _MEANS, seeds_sql(3)))
 def clustered_documents(spark, d):
-    """Documents with a vector in their clusters; how they are dealt is held against plain Lloyd steps by tests/test_library.py."""
+    """Documents by the mean of their vectors, in three clusters."""
     docs = Vault(spark, d).searchable().select("id", F.substring("user_id", 4, 10).cast("long").alias("document"))
-    found = B.cluster_documents(Vault(spark, d).vectors().join(docs, "id").select("document", "embedding"))
-    n = found.agg(F.count("*").alias("n"))
-    return found.join(F.broadcast(n)).select("id", "n")  # one row
+    found = B.cluster_documents(Vault(spark, d).vectors().join(docs, "id").select("document", "embedding"), 3, iterations=4, rounds=0)
+    return found.select("id", "cluster", F.round("distance", 5).alias("distance"))
 
 
 @query("SELECT page_id % 5 AS user_id, count(*) AS n, sum(page_id)::BIGINT AS total FROM pages WHERE page_id % 5 <> 2 GROUP BY ALL UNION ALL SELECT 2, count(*), sum(page_id + 1000)::BIGINT FROM pages WHERE page_id % 5 = 2".replace("page_id % 5 AS user_id", "(page_id % 5)::INT AS user_id"))

@@ -202,9 +202,51 @@ def hybrid_search(spark, d):
     return R.retrieve([near, lex], owner, R.overlap(docs, questions), require_relevance=True).select("qid", "id", F.round("relevance", 6).alias("relevance"), "final")
 
 
+_VISUAL = "id % 4 < 2 AND id % 3 = 0"
+_EVIDENCE_SQL = f""", chunk AS MATERIALIZED (SELECT id, user_id AS document, id % 30 + 1 AS page, CASE WHEN id % 5 > 0 THEN id // 3 END AS region, CASE id % 4 WHEN 0 THEN 'chart' WHEN 1 THEN 'image' ELSE 'paragraph' END AS kind,
+  CASE WHEN {_VISUAL} THEN '' ELSE text END AS content, text FROM docs),
+bl AS (SELECT qid, l.id, leg, row_number() OVER (PARTITION BY qid, leg ORDER BY CASE WHEN qid % 2 = 0 AND page = qid % 30 + 1 THEN 0 ELSE 1 END, rank) AS rank FROM legs l JOIN chunk c ON c.id = l.id),
+bf AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(leg * 1000 + rank) AS seen FROM bl GROUP BY qid, id),
+once AS (SELECT qid, bf.id, score, seen, row_number() OVER (PARTITION BY qid, coalesce('r' || region, 'i' || bf.id) ORDER BY score DESC, seen) AS n FROM bf JOIN chunk c ON c.id = bf.id),
+cand AS (SELECT * FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS position FROM once WHERE n = 1) WHERE position <= 10),
+t0 AS (SELECT qid, position, c.*, region IS NOT NULL AND kind <> 'paragraph' AND trim(coalesce(content, '')) = '' AS blank FROM cand JOIN chunk c USING (id)),
+t1 AS (SELECT * REPLACE (CASE WHEN blank AND row_number() OVER (PARTITION BY qid, blank ORDER BY position) <= 4 THEN coalesce(t.caption, content) ELSE content END AS content)
+  FROM t0 LEFT JOIN (SELECT region AS r, 'shows ' || arg_min(left(text, 80), id) AS caption FROM chunk WHERE region IS NOT NULL AND text IS NOT NULL GROUP BY region) t ON t.r = t0.region),
+t2 AS (SELECT t1.qid, t1.position, t1.id, t1.document, t1.page, t1.region, t1.kind, CASE WHEN x.id IS NULL AND y.id IS NULL THEN t1.content ELSE concat_ws(chr(10) || chr(10), nullif(t1.content, ''),
+  CASE WHEN x.text <> '' AND x.text IS DISTINCT FROM t1.content THEN x.text END, CASE WHEN y.text <> '' AND y.text IS DISTINCT FROM t1.content AND y.text IS DISTINCT FROM x.text THEN y.text END) END AS content
+  FROM t1 LEFT JOIN docs x ON x.id = region * 3 - 1 LEFT JOIN docs y ON y.id = region * 3 + 3),
+t3 AS (SELECT * REPLACE (CASE WHEN trim(coalesce(content, '')) = '' THEN coalesce(k.caption, content) ELSE content END AS content) FROM t2 LEFT JOIN (SELECT user_id AS u, min(left(text, 60)) AS caption FROM docs GROUP BY user_id) k ON k.u = t2.document),
+t4 AS (SELECT *, CASE WHEN region IS NOT NULL THEN 'Document: Untitled' || chr(10) || 'Heading: Root' || chr(10) || 'Page: ' || page || chr(10) || 'Region: ' || kind || chr(10) || 'Content: ' || coalesce(content, '') ELSE content END AS text FROM t3),
+qw AS (SELECT qid, list(term) AS ws FROM words GROUP BY qid),
+t5 AS (SELECT *, coalesce(len(list_filter(ws, lambda w: list_contains({_TOKENS}, w)))::DOUBLE / len(ws), 0) AS relevance FROM t4 LEFT JOIN qw USING (qid)),
+t6 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY relevance DESC, position) AS p2 FROM t5 WHERE relevance >= 0.2),
+t7 AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY qid, document ORDER BY p2) <= 3 THEN 0 ELSE 1 END AS late FROM t6)
+SELECT qid, id, document, round(relevance, 6) AS relevance, final, length(content) AS length, md5(content) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY late, p2) AS final FROM t7) WHERE final <= 5"""
+
+
+@query(_HYBRID_SQL + _EVIDENCE_SQL, rank="final")
+def retrieve_evidence(spark, d):
+    """hybrid_search with all that is known of regions: pages asked for first, one chunk a region, descriptions of visual regions, what stands around, captions."""
+    docs, questions, near, lex = _legs(spark, d)
+    i = F.col("id")
+    region, visual = F.when(i % 5 > 0, F.expr("id div 3")), F.expr(_VISUAL)
+    chunks = docs.select("id", F.col("user_id").alias("document"), (i % 30 + 1).alias("page"), region.alias("region"), F.when(i % 4 == 0, "chart").when(i % 4 == 1, "image").otherwise("paragraph").alias("region_type"), F.when(visual, "").otherwise(F.col("text")).alias("content"))
+    asked = questions.where("qid % 2 = 0").select("qid", T.explicit_page(F.concat(F.lit("what is on page "), (F.col("qid") % 30 + 1).cast("string"))).alias("page"))
+    near_by = F.explode(F.array(F.struct(F.expr("(id + 1) div 3").alias("region"), F.lit(0).alias("position"), ((i + 1) % 3 == 0).alias("at")), F.struct(F.expr("id div 3 - 1").alias("region"), F.lit(1).alias("position"), (i % 3 == 0).alias("at"))))
+    context = docs.select("text", near_by.alias("n")).where("n.at").select("n.region", "n.position", F.col("text").alias("content"))
+
+    def describe(regions):
+        held = docs.where(region.isNotNull() & F.col("text").isNotNull()).select(region.alias("region"), "id", F.substring("text", 1, 80).alias("said"))
+        return held.join(regions, "region", "left_semi").groupBy("region").agg(F.concat(F.lit("shows "), F.min_by("said", "id")).alias("caption"))
+
+    captions = docs.groupBy(F.col("user_id").alias("document")).agg(F.min(F.substring("text", 1, 60)).alias("caption"))
+    found = R.retrieve([near, lex], R.Evidence(chunks, asked, describe, context, captions), R.overlap_with_evidence(questions), require_relevance=True)
+    return found.select("qid", "id", "document", F.round("relevance", 6).alias("relevance"), "final", F.length("content").cast("long").alias("length"), F.md5("content").alias("digest"))
+
+
 @query(
     _HYBRID_SQL
-    + """, lr AS (SELECT qid, id, rank AS position FROM lex), of AS (SELECT 'no scorer' AS down, qid, id, position FROM ranked WHERE position <= 10 UNION ALL SELECT 'no vectors', qid, id, position FROM lr WHERE position <= 10),
+    + """, lr AS (SELECT qid, id, rank AS position FROM lex), of AS (SELECT 'no scorer' AS down, qid, id, position FROM ranked WHERE position <= 10 UNION ALL SELECT 'no vectors', qid, id, position FROM lr WHERE position <= 10 UNION ALL SELECT 'no words', qid, id, rank FROM vec WHERE rank <= 10),
 late AS (SELECT down, qid, of.id, position, CASE WHEN row_number() OVER (PARTITION BY down, qid, user_id ORDER BY position) <= 3 THEN 0 ELSE 1 END AS late FROM of JOIN docs x ON x.id = of.id)
 SELECT down, qid, id, final FROM (SELECT down, qid, id, row_number() OVER (PARTITION BY down, qid ORDER BY late, position) AS final FROM late) WHERE final <= 5
 UNION ALL SELECT 'all but sealed', 0, id, 5 + row_number() OVER (ORDER BY id) FROM """
@@ -218,7 +260,7 @@ def degraded_search(spark, d):
     owner = docs.select("id", F.col("user_id").alias("document"))
     shut = Vault(spark, d).documents().where("status = 'sealed'").select("id", F.col("text").alias("content"), F.col("user_id").alias("document"))
     matches = R.sealed_matches(shut, "of the").join(shut.select("id", "document"), "id").withColumn("qid", F.lit(0).cast("long"))
-    modes = {"no scorer": R.retrieve([near, lex], owner, None), "no vectors": R.retrieve([None, lex], owner, None), "all but sealed": R.retrieve([None, None], owner, None, sealed=matches)}
+    modes = {"no scorer": R.retrieve([near, lex], owner, None), "no vectors": R.retrieve([None, lex], owner, None), "no words": R.retrieve([near, None], owner, None), "all but sealed": R.retrieve([None, None], owner, None, sealed=matches)}
     out = None
     for name, rows in modes.items():
         part = rows.select(F.lit(name).alias("down"), "qid", "id", "final")

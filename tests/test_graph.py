@@ -24,6 +24,38 @@ def test_more_clusters_than_points_and_none_at_all(spark):
     assert 9 not in {r["id"] for r in G.kmeans(v, 2).collect()}
 
 
+def test_seeds_are_the_same_at_any_partitioning_and_better_than_the_least_ids(spark):
+    rng = np.random.default_rng(3)
+    points = rng.normal(rng.integers(0, 8, 400)[:, None] * 10, 0.5, (400, 3))
+    points[:8] = 0  # the least ids are all alike
+    v = _vectors(spark, points)
+    for rounds in (0, 3):
+        one, other = G.seeds(v.coalesce(1), 8, rounds), G.seeds(v.repartition(7), 8, rounds)
+        assert np.array_equal(one, other) and len(np.unique(one, axis=0)) == 8
+        inertia = lambda rows: sum(r["distance"] ** 2 for r in rows.collect())
+        assert inertia(G.kmeans(v, 8, 5, one)) < 0.5 * inertia(G.kmeans(v, 8, 5))
+    assert not np.array_equal(G.seeds(v, 8), G.seeds(v, 8, seed=1))
+
+
+def test_seeds_of_few_rows_copies_and_none(spark):
+    v = _vectors(spark, np.ones((5, 2)))
+    assert G.seeds(v, 3).tolist() == [[1.0, 1.0]] * 3 and len(G.seeds(v, 9)) == 5 and len(G.seeds(v, 2, 3)) == 2
+    assert len(G.seeds(v.where("false"), 3)) == 0 and len(G.seeds(v.where("false"), 3, 2)) == 0
+    assert G.kmeans(v.where("false"), 3, start=G.seeds(v.where("false"), 3)).count() == 0
+    chosen = G.seeds(_vectors(spark, [[0.0], [0.0], [0.0], [7.0]]), 2)
+    assert sorted(chosen.ravel().tolist()) == [0.0, 7.0]  # what lies at a centre is never drawn before what does not
+
+
+def test_ancestors_of_a_deep_chain_a_tree_and_rings(spark):
+    chain = [(i, i - 1 if i else None) for i in range(51)]
+    more = [(100, 50), (101, 999), (200, 201), (201, 202), (202, 200), (203, 200), (300, 300), (None, 3), (10, 9), (10, 77)]
+    got = {r["node"]: (r["path"], r["looped"]) for r in G.ancestors(spark.createDataFrame(chain + more, "node long, parent long")).collect()}
+    assert len(got) == 51 + 7 and all(got[i] == (list(range(i)), False) for i in range(51))
+    assert got[100] == (list(range(51)), False) and got[101] == ([], False)  # a parent that is no node
+    assert got[200] == ([202, 201], True) and got[203] == ([202, 201, 200], True) and got[300] == ([], True)
+    assert G.ancestors(spark.createDataFrame([], "node long, parent long")).count() == 0
+
+
 def test_choose_k(spark):
     rows = spark.createDataFrame([(n,) for n in (0, 1, 3, 30, 300)], "n long").select("n", scalars.choose_k(F.col("n")).alias("k")).collect()
     k = [r["k"] for r in sorted(rows)]
