@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import variants as V
+
 from tessera.functions import scalars
 
 
@@ -138,3 +140,19 @@ def layout_rows(regions: DataFrame, version: int) -> dict[str, DataFrame]:
         "surfaces": rows.select("document", "surface", F.col("surface_id").alias("id")).distinct(),
         "regions": rows.select("id", "generation", "surface_id", "ordinal", "parent_id", "region_type", "content"),
     }
+
+
+def checkpointed(generations: DataFrame, done: DataFrame) -> DataFrame:
+    """generations (generation, checkpoint: JSON text) after the surfaces of done (generation, surface) were enriched: with completeness and state.
+
+    enriched_surfaces has what it had and the new ones, each once, in order; other keys stay. completeness is their number over that of
+    complex_surfaces, at most 1, and 1 without any; a complete generation is active, else partial. A checkpoint that is no object is left, as are generations without new surfaces.
+    """
+    new = done.where(F.col("surface").isNotNull()).groupBy("generation").agg(F.collect_set(F.col("surface").cast("int")).alias("_new"))
+    rows = generations.join(new, "generation").withColumn("_v", V.parsed(F.col("checkpoint")))
+    had = F.coalesce(V.elements(V.at(F.col("_v"), "$.enriched_surfaces"), "int"), F.array().cast("array<int>"))
+    rows = rows.withColumn("_all", F.array_sort(F.array_distinct(F.array_compact(F.concat(had, "_new")))))
+    n = F.coalesce(V.length(V.at(F.col("_v"), "$.complex_surfaces")), F.lit(0))
+    rows = rows.withColumn("completeness", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.size("_all") / n)))
+    text = F.coalesce(F.to_json(V.with_path(F.col("_v"), ["enriched_surfaces"], V.from_value(F.col("_all")))), "checkpoint")
+    return rows.select("generation", text.alias("checkpoint"), "completeness", F.when(F.col("completeness") >= 1, "active").otherwise("partial").alias("state"))

@@ -308,13 +308,14 @@ def retrieve(legs: list[DataFrame | None], documents: DataFrame | Evidence, rele
     return out if out is not None else spark.createDataFrame([], "qid long, id long, document string, relevance double, final int" + ", content string" * told)
 
 
-def scoped(rows: DataFrame, terms: list[str], k: int = FINAL, floor: float = FLOOR) -> DataFrame:
-    """Of rows (id, text, scope): in each scope the k most relevant at or above the floor, with relevance (the share of terms that the text has) and rank. Nothing comes from other scopes."""
-    held = T.tokens(F.col("text"))
-    relevance = F.size(F.array_intersect(F.array(*[F.lit(t) for t in dict.fromkeys(terms)]), held)) / len(dict.fromkeys(terms))
-    rows = rows.select("id", "scope", relevance.alias("relevance")).where(F.col("relevance") >= floor)
-    rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.col("relevance").desc(), "id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+def scoped(rows: DataFrame, questions: DataFrame, k: int = FINAL, floor: float = FLOOR) -> DataFrame:
+    """(qid, scope, id, relevance, rank): each question (qid, scope, text) within its scope alone: of its rows (id, text, scope) the k most relevant at or above the floor, by the share of the question's distinct words that a text has. Nothing comes from other scopes."""
+    asked = questions.select("qid", "scope", F.array_distinct(T.tokens(F.col("text"))).alias("_words"))
+    held = rows.select("id", "scope", T.tokens(F.col("text")).alias("_held")).join(asked, "scope")
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect("_words", "_held")), F.size("_words")), F.lit(0.0))
+    found = held.select("qid", "scope", "id", share.alias("relevance")).where(F.col("relevance") >= floor)
+    rank = F.row_number().over(Window.partitionBy("qid", "scope").orderBy(F.col("relevance").desc(), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def sealed_matches(plain: DataFrame, phrase: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions import variants as V
 from tessera.operators import evidence as E
 from tessera.plans.registry import query
 from tessera.sources import sinks
@@ -154,3 +155,19 @@ def layout_rows(spark, d):
     out, none = E.layout_rows(regions, 3), F.lit(None).cast("string")
     row = lambda df, kind, i, owner, parent: df.select(F.lit(kind).alias("kind"), F.col(i).alias("id"), F.col(owner).cast("string").alias("owner"), parent.alias("parent"))
     return row(out["regions"], "region", "id", "surface_id", F.col("parent_id")).unionByName(row(out["surfaces"], "surface", "id", "document", none)).unionByName(row(out["generations"], "generation", "generation", "document", F.col("n_regions").cast("string")))
+
+
+@query(
+    """WITH g AS (SELECT event_id AS generation, (props->>'k')::INT AS k FROM events WHERE event_type <> 'view'),
+x AS (SELECT *, list_sort(list_distinct([k % 3, k % 5, k % 2])) AS done FROM g)
+SELECT generation, '{"complex_surfaces":' || to_json(range(k % 4)) || ',"enriched_surfaces":' || to_json(done) || ',"k":' || k || '}' AS checkpoint,
+CASE WHEN k % 4 = 0 THEN 1.0::DOUBLE ELSE least(1.0, len(done)::DOUBLE / (k % 4)) END AS completeness, CASE WHEN k % 4 = 0 OR len(done) >= k % 4 THEN 'active' ELSE 'partial' END AS state FROM x"""
+)
+def checkpoints(spark, d):
+    """JSON checkpoints of generations after two of their surfaces were enriched."""
+    k = V.at(V.parsed(F.col("props")), "$.k", "int")
+    rows = table(spark, d, "events").where("event_type <> 'view'").select(F.col("event_id").alias("generation"), k.alias("k"), V.parsed(F.col("props")).alias("v"))
+    surfaces = F.filter(F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.when(i < F.col("k") % 4, i)), lambda i: i.isNotNull())
+    before = V.with_path(V.with_path(F.col("v"), ["enriched_surfaces"], V.from_value(F.array(F.col("k") % 3))), ["complex_surfaces"], V.from_value(surfaces))
+    done = rows.select("generation", F.explode(F.array(F.col("k") % 5, F.col("k") % 2)).alias("surface"))
+    return E.checkpointed(rows.select("generation", F.to_json(before).alias("checkpoint")), done)

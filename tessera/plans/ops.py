@@ -44,6 +44,19 @@ def stream_rate_limit(spark, d):
     return limits.drain(limits.rate_limit_stream(requests, 3, 86400.0))
 
 
+@query(
+    """WITH b AS (SELECT user_id AS job, epoch_us(ts) AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY job ORDER BY t) < 21600000000 THEN 0 ELSE 1 END AS new FROM b),
+n AS (SELECT *, sum(new) OVER (PARTITION BY job ORDER BY t ROWS UNBOUNDED PRECEDING) AS nth FROM g)
+SELECT job, min(t) AS since, max(t) + 21600000000 AS until, count(*) AS beats FROM n GROUP BY job, nth HAVING max(t) + 21600000000 <= (SELECT max(t) FROM b) // 1000 * 1000"""
+)
+def stream_leases(spark, d):
+    """Leases of six hours that heartbeats renewed, and that ran out while the stream went on."""
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    gone = limits.drain(limits.expired_leases(stream.select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts")), 6 * 3600.0))
+    return gone.select("job", F.unix_micros("since").alias("since"), F.unix_micros("until").alias("until"), "beats")
+
+
 @query(
     """WITH t AS (SELECT DISTINCT l_orderkey AS turn, l_partkey AS chunk, max(l_shipdate) OVER (PARTITION BY l_orderkey) AS ts FROM lineitem)
 SELECT x.chunk AS a, y.chunk AS b, count(*) AS turns, epoch_us(max(x.ts)) AS last FROM t x JOIN t y ON x.turn = y.turn AND x.chunk < y.chunk GROUP BY ALL"""

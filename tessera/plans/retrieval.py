@@ -351,11 +351,18 @@ def fts_english(spark, d):
     return S.ranked_search(Vault(spark, d).searchable(), questions, True, R.LEG).select("qid", "id", F.round("rank", 6).alias("rank"), "place")
 
 
-@query(f"SELECT x.id AS chunk, round(len(list_filter(['with', 'from', 'that', 'the'], lambda t: list_contains({_TOKENS}, t))) / 4.0::DOUBLE, 6) AS relevance, user_id FROM {DOCS_SQL} x WHERE status = 'ready' AND relevance >= 0.2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY relevance DESC, x.id) <= 5")
+@query(
+    f"""WITH docs AS (SELECT id, user_id AS scope, {_TOKENS} AS held FROM {DOCS_SQL} WHERE status = 'ready'),
+asked AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS scope, list_distinct({_TOKENS}) AS ws FROM benchmark),
+pairs AS (SELECT qid, scope, id, coalesce(len(list_filter(ws, lambda w: list_contains(held, w)))::DOUBLE / nullif(len(ws), 0), 0) AS relevance FROM docs JOIN asked USING (scope))
+SELECT qid, scope, id, round(relevance, 6) AS relevance, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, scope ORDER BY relevance DESC, id) AS rank FROM pairs WHERE relevance >= 0.2) WHERE rank <= 5""",
+    rank="rank",
+)
 def document_scoped(spark, d):
-    """Within each source alone, its five most relevant rows above the floor."""
+    """Each question within one source alone: its five most relevant rows above the floor."""
     docs = Vault(spark, d).searchable().select("id", "text", F.col("user_id").alias("scope"))
-    return R.scoped(docs, ["with", "from", "that", "the"]).select(F.col("id").alias("chunk"), F.round("relevance", 6).alias("relevance"), F.col("scope").alias("user_id"))
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("scope"), "text")
+    return R.scoped(docs, questions).select("qid", "scope", "id", F.round("relevance", 6).alias("relevance"), "rank")
 
 
 @query(

@@ -15,21 +15,39 @@ from tessera.sources.scratch import new_path
 
 
 def rate_limit_stream(requests: DataFrame, limit: int, window: float) -> DataFrame:
-    """A stream of (key, id, at) with allowed. A key's state is its log of accepted times, at most `limit` numbers; it is kept for every key seen.
+    """A stream of (key, id, at) with allowed; at: seconds since 1970. A key's state is its log of accepted times, at most `limit` numbers, and leaves once the stream's time has passed the last of them by the window.
 
-    Batches must come in time order; of one batch a task sorts a key's (time, id) pairs, which bounds how large a batch may be: set
-    maxFilesPerTrigger where a key may be hot.
+    Batches must come in time order, and a row later than a window behind the stream's time is dropped, as is one without a time or from before 1970; of one batch a task sorts
+    a key's (time, id) pairs, which bounds how large a batch may be: set maxFilesPerTrigger where a key may be hot.
     """
+    span = int(window * 1e6)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         hits = deque(state.get[0] if state.exists else [])
         held = sorted(((at, i) for f in frames for at, i in zip(f["at"].tolist(), f["id"].tolist(), strict=True)))
         for lo in range(0, len(held), 10_000):
             part = held[lo : lo + 10_000]
             yield pd.DataFrame({"key": key[0], "id": [i for _, i in part], "allowed": [admit(hits, at, limit, window)[0] for at, _ in part]})
         state.update((list(hits),))
+        last = hits[-1] if hits else held[-1][0]
+        state.setTimeoutTimestamp(max(int((last + window) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
 
-    return requests.groupBy("key").applyInPandasWithState(run, "key string, id long, allowed boolean", "hits array<double>", "append", GroupStateTimeout.NoTimeout)
+    timed = requests.select("key", "id", "at", F.timestamp_micros((F.col("at") * 1e6).cast("long")).alias("ts")).where("at IS NOT NULL").withWatermark("ts", f"{span} microseconds")
+    return timed.groupBy("key").applyInPandasWithState(run, "key string, id long, allowed boolean", "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def expired_leases(beats: DataFrame, lease: float, late: float = 0.0) -> DataFrame:
+    """Of a stream of heartbeats (job, ts) the leases that ran out: (job, since, until, beats).
+
+    A heartbeat renews its job's lease for `lease` seconds, and one that comes at its very end or later begins another. A lease is given out when the stream's
+    time has passed its end by `late` seconds, for which late heartbeats are waited for; its state goes with it. Those still held are not given.
+    """
+    timed = beats.where("job IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", f"{int(late * 1e6)} microseconds")
+    held = timed.groupBy(F.session_window("ts", f"{int(lease * 1e6)} microseconds").alias("w"), "job").agg(F.count("*").alias("beats"))
+    return held.select("job", F.col("w.start").alias("since"), F.col("w.end").alias("until"), "beats")
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:

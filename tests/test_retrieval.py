@@ -54,8 +54,37 @@ def test_pages_regions_and_evidence(spark):
 
 def test_the_floor_is_inclusive(spark):
     rows = spark.createDataFrame([(1, "alpha", 1), (2, "beta", 1), (3, "gamma", 2)], "id long, text string, scope int")
-    terms = ["alpha", "x", "y", "z", "w"]
-    assert [r["id"] for r in R.scoped(rows, terms).collect()] == [1]
+    asked = spark.createDataFrame([(7, 1, "alpha x y z w alpha"), (8, 2, "alpha gamma"), (9, 2, "alpha"), (10, 1, ""), (11, 5, "alpha")], "qid int, scope int, text string")
+    got = {(r["qid"], r["id"], r["relevance"], r["rank"]) for r in R.scoped(rows, asked).collect()}
+    assert got == {(7, 1, 0.2, 1), (8, 3, 0.5, 1)}
+
+
+def test_candidates_are_described_put_in_context_and_captioned_before_they_are_judged(spark):
+    chunks = spark.createDataFrame(
+        [(1, "d1", 1, 10, "chart", ""), (2, "d1", 2, 10, "chart", "late"), (3, "d1", 3, None, None, "growth text"), (4, "d2", 4, None, None, None), (5, "d3", 5, 50, "paragraph", "own"), (6, "d4", 6, 60, "image", " ")],
+        "id long, document string, page int, region long, region_type string, content string",
+    )
+    legs = [spark.createDataFrame([(1, i, n + 1) for n, i in enumerate(x)], "qid long, id long, rank int") for x in ([1, 2, 3, 5], [6, 4])]
+    asked = spark.createDataFrame([(1, 3)], "qid long, page int")
+    seen = []
+
+    def describe(regions):
+        seen.extend(sorted(r["region"] for r in regions.collect()))
+        return regions.where("region = 10").selectExpr("region", "'growth curve' AS caption")
+
+    context = spark.createDataFrame([(50, 1, "growth after"), (50, 0, "before"), (50, 2, "own")], "region long, position int, content string")
+    captions = spark.createDataFrame([("d2", "a photo of growth"), ("d4", "nothing here")], "document string, caption string")
+    questions = spark.createDataFrame([(1, "growth")], "qid long, text string")
+    known = R.Evidence(chunks, asked, describe, context, captions)
+    got = {r["id"]: (r["content"], r["relevance"], r["final"]) for r in R.retrieve(legs, known, R.overlap_with_evidence(questions)).collect()}
+    assert seen == [10, 60]  # one row a region, and only visual regions without content
+    assert {i: c for i, (c, _, _) in got.items()} == {3: "growth text", 1: "growth curve", 4: "a photo of growth", 5: "own\n\nbefore\n\ngrowth after"}
+    assert min(got, key=lambda i: got[i][2]) == 3  # the page that was asked for
+    down = R.retrieve(legs, R.Evidence(chunks), None).collect()
+    assert {r["id"] for r in down} == {1, 3, 4, 5, 6} and all(r["relevance"] == 1 for r in down)
+    sealed = spark.createDataFrame([(1, 99, "d9", "plain")], "qid long, id long, document string, content string")
+    assert [(r["id"], r["final"], r["content"]) for r in R.retrieve([None, None], known, None, sealed=sealed).collect()] == [(99, 6, "plain")]
+    assert R.retrieve([None], known, None).columns == ["qid", "id", "document", "relevance", "final", "content"]
 
 
 def test_nearest_against_all_pairs(spark, sf):
