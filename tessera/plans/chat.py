@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import chat as C
 from tessera.plans.registry import query
+from tessera.sources.scratch import new_path
 from tessera.sources.vault import DOCS_SQL, Vault
+from tessera.streaming import events
 
 _MSG = "(SELECT conv_id AS session, turn, role, text AS content FROM conversations)"
 _TOK = "greatest(1, round_even(length({0}) / 4.0, 0))::BIGINT"
@@ -155,3 +157,23 @@ def export_markdown(spark, d):
     rows = _marked(spark, d)
     titles = rows.sparkSession.createDataFrame([("4", "Four")], "chunk string, title string")
     return C.export_markdown(rows, _cited(spark, d), titles)
+
+
+@query(
+    f"""WITH {_CITED}, t AS (SELECT session, turn, max(content) AS content FROM {_MSG} WHERE role = 'assistant' GROUP BY ALL),
+k AS (SELECT session, turn, string_agg(chunk, ',' ORDER BY place) AS cited, count(*) AS n FROM cited GROUP BY ALL)
+SELECT session::VARCHAR AS session, turn, coalesce(content, '') AS text, (session % 97) || ',' || (turn + 3) || ',' || ((session + turn) % 89) AS chunks, CASE WHEN content IS NULL THEN '' ELSE coalesce(cited, '') END AS cited,
+(2 + CASE WHEN content IS NULL THEN 0 ELSE len(regexp_extract_all(content, '[^ ]+ *|^ +')) + coalesce(n, 0) END)::INT AS n_events, CASE WHEN content IS NULL THEN 'error' ELSE 'done' END AS outcome, true AS whole FROM t LEFT JOIN k USING (session, turn)"""
+)
+def event_stream(spark, d):
+    """Every answer as an event stream, written by a stream and put together again from its files."""
+    s, t = F.col("session"), F.col("turn")
+    said = Vault(spark, d).messages().where("role = 'assistant'").groupBy("session", "turn").agg(F.max("content").alias("content"))
+    cited = _cited(spark, d).distinct().groupBy("session", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk"))), lambda c: c["chunk"]).alias("cited"))
+    chunks = F.array((s % 97).cast("string"), (t + 3).cast("string"), ((s + t) % 89).cast("string"))
+    turns = said.join(cited, ["session", "turn"], "left").withColumn("chunks", chunks)
+    root = new_path(spark, "events")
+    turns.write.parquet(f"{root}/turns")
+    events.write_events(events.turn_events(spark.readStream.schema(turns.schema).parquet(f"{root}/turns")), f"{root}/out", f"{root}/state")
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    return events.answers(events.read_events(spark, f"{root}/out")).select("session", "turn", "text", listed("chunks"), listed("cited"), "n_events", "outcome", "whole")
