@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.functions import text as T
+from tessera.operators import changes as G
 from tessera.operators import layout as L
 from tessera.operators import library as B
 from tessera.operators import retrieval as R
 from tessera.plans.graph import kmeans_sql, seeds_sql
 from tessera.plans.registry import query
-from tessera.sources import sinks
+from tessera.sources import pages, sinks
 from tessera.sources.scratch import new_path
 from tessera.sources.vault import DOCS_SQL, Vault, files, table
 
@@ -291,3 +292,84 @@ def text_files(spark, d):
     rows.select(F.col("id").cast("string").alias("id"), "text").write.option("lineSep", "\u0001").partitionBy("id").text(root)
     found = files(spark, f"{root}/*")
     return found.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("long").alias("id"), F.rtrim(F.col("source"), F.lit("\u0001")).alias("source"))
+
+
+@query(
+    f"""SELECT page, min(id) AS first, max(id) AS last, count(DISTINCT id) AS n_documents, count(e.vec_id) AS n_vectors FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 5 AS page FROM {DOCS_SQL} WHERE status = 'ready') d
+LEFT JOIN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL) e ON e.vec_id = d.id GROUP BY page"""
+)
+def paged_scan(spark, d):
+    """Pages of five ready documents in the order of ids, with how many vectors each page's documents have; all pages at once."""
+    v = Vault(spark, d)
+    rows = pages.paged(v.searchable().select("id"), ["id"], 5)
+    vectors = v.all_vectors().where("embedding IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"))
+    return rows.join(vectors, "id", "left").groupBy("page").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_vectors"))
+
+
+# Lines of orders as changes: by flag and quantity they make, delete or patch; one without discount is asked for by another user.
+_LOG = """log AS (SELECT CASE WHEN l_discount = 0 THEN l_suppkey % 25 ELSE c_nationkey END AS "user", l_orderkey AS id, o_custkey AS board, epoch_us(l_shipdate) + l_linenumber::BIGINT * 1000000000 + l_partkey AS ts,
+  CASE WHEN l_quantity <= 40 THEN 'update' WHEN l_returnflag = 'R' THEN 'delete' WHEN l_returnflag = 'A' THEN 'create' ELSE 'update' END AS op, l_linestatus = 'O' AS first, l_tax > 0.04 AS second,
+  'part ' || l_partkey AS title, CASE WHEN l_tax >= 0.03 THEN 'p' || l_linenumber END AS note, l_returnflag AS flag, l_extendedprice AS price FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey)"""
+
+
+def _log(spark, d):
+    orders, customers = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    rows = table(spark, d, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(customers, F.col("c_custkey") == F.col("o_custkey"))
+    big, flag = F.col("l_quantity") > 40, F.col("l_returnflag")
+    return rows.select(
+        F.when(F.col("l_discount") == 0, F.col("l_suppkey") % 25).otherwise(F.col("c_nationkey")).cast("long").alias("user"),
+        F.col("l_orderkey").alias("id"),
+        F.col("o_custkey").alias("board"),
+        (F.unix_micros(F.col("l_shipdate").cast("timestamp")) + F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("at"),
+        F.when(big & (flag == "R"), "delete").when(big & (flag == "A"), "create").otherwise("update").alias("op"),
+        (F.col("l_linestatus") == "O").alias("first"),
+        (F.col("l_tax") > 0.04).alias("second"),
+        F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"),
+        F.when(F.col("l_tax") >= 0.03, F.concat(F.lit("p"), F.col("l_linenumber").cast("string"))).alias("note"),
+        flag.alias("flag"),
+        F.col("l_extendedprice").alias("price"),
+    )
+
+
+def _orders(spark, d):
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("user"))
+    return table(spark, d, "orders").join(customers, "o_custkey").withColumn("title", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")))
+
+
+def _given(first, second, third):
+    names = lambda xs: F.array(*[F.lit(x) for x in xs])
+    return F.when(F.col("first"), names(first)).when(F.col("second"), names(second)).otherwise(names(third))
+
+
+@query(
+    f"""WITH {_LOG}, f AS (SELECT "user", id, max(ts) FILTER (WHERE op = 'create') AS made, max(ts) FILTER (WHERE op = 'delete') AS gone,
+  arg_max({{'v': title}}, ts) FILTER (WHERE op = 'create' OR (op = 'update' AND NOT first)) AS t, arg_max({{'v': CASE WHEN op = 'create' THEN coalesce(note, 'medium') ELSE note END}}, ts) FILTER (WHERE op = 'create' OR (op = 'update' AND NOT first AND second)) AS p,
+  arg_max({{'v': flag = 'N', 'ts': CASE WHEN flag = 'N' THEN ts END}}, ts) FILTER (WHERE op = 'create' OR (op = 'update' AND first)) AS c FROM log GROUP BY ALL),
+b AS (SELECT c_nationkey AS "user", o_orderkey AS id, 'order ' || o_orderkey AS title, o_orderpriority AS priority, o_orderstatus = 'F' AS completed, CASE WHEN o_orderstatus = 'F' THEN epoch_us(o_orderdate) END AS completed_at FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT "user", id, CASE WHEN t IS NULL THEN title ELSE t.v END AS title, CASE WHEN p IS NULL THEN priority ELSE p.v END AS priority, CASE WHEN c IS NULL THEN completed ELSE c.v END AS completed, CASE WHEN c IS NULL THEN completed_at ELSE c.ts END AS completed_at
+FROM b FULL JOIN f USING ("user", id) WHERE CASE WHEN made IS NOT NULL THEN gone IS NULL OR made > gone ELSE gone IS NULL AND title IS NOT NULL END"""
+)
+def changed_todos(spark, d):
+    """To-dos after all users' changes: made, patched, completed, reopened and deleted."""
+    todos = _orders(spark, d).select("user", F.col("o_orderkey").alias("id"), "title", F.col("o_orderpriority").alias("priority"), (F.col("o_orderstatus") == "F").alias("completed"), F.when(F.col("o_orderstatus") == "F", F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("completed_at"))
+    log = _log(spark, d).select("user", "id", "at", "op", "title", F.col("note").alias("priority"), (F.col("flag") == "N").alias("completed"), _given(["completed"], ["title", "priority"], ["completed_at", "title"]).alias("given"))
+    return G.changed_todos(todos, log)
+
+
+@query(
+    f"""WITH {_LOG}, own AS (SELECT log.* FROM log SEMI JOIN customer ON c_custkey = board AND c_nationkey = "user" WHERE op = 'create' UNION ALL SELECT * FROM log WHERE op <> 'create'),
+f AS (SELECT "user", id, max(ts) FILTER (WHERE op = 'create') AS made, max(ts) FILTER (WHERE op = 'delete') AS gone, max(board) FILTER (WHERE op = 'create') AS made_on,
+  arg_max({{'v': flag}}, ts) FILTER (WHERE op = 'create' OR (op = 'update' AND first)) AS l, arg_max({{'v': title}}, ts) FILTER (WHERE op = 'create' OR (op = 'update' AND NOT first)) AS t,
+  arg_max({{'v': note}}, ts) FILTER (WHERE op = 'create' OR (op = 'update' AND NOT first AND second)) AS n, arg_max({{'v': CASE WHEN op <> 'create' THEN price END}}, ts) FILTER (WHERE op = 'create' OR (op = 'update' AND first)) AS p FROM own GROUP BY ALL),
+b AS (SELECT c_nationkey AS "user", o_orderkey AS id, o_custkey AS board, o_orderstatus AS lane, 'order ' || o_orderkey AS title, o_orderpriority AS description, o_totalprice AS position FROM orders JOIN customer ON c_custkey = o_custkey),
+r AS (SELECT "user", id, coalesce(made_on, board) AS board, CASE WHEN l IS NULL THEN lane ELSE l.v END AS lane, CASE WHEN t IS NULL THEN title ELSE t.v END AS title, CASE WHEN n IS NULL THEN description ELSE n.v END AS description,
+  CASE WHEN p IS NULL THEN position ELSE p.v END AS position, made FROM b FULL JOIN f USING ("user", id) WHERE CASE WHEN made IS NOT NULL THEN gone IS NULL OR made > gone ELSE gone IS NULL AND board IS NOT NULL END),
+e AS (SELECT *, max(position) OVER w AS last, row_number() OVER (PARTITION BY "user", board, lane, position IS NULL ORDER BY made, id) AS nth FROM r WINDOW w AS (PARTITION BY "user", board, lane))
+SELECT "user", id, board, lane, title, description, CASE WHEN position IS NULL THEN coalesce(last + 1000.0::DOUBLE, 0.0::DOUBLE) + 1000.0::DOUBLE * (nth - 1) ELSE position END AS position FROM e"""
+)
+def changed_cards(spark, d):
+    """Boards after all users' changes: cards made on one's own boards, patched, moved and deleted."""
+    cards = _orders(spark, d).select("user", F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("board"), F.col("o_orderstatus").alias("lane"), "title", F.col("o_orderpriority").alias("description"), F.col("o_totalprice").alias("position"))
+    log = _log(spark, d).select("user", "id", "at", "op", "board", F.col("flag").alias("lane"), "title", F.col("note").alias("description"), F.col("price").alias("position"), _given(["lane", "position"], ["title", "description", "board"], ["title"]).alias("given"))
+    boards = table(spark, d, "customer").select(F.col("c_custkey").alias("board"), F.col("c_nationkey").cast("long").alias("user"))
+    return G.changed_cards(cards, log, boards)
