@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.ordering import numbered
+from tessera.sources.scratch import stash
 
 #: Between a column's last card and the next one.
 GAP = 1000.0
@@ -67,7 +68,8 @@ def changed_cards(cards: DataFrame, changes: DataFrame, boards: DataFrame) -> Da
     made = changes.where("op = 'create'").join(own, ["board", "user"], "left_semi").withColumn("position", F.lit(None).cast("double"))
     fixed = F.concat(F.array(F.lit("board"), F.lit("user")), *[F.when(F.col(c).isNull(), F.array(F.lit(c))).otherwise(F.array().cast("array<string>")) for c in ("lane", "title", "position")])
     rest = changes.where("op <> 'create'").withColumn("given", F.array_except("given", fixed))
-    rows = changed(cards.withColumn("made", F.lit(None).cast(changes.schema["at"].dataType)), made.unionByName(rest).withColumn("made", F.col("at")), ["user", "id"])
+    folded = changed(cards.withColumn("made", F.lit(None).cast(changes.schema["at"].dataType)), made.unionByName(rest).withColumn("made", F.col("at")), ["user", "id"])
+    rows = stash(folded, "cards")  # read for lanes' ends, for new cards and for the others
     lane = ["user", "board", "lane"]
     new = F.col("position").isNull() & F.col("made").isNotNull()
     ends = rows.where("position IS NOT NULL").groupBy(*lane).agg(F.max("position").alias("_end"))
