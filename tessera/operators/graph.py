@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
+from tessera.functions.joins import fits, small
 from tessera.functions.vectors import matrix
 from tessera.sources.scratch import stash
 
 EXPLICIT_WEIGHT, RENDER_FLOOR, RECLUSTER_AT = 5.0, 1.5, 10
 PAIR_BLOCK = 1000  # chunks of a turn on one side of a block of pairs, about
+TASK_ROWS = 1_000_000  # rows, or pairs, that a task sums up at once, about
 
 
 def centroids(rows: DataFrame, key: str) -> DataFrame:
@@ -200,17 +203,27 @@ def project_3d(rows: DataFrame) -> DataFrame:
     return found.select("id", *[vector_to_array(F.col("p"))[i].alias(n) for i, n in enumerate("xyz")])
 
 
+def _tasks(rows: DataFrame, n: int) -> int:
+    """How many tasks n rows are summed up in: as many as run at once, or more, so that none has more than about TASK_ROWS."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / TASK_ROWS))
+
+
 def co_retrieval(retrieved: DataFrame) -> DataFrame:
     """(a, b, weight, turns, last): pairs of chunks that a turn retrieved together; retrieved: (turn, chunk, ts).
 
     Chunks meet in blocks of about PAIR_BLOCK by PAIR_BLOCK, one for nearly every turn; a turn with more is a grid of them, over as many tasks.
+    Hardly a row or pair comes twice within a task, so what a task holds is as large as its share: both are counted, and dealt over tasks of TASK_ROWS.
     """
-    rows = retrieved.groupBy("turn", "chunk").agg(F.max("ts").alias("ts"))
-    turns = rows.groupBy("turn").agg(F.max("ts").alias("ts"), F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    held = stash(retrieved.select("turn", "chunk", "ts"), "retrieved")
+    rows = stash(held.repartition(_tasks(held, held.count()), "turn", "chunk").groupBy("turn", "chunk").agg(F.max("ts").alias("ts")), "retrieved")
+    turns = stash(rows.groupBy("turn").agg(F.max("ts").alias("ts"), F.count("*").alias("n")), "turns")
+    n = turns.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0]
+    tasks = _tasks(rows, int(n or 0))
+    turns = turns.select("turn", "ts", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks"))
     rows = rows.select("turn", "chunk").join(turns, "turn").withColumn("own", F.pmod(F.xxhash64("chunk"), "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.select("turn", F.col("own").alias("i"), every.alias("j"), "ts", F.col("chunk").alias("a"))
-    right = rows.select("turn", every.alias("i"), F.col("own").alias("j"), F.col("chunk").alias("b"))
+    left = rows.select("turn", F.col("own").alias("i"), every.alias("j"), "ts", F.col("chunk").alias("a")).repartition(tasks, "turn", "i", "j")
+    right = rows.select("turn", every.alias("i"), F.col("own").alias("j"), F.col("chunk").alias("b")).repartition(tasks, "turn", "i", "j")
     pairs = left.join(right, ["turn", "i", "j"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"), F.count("*").alias("turns"), F.max("ts").alias("last"))
 
@@ -235,10 +248,11 @@ def document_links(edges: DataFrame, owner: DataFrame, floor: float = RENDER_FLO
 
 
 def touching(edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Edges with either end among chunks (chunk), each once."""
+    """Edges with either end among chunks (chunk), each once; edges are made once for both ends."""
     ends = chunks.select("chunk").distinct()
-    near = lambda x: edges.join(ends, edges[x] == ends["chunk"], "left_semi")
-    return near("a").unionByName(near("b")).distinct()
+    of = lambda x: small(ends.select(F.col("chunk").alias(x), F.lit(True).alias(f"_{x}")), known)
+    known = fits(ends)
+    return edges.join(of("a"), "a", "left").join(of("b"), "b", "left").where("_a OR _b").select(*edges.columns)
 
 
 def brightness(edges: DataFrame) -> DataFrame:

@@ -117,3 +117,30 @@ def test_components_in_three_dimensions(spark):
     _, _, vt = np.linalg.svd(c, full_matrices=False)
     want = c @ vt[:3].T
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+
+
+def test_pairs_are_dealt_over_tasks_by_their_number_and_edges_made_once(spark, monkeypatch):
+    rows = [(t, (t * 7 + i * (t % 3 + 1)) % 50, i) for t in range(90) for i in range(12)] + [(200, 1, 0), (201, None, 0), (201, 4, 0), (201, 5, 0)]
+    retrieved = spark.createDataFrame(rows, "turn int, chunk int, i int").withColumn("ts", F.timestamp_seconds(F.col("turn") * 100 + F.col("i")))
+    found = {}
+    for t, c, i in rows:
+        found.setdefault(t, {}).setdefault(c, []).append(t * 100 + i)
+    want = {}
+    for t, chunks in found.items():
+        last = max(max(v) for v in chunks.values())
+        for a in chunks:
+            for b in chunks:
+                if a is not None and b is not None and a < b:
+                    n, at = want.get((a, b), (0, 0))
+                    want[(a, b)] = (n + 1, max(at, last))
+    for most in (G.TASK_ROWS, 10):
+        monkeypatch.setattr(G, "TASK_ROWS", most)
+        edges = G.co_retrieval(retrieved)
+        assert {(r["a"], r["b"]): (r["turns"], r["last"]) for r in edges.select("a", "b", "turns", F.unix_seconds("last").alias("last")).collect()} == want
+    pairs = sum(len(v) * (len(v) - 1) // 2 for v in found.values())
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert pairs // 10 > 500 and plan.count(f", {-(-pairs // 10)}), REPARTITION_BY_NUM") == 2, plan
+    near = G.touching(edges.select("a", "b", "turns"), spark.createDataFrame([(3,), (3,), (49,), (None,)], "chunk int"))
+    got = [(r["a"], r["b"], r["turns"]) for r in near.collect()]
+    assert sorted(got) == sorted((a, b, n) for (a, b), (n, _) in want.items() if {a, b} & {3, 49})
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [a") == 1
