@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,21 +70,93 @@ def runs(rows: DataFrame, keys: list[str], order: list[str], name: str, step: Ca
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(number, schema)
 
 
+def _numbers(column: pa.Array, null: float) -> np.ndarray:
+    return column.fill_null(null).to_numpy(zero_copy_only=False)
+
+
+def _whole_lines(rows: pa.Table, starts: list[int], numbers: list[int], typical: list[float], names: list[str]) -> pa.RecordBatch:
+    """Words (page, side, top, x0, x1, bottom, size, width, height, text) as a row a line; a line's least and greatest values leave nulls out, as Spark's do."""
+    rows = rows.combine_chunks()
+    column = lambda name: rows.column(name).combine_chunks()
+    at = np.asarray(starts, np.int64)
+    own = np.repeat(np.arange(len(at)), np.diff([*starts, len(rows)]))
+    order = np.lexsort((_numbers(column("top"), -np.inf), _numbers(column("x0"), -np.inf), own))  # words alike in both stay in the order of their text
+    text = column("text").take(pa.array(order))
+    there = text.is_valid().to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(there, at, dtype=np.int64))]).astype(np.int32)
+    content = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), text.drop_null()), " ")
+
+    def fold(name: str, least: bool) -> pa.Array:
+        v = np.fmin.reduceat(_numbers(column(name), np.nan), at) if least else np.maximum.reduceat(_numbers(column(name), -np.inf), at)
+        none = np.add.reduceat(column(name).is_valid().to_numpy(zero_copy_only=False), at, dtype=np.int64) == 0
+        return pa.array(v, mask=none)
+
+    first = lambda name: column(name).take(pa.array(at))
+    held = [first("page"), pa.array(numbers, pa.int32()), content, fold("x0", True), fold("top", True), fold("x1", False), fold("bottom", False), fold("size", False), first("width"), first("height"), pa.array(typical, pa.float64())]
+    return pa.RecordBatch.from_arrays(held, names=names).filter(pc.equal(first("side"), 1))
+
+
+def _in_lines(names: list[str]):
+    """Rows sorted by page, side (0: the page's typical size, 1: a word) and place; a task holds the words of a batch and of the line that it leaves open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_rows, open_line, now = [], None, ()  # the open line's number, first top and page's typical size
+        for b in filter(len, batches):
+            pages = b.column(0).dictionary_encode("encode").indices.to_numpy()
+            new = np.concatenate([[(b.column(0)[0].as_py(),) != now], pages[1:] != pages[:-1]])
+            now = (b.column(0)[b.num_rows - 1].as_py(),)
+            number, first, typical = open_line or (-1, 0.0, 0.0)
+            starts, lines = [], []
+            side, tops = b.column(1).to_numpy(), _numbers(b.column(2), np.nan)
+            bucket = np.rint(tops / LINE_GAP)
+            cuts = np.flatnonzero(np.concatenate([[True], (new[1:] | (side[1:] != side[:-1]) | (bucket[1:] != bucket[:-1]))]))  # words between cuts are hardly ever told apart
+            least, most = np.minimum.reduceat(tops, cuts).tolist(), np.maximum.reduceat(tops, cuts).tolist()
+            for lo, hi, low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(b)], least, most, strict=True):
+                if new[lo] or number < 0:
+                    if new[lo]:
+                        number, typical = int(side[lo]) - 1, 0.0 if side[lo] else b.column(6)[lo].as_py()
+                    else:
+                        number = 0
+                    first = float(tops[lo])
+                    starts.append(lo)
+                    lines.append((number, first, typical))
+                if abs(low - first) > LINE_GAP or abs(high - first) > LINE_GAP:
+                    for i, top in enumerate(tops[lo:hi].tolist(), lo):
+                        if abs(top - first) > LINE_GAP:
+                            number, first = number + 1, top
+                            starts.append(i)
+                            lines.append((number, first, typical))
+            if starts:
+                before = sum(map(len, open_rows))
+                done = [*([(0, open_line)] if before else []), *((before + i, line) for i, line in zip(starts[:-1], lines[:-1], strict=True))]
+                rows = [*open_rows, b.slice(0, starts[-1])]
+                if done:
+                    yield _whole_lines(pa.Table.from_batches(rows), [i for i, _ in done], [x[0] for _, x in done], [x[2] for _, x in done], names)
+                open_rows, open_line = [b.slice(starts[-1])], lines[-1]
+            else:
+                open_rows.append(b)
+        if open_rows:
+            yield _whole_lines(pa.Table.from_batches(open_rows), [0], [open_line[0]], [open_line[2]], names)
+
+    return run
+
+
 def page_lines(words: DataFrame, page: str = "page") -> DataFrame:
     """(page, line, content, x0, top, x1, bottom, region_type): words (page, text, x0, top, x1, bottom, size, width, height) in lines.
 
     A word more than 4 below or above its line's first word begins a new line. Boxes are shares of the page. A caption's pattern
-    comes before a footnote's small type at the foot, and that before a heading's large type.
+    comes before a footnote's small type at the foot, and that before a heading's large type. Words are shuffled once, each page's
+    typical size goes ahead of them, and tasks stream through them and give out whole lines.
     """
-    rows = words.withColumn("bucket", F.bround(F.col("top") / LINE_GAP))
-    rows = runs(rows, [page], ["bucket", "x0", "top"], "line", lambda first, w: ((w[0],), True) if first is None or abs(w[0] - first[0]) > LINE_GAP else (first, False), ["top"])
-    typical = words.where("size > 0").groupBy(page).agg(F.median("size").alias("typical"))
-    placed = F.array_sort(F.collect_list(F.struct("x0", "top", "text")))
-    lines = rows.groupBy(page, "line").agg(
-        F.trim(F.array_join(F.transform(placed, lambda w: w["text"]), " ")).alias("content"),
-        *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "top"), (F.max, "x1"), (F.max, "bottom"), (F.max, "size"), (F.first, "width"), (F.first, "height"))],
-    )
-    lines = lines.where("content <> ''").join(typical, page, "left").withColumn("typical", F.coalesce("typical", F.lit(0.0)))
+    numbers = ["top", "x0", "x1", "bottom", "size", "width", "height"]
+    rows = words.select(F.col(page).alias("page"), F.lit(1).alias("side"), *[F.col(c).cast("double").alias(c) for c in numbers], F.col("text").cast("string").alias("text"), F.bround(F.col("top") / LINE_GAP).cast("double").alias("bucket"))
+    sizes = words.where("size > 0").where(F.col(page).isNotNull()).groupBy(F.col(page).alias("page"), F.col("size").cast("double").alias("size")).agg(F.count("*").alias("n"))
+    typical = sizes.groupBy("page").agg(F.percentile("size", F.lit(0.5), F.col("n")).alias("size")).withColumn("side", F.lit(0))
+    placed = rows.unionByName(typical, allowMissingColumns=True).repartition("page").sortWithinPartitions("page", "side", "bucket", "x0", "top", "text").drop("bucket")
+    names = [page, "line", "content", "x0", "top", "x1", "bottom", "size", "width", "height", "typical"]
+    kind = rows.schema["page"].dataType.simpleString()
+    lines = placed.mapInArrow(_in_lines(names), f"`{page}` {kind}, line int, content string, " + ", ".join(f"{c} double" for c in names[3:]))
+    lines = lines.withColumn("content", F.trim("content")).where("content <> ''")
     size = F.coalesce("size", F.lit(0.0))
     heading = (F.col("typical") > 0) & (size >= F.col("typical") * HEADING_SIZE) & (F.length("content") <= HEADING_CHARS)
     foot = (F.col("top") > F.col("height") * FOOT) & (size > 0) & (size < F.col("typical") * FOOT_SIZE)

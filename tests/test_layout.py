@@ -136,3 +136,49 @@ def test_every_block_of_the_pages_is_a_region(spark, sf):
         want.update((r["page_id"], {"p": "paragraph", "li": "list", "h1": "heading"}[tag], " ".join(text.split())) for tag, text in p.found if text.strip())
     got = Counter((r["page_id"], r["region_type"], " ".join(r["content"].split())) for r in L.html_regions(pages).collect())
     assert got == want and sum(n for (_, kind, _), n in got.items() if kind == "list") > 100
+
+
+def test_lines_of_many_pages_are_those_of_a_plain_version_and_words_are_shuffled_once(spark):
+    import random
+    import re
+    from statistics import median
+
+    rng = random.Random(5)
+    words = []
+    for page in [*"abcdefgh", None]:
+        for _ in range(rng.choice([1, 30, 400])):
+            top = rng.choice([rng.randrange(0, 900), rng.randrange(0, 60), 2.0 + 4 * rng.randrange(0, 200)])
+            x0 = rng.choice([None, *range(0, 600, 40)])
+            words.append((page, rng.choice(["a", "b", "Figure", "7", " ", "", None, "né"]), x0, float(top), None if x0 is None else x0 + 30.0, top + 10.0, rng.choice([None, 0.0, 6.0, 10.0, 20.0]), 600.0, 1000.0))
+    words = [(p, t, None if x is None else float(x), *more) for p, t, x, *more in words]
+    want = []
+    for page in {w[0] for w in words}:
+        low = lambda v: (v is not None, v)
+        own = sorted((w for w in words if w[0] == page), key=lambda w: (round(w[3] / 4), low(w[2]), w[3]))
+        lines = []
+        for w in own:
+            if not lines or abs(w[3] - lines[-1][0][3]) > 4:
+                lines.append([])
+            lines[-1].append(w)
+        sizes = [w[6] for w in own if w[6]]
+        typical = median(sizes) if sizes and page else 0
+        for n, line in enumerate(lines):
+            content = " ".join(w[1] for w in sorted(line, key=lambda w: (low(w[2]), w[3], low(w[1]))) if w[1] is not None).strip(" ")
+            most = lambda i, f: f([w[i] for w in line if w[i] is not None], default=None)  # noqa: B023, E731
+            size, top = most(6, max) or 0, most(3, min)
+            kind = "caption" if re.match(r"Figure\s+7", content) else "footnote" if top > 860 and 0 < size < typical * 0.9 else "heading" if typical and size >= typical * 1.25 else "paragraph"
+            if content:
+                share = lambda v, whole: min(1.0, max(0.0, v / whole)) if v is not None else 0.0
+                want.append((page, n, content, share(most(2, min), 600), top / 1000, 1.0 if most(4, max) is None else share(most(4, max), 600), kind))
+    schema = "page string, text string, x0 double, top double, x1 double, bottom double, size double, width double, height double"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        lines = S.page_lines(spark.createDataFrame(words, schema))
+        got = [(r["page"], r["line"], r["content"], r["x0"], r["top"], r["x1"], r["region_type"]) for r in lines.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    key = lambda r: (r[0] or "", r[1])
+    bad = [(g, w) for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True) if (g[:3], g[4], g[6]) != (w[:3], w[4], w[6])]
+    assert len({w[6] for w in want}) >= 3 and not bad, bad[:3]
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan
