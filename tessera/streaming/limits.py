@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,29 +15,40 @@ from tessera.operators.ops import admit
 from tessera.sources.scratch import new_path
 
 
+BUCKETS = 4096  # of keys, by hash: a call of Python and a row of state are for a bucket
+
+
 def rate_limit_stream(requests: DataFrame, limit: int, window: float) -> DataFrame:
     """A stream of (key, id, at) with allowed; at: seconds since 1970. A key's state is its log of accepted times, at most `limit` numbers, and leaves once the stream's time has passed the last of them by the window.
 
-    Batches must come in time order, and a row later than a window behind the stream's time is dropped, as is one without a time or from before 1970; of one batch a task sorts
-    a key's (time, id) pairs, which bounds how large a batch may be: set maxFilesPerTrigger where a key may be hot.
+    Keys share calls and rows of state by BUCKETS, as a call a key costs more than the key's work. Batches must come in time order, and a row later than a window behind the stream's time is dropped,
+    as is one without a time or from before 1970; of one batch a task sorts a bucket's rows, which bounds how large a batch may be: set maxFilesPerTrigger where a key may be hot.
     """
     span = int(window * 1e6)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def run(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        log, passed = {}, state.getCurrentWatermarkMs()
+        if state.exists:
+            keys, sizes, times = state.get
+            ends = list(accumulate(sizes))
+            log = {k: deque(times[end - n : end]) for k, n, end in zip(keys, sizes, ends, strict=True)}
+        if not state.hasTimedOut:
+            held = pd.concat(list(frames), ignore_index=True).sort_values(["key", "at", "id"])
+            for lo in range(0, len(held), 10_000):
+                part = held.iloc[lo : lo + 10_000]
+                allowed = [admit(log.setdefault(k, deque()), at, limit, window)[0] for k, at in zip(part["key"].tolist(), part["at"].tolist(), strict=True)]
+                yield pd.DataFrame({"key": part["key"], "id": part["id"], "allowed": allowed})
+        until = {k: int((hits[-1] + window) * 1000) + 1 for k, hits in log.items() if hits}
+        log = {k: log[k] for k, end in until.items() if end > passed}
+        if log:
+            state.update((list(log), [len(hits) for hits in log.values()], [t for hits in log.values() for t in hits]))
+            state.setTimeoutTimestamp(max(min(until[k] for k in log), passed + 1))
+        elif state.exists:
             state.remove()
-            return
-        hits = deque(state.get[0] if state.exists else [])
-        held = sorted(((at, i) for f in frames for at, i in zip(f["at"].tolist(), f["id"].tolist(), strict=True)))
-        for lo in range(0, len(held), 10_000):
-            part = held[lo : lo + 10_000]
-            yield pd.DataFrame({"key": key[0], "id": [i for _, i in part], "allowed": [admit(hits, at, limit, window)[0] for at, _ in part]})
-        state.update((list(hits),))
-        last = hits[-1] if hits else held[-1][0]
-        state.setTimeoutTimestamp(max(int((last + window) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-
-    timed = requests.select("key", "id", "at", F.timestamp_micros((F.col("at") * 1e6).cast("long")).alias("ts")).where("at IS NOT NULL").withWatermark("ts", f"{span} microseconds")
-    return timed.groupBy("key").applyInPandasWithState(run, "key string, id long, allowed boolean", "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).alias("bucket")
+    timed = requests.select(bucket, "key", "id", "at", F.timestamp_micros((F.col("at") * 1e6).cast("long")).alias("ts")).where("at IS NOT NULL").withWatermark("ts", f"{span} microseconds")
+    return timed.groupBy("bucket").applyInPandasWithState(run, "key string, id long, allowed boolean", "keys array<string>, sizes array<int>, hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expired_leases(beats: DataFrame, lease: float, late: float = 0.0) -> DataFrame:

@@ -1,5 +1,6 @@
 """State that leaves, and leases that run out, in streams of several batches."""
 
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -38,3 +39,19 @@ def test_leases_that_heartbeats_renew_and_that_run_out(spark):
     _, got = _run(limits.expired_leases(beats, 10.0), root)
     found = {(r["job"], str(r["since"])[-5:], str(r["until"])[-5:], r["beats"]) for r in got}
     assert found == {("a", "00:00", "00:25", 3), ("b", "00:00", "00:19", 2), ("b", "01:40", "01:50", 1)}  # a's last lease is still held
+
+
+def test_many_keys_share_calls_and_rows_of_state(spark, monkeypatch):
+    monkeypatch.setattr(limits, "BUCKETS", 3)
+    rng = random.Random(2)
+    keys = [*(f"k{i}" for i in range(40)), None]
+    rows = [[(rng.choice(keys), n * 1000 + i, 100 + n * 30.0 + i / 10) for i in range(300)] for n in range(3)]
+    stream, root = _batches(spark, rows, "key string, id long, at double")
+    progress, got = _run(limits.rate_limit_stream(stream, 2, 20.0), root)
+    log, want = {}, {}
+    for k, i, at in (r for part in rows for r in part):
+        hits = [h for h in log.get(k, []) if at - h < 20.0]
+        want[i] = (k, len(hits) < 2)
+        log[k] = [*hits, at] if len(hits) < 2 else hits
+    assert {r["id"]: (r["key"], r["allowed"]) for r in got} == want and len(got) == 900
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) <= 3
