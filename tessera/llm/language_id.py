@@ -93,12 +93,17 @@ def _scores(t: Tagger, w: _words.Words) -> np.ndarray:
     return out
 
 
+def _potentials(t: Tagger, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the start, of moves, and of words for their scores."""
+    e = scores.astype(np.float64)
+    e = np.exp(e - e.max(1, keepdims=True))
+    return np.exp(t.start - t.start.max()), np.exp(t.moves - t.moves.max()), np.maximum(e, 1e-30)
+
+
 def _posteriors(t: Tagger, lay: _chains.Layout, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By time: the labels' posteriors, and the expected moves."""
-    e = scores[lay.at].astype(np.float64)
-    e = np.exp(e - e.max(1, keepdims=True))
-    start = np.broadcast_to(np.exp(t.start - t.start.max()), (len(lay.order), len(t.labels)))
-    p, _, moves = _chains.forward_backward(lay, start, np.exp(t.moves - t.moves.max()), np.maximum(e, 1e-30))
+    start, move, e = _potentials(t, scores[lay.at])
+    p, _, moves = _chains.forward_backward(lay, np.broadcast_to(start, (len(lay.order), len(t.labels))), move, e)
     return p, moves
 
 
@@ -231,9 +236,7 @@ def _judged(t: Tagger, texts: pa.Array) -> Iterator[Judged]:
             if not _LETTER[own[own < 128]].any() and not _ANY_LETTER.search(texts[i + int(k)].as_py()):
                 letters[k] = False
         if len(w.start) and t.labels:
-            lay = _chains.layout(w.first)
-            p = np.empty((len(w.start), len(t.labels)))
-            p[lay.at] = _posteriors(t, lay, _scores(t, w))[0]
+            p = _chains.posteriors(w.first, *_potentials(t, _scores(t, w)))
             ink = np.concatenate([[0], np.cumsum(_LETTER[w.data])])
             weight = (ink[w.end] > ink[w.start]).astype(float)
             counted = np.bincount(doc, weight, n)

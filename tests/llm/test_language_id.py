@@ -197,3 +197,23 @@ def test_the_threshold_counts_from_chance(spark):
         kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
         assert kept == {i for i, *_ in known} | {1001 + k for k in range(len(langs))}
     assert abs(L.least_score(4, corpus_pipeline.LANGUAGE_MARGIN) - corpus_pipeline.LEAST_LANGUAGE_SCORE) < 1e-9
+
+
+def test_long_texts_take_few_steps_with_the_posteriors_of_whole_chains(monkeypatch):
+    rng = np.random.default_rng(8)
+    for k in (1, 4, 17):  # beyond PRODUCT_LABELS without products
+        first = np.cumsum([0, 3, 0, 700, 128, 129, 64, 1, 5000, 0])
+        start, move, e = rng.random(k), np.exp(-9 * rng.random((k, k))), np.maximum(np.exp(-40 * rng.random((first[-1], k))), 1e-30)
+        e[200:400, 0] = 1e-30
+        lay = _chains.layout(first)
+        want = np.empty_like(e)
+        want[lay.at] = _chains.forward_backward(lay, np.broadcast_to(start, (len(first) - 1, k)), move, e[lay.at])[0]
+        assert np.allclose(_chains.posteriors(first, start, move, e), want, rtol=0, atol=1e-9)
+    laid, plain = [], _chains.layout
+    monkeypatch.setattr(_chains, "layout", lambda f: laid.append(plain(f)) or laid[-1])
+    words = random.Random(4)
+    tagger = L.fit([(lang, _text(words, lang, 20)) for lang in WORDS for _ in range(9)], L.Settings())
+    laid.clear()
+    [g] = L._judged(tagger, pa.array([_text(words, "aa", 20_000), "bado dobi"]))
+    assert g.words.counts.tolist() == [20_000, 2] and tagger.labels[g.best[0]] == "aa"
+    assert sum(len(x.alive) for x in laid) < 500  # one step a word was 20,000
