@@ -203,7 +203,7 @@ def project_3d(rows: DataFrame) -> DataFrame:
     return found.select("id", *[vector_to_array(F.col("p"))[i].alias(n) for i, n in enumerate("xyz")])
 
 
-def _tasks(rows: DataFrame, n: int) -> int:
+def tasks_for(rows: DataFrame, n: int) -> int:
     """How many tasks n rows are summed up in: as many as run at once, or more, so that none has more than about TASK_ROWS."""
     return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / TASK_ROWS))
 
@@ -212,27 +212,29 @@ def co_retrieval(retrieved: DataFrame) -> DataFrame:
     """(a, b, weight, turns, last): pairs of chunks that a turn retrieved together; retrieved: (turn, chunk, ts).
 
     Chunks meet in blocks of about PAIR_BLOCK by PAIR_BLOCK, one for nearly every turn; a turn with more is a grid of them, over as many tasks.
-    Hardly a row or pair comes twice within a task, so what a task holds is as large as its share: both are counted, and dealt over tasks of TASK_ROWS.
+    Hardly a row or pair comes twice within a task, so what a task holds is as large as its share: both are counted, and dealt over tasks of TASK_ROWS
+    wherever they meet. Pairs are summed up by twice as many tasks, since a sum holds its pairs twice.
     """
     held = stash(retrieved.select("turn", "chunk", "ts"), "retrieved")
-    rows = stash(held.repartition(_tasks(held, held.count()), "turn", "chunk").groupBy("turn", "chunk").agg(F.max("ts").alias("ts")), "retrieved")
+    dealt = tasks_for(held, held.count())
+    rows = stash(held.repartition(dealt, "turn", "chunk").groupBy("turn", "chunk").agg(F.max("ts").alias("ts")), "retrieved").repartition(dealt, "turn")
     turns = stash(rows.groupBy("turn").agg(F.max("ts").alias("ts"), F.count("*").alias("n")), "turns")
     n = turns.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0]
-    tasks = _tasks(rows, int(n or 0))
-    turns = turns.select("turn", "ts", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks"))
+    tasks = tasks_for(rows, int(n or 0))
+    turns = turns.select("turn", "ts", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks")).repartition(dealt, "turn")
     rows = rows.select("turn", "chunk").join(turns, "turn").withColumn("own", F.pmod(F.xxhash64("chunk"), "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = rows.select("turn", F.col("own").alias("i"), every.alias("j"), "ts", F.col("chunk").alias("a")).repartition(tasks, "turn", "i", "j")
     right = rows.select("turn", every.alias("i"), F.col("own").alias("j"), F.col("chunk").alias("b")).repartition(tasks, "turn", "i", "j")
-    pairs = left.join(right, ["turn", "i", "j"]).where("a < b")
+    pairs = left.join(right, ["turn", "i", "j"]).where("a < b").select("a", "b", "ts").repartition(2 * tasks, "a", "b")
     return pairs.groupBy("a", "b").agg(F.count("*").cast("double").alias("weight"), F.count("*").alias("turns"), F.max("ts").alias("last"))
 
 
 def link_explicitly(edges: DataFrame, links: DataFrame) -> DataFrame:
-    """Explicit links (a, b) over edges: weight 5, count 0, overwriting what co-retrieval had."""
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    made = links.join(edges.select("a", "b", "last"), ["a", "b"], "left").select("a", "b", F.lit(EXPLICIT_WEIGHT).alias("weight"), F.lit(0).cast("long").alias("turns"), "last", F.lit(True).alias("explicit"))
-    return edges.withColumn("explicit", F.lit(False)).join(links, ["a", "b"], "left_anti").unionByName(made)
+    """Explicit links (a, b) over edges: weight 5, count 0, overwriting what co-retrieval had; edges are made once."""
+    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct().withColumn("explicit", F.lit(True))
+    made = lambda value, name: F.when(F.col("explicit"), F.lit(value)).otherwise(F.col(name)).alias(name)
+    return edges.join(links, ["a", "b"], "full").select("a", "b", made(EXPLICIT_WEIGHT, "weight"), made(0, "turns"), "last", F.coalesce("explicit", F.lit(False)).alias("explicit"))
 
 
 def effective(edges: DataFrame, now: Column, half_life_hours: float = scalars.HALF_LIFE_HOURS) -> DataFrame:
@@ -240,9 +242,18 @@ def effective(edges: DataFrame, now: Column, half_life_hours: float = scalars.HA
 
 
 def document_links(edges: DataFrame, owner: DataFrame, floor: float = RENDER_FLOOR) -> DataFrame:
-    """(document_a, document_b, weight, explicit): effective weights added up by pairs of documents, from the floor on. owner: (chunk, document)."""
-    of = lambda x: owner.select(F.col("chunk").alias(x), F.col("document").alias(f"d{x}"))
-    both = edges.join(of("a"), "a").join(of("b"), "b").where("da <> db")
+    """(document_a, document_b, weight, explicit): effective weights added up by pairs of documents, from the floor on. owner: (chunk, document).
+
+    Where the owners are too many to be sent to every task, edges are stored, counted, and dealt by their ends over tasks of TASK_ROWS.
+    """
+    known, tasks = fits(owner), 0
+    edges = edges.select("a", "b", "effective", "explicit")
+    if not known:
+        edges = stash(edges, "edges")
+        tasks = tasks_for(edges, edges.count())
+    dealt = lambda rows, x: rows.repartition(tasks, x) if tasks else rows
+    of = lambda x: dealt(small(owner.select(F.col("chunk").alias(x), F.col("document").alias(f"d{x}")), known), x)
+    both = dealt(dealt(edges, "a").join(of("a"), "a"), "b").join(of("b"), "b").where("da <> db")
     total = both.groupBy(F.least("da", "db").alias("document_a"), F.greatest("da", "db").alias("document_b")).agg(F.sum("effective").alias("weight"), F.bool_or("explicit").alias("explicit"))
     return total.where(F.col("weight") >= floor)
 

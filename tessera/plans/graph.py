@@ -128,7 +128,9 @@ f AS (SELECT *, CASE WHEN explicit THEN weight ELSE weight * pow(0.5, greatest(0
 
 
 def _edges(spark, d):
-    turns = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, orders = table(spark, d, "lineitem").select("l_orderkey", "l_partkey"), table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    n = G.tasks_for(lines, lines.count())
+    turns = lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return G.co_retrieval(turns.select(F.col("l_orderkey").alias("turn"), F.col("l_partkey").alias("chunk"), F.col("o_orderdate").alias("ts")))
 
 

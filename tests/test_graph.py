@@ -144,3 +144,30 @@ def test_pairs_are_dealt_over_tasks_by_their_number_and_edges_made_once(spark, m
     got = [(r["a"], r["b"], r["turns"]) for r in near.collect()]
     assert sorted(got) == sorted((a, b, n) for (a, b), (n, _) in want.items() if {a, b} & {3, 49})
     assert near._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [a") == 1
+
+
+def test_sums_and_joins_of_edges_are_dealt_by_their_number(spark, monkeypatch):
+    from tessera.functions import joins
+
+    rows = [(t, (t * 7 + i * (t % 3 + 1)) % 50) for t in range(90) for i in range(12)]
+    retrieved = spark.createDataFrame(rows, "turn int, chunk int").withColumn("ts", F.timestamp_seconds("turn"))
+    links = spark.createDataFrame([(3, 1), (1, 3), (7, 7), (60, 61)], "a int, b int")
+    owner = spark.createDataFrame([(c, f"d{c % 4}") for c in range(62)], "chunk int, document string")
+    found = {}
+    for rows_a_task, sent in ((G.TASK_ROWS, joins.BROADCAST_ROWS), (40, 5)):
+        monkeypatch.setattr(G, "TASK_ROWS", rows_a_task)
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", sent)
+        edges = G.link_explicitly(G.co_retrieval(retrieved), links).withColumn("effective", F.col("weight"))
+        docs = G.document_links(edges, owner)
+        found[sent] = sorted(edges.select("*").collect()), sorted(docs.select("*").collect())
+    assert len({len(x) for pair in found.values() for x in pair}) == 2 and len(set(map(str, found.values()))) == 1
+    turns = {}
+    for t, c in rows:
+        turns.setdefault(t, set()).add(c)
+    tasks = -(-sum(len(x) * (len(x) - 1) // 2 for x in turns.values()) // 40)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert tasks > 100 and plan.count(f", {2 * tasks}), REPARTITION_BY_NUM") == 1, plan
+    assert edges._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [a") == 2  # of edges and of links, each made once
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    n = -(-len(found[5][0]) // 40)
+    assert n > 10 and plan.count(f", {n}), REPARTITION_BY_NUM") == 4, plan
