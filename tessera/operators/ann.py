@@ -2,7 +2,8 @@
 
 Centres of cells, codebooks and the number of cells to meet are learned from a bounded sample; every vector is indexed, as its cell and one byte a few dimensions. A
 search meets each question with the codes of its nearest cells only, keeps the `short` best by the codes' distances, and looks the vectors of
-those up once. Vectors that gather in places are found in few cells; for ones that do not, nearly all cells are met, by their codes. The vectors are never copied for questions, and codes only within a cell that more than QUERY_BLOCK questions ask.
+those up once. Vectors that gather in places are found in few cells; for ones that do not, nearly all cells are met, by their codes. Blocks of QUERY_BLOCK questions
+meet chunks of CHUNK_ROWS codes of all cells, so a question is sent once a chunk, a code once a block, and `short` rows a question and chunk come back. The vectors are never copied for questions.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from tessera.functions.vectors import matrix
 from tessera.operators.retrieval import QUERY_BLOCK, Best
 from tessera.sources.scratch import stash
 
-CHUNK_ROWS = 1 << 17  # codes of a cell that one task streams, about
+CHUNK_ROWS = 1 << 17  # codes that one task streams for a block of questions, about
 
 
 @dataclass(frozen=True)
@@ -87,9 +88,16 @@ class Model:
         parts = _split(x - self.centres[cell], self.dims)
         return cell, np.stack([_squares(p, b).argmin(1).astype(np.uint8) for p, b in zip(parts, self.books, strict=True)], 1)
 
-    def tables(self, q: np.ndarray, cell: int) -> list[np.ndarray]:
-        """Of each question, the squared distances to all parts of the books in a cell."""
-        return [_squares(p, b) for p, b in zip(_split(q - self.centres[cell], self.dims), self.books, strict=True)]
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for."""
+        return self.centres[cell] + np.hstack([b[c] for b, c in zip(self.books, codes.T, strict=True)])
+
+    def met(self, q: np.ndarray) -> np.ndarray:
+        """(questions, cells): whether a question meets a cell."""
+        d = _squares(q, self.centres)
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, np.argpartition(d, self.probes - 1, axis=1)[:, : self.probes], True, axis=1)
+        return out
 
 
 def _encoded(model: Model):
@@ -103,46 +111,42 @@ def _encoded(model: Model):
     return run
 
 
-def _probed(model: Model):
-    probes = model.probes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in filter(len, batches):
-            q = _unit(matrix(b.column(1)))
-            d = _squares(q, model.centres)
-            cells = np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(q), 1))
-            held = [x.tobytes() for x in q.astype("<f4")]
-            own = np.repeat(np.arange(len(q)), cells.shape[1])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(cells.ravel().astype(np.int32)), pa.array([held[i] for i in own], pa.binary())], names=["id", "cell", "payload"])
-
-    return run
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in filter(len, batches):
+        held = [x.tobytes() for x in _unit(matrix(b.column(1))).astype("<f4")]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["id", "payload"])
 
 
 def _by_codes(model: Model, short: int):
-    """Rows (cell, chunk, block, side, id, payload) sorted by the first four: of each group the questions come first and are held, the codes stream by."""
+    """Rows (chunk, block, side, cell, id, payload) sorted by the first four: of each chunk and block the questions come first and are held, the codes stream by, cell by cell. A question keeps its `short` best over all cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, best, tables, asked = None, None, None, []
+        now, best, met, asked = None, None, None, []
         for b in batches:
-            keys = np.stack([b.column(i).to_numpy() for i in range(4)])
+            keys = np.stack([b.column(i).to_numpy() for i in range(3)])
             edges = np.flatnonzero((np.diff(keys) != 0).any(0)) + 1
             for lo, hi in zip([0, *edges], [*edges, b.num_rows], strict=True):
                 if lo == hi:
                     continue
-                if (group := tuple(keys[:3, lo])) != now:
+                if (group := tuple(keys[:2, lo])) != now:
                     if best is not None:
                         yield best.batch()
-                    now, best, tables, asked = group, None, None, []
+                    now, best, met, asked = group, None, None, []
                 ids, raw = b.column(4).slice(lo, hi - lo).to_numpy(), b"".join(b.column(5).slice(lo, hi - lo).to_pylist())
-                if keys[3, lo] == 0:
+                if keys[2, lo] == 0:
                     asked.append((ids, np.frombuffer(raw, "<f4").reshape(hi - lo, -1).astype(np.float64)))
                     continue
                 if best is None and asked:
-                    q = np.concatenate([v for _, v in asked])
-                    best, tables = Best(np.concatenate([i for i, _ in asked]), q, short, "cosine"), model.tables(q, int(group[0]))
-                codes = np.frombuffer(raw, np.uint8).reshape(hi - lo, -1)
+                    best = Best(np.concatenate([i for i, _ in asked]), np.concatenate([v for _, v in asked]), short, "cosine")
+                    met = model.met(best.q)
+                cells, codes = b.column(3).slice(lo, hi - lo).to_numpy(), np.frombuffer(raw, np.uint8).reshape(hi - lo, -1)
                 for at in range(0, len(ids) if best is not None else 0, 2048):
-                    best.keep(ids[at : at + 2048], sum(t[:, c] for t, c in zip(tables, codes[at : at + 2048].T, strict=True)))
+                    part = slice(at, at + 2048)
+                    meets = met[:, cells[part]]
+                    own = np.flatnonzero(meets.any(1))
+                    d = np.full(meets.shape, np.inf)
+                    d[own] = np.where(meets[own], _squares(best.q[own], model.decode(cells[part], codes[part])), np.inf)
+                    best.keep(ids[part], d, meets)
         if best is not None:
             yield best.batch()
 
@@ -168,17 +172,15 @@ class VectorIndex:
         s, spark = self.settings, corpus.sparkSession
         if self.model is None:
             return spark.createDataFrame([], "qid long, id long, distance double, rank int")
-        held = queries.where(F.col("embedding").isNotNull()).select(F.col("qid").cast("long").alias("qid"), "embedding")
-        asked = stash(held.select(F.col("qid").alias("id"), "embedding").mapInArrow(_probed(self.model), "id long, cell int, payload binary"), "probes")
-        # both counts have a row a cell
-        sizes = self.codes.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK_ROWS).cast("int").alias("chunks"))
-        sizes = sizes.join(F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))), "cell")
-        sizes = F.broadcast(stash(sizes, "cells"))
-        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = asked.join(sizes, "cell").select("cell", every("chunks").alias("chunk"), own("blocks").alias("block"), F.lit(0).alias("side"), "id", "payload")
-        right = self.codes.join(sizes, "cell").select("cell", own("chunks").alias("chunk"), every("blocks").alias("block"), F.lit(1).alias("side"), "id", F.col("code").alias("payload"))
-        grid = left.unionByName(right).repartition("cell", "chunk", "block").sortWithinPartitions("cell", "chunk", "block", "side")
+        held = stash(queries.where(F.col("embedding").isNotNull()).select(F.col("qid").cast("long").alias("qid"), "embedding"), "questions")
+        n, blocks = self.codes.count(), max(1, -(-held.count() // QUERY_BLOCK))
+        chunks = max(1, -(-n // CHUNK_ROWS), min(n // 4096, -(-2 * spark.sparkContext.defaultParallelism // blocks)))
+        own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        asked = held.select(F.col("qid").alias("id"), "embedding").mapInArrow(_asked, "id long, payload binary")
+        left = asked.select(every(chunks).alias("chunk"), own(blocks).alias("block"), F.lit(0).alias("side"), F.lit(-1).alias("cell"), "id", "payload")
+        right = self.codes.select(own(chunks).alias("chunk"), every(blocks).alias("block"), F.lit(1).alias("side"), "cell", "id", F.col("code").alias("payload"))
+        grid = left.unionByName(right).repartition(chunks * blocks, "chunk", "block").sortWithinPartitions("chunk", "block", "side", "cell")
         near = grid.mapInArrow(_by_codes(self.model, max(s.short, k)), "qid long, id long, distance double")
         nth = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
         near = stash(near.withColumn("nth", nth).where(F.col("nth") <= max(s.short, k)).select("qid", "id"), "short")

@@ -36,11 +36,11 @@ class Best:
         d = 1 - self.unit @ (x / self._length(x)).T if self.metric == "cosine" else np.sqrt(np.maximum(0, (self.q * self.q).sum(1)[:, None] + (x * x).sum(1) - 2 * self.q @ x.T))
         self.keep(cid, d)
 
-    def keep(self, cid: np.ndarray, d: np.ndarray) -> None:
-        """Take vectors cid at distances d, a row a question."""
+    def keep(self, cid: np.ndarray, d: np.ndarray, met: np.ndarray | None = None) -> None:
+        """Take vectors cid at distances d, a row a question; met: only those that a question meets."""
         d = np.round(d, 9)
         cut = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k] if d.shape[1] > self.k else np.inf
-        q, c = np.nonzero(d <= cut)
+        q, c = np.nonzero(d <= cut if met is None else (d <= cut) & met)
         rows = np.stack([q.astype(np.float64), cid[c].view(np.float64), d[q, c]])
         self.held = self._least(np.hstack([self.held, rows]))
 

@@ -49,3 +49,15 @@ def test_nulls_zeros_and_no_vectors(spark):
     none = ann.build_index(corpus.limit(0), new_path(spark, "vectors"))
     assert none.search(corpus, asked, 3).count() == 0
     assert ann.build_index(corpus, new_path(spark, "vectors")).search(corpus, asked.limit(0), 3).count() == 0
+
+
+def test_a_question_is_sent_once_a_chunk_and_not_once_a_cell(spark, monkeypatch):
+    found, plain = [], ann.stash
+    monkeypatch.setattr(ann, "stash", lambda df, name: found.append((name, plain(df, name))) or found[-1][1])
+    x = np.random.default_rng(6).normal(size=(2000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>")
+    index = ann.build_index(rows, new_path(spark, "vectors"))
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("qid"), "embedding")
+    assert index.model.probes > len(index.model.centres) // 2  # these vectors do not gather
+    assert index.search(rows, asked, 10).count() == 1000
+    assert {name: df.count() for name, df in found} == {"questions": 100, "short": 100 * index.settings.short}  # a row a question and cell before
