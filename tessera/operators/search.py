@@ -108,8 +108,8 @@ _STOP = frozenset(STOP_WORDS)
 
 
 def english_forms(documents: DataFrame) -> DataFrame:
-    """(word, term) of all distinct words of documents (text); each is stemmed once, however often it occurs."""
-    words = documents.select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    """(word, term) of all distinct words of documents (text); each is stemmed once, however often it occurs. They are stored, as a semi-join by term would else be pushed, stems and all, below distinct()."""
+    words = stash(documents.select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct(), "words")
     return words.select("word", F.pandas_udf(lambda w: w.map(english), "string")("word").alias("term"))
 
 

@@ -138,3 +138,10 @@ def test_pairs_of_many_places_add_up_as_few_do():
     want = np.log1p(-0.1 * np.sqrt(np.where(d > 100, 1e-30, 1 / (1.005 + 0.05 * np.exp(np.minimum(d, 100) / 1.5 - 2))))).sum()
     assert abs(P.apart(a, b) - want) < 1e-9 and abs(P.apart(b, a) - want) < 1e-9
     assert abs(P.apart(a[:20], b[:20]) - np.log1p(-0.1 * np.sqrt(P.closeness(d[:20, :20]))).sum()) < 1e-12
+
+
+def test_words_are_stemmed_once_however_often_they_occur(spark, tables):
+    terms = spark.createDataFrame([("seal",), ("file",)], "term string")
+    forms = S.english_forms(tables[0]).join(terms, "term", "left_semi")
+    assert {(r["word"], r["term"]) for r in forms.collect()} == {("seal", "seal"), ("sealed", "seal"), ("file", "file"), ("files", "file")}
+    assert "Generate" not in forms._jdf.queryExecution().optimizedPlan().toString()  # stems were made of all occurrences
