@@ -1,17 +1,20 @@
 """An inverted index of documents: where each word stands, how often, and the most of each block of documents.
 
-postings() makes the rows of the words asked for; build_index() stores those of all words, sorted by word, so that a search reads
-the row groups of its own words only. Searches over either give the same rows. top_matches() ends early: the most that a block of
+postings() makes the rows of the words asked for; build_index() stores those of all words in segments, each of some documents and sorted
+by word, so that a search reads the pages of its own words only. Searches over either give the same rows. top_matches() ends early: the most that a block of
 documents could score is known from its words' highest counts, and blocks that cannot reach a question's k-th score are left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -21,6 +24,7 @@ from tessera.sources.scratch import stash
 BLOCK_IDS = 1024  # neighbouring ids that make a block
 PUSHED_TERMS = 1000  # asked words up to which they are pushed to the scan as a list
 FIRST_BLOCKS = 4  # of a question, which are searched before the others are judged
+SLICE_TOKENS = 500_000  # tokens that a task groups at once, or one text's
 
 # Fixed values of the positional rank: a plain word's weight, how closeness counts, and the sum of 1 / n^2.
 WEIGHT, FAR, FAR_CLOSENESS, ZETA = 0.1, 100, 1e-30, 1.64493406685
@@ -33,13 +37,50 @@ def postings(documents: DataFrame, terms: DataFrame | None = None, places: bool
     are left out, though they keep their places. A null text has no token.
     """
     tokens = T.tokens(F.col("text"))
-    rows = documents.select("id", F.posexplode(tokens).alias("at", "term")) if places else documents.select("id", F.explode(tokens).alias("term"))
+    if places:
+        key = documents.select("id").schema["id"].dataType.simpleString()
+        rows = documents.select("id", tokens.alias("tokens")).mapInArrow(_with_places, f"term string, id {key}, tf long, places array<int>")
+    else:
+        rows = documents.select("id", F.explode(tokens).alias("term"))
     if forms is not None:
         rows = rows.withColumnRenamed("term", "word").join(small(forms.where("term IS NOT NULL")), "word").drop("word")
     if terms is not None:
         rows = rows.join(small(terms), "term", "left_semi")
-    sums = [F.count("*").alias("tf"), *([F.array_sort(F.collect_list(F.col("at") + 1)).alias("places")] if places else [])]
-    return rows.groupBy("term", "id").agg(*sums)
+    if not places:
+        return rows.groupBy("term", "id").agg(F.count("*").alias("tf"))
+    if forms is None and documents.groupBy("id").count().where("count > 1").isEmpty():
+        return rows  # else several rows of a document may have a term
+    return rows.groupBy("term", "id").agg(F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def _with_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, id, tf, places) of rows (id, tokens), a row's tokens grouped where they are, so that no token is shuffled."""
+    for batch in batches:
+        ids, tokens = batch.column(0), batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        start = 0
+        while start < len(ids):
+            before = ends[start] - sizes[start]
+            end = max(start + 1, int(np.searchsorted(ends, before + SLICE_TOKENS, "right")))
+            if ends[end - 1] > before:
+                yield _grouped(ids.slice(start, end - start), tokens.slice(start, end - start).flatten(), sizes[start:end])
+            start = end
+
+
+def _grouped(ids: pa.Array, tokens: pa.Array, sizes: np.ndarray) -> pa.RecordBatch:
+    """_with_places() of rows of so many tokens each, which follow one another."""
+    words = tokens.dictionary_encode()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(1, len(tokens) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key = words.indices.to_numpy() * np.int64(len(sizes)) + row
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))  # a term's first place in a row
+    bounds = np.append(first, len(key))
+    terms = words.dictionary.take(pa.array(key[first] // len(sizes)))
+    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(place[order], pa.int32()))
+    return pa.RecordBatch.from_arrays([terms, ids.take(pa.array(key[first] % len(sizes))), pa.array(np.diff(bounds)), lists], ["term", "id", "tf", "places"])
 
 
 @dataclass
@@ -50,23 +91,31 @@ class Index:
     blocks: DataFrame
 
     def of(self, terms: DataFrame) -> Index:
-        """What a search for these terms (term) reads."""
+        """What a search for these terms (term) reads; many are not pushed to the postings, which it then joins by words or documents of its own."""
         asked = [r["term"] for r in terms.limit(PUSHED_TERMS + 1).collect()]  # at most so many words
         if len(asked) <= PUSHED_TERMS:
             return Index(self.postings.where(F.col("term").isin(asked)), self.blocks.where(F.col("term").isin(asked)))
-        return Index(*(t.join(small(terms), "term", "left_semi") for t in (self.postings, self.blocks)))
+        return Index(self.postings, self.blocks.join(small(terms), "term", "left_semi"))
+
+    def held(self, asked: Asked) -> DataFrame:
+        """Postings, with places where they are needed."""
+        return self.postings.drop("places") if asked.plain else self.postings
+
+
+def _block() -> Column:
+    return F.floor(F.col("id") / BLOCK_IDS)
 
 
 def _blocks(held: DataFrame) -> DataFrame:
-    return held.groupBy("term", F.floor(F.col("id") / BLOCK_IDS).alias("block")).agg(F.count("*").alias("n"), F.max("tf").alias("most"))
+    return held.groupBy("term", _block().alias("block")).agg(F.count("*").alias("n"), F.max("tf").alias("most"))
 
 
 def build_index(documents: DataFrame, path: str, forms: DataFrame | None = None) -> Index:
-    """Store the index of documents (id, text) under path, sorted by term and id. A frequent word's rows lie in several files."""
-    rows = postings(documents, places=True, forms=forms)
-    rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    """Store the index of documents (id, text) under path, in segments of some blocks of documents (of some rows of blocks) sorted by term and id (term and block)."""
+    rows = postings(documents.repartition(_block()), places=True, forms=forms)
+    rows.sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
     held = documents.sparkSession.read.parquet(f"{path}/postings")
-    _blocks(held).repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
+    _blocks(held).sortWithinPartitions("term", "block").write.parquet(f"{path}/blocks")
     return open_index(documents.sparkSession, path)
 
 
@@ -93,26 +142,20 @@ class Asked:
         terms = need.select("term")
         if not plain:
             terms = terms.union(rows.select(F.explode(F.flatten(F.transform("unwanted", lambda p: F.split(p, " "))))).where("col <> ''"))
-        return cls(rows, need, terms.distinct(), fits(need), plain)
+        return cls(rows, need, stash(terms.distinct(), "terms"), fits(need), plain)
 
     def words(self) -> DataFrame:
         """(qid, term): what a question wants, in all its alternatives."""
         return self.need.select("qid", "term").distinct()
 
 
-def _fitting(held: DataFrame, asked: Asked, allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, alt, id) of the documents that have all words of an alternative, in the blocks allowed (qid, block).
-
-    Documents meet an alternative under its rarest word; the others are looked up for those that do.
-    """
-    count = held.groupBy("term").agg(F.count("*").alias("n"))  # no more rows than words are asked for
+def _candidates(held: DataFrame, asked: Asked, count: DataFrame | None = None) -> DataFrame:
+    """(qid, alt, size, id), stored: the documents of each alternative's rarest word. count: (term, n), in how many documents a word is, if known."""
+    if count is None:
+        count = held.join(small(asked.terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))  # no more rows than words are asked for
     order = F.struct(F.coalesce("n", F.lit(0)), "term")
     first = asked.need.join(small(count, asked.few), "term", "left").groupBy("qid", "alt", "size").agg(F.min_by("term", order).alias("term"))
-    found = held.join(small(first, asked.few), "term").select("qid", "alt", "size", "id")
-    if allowed is not None:
-        found = found.withColumn("block", F.floor(F.col("id") / BLOCK_IDS)).join(small(allowed), ["qid", "block"], "left_semi").drop("block")
-    others = found.join(small(asked.need.drop("size"), asked.few), ["qid", "alt"]).join(held.select("term", "id"), ["term", "id"])
-    return others.groupBy("qid", "alt", "id", "size").agg(F.count("*").alias("hits")).where("hits = size").select("qid", "alt", "id")
+    return stash(held.join(small(first, asked.few), "term").select("qid", "alt", "size", "id"), "candidates")
 
 
 def _with_phrases(fit: DataFrame, held: DataFrame, asked: Asked) -> DataFrame:
@@ -131,12 +174,20 @@ def _with_phrases(fit: DataFrame, held: DataFrame, asked: Asked) -> DataFrame:
     return rows.where((F.coalesce("has", F.lit(0)) == F.col("wants")) & (F.coalesce("bad", F.lit(0)) == 0)).select("qid", "alt", "id")
 
 
-def fitting(held: DataFrame, asked: Asked, allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, id), stored: all that fits an alternative of a question, from stored postings of their words (with places, unless all are plain)."""
-    fit = _fitting(held, asked, allowed)
+def fitting(held: DataFrame, asked: Asked, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(qid, id) of all that fits an alternative of a question, and the postings of all documents that came into question, both stored.
+
+    held: postings of at least the asked words, with places, unless all are plain. Documents meet an alternative under its rarest word (found:
+    those of _candidates() to be judged); other words are looked up in the postings of these documents alone, no others are shuffled.
+    """
+    found = _candidates(held, asked) if found is None else found
+    near = held.join(small(found.select("id").distinct()), "id", "left_semi").join(small(asked.terms), "term", "left_semi")
+    near = stash(near.select(held.columns), "near")
+    others = found.join(small(asked.need.drop("size"), asked.few), ["qid", "alt"]).join(near.select("term", "id"), ["term", "id"])
+    fit = others.groupBy("qid", "alt", "id", "size").agg(F.count("*").alias("hits")).where("hits = size").select("qid", "alt", "id")
     if not asked.plain:
-        fit = _with_phrases(stash(fit, "fits"), held, asked)
-    return stash(fit.select("qid", "id").distinct(), "fits")
+        fit = _with_phrases(stash(fit, "fits"), near, asked)
+    return stash(fit.select("qid", "id").distinct(), "fits"), near
 
 
 def scored(fit: DataFrame, held: DataFrame, asked: Asked) -> DataFrame:
@@ -153,15 +204,13 @@ def postings_for(documents: DataFrame, asked: Asked, places: bool | None = None,
 def match_documents(documents: DataFrame, parsed: DataFrame) -> DataFrame:
     """(qid, id, score) of all documents (id, text) that fit parsed questions."""
     asked = Asked.of(parsed)
-    held = postings_for(documents, asked)
-    return scored(fitting(held, asked), held, asked)
+    return scored(*fitting(postings_for(documents, asked), asked), asked)
 
 
 def match_index(index: Index, parsed: DataFrame) -> DataFrame:
     """match_documents() of an index."""
     asked = Asked.of(parsed)
-    held = index.of(asked.terms).postings
-    return scored(fitting(held, asked), held, asked)
+    return scored(*fitting(index.of(asked.terms).held(asked), asked), asked)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -178,11 +227,15 @@ def top_matches(index: Index, parsed: DataFrame, k: int) -> DataFrame:
     """
     asked = Asked.of(parsed)
     own = index.of(asked.terms)
-    bound = own.blocks.join(small(asked.words(), asked.few), "term").groupBy("qid", "block").agg(F.sum(F.log1p("most")).alias("bound"))
-    whole = own.blocks.join(small(asked.need, asked.few), "term").groupBy("qid", "alt", "size", "block").agg(F.count("*").alias("hits")).where("hits = size")
+    held, of_words = own.held(asked), stash(own.blocks, "blocks")
+    found = _candidates(held, asked, of_words.groupBy("term").agg(F.sum("n").alias("n"))).withColumn("block", _block())
+    met = of_words.join(small(asked.words(), asked.few), "term").join(small(found.select("qid", "block").distinct()), ["qid", "block"], "left_semi")
+    bound = met.groupBy("qid", "block").agg(F.sum(F.log1p("most")).alias("bound"))
+    met = of_words.join(small(asked.need, asked.few), "term").join(small(found.select("qid", "alt", "block").distinct()), ["qid", "alt", "block"], "left_semi")
+    whole = met.groupBy("qid", "alt", "size", "block").agg(F.count("*").alias("hits")).where("hits = size")
     nth = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("bound").desc(), "block"))
     blocks = stash(bound.join(whole.select("qid", "block").distinct(), ["qid", "block"]).withColumn("nth", nth), "bounds")
-    judged = lambda some: scored(fitting(own.postings, asked, some.select("qid", "block")), own.postings, asked)
+    judged = lambda some: scored(*fitting(held, asked, found.join(small(some.select("qid", "block")), ["qid", "block"], "left_semi").drop("block")), asked)
     first = stash(judged(blocks.where(F.col("nth") <= FIRST_BLOCKS)), "first")
     least = _best(first, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
     rest = blocks.where(F.col("nth") > FIRST_BLOCKS).join(small(least), "qid", "left").where(F.col("least").isNull() | (F.col("bound") + 1e-9 >= F.col("least")))

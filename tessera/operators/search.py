@@ -121,7 +121,7 @@ def ranked_search(documents: DataFrame, questions: DataFrame, in_english: bool =
         forms = english_forms(documents).join(small(asked.terms, asked.few), "term", "left_semi").select("word", "term")
         forms = stash(forms, "forms")
     held = P.postings_for(documents, asked, places=True, forms=forms)
-    out = P.ranked(P.fitting(held, asked), held, asked).withColumn("rank", F.round("rank", 9))
+    out = P.ranked(*P.fitting(held, asked), asked).withColumn("rank", F.round("rank", 9))
     if k is None:
         return out
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("rank").desc(), "id"))

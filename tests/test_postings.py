@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.functions.stemming import STOP_WORDS, stem
@@ -145,3 +146,33 @@ def test_words_are_stemmed_once_however_often_they_occur(spark, tables):
     forms = S.english_forms(tables[0]).join(terms, "term", "left_semi")
     assert {(r["word"], r["term"]) for r in forms.collect()} == {("seal", "seal"), ("sealed", "seal"), ("file", "file"), ("files", "file")}
     assert "Generate" not in forms._jdf.queryExecution().optimizedPlan().toString()  # stems were made of all occurrences
+
+
+def test_tokens_are_grouped_where_texts_are_read(spark, tables):
+    docs, _ = tables
+    rows = P.postings(docs, places=True)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()  # every token was shuffled
+    want = {(w, i): [n for n, x in enumerate(_tokens(t), 1) if x == w] for i, t in _documents() for w in _tokens(t)}
+    assert {(r["term"], r["id"]): (r["tf"], r["places"]) for r in rows.collect()} == {k: (len(v), v) for k, v in want.items()}
+    twice = P.postings(docs.unionByName(docs), places=True)  # an id that comes twice still has one row a word
+    assert {(r["term"], r["id"]): (r["tf"], r["places"]) for r in twice.collect()} == {k: (2 * len(v), sorted(v + v)) for k, v in want.items()}
+    assert twice.count() == rows.count() == len(want)
+
+
+@pytest.mark.parametrize("limit", [1, 3, 500_000])
+def test_slices_of_tokens_keep_rows_whole(monkeypatch, limit):
+    monkeypatch.setattr(P, "SLICE_TOKENS", limit)
+    tokens = [["x"], ["a", "b", "a", "a"], None, [], ["b"], ["c", "a"], [], ["b", "b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([9, 5, 6, 7, 5, 8, 1, 2]), pa.array(tokens, pa.list_(pa.string()))], ["id", "tokens"]).slice(1)
+    rows = sorted((r["term"], r["id"], r["tf"], r["places"]) for b in P._with_places([batch]) for r in b.to_pylist())
+    assert rows == [("a", 5, 3, [1, 3, 4]), ("a", 8, 1, [2]), ("b", 2, 2, [1, 2]), ("b", 5, 1, [1]), ("b", 5, 1, [2]), ("c", 8, 1, [1])]
+    assert list(P._with_places([batch.slice(0, 0)])) == []
+
+
+def test_only_postings_of_candidates_are_looked_at(spark, tables):
+    docs, _ = tables
+    asked = P.Asked.of(S.parsed(spark.createDataFrame([(1, "the rare of")], "qid long, text string")))
+    fit, near = P.fitting(P.postings_for(docs, asked), asked)
+    held = {i: set(_tokens(t)) for i, t in _documents()}
+    assert {r["id"] for r in near.collect()} == {i for i, words in held.items() if "rare" in words}  # all of "the" and "of" were shuffled
+    assert {r["id"] for r in fit.collect()} == {i for i, words in held.items() if {"rare", "the", "of"} <= words}
